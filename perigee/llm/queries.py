@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import mixing, simhash
+from perigee.llm import mixing, sentencepieces, simhash, token_counts, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_webp": webp.op1_webp,
+        "op4_sentencepiece": sentencepieces.op4_sentencepiece,
         "op6_source_mixing": mixing.op6_source_mixing,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_simhash": simhash.op10_simhash,
     }
 
