@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import mixing, sentencepieces, simhash, token_counts, webp
+from perigee.llm import langid, mixing, neardup_vectors, sentencepieces, simhash, token_counts, toxicity, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_webp": webp.op1_webp,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_sentencepiece": sentencepieces.op4_sentencepiece,
+        "op5_near_vectors": neardup_vectors.op5_near_vectors,
         "op6_source_mixing": mixing.op6_source_mixing,
+        "op8_language_id": langid.op8_language_id,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_simhash": simhash.op10_simhash,
     }
