@@ -148,13 +148,14 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred, score`` for every whole text; ``und`` and 0 for null and letterless texts."""
     model = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of a bounded number of landmarks
-    x = docs.select(text_of().alias("\1text"), *keep)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in x.schema.fields[1:])
+    rest = [k for k in keep if k != "text"]
+    x = docs.select("text", *rest)
+    fields = "".join(f"`{k}` {x.schema[k].dataType.simpleString()}, " for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = model.value.predict(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            names, scores = model.value.predict([t or "" for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return x.mapInArrow(run, fields + "lang_pred string, score double")
 

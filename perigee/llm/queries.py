@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import langid, mixing, neardup_vectors, sentencepieces, simhash, token_counts, toxicity, webp
+from perigee.llm import langid, licenses, mixing, neardup_vectors, sentencepieces, simhash, token_counts, toxicity, warc, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_webp": webp.op1_webp,
+        "op2_licenses": licenses.op2_licenses,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_sentencepiece": sentencepieces.op4_sentencepiece,
         "op5_near_vectors": neardup_vectors.op5_near_vectors,
         "op6_source_mixing": mixing.op6_source_mixing,
+        "op7_warc": warc.op7_warc,
         "op8_language_id": langid.op8_language_id,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_simhash": simhash.op10_simhash,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.OP6_SQL}
+    return {"op2_licenses": licenses.OP2_SQL, "op6_source_mixing": mixing.OP6_SQL, "op7_warc": warc.OP7_SQL}

@@ -261,14 +261,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``score`` and ``predicted`` of every whole text; null counts as empty."""
     model = docs.sparkSession.sparkContext.broadcast(model)  # a bounded lexicon and a fixed number of trees
-    x = docs.select(text_of().alias("\1text"), *keep)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in x.schema.fields[1:])
+    rest = [k for k in keep if k != "text"]
+    x = docs.select("text", *rest)
+    fields = "".join(f"`{k}` {x.schema[k].dataType.simpleString()}, " for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(model.value.lexicon)
         for batch in batches:
-            score = model.value.score(batch.column(0).to_pylist(), marks)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            score = model.value.score([t or "" for t in batch.column(0).to_pylist()], marks)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
     return x.mapInArrow(run, fields + "score double, predicted int")
 
