@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from perigee.plans import telemetry
+
+_PARTS = (telemetry,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: q for part in _PARTS for k, q in part.ORACLES.items()}
