@@ -32,10 +32,15 @@ def lenient(text: Column | str) -> Column:
     return F.when(number.isNotNull(), F.timestamp_micros((number * 1_000_000).cast("long"))).otherwise(F.try_to_timestamp(text))
 
 
+def timestamp(ts_ns: Column | str) -> Column:
+    """The timestamp of nanoseconds, cut to microseconds in whole numbers; doubles can't hold them."""
+    ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
+    return F.timestamp_micros(F.call_function("div", ts_ns, F.lit(1000)))
+
+
 def iso(ts_ns: Column | str) -> Column:
     """ISO-8601 with ``Z`` to the microsecond."""
-    ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
-    return F.date_format(F.timestamp_micros(F.floor(ts_ns / 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.date_format(timestamp(ts_ns), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def split_of(ts_ns: Column | str, validation: int, test: int) -> Column:

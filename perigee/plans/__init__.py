@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from perigee.plans import telemetry
+from perigee.plans import catalog, telemetry
 
-_PARTS = (telemetry,)
+_PARTS = (telemetry, catalog)
 
 
 def queries() -> dict:
