@@ -74,17 +74,29 @@ def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), width: i
     return x.drop("__lv", "__bucket", "__a_level", "__b_level")
 
 
-def subtract(df: DataFrame, masks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """What of the union of ``df`` lies outside the union of ``masks``; cut edges move by one."""
-    x, m = union(df, keys), union(masks, keys)
-    hit = interval_join(x, m, keys)
-    own = [*keys, "start_ns", "end_ns"]
-    w = Window.partitionBy(*own).orderBy("b_start_ns")
-    head = hit.select(*own, F.coalesce(F.lag("b_end_ns").over(w) + 1, F.col("start_ns")).alias("s"), (F.col("b_start_ns") - 1).alias("e"))
-    tail = hit.groupBy(*own).agg((F.max("b_end_ns") + 1).alias("s")).select(*own, "s", F.col("end_ns").alias("e"))
-    cut = head.unionByName(tail).where("s <= e").select(*keys, F.col("s").alias("start_ns"), F.col("e").alias("end_ns"))
-    whole = x.join(hit.select(*own).distinct(), own, "left_anti") if own else x
-    return union(whole.unionByName(cut), keys)
+def subtract(df: DataFrame, masks: DataFrame, keys: Sequence[str] = (), width: int = DAY) -> DataFrame:
+    """What of the union of ``df`` lies outside the union of ``masks``; cut edges move by one.
+
+    One sweep over the ends of both: running counts of open intervals and open masks, two-level like every
+    running sum here, so that one interval under many masks is not one task's work.
+    """
+    def ends(x: DataFrame, of: str) -> DataFrame:
+        x = x.where("start_ns is not null and end_ns >= start_ns")
+        both = F.explode(F.array(F.struct(F.col("start_ns").alias("t"), F.lit(1).alias("d")), F.struct((F.col("end_ns") + 1).alias("t"), F.lit(-1).alias("d")))).alias("p")
+        zero = F.lit(0)
+        return x.select(*keys, both).select(*keys, F.col("p.t").alias("__t"), (F.col("p.d") if of == "x" else zero).alias("__dx"), (F.col("p.d") if of == "m" else zero).alias("__dm"))
+
+    points = ends(df, "x").unionByName(ends(masks, "m")).groupBy(*keys, "__t").agg(F.sum("__dx").alias("__dx"), F.sum("__dm").alias("__dm"))
+    points = spanned(points, "__t", width)
+    own = Window.partitionBy(*keys, SPAN).orderBy("__t")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    spans = points.groupBy(*keys, SPAN).agg(F.sum("__dx").alias("__sx"), F.sum("__dm").alias("__sm"), F.min("__t").alias("__first"))
+    across = Window.partitionBy(*keys).orderBy(SPAN)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, SPAN, F.coalesce(F.sum("__sx").over(before), F.lit(0)).alias("__ox"), F.coalesce(F.sum("__sm").over(before), F.lit(0)).alias("__om"), F.lead("__first").over(across).alias("__after"))
+    points = points.withColumns({"__cx": F.sum("__dx").over(upto), "__cm": F.sum("__dm").over(upto), "__next": F.lead("__t").over(own)}).join(spans, [*keys, SPAN])
+    inside = (F.col("__cx") + F.col("__ox") > 0) & (F.col("__cm") + F.col("__om") == 0)
+    return union(points.where(inside).select(*keys, F.col("__t").alias("start_ns"), (F.coalesce("__next", "__after") - 1).alias("end_ns")), keys, width)
 
 
 def overlap_flags(df: DataFrame, others: DataFrame, keys: Sequence[str] = (), name: str = "overlaps") -> DataFrame:

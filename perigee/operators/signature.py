@@ -52,7 +52,7 @@ def affected_channels(features: DataFrame, threshold: float = 3.0) -> DataFrame:
 
 def command_context(ev: DataFrame, commands: DataFrame) -> DataFrame:
     """``event_id`` and the nine context features; without a command before, the gap is a day and counts are 0."""
-    near = context.nearest_commands(ev, commands).select("event_id", F.coalesce(F.greatest(F.col("delta_ns") / 1e9, F.lit(0.0)), F.lit(context.NO_COMMAND_SECONDS)).alias("nearest_tc_diff_sec"))
+    near = context.nearest_commands(ev, commands).select("event_id", F.coalesce(F.col("delta_ns") / 1e9, F.lit(context.NO_COMMAND_SECONDS)).alias("nearest_tc_diff_sec"))
     x = context.command_counts(ev.select("event_id", "start_ns"), commands)
     x = x.select("event_id", "start_ns", *[F.col(f"count_{k}").cast("double").alias(f"tc_count_{k}") for k in context.WINDOWS])
     for p in context.PRIORITIES:

@@ -43,7 +43,7 @@ def sniff(sample: bytes) -> dict:
     try:
         text, encoding = sample.decode("utf-8-sig"), "UTF-8"
     except UnicodeDecodeError as e:
-        if e.start >= len(sample) - 4:  # cut inside a character
+        if len(sample) == SAMPLE and e.start >= len(sample) - 4:  # cut inside a character
             text, encoding = sample[: e.start].decode("utf-8-sig"), "UTF-8"
         else:
             text, encoding = sample.decode("cp1252", "replace"), "windows-1252"
@@ -68,5 +68,6 @@ def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     if not names:
         return spark.createDataFrame([], "column_1 string"), form
     schema = ", ".join(f"`{n}` string" for n in names)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for windows-1252
     r = spark.read.option("header", form["header"]).option("sep", form["delimiter"]).option("encoding", form["encoding"]).option("enforceSchema", True)
     return r.schema(schema).csv(path), form
