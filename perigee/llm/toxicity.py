@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm.common import table, text_of
+from perigee.llm.common import saved, table, text_of
 from perigee.llm.langid import held_out, uniform
 
 #: Bounds of what is fitted: labelled rows, lexicon entries.
@@ -207,7 +207,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = set(_LETTERS.findall(text.lower()))
-            (toxic if label else clean).update({t for w in words for t in terms(w)})
+            (toxic if label else clean).update({"", *(t for w in words for t in terms(w))})  # "" counts documents
             if len(toxic) + len(clean) > 400_000:
                 yield out()
                 toxic.clear()
@@ -228,17 +228,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = y.where(uniform(F.col("doc_id")) < sample / n)
     # bounded by the sample
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(y), "doc_id").select("label", "text", "doc_id")
-    sums = y.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    bad, good = (sums[0] or 0), (sums[1] or 0)
-    if not bad or not good:
-        return Model(frozenset(), None, None)
     counts = rows.select("label", "text").mapInArrow(_term_counts, "term string, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = saved(counts.where((F.col("toxic") >= SUPPORT) | (F.col("term") == "")), "tox-terms")
+    every = counts.where("term = ''").first()
+    if every is None or not every["toxic"] or not every["clean"]:
+        return Model(frozenset(), None, None)
+    bad, good = every["toxic"], every["clean"]
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
     least = max(SUPPORT, SUPPORT_SHARE * bad)
     mean = (F.col("toxic") + F.col("clean")) / (bad + good)
     errors = (F.col("toxic") / bad - F.col("clean") / good) / F.sqrt(mean * (1 - mean) * (1 / bad + 1 / good))
-    found = counts.where(F.col("toxic") >= least).withColumn("odds", odds).where((F.col("odds") >= LOG_ODDS) & (errors >= ERRORS))
+    found = counts.where((F.col("toxic") >= least) & (F.col("term") != "")).withColumn("odds", odds).where((F.col("odds") >= LOG_ODDS) & (errors >= ERRORS))
     lexicon = frozenset(r["term"] for r in found.orderBy(F.desc("odds"), "term").limit(LEXICON).collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
