@@ -33,15 +33,21 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns
     return df.withColumn("prev", F.coalesce("__p", "__before")).withColumn("next", F.coalesce("__n", "__after")).drop("__p", "__n", "__before", "__after", SPAN)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, width: int = DAY) -> DataFrame:
-    """Adds the sum of ``value`` up to and with each row in ``order`` (time first)."""
-    df = spanned(df.withColumn("__v", value), order[0], width)
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], width: int = DAY) -> DataFrame:
+    """Adds, for each name, the sum of its value up to and with each row in ``order`` (time first)."""
+    names = list(values)
+    df = spanned(df.withColumns({f"__v{i}": values[n] for i, n in enumerate(names)}), order[0], width)
     own = Window.partitionBy(*keys, SPAN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(*keys, SPAN).agg(F.sum("__v").alias("__s"))
+    sums = df.groupBy(*keys, SPAN).agg(*[F.sum(f"__v{i}").alias(f"__s{i}") for i in range(len(names))])
     across = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, SPAN, F.coalesce(F.sum("__s").over(across), F.lit(0)).alias("__o"))
-    df = df.withColumn("__c", F.sum("__v").over(own)).join(sums, [*keys, SPAN])
-    return df.withColumn(name, F.col("__c") + F.col("__o")).drop("__v", "__c", "__o", SPAN)
+    sums = sums.select(*keys, SPAN, *[F.coalesce(F.sum(f"__s{i}").over(across), F.lit(0)).alias(f"__o{i}") for i in range(len(names))])
+    df = df.withColumns({f"__c{i}": F.sum(f"__v{i}").over(own) for i in range(len(names))}).join(sums, [*keys, SPAN])
+    df = df.withColumns({n: F.col(f"__c{i}") + F.col(f"__o{i}") for i, n in enumerate(names)})
+    return df.drop(SPAN, *[f"__{k}{i}" for k in "vco" for i in range(len(names))])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, width: int = DAY) -> DataFrame:
+    return running_sums(df, keys, order, {name: value}, width)
 
 
 def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: Sequence[str] = (), ties: Sequence[str] = (), width: int = DAY) -> DataFrame:
@@ -62,22 +68,26 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, key
     return found.select("__l.*", F.coalesce("__m", "__carried").alias("match"))
 
 
-def trailing_counts(left: DataFrame, right: DataFrame, left_time: str, right_time: str, windows: dict[str, int], keys: Sequence[str] = (), width: int = DAY) -> DataFrame:
+def trailing_counts(left: DataFrame, right: DataFrame, left_time: str, right_time: str, windows: dict[str, int | tuple[int, Column]], keys: Sequence[str] = (), width: int = DAY) -> DataFrame:
     """Adds, per entry of ``windows``, how many right rows lie in ``[time - window, time]``, both ends included.
 
-    One pass: right rows and the two ends of every window are merged in time order, and a count is the
-    difference of two running sums.
+    A window is a length, or a length and a condition on right rows. One pass: right rows and the two ends of
+    every window are merged in time order, and a count is the difference of two running sums.
     """
     names = list(windows)
-    probes = F.array(*[F.struct(F.col(left_time).alias("at"), F.lit(2).alias("side"), F.lit("").alias("name"))],
-                     *[F.struct((F.col(left_time) - windows[n]).alias("at"), F.lit(0).alias("side"), F.lit(n).alias("name")) for n in names])
+    length = {n: w if isinstance(w, int) else w[0] for n, w in windows.items()}
+    some = {n: F.lit(1) if isinstance(w, int) else F.coalesce(w[1].cast("int"), F.lit(0)) for n, w in windows.items()}
+    ends = sorted(set(length.values()))
+    probes = F.array(F.struct(F.col(left_time).alias("at"), F.lit(2).alias("side"), F.lit(-1).alias("end")),
+                     *[F.struct((F.col(left_time) - w).alias("at"), F.lit(0).alias("side"), F.lit(i).alias("end")) for i, w in enumerate(ends)])
     row = F.struct(*[F.col(c) for c in left.columns])
-    p = left.select(*keys, row.alias("__row"), F.explode(probes).alias("p")).select(*keys, "__row", F.col("p.at").alias("__t"), F.col("p.side").alias("__side"), F.col("p.name").alias("__name"))
+    p = left.select(*keys, row.alias("__row"), F.explode(probes).alias("p")).select(*keys, "__row", F.col("p.at").alias("__t"), F.col("p.side").alias("__side"), F.col("p.end").alias("__end"))
     # a lower end comes before the right rows at its time, the upper end after them
-    r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1).alias("__side"))
+    r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1).alias("__side"), *[some[n].alias(f"__w{i}") for i, n in enumerate(names)])
     both = p.unionByName(r, allowMissingColumns=True)
-    both = running_sum(both, keys, ["__t", "__side"], (F.col("__side") == 1).cast("long"), "__n", width).where("__side <> 1")
-    at = lambda n: F.max(F.when(F.col("__name") == n, F.col("__n")))
-    wide = both.groupBy("__row").agg(F.count_if(F.col("__name") == "").cast("int").alias("__copies"), at("").alias("__u"), *[at(n).alias(f"__l{i}") for i, n in enumerate(names)])
+    sums = {f"__n{i}": F.coalesce(F.col(f"__w{i}"), F.lit(0)).cast("long") for i in range(len(names))}
+    both = running_sums(both, keys, ["__t", "__side"], sums, width).where("__side <> 1")
+    at = lambda i, end: F.max(F.when(F.col("__end") == end, F.col(f"__n{i}")))
+    wide = both.groupBy("__row").agg(F.count_if(F.col("__end") == -1).cast("int").alias("__copies"), *[(at(i, -1) - at(i, ends.index(length[n]))).alias(f"__d{i}") for i, n in enumerate(names)])
     wide = wide.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))  # repeated rows stay repeated
-    return wide.select("__row.*", *[(F.col("__u") - F.col(f"__l{i}")).alias(n) for i, n in enumerate(names)])
+    return wide.select("__row.*", *[F.col(f"__d{i}").alias(n) for i, n in enumerate(names)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perigee.functions.clock import is_finite
 from perigee.operators import context, ranges
-from perigee.operators.ordered import asof, running_sum
+from perigee.operators.ordered import asof, running_sum, trailing_counts
 
 PER_CHANNEL = ("mean", "std", "min", "max", "mag", "diff", "score_max", "score_mean", "score_var")
 CONTEXT = ("nearest_tc_diff_sec", "tc_count_24h", "tc_count_2h", "tc_count_30m", "tc_count_5m", "tc_p0_count", "tc_p1_count", "tc_p2_count", "tc_p3_count")
@@ -53,11 +53,9 @@ def affected_channels(features: DataFrame, threshold: float = 3.0) -> DataFrame:
 def command_context(ev: DataFrame, commands: DataFrame) -> DataFrame:
     """``event_id`` and the nine context features; without a command before, the gap is a day and counts are 0."""
     near = context.nearest_commands(ev, commands).select("event_id", F.coalesce(F.col("delta_ns") / 1e9, F.lit(context.NO_COMMAND_SECONDS)).alias("nearest_tc_diff_sec"))
-    x = context.command_counts(ev.select("event_id", "start_ns"), commands)
-    x = x.select("event_id", "start_ns", *[F.col(f"count_{k}").cast("double").alias(f"tc_count_{k}") for k in context.WINDOWS])
-    for p in context.PRIORITIES:
-        x = context.trailing_counts(x, commands.where(F.col("priority") == p), "start_ns", "ts_ns", {"n": context.WINDOWS["24h"]}).withColumnRenamed("n", f"tc_p{p}_count")
-    return x.drop("start_ns").join(near, "event_id").select("event_id", *[F.col(c).cast("double").alias(c) for c in CONTEXT])
+    windows = {f"tc_count_{k}": w for k, w in context.WINDOWS.items()} | {f"tc_p{p}_count": (context.WINDOWS["24h"], F.col("priority") == p) for p in context.PRIORITIES}
+    x = trailing_counts(ev.select("event_id", "start_ns"), commands, "start_ns", "ts_ns", windows).drop("start_ns")
+    return x.join(near, "event_id").select("event_id", *[F.col(c).cast("double").alias(c) for c in CONTEXT])
 
 
 def signatures(scored: DataFrame, ev: DataFrame, commands: DataFrame, channels: list[str], threshold: float = 3.0) -> DataFrame:

@@ -74,7 +74,7 @@ def union_sql(source: str, keys: tuple[str, ...] = ()) -> str:
     return f"""SELECT {names}min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM (
       SELECT *, sum(fresh) OVER ({part} ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM (
         SELECT *, CASE WHEN start_ns <= 1 + max(end_ns) OVER ({part} ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
-        FROM ({source}) x) y) z GROUP BY {names}g"""
+        FROM (SELECT DISTINCT {names}start_ns, end_ns FROM ({source}) s) x) y) z GROUP BY {names}g"""
 
 
 def subtract_sql(source: str, masks: str) -> str:
