@@ -30,7 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = saved(simhash.near_duplicates(docs), "pipe-groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(saved(gone, "pipe-gone"), "doc_id", "left_anti")
+    # texts meet decisions in a merge join at every size; what goes may be a third of all
+    kept = docs.join(saved(gone, "pipe-gone").hint("merge"), "doc_id", "left_anti")
     repeated = saved(repeated, "pipe-repeated")
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
@@ -39,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the mix takes; a document that it takes several times stands as many times."""
     taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("copies"))
-    out = docs.join(saved(taken, "pipe-taken"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    out = docs.join(saved(taken, "pipe-taken").hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return out.select(*COLUMNS)
 
 
