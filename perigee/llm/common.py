@@ -37,11 +37,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def evenly(df: DataFrame, rows_each: int = 0, *keys: Column) -> DataFrame:
-    """Deal rows over the shuffle partitions round robin when an input has few or uneven files."""
-    return df.repartition(*keys) if keys else df
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: ``(node, component)``, smallest node of each.
 

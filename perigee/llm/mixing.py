@@ -51,9 +51,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
 
     ``docs`` has ``doc_id, text, source``; other columns are ignored. Null text counts 0 words, a null
     source is a source of its own. Documents are shuffled within a source by the md5 of their id; rows that
-    agree in id and size are interchangeable, so reruns agree. A source stops with the copy that crosses its
-    target, so it comes within one document of it; the budget is the number of words of all documents and is
-    never exceeded. Empty tables give empty results.
+    agree in id and size are interchangeable, so reruns agree. A copy is queued while its middle lies before its
+    source's target, so a source comes within half a document of it; the budget is the number of words of all
+    documents and is never exceeded, which may cost the copies that finish last. Empty tables give empty results.
     """
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sizes = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
@@ -75,12 +75,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
     x = x.join(sums, ["idx", "bucket"]).withColumn("handed", F.col("offset") + F.col("in_bucket"))
     x = saved(x.select("doc_id", "source", "size", "source_size", "target", "idx", "h", "handed"), "mix-order")
 
-    # a copy is queued when it starts before its source has had its target
+    # a copy is queued when its middle lies before its source's target
     copies = F.array(*[F.struct(
         ((F.col("handed") + F.col("source_size") * e) / F.col("target")).alias("finish"),
-        ((F.col("handed") - F.col("size") + F.col("source_size") * e) < F.col("target")).alias("starts"),
+        ((F.col("handed") * 2 - F.col("size") + F.col("source_size") * (2 * e)) < F.col("target") * 2).alias("queued"),
         F.lit(e).alias("copy")) for e in range(repeats)])
-    queued = x.where("size > 0 and target > 0").select("idx", "h", "doc_id", "size", F.explode(F.filter(copies, lambda c: c["starts"])).alias("c"))
+    queued = x.where("size > 0 and target > 0").select("idx", "h", "doc_id", "size", F.explode(F.filter(copies, lambda c: c["queued"])).alias("c"))
     queued = queued.select("c.finish", "idx", "h", "doc_id", "size", "c.copy")
     queued = queued.withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(ranges)).cast("long"))
     spans = queued.groupBy("range").agg(F.sum("size").alias("n"))
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
     else:
         last = F.struct(*[F.lit(cut[c]).cast(queued.schema[c].dataType).alias(c) for c in columns])
         fits = lambda c: F.struct(c["finish"].alias("finish"), F.col("idx"), F.col("h"), F.col("doc_id"), F.col("size"), c["copy"].alias("copy")) <= last
-    taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.size(F.filter(copies, lambda c: c["starts"] & fits(c)))).otherwise(0)
+    taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.size(F.filter(copies, lambda c: c["queued"] & fits(c)))).otherwise(0)
     return x.select(*keep, "size", "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"))
 
 
@@ -135,7 +135,7 @@ queue AS (
 copies AS (
   SELECT q.*, e.e, (handed + source_size * e.e)::DOUBLE / target AS finish
   FROM queue q, (VALUES (0), (1), (2)) e(e)
-  WHERE size > 0 AND target > 0 AND (handed - size + source_size * e.e) < target),
+  WHERE size > 0 AND target > 0 AND (handed * 2 - size + source_size * 2 * e.e) < target * 2),
 fitted AS (
   SELECT *, sum(size) OVER (ORDER BY finish, idx, h, doc_id, size, e
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
