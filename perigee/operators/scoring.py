@@ -26,9 +26,10 @@ def invalid_rows(rows: DataFrame) -> DataFrame:
 def _by_category(predictions: DataFrame, rows: DataFrame, low: int, high: int, masked) -> tuple[DataFrame, DataFrame]:
     """Events, those found by the kept and by all predictions, per category; and one row on false predictions."""
     x = rows.where("is_selected_channel") if "is_selected_channel" in rows.columns else rows
-    labels = event_intervals(rows).select("start_ns", "end_ns")
-    raw = ranges.clip(predictions, low, high)
-    kept = ranges.subtract(raw, event_intervals(rows, masked))
+    # each is read by several branches below
+    labels = event_intervals(rows).select("start_ns", "end_ns").persist()
+    raw = ranges.clip(predictions, low, high).persist()
+    kept = ranges.subtract(raw, event_intervals(rows, masked)).persist()
     both = raw.withColumn("kept", F.lit(False)).unionByName(kept.withColumn("kept", F.lit(True)))
     events = ranges.clip(x, low, high, ["event_id", "category"])
     found = ranges.interval_join(events, both).groupBy("category").agg(
