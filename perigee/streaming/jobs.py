@@ -97,10 +97,15 @@ def memory_stream(events: DataFrame, threshold: float = 0.8, late: str = "1 hour
     return events.withWatermark("at", late).groupBy("mission").applyInPandasWithState(run, DECISIONS, "memory string", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, path: str, transform, out: str, mode: str = "append", files: int = 1) -> DataFrame:
-    """Run a stream over the Parquet files at ``path`` until all are read, into Parquet below ``out``."""
+def replay(spark: SparkSession, path: str, transform, out: str, mode: str = "append", files: int | None = None) -> DataFrame:
+    """Run a stream over the Parquet files at ``path`` until all are read, into Parquet below ``out``.
+
+    All files present are one micro-batch, so a watermark drops nothing for the way rows are dealt to files.
+    With ``files`` that many are read a micro-batch, and rows of later files may be late.
+    """
     schema = spark.read.parquet(path).schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
+    s = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    s = (s if files is None else s.option("maxFilesPerTrigger", files)).parquet(path)
     q = transform(s).writeStream.format("parquet").option("path", f"{out}/rows").outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
