@@ -25,22 +25,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``row`` for each row, written, so that every reader sees the same keys."""
+    return saved(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipe-keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near-duplicates the document with the smallest id, once."""
-    groups = saved(simhash.near_duplicates(docs), "pipe-groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """Keep of each group of near-duplicates the row with the smallest id, once.
+
+    Null ids come after all others. Of rows with that id in a group, repeated ones or other texts, one stays;
+    equal ids in different groups don't touch each other.
+    """
+    docs = keyed(docs)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row")
+    kept = simhash.grouped(docs, ("row",)).groupBy("part").agg(F.min_by("row", first).alias("row")).select("row")
     # texts meet decisions in a merge join at every size; what goes may be a third of all
-    kept = docs.join(saved(gone, "pipe-gone").hint("merge"), "doc_id", "left_anti")
-    repeated = saved(repeated, "pipe-repeated")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    return docs.join(saved(kept, "pipe-kept").hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the mix takes; a document that it takes several times stands as many times."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("copies"))
-    out = docs.join(saved(taken, "pipe-taken").hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    """Keep what the mix takes; a row that it takes several times stands as many times.
+
+    Rows with null or equal ids are rows of their own: each stands as often as it was taken itself.
+    """
+    docs = keyed(docs)
+    taken = mixing.mix(docs, keep=("row",)).where("taken > 0").select("row", F.expr("cast(taken div size as int)").alias("copies"))
+    out = docs.join(saved(taken, "pipe-taken").hint("merge"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return out.select(*COLUMNS)
 
 

@@ -51,12 +51,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
 
     ``docs`` has ``doc_id, text, source``; other columns are ignored. Null text counts 0 words, a null
     source is a source of its own. Documents are shuffled within a source by the md5 of their id; rows that
-    agree in id and size are interchangeable, so reruns agree. A copy is queued while its middle lies before its
+    agree in id and size are interchangeable, so reruns agree; further ``keep`` columns put them in order. A copy is queued while its middle lies before its
     source's target, so a source comes within half a document of it; the budget is the number of words of all
     documents and is never exceeded, which may cost the copies that finish last. Empty tables give empty results.
     """
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    more = [c for c in keep if c != "doc_id"]
+    sizes = docs.select("doc_id", "source", *more, F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     sizes = saved(sizes, "mix-sizes")
     stats = saved(source_targets(sizes, weights, repeats), "mix-sources")
     total, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -66,14 +67,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
     s = stats.withColumnRenamed("source", "stat_source")
     x = sizes.join(s, sizes["source"].eqNullSafe(s["stat_source"])).drop("stat_source", "weight")
     x = x.withColumn("h", h).withColumn("bucket", F.substring("h", 1, digits))
-    own = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size")
+    own = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size", *more)
     x = x.withColumn("in_bucket", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     sums = sizes.join(s, sizes["source"].eqNullSafe(s["stat_source"])).withColumn("bucket", F.substring(h, 1, digits))
     sums = sums.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("idx", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     x = x.join(sums, ["idx", "bucket"]).withColumn("handed", F.col("offset") + F.col("in_bucket"))
-    x = saved(x.select("doc_id", "source", "size", "source_size", "target", "idx", "h", "handed"), "mix-order")
+    x = saved(x.select("doc_id", "source", *more, "size", "source_size", "target", "idx", "h", "handed"), "mix-order")
 
     # a copy is queued when its middle lies before its source's target
     copies = F.array(*[F.struct(

@@ -62,14 +62,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")),
-             pa.array([_signed(fingerprint(t.as_py())) for t in text], pa.int64())], ["doc_id", "fp"])
+            [*[batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"],
+             pa.array([_signed(fingerprint(t.as_py())) for t in text], pa.int64())], [*[c for c in batch.schema.names if c != "text"], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (signed long) of every whole text; null and wordless texts have 0."""
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return x.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (signed long) of every whole text, and the kept columns; null and wordless texts have 0."""
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_of().alias("text"))
+    kinds = "".join(f"`{c}` {x.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
+    return x.mapInArrow(_fingerprints, f"{kinds}fp long")
 
 
 def links(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
@@ -103,6 +104,22 @@ def links(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return few.select("a", "b").unionByName(stars).distinct()
 
 
+def grouped(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp, component_id, part`` and the kept columns per document row.
+
+    ``part`` is the smallest fingerprint of a row's group; it names the group whatever the ids are. The rest is
+    as in ``near_duplicates``.
+    """
+    prints = saved(fingerprints(docs, keep), "sim-prints")
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "sim-distinct")
+    parts = components(links(distinct))
+    parts = parts.withColumnRenamed("node", "fp")
+    of = distinct.join(parts, "fp", "left").withColumn("part", F.coalesce("component", "fp"))
+    low = of.groupBy("part").agg(F.min("first").alias("component_id"))
+    of = saved(of.join(low, "part").select("fp", "component_id", "part"), "sim-components")
+    return prints.join(of, "fp").select("doc_id", *keep, "fp", "component_id", "part")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, fingerprint, component_id, group_id`` per document row; works on whole texts.
 
@@ -111,15 +128,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     search, so a group of equal texts costs one row. Null doc_ids take part but never name a component unless
     all of it is null. Empty tables give empty results; extra columns are ignored.
     """
-    prints = saved(fingerprints(docs), "sim-prints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "sim-distinct")
-    parts = components(links(distinct))
-    parts = parts.withColumnRenamed("node", "fp")
-    of = distinct.join(parts, "fp", "left").withColumn("part", F.coalesce("component", "fp"))
-    low = of.groupBy("part").agg(F.min("first").alias("component_id"))
-    of = saved(of.join(low, "part").select("fp", "component_id"), "sim-components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return grouped(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

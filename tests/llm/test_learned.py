@@ -210,6 +210,24 @@ def test_pipeline_stages(spark):
     assert out.count() == mixed.count() and out.where("not round_trip").count() == 0
 
 
+def test_pipeline_keeps_rows_apart(spark):
+    import corpus_pipeline as pipe
+    from perigee.llm import mixing
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("alpha beta gamma delta omega sigma kappa lamda".split()) + str(rng.randrange(99)) for _ in range(30)) for _ in range(6)]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS).select(*pipe.COLUMNS)
+    x = make([(None, texts[0], "a")] * 3 + [(7, texts[1], "a"), (7, texts[2], "a"), (3, texts[2], "b"), (9, texts[3], "a"), (9, texts[3], "a"), (None, texts[4], "b"), (8, texts[4], "b"), (None, texts[5], "b")])
+    got = [(r["doc_id"], texts.index(r["text"])) for r in pipe.drop_near_duplicates(spark, x, "").collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(None, 0), (7, 1), (3, 2), (9, 3), (8, 4), (None, 5)]
+    y = make([(None, texts[0], "a"), (None, texts[1], "a"), (1, texts[2], "a"), (1, texts[2], "a"), (1, texts[2], "b"), (1, texts[3], "b"), (2, texts[4], "b"), *[(10 + i, texts[i % 6] + f" x{i}", "c") for i in range(40)]])
+    mixed = pipe.mix_sources(spark, y, "")
+    taken = mixing.mix(y).selectExpr("doc_id", "taken div size as n").groupBy("doc_id").sum("n").where("`sum(n)` > 0").collect()
+    assert {r[0]: r[1] for r in mixed.groupBy("doc_id").count().collect()} == {r[0]: r[1] for r in taken}
+    assert mixed.where("doc_id is null").count() > 0 and mixed.where("doc_id = 1").count() <= 12
+    assert max(r["count"] for r in mixed.where("doc_id is null").groupBy("text").count().collect()) <= 3
+
+
 @pytest.mark.parametrize("name", ["op1_webp", "op9_token_counts", "op4_sentencepiece", "op8_language_id", "op3_toxicity", "op5_near_vectors", "op10_simhash"])
 def test_registered_queries_run(spark, name):
     import __spark_entry__ as entry
