@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from perigee.functions.clock import is_finite
 
 TREES, SUBSAMPLE, CONTAMINATION, SEED = 100, 256, 0.01, 42
-#: Training values of a channel that the cut-off is taken from, at most in expectation.
+#: Training values of a channel that the trees' subsamples are drawn from, at most in expectation.
 BOUND = 20_000
 
 
@@ -47,17 +47,22 @@ def anomaly(trees: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, n: int) -
 
 
 def fit(df: DataFrame, boundary: int, seed: int = SEED) -> dict[str, tuple]:
-    """Forest and cut-off per channel from a bounded sample of finite training values."""
+    """Forest and cut-off per channel of finite training values.
+
+    Trees grow on subsamples of a bounded sample; the cut-off is the exact quantile of the scores of all
+    training rows. Scores have few distinct values, one an interval between cut points, so counting them is small.
+    """
     x = df.where(is_finite("value") & (F.col("ts_ns") <= boundary)).select("channel", F.col("value").cast("double").alias("value"), "ts_ns")
     n = x.groupBy("channel").agg(F.count("*").alias("n"))
     part = F.shiftrightunsigned(F.xxhash64("channel", "ts_ns"), 11) / F.lit(float(1 << 53))
     got = x.join(n, "channel").where(part < F.lit(float(BOUND)) / F.col("n")).select("channel", "value", "ts_ns").toPandas().sort_values(["channel", "ts_ns"])
-    out = {}
+    forests = {}
     for channel, g in got.groupby("channel"):
         values = g["value"].to_numpy()
-        trees = grow(values, np.random.default_rng(seed))
-        out[channel] = trees, len(values), float(np.quantile(anomaly(trees, values, len(values)), 1 - CONTAMINATION))
-    return out
+        forests[channel] = grow(values, np.random.default_rng(seed)), len(values), np.inf
+    scores = score(x.where(F.col("channel").isNotNull()), forests)
+    cuts = {r["channel"]: r["cut"] for r in scores.groupBy("channel").agg(F.percentile("score", 1 - CONTAMINATION).alias("cut")).collect()}
+    return {c: (trees, size, cuts[c]) for c, (trees, size, _) in forests.items()}
 
 
 def score(df: DataFrame, forests: dict[str, tuple]) -> DataFrame:

@@ -81,6 +81,16 @@ def test_forest_separates_outliers(spark):
     assert (again["score"] == got["score"]).all()
 
 
+def test_forest_cut_is_of_all_training_scores(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=3000)
+    x = frame(spark, values.tolist())
+    monkeypatch.setattr(forest, "BOUND", 300)
+    trees, n, cut = forest.fit(x, 2999 * S)["c"]
+    scores = forest.anomaly(trees, values, n)
+    assert n < 600 and cut == pytest.approx(np.quantile(scores, 0.99), abs=1e-12)
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([("m", "channel_41", 1, 5), ("m", "channel_46", 2, 9), ("m", "channel_4", 0, 1), ("r", "channel_41", 3, 3), ("out", "channel_410", 1, 2)], "event_id string, channel string, start_ns long, end_ns long")
     types = spark.createDataFrame([("m", "Anomaly", "c1"), ("r", "Rare Event", "c2"), ("out", "Anomaly", "c1")], "event_id string, category string, class string")
