@@ -128,38 +128,45 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     """``vec_id, n_links, component_id, kept`` per row of ``vec_id, embedding, label``.
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least
-    ``cosine``. Null vectors, zero vectors, those with null or non-finite components and those of another
-    length than most link with nothing. Equal vectors of a label are one node with a number of copies, so
+    ``cosine``. Null vectors, zero vectors and those with null or non-finite components link with nothing, and
+    vectors of unlike lengths don't link with each other; every length has a grid of its own, lengths with few
+    vectors a label a single cell. Vectors of one component link by sign. Equal vectors of a label are one node with a number of copies, so
     copies are counted, never paired. A repeated ``vec_id`` is another vector; ``component_id`` is the smallest
     id reachable. The codebooks grow with the number of vectors a label has, so that cells stay small; a cell
     with many is compared block by block, all of it. Empty tables give empty results.
     """
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
-    fine = F.col("label").isNotNull() & (F.size(e) > 1) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    fine = F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    # of one component only the sign matters
+    e = F.when(F.size(e) == 1, F.transform(e, lambda x: F.signum(x))).otherwise(e)
     rows = vectors.select("vec_id", "label", e.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = rows.withColumn("k1", F.when(F.col("fine"), F.xxhash64("label", "v"))).withColumn("k2", F.when(F.col("fine"), F.xxhash64(F.lit(1), "v", "label")))
-    sizes = rows.where("fine").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = rows.where(F.col("fine") & (F.size("v") == sizes["d"]))
+    good = rows.where("fine")
     nodes = good.groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "vec-nodes")
-    labels = nodes.groupBy("label").agg(F.count("*").cast("double").alias("n"))
-    total, squares = labels.agg(F.sum("n"), F.sum(F.col("n") ** 2)).first()
-    book = min(LARGEST_BOOK, 2 ** max(1, round(math.log2(squares / total / OCCUPANCY) / 2)) if squares / total > OCCUPANCY else 2)
-    sample = nodes.where(uniform(F.col("node")) < SAMPLE / total).select("v").toPandas()["v"]
-    if len(sample) < 2:
-        sample = nodes.select("v").limit(100).toPandas()["v"]
-    grid = spark.sparkContext.broadcast(fit_grid(_unit(np.stack(sample.to_numpy()).astype(np.float64)), book, cosine, recall))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "vec-nodes")
+    labels = nodes.groupBy("d", "label").agg(F.count("*").cast("double").alias("n"))
+    fitted = {}
+    # lengths that stay within a cell a label need no grid
+    for d, total, squares in labels.groupBy("d").agg(F.sum("n").alias("total"), F.sum(F.col("n") ** 2).alias("squares")).where(F.col("squares") > F.col("total") * OCCUPANCY).collect():
+        book = min(LARGEST_BOOK, 2 ** max(1, round(math.log2(squares / total / OCCUPANCY) / 2)))
+        of_length = nodes.where(F.col("d") == d)
+        sample = of_length.where(uniform(F.col("node")) < SAMPLE / total).select("v").toPandas()["v"]
+        if len(sample) < 2:
+            sample = of_length.select("v").limit(100).toPandas()["v"]
+        fitted[d] = fit_grid(_unit(np.stack(sample.to_numpy()).astype(np.float64)), book, cosine, recall)
+    grids = spark.sparkContext.broadcast(fitted)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            lengths = batch.column(batch.schema.get_field_index("d")).to_numpy()
+            every = (np.flatnonzero(lengths == d) for d in np.unique(lengths))
+            for some in (i[at : at + 1024] for i in every for at in range(0, len(i), 1024)):
+                part = batch.take(pa.array(some))
+                grid = grids.value.get(int(lengths[some[0]]))
                 x = _unit(_matrix(part.column(part.schema.get_field_index("v"))))
-                home = grid.value.home(x).astype(np.int64)
-                cell = grid.value.nearest(x)
+                home = grid.home(x).astype(np.int64) if grid else np.zeros(len(x), np.int64)
+                cell = grid.nearest(x) if grid else home[:, None]
                 cell = np.concatenate([home[:, None], np.where(cell > home[:, None], cell, -1)], axis=1)
                 r, c = np.nonzero(cell >= 0)
                 n = len(home)
@@ -171,17 +178,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
                 yield out
 
     kind = nodes.schema["label"].dataType.simpleString()
-    there = nodes.select("label", "node", "copies", "v").mapInArrow(visits, f"label {kind}, node long, copies long, v array<double>, home long, cell long, visits boolean")
-    counts = there.groupBy("label", "cell").agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("visitors"))
+    there = nodes.select("label", "d", "node", "copies", "v").mapInArrow(visits, f"label {kind}, d int, node long, copies long, v array<double>, home long, cell long, visits boolean")
+    counts = there.groupBy("label", "d", "cell").agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("visitors"))
     counts = counts.where("homes > 0 and visitors > 0")
     parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    counts = saved(counts.select("label", "cell", parts("homes").alias("h"), parts("visitors").alias("w")), "vec-cells")
+    counts = saved(counts.select("label", "d", "cell", parts("homes").alias("h"), parts("visitors").alias("w")), "vec-cells")
     other = F.when(F.col("visits"), F.col("h")).otherwise(F.col("w"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("visits"), F.col("w")).otherwise(F.col("h"))).cast("int")
-    blocks = there.join(counts, ["label", "cell"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+    blocks = there.join(counts, ["label", "d", "cell"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
     blocks = blocks.withColumn("hb", F.when(F.col("visits"), F.col("other")).otherwise(F.col("mine"))).withColumn("vb", F.when(F.col("visits"), F.col("mine")).otherwise(F.col("other")))
-    blocks = blocks.select("label", "cell", "hb", "vb", "node", "copies", "v", "home", "visits")
-    found = saved(blocks.groupBy("label", "cell", "hb", "vb").applyInArrow(_compare(cosine), "a long, b long, n long"), "vec-links")
+    blocks = blocks.select("label", "d", "cell", "hb", "vb", "node", "copies", "v", "home", "visits")
+    found = saved(blocks.groupBy("label", "d", "cell", "hb", "vb").applyInArrow(_compare(cosine), "a long, b long, n long"), "vec-links")
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     parts_of = components(found.select("a", "b"))
     of = nodes.join(degree, "node", "left").join(parts_of, "node", "left").withColumn("part", F.coalesce("component", "node"))

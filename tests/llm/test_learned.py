@@ -171,6 +171,15 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert neardup_vectors.near_duplicates(x.where("vec_id = 401")).count() == 1
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(6)
+    long, short = rng.normal(size=(90, 8)), rng.normal(size=(70, 4))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(long)] + [(200 + i, v.tolist(), 1) for i, v in enumerate(short)] + [(300, short[0].tolist(), 1), (301, (short[1] * 3).tolist(), 1)]
+    rows += [(400, [2.0], 1), (401, [5.0], 1), (402, [-1.0], 1), (403, [-7.0], 2), (404, [-3.0], 1), (405, [0.0], 1)]
+    got = {r["vec_id"]: r for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.999).collect()}
+    assert {i: (got[i]["n_links"], got[i]["component_id"]) for i in (200, 300, 201, 301, 400, 401, 402, 403, 404, 405)} == {200: (1, 200), 300: (1, 200), 201: (1, 201), 301: (1, 201), 400: (1, 400), 401: (1, 400), 402: (1, 402), 404: (1, 402), 403: (0, 403), 405: (0, 405)}
+
+
 def test_multi_sequence_order_is_exact():
     rng = np.random.default_rng(0)
     grid = neardup_vectors.Grid(rng.normal(size=(8, 4)), rng.normal(size=(8, 4)), 20)
