@@ -159,7 +159,7 @@ QUERIES = {
     "o7_nearest_point": lambda s, d: orbit.nearest_point(_places(s, d).select("object_id", "x", "y", (F.col("z") > 0).alias("visible")), 6900.0, 100.0, 500.0).select("object_id"),
     "w10_dead_reckoning": lambda s, d: series.dead_reckoned(_updates(s, d)),
     "p4_sgp4_states": lambda s, d: orbit.states(orbit.propagate(objects(s, d).withColumn("at_ns", F.lit(EPOCH + 3600 * SECOND)))).select("object_id", "error", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("alt_km", 2).alias("alt_km"), F.round("speed_kms", 3).alias("speed_kms")),
-    "p6_ground_track": lambda s, d: orbit.ground_track(objects(s, d).where("mean_motion > 11"), EPOCH).select("object_id", "minute", "part", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("alt_km", 2).alias("alt_km")),
+    "p6_ground_track": lambda s, d: orbit.ground_track(objects(s, d), EPOCH).select("object_id", "minute", "part", "error", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("alt_km", 2).alias("alt_km")),
     "p12_next_passes": lambda s, d: orbit.next_passes(objects(s, d), STATION, EPOCH),
     "r1_rf_normalize": lambda s, d: radio.observations(_raw(s, d)).select("object_id", "observation_id", F.unix_micros("at").alias("at_us"), "station", "status"),
     "r2_rf_status": lambda s, d: _rf(s, d).select("object_id", "observations", "recent_observations", "transmitters", "decoders", "rf_status"),
