@@ -29,6 +29,8 @@ from perigee.llm.token_counts import blocks
 SPACE = "▁"
 #: Words and piece pairs that a worker remembers; beyond it, it forgets all and goes on.
 KEPT = 1 << 19
+#: Characters of texts that are encoded together; distinct words are sorted inside such a block.
+BLOCK = 1 << 20
 
 
 class Pieces:
@@ -146,7 +148,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         engine = pieces(path)
         for batch in batches:
             at = 0
-            for part in blocks(batch.column(1).to_pylist()):
+            for part in blocks(batch.column(1).to_pylist(), BLOCK):
                 ids = engine.encode(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
                 at += len(part)
@@ -179,7 +181,7 @@ def digest(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
         engine = pieces(path)
         for batch in batches:
             at = 0
-            for part in blocks(batch.column(1).to_pylist()):
+            for part in blocks(batch.column(1).to_pylist(), BLOCK):
                 ids = engine.encode(part)
                 out = [batch.column(0).slice(at, len(part)), pa.array([len(t.encode()) for t in part], pa.int64()),
                        pa.array(map(len, ids), pa.int64()),

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -35,6 +36,61 @@ def test_token_counts_equal_the_library():
     assert got == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(t, add_special_tokens=False)]
 
 
+def library_counts(t):
+    from tokenizers import Tokenizer
+
+    return [len(e.ids) for e in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch(t, add_special_tokens=False)]
+
+
+EVERY = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+
+
+@pytest.mark.parametrize("frame", ["%s", "a%sb", "!%s!", "%s\ubdf5"])
+def test_token_counts_of_every_code_point(frame):
+    engine, t = token_counts.transducer(public_tokenizers.path("word_bpe_49k.json")), [frame % c for c in EVERY]
+    assert [n for b in token_counts.blocks(t) for n in engine.counts(b).tolist()] == library_counts(t)
+
+
+def test_token_counts_of_random_strings():
+    engine, rng = token_counts.transducer(public_tokenizers.path("word_bpe_49k.json")), random.Random(9)
+    kinds = [lambda: chr(rng.randint(97, 122)), lambda: chr(rng.randint(32, 126)), lambda: chr(rng.randint(160, 0x500)), lambda: chr(rng.randint(0x300, 0x36F)),
+             lambda: chr(rng.choice([rng.randint(0xAC00, 0xD7A3), rng.randint(0x1100, 0x11FF), rng.randint(0x3040, 0x30FF)])), lambda: rng.choice(EVERY), lambda: rng.choice(" \n'")]
+    t = ["".join(rng.choice(kinds)() for _ in range(rng.randint(1, 50))) for _ in range(20_000)]
+    t += ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (47, 48, 49, 3000)]
+    want = library_counts(t)
+    assert [n for b in token_counts.blocks(t) for n in engine.counts(b).tolist()] == want
+    old, token_counts.STATES_KEPT = token_counts.STATES_KEPT, 50
+    try:  # forgetting changes nothing
+        assert [n for b in token_counts.blocks(t[-500:], 300) for n in engine.counts(b).tolist()] == want[-500:]
+    finally:
+        token_counts.STATES_KEPT = old
+
+
+def test_merge_transitions_emit_only_what_is_settled():
+    engine = token_counts.Transducer(public_tokenizers.path("word_bpe_49k.json"))
+    machine, rng = engine.merges, random.Random(2)
+    for _ in range(300):
+        word = [rng.choice(b"etaoinshrdlu") for _ in range(rng.randint(2, 12))]
+        word[-1] += 256
+        state, steps = 0, []
+        for x in word:
+            got = machine.compile(state << 9 | x)
+            state = got >> 16
+            steps.append(got & 0xFFFF)
+        assert state == 0 and sum(steps) == len(machine._merged(tuple(word)))
+        # tokens emitted before the end stand whatever follows
+        other = [*word[:-1], word[-1] - 256, 256 + rng.choice(b"etaoin")]
+        assert sum(steps[:-1]) < len(machine._merged(tuple(other)))
+
+
+def test_other_tokenizer_settings_are_refused(tmp_path):
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"model": spec["model"] | {"ignore_merges": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            token_counts.Transducer(str(tmp_path / "t.json"))
+
+
 def test_entry_states_equal_a_plain_walk():
     engine, rng = token_counts.Transducer(public_tokenizers.path("word_bpe_49k.json")), np.random.default_rng(0)
     rows = rng.integers(0, 11, (37, 16)).astype(np.uint8)
