@@ -4,27 +4,27 @@ The kernel counts the character n-grams (one to three, blended) that two texts b
 the geometric mean of their own numbers. A few landmark texts per language give the Nyström map, and
 one-versus-rest ridge regression is fitted in its space on a bounded sample. Since the kernel is linear in
 presence vectors, landmarks, map and weights multiply out to one matrix, n-grams by languages, and texts are
-scored in batches by one product with it.
+scored in batches by one product with it. N-grams are exact numbers, 21 bits a character; nothing is hashed.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigee.llm.common import table, text_of
 
 UND = "und"
-#: Bounds of the sample: texts of each language to fit on, and those of them that are landmarks.
-PER_LANG, LANDMARKS = 800, 64
+#: Bounds of the sample: distinct texts of each language to fit on, those of them that are landmarks, and the most
+#: languages that are learned, the most frequent ones.
+PER_LANG, LANDMARKS, LANGS = 800, 64, 128
 ORDERS = 3
-BUCKETS = 1 << 18
 RIDGE = 1e-3
 #: Steepness of the score as a probability of the best language against the others.
 STEEP = 6.0
@@ -32,50 +32,74 @@ BATCH = 64
 _PIECE = 1 << 20
 
 
+#: Stands for every run of other signs; the number of no letter.
+GAP = 1
+
+
 @cache
 def _letters() -> np.ndarray:
-    """Code points that are letters or marks, and so stand for themselves; all others become 0."""
-    out = np.zeros(0x110000, np.uint32)
-    for m in re.finditer(r"[^\W\d_]+", "".join(chr(i) if not 0xD800 <= i < 0xE000 else "\0" for i in range(0x110000))):
-        out[m.start(): m.end()] = np.arange(m.start(), m.end())
+    """Letters (Unicode category L) and marks as themselves, all else as ``GAP``; letters have a bit above it."""
+    out = np.full(0x110000, GAP, np.uint32)
+    for i in range(0x110000):
+        kind = unicodedata.category(chr(i))[0]
+        if kind in "LM":
+            out[i] = i | (1 << 31 if kind == "L" else 0)
+    return out
+
+
+def _distinct(c: np.ndarray) -> list[np.ndarray]:
+    """The distinct n-grams of one to three of a run of characters, as numbers."""
+    signs = np.unique(c)
+    k = len(signs)
+    if k**ORDERS > 16 * len(c) + (1 << 16):  # many signs: by sorting
+        out, key = [signs.astype(np.int64)], c.astype(np.int64)
+        for n in range(2, ORDERS + 1):
+            key = key[:-1] << 21 | c[n - 1:]
+            out.append(np.unique(key))
+        return out
+    d, signs = np.searchsorted(signs, c), signs.astype(np.int64)
+    out, key, name = [signs], d, signs
+    for n in range(2, ORDERS + 1):
+        key = key[:-1] * k + d[n - 1:]
+        held = np.zeros(k**n, bool)
+        held[key] = True
+        found = np.flatnonzero(held)
+        value = signs[found % k]
+        for m in range(1, n):
+            value = value | signs[found // k**m % k] << 21 * m
+        out.append(value)
     return out
 
 
 def grams(text: str) -> np.ndarray | None:
-    """Which n-gram buckets a text holds; None where it has no letter. Texts of any length are read in pieces."""
-    held, found, tail = np.zeros(BUCKETS, bool), False, np.zeros(1, np.uint64)
+    """The distinct n-grams of a whole text, sorted; None where it has no letter. Long texts are read in pieces."""
+    found, tail, held = False, np.full(1, GAP, np.uint32), []
     for at in range(0, len(text), _PIECE):
         code = np.frombuffer(text[at: at + _PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = _letters()[code].astype(np.uint64)
-        found = found or bool(c.any())
-        c = np.concatenate([tail, c] if at + _PIECE < len(text) else [tail, c, np.zeros(1, np.uint64)])
-        if len(c) > 1:
-            keep = (c[1:] != 0) | (c[:-1] != 0)  # runs of other signs count as one
-            c = np.concatenate([c[:1], c[1:][keep]])
-        key = c
-        for n in range(1, ORDERS + 1):
-            if n > 1:
-                key = (key[:-1] << np.uint64(21)) | c[n - 1:]
-            held[(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(46)] = True
+        c = _letters()[code]
+        found = found or bool((c >> 31).any())
+        c = np.concatenate([tail, c & np.uint32(0x1FFFFF)] + ([] if at + _PIECE < len(text) else [np.full(1, GAP, np.uint32)]))
+        c = np.concatenate([c[:1], c[1:][(c[1:] != GAP) | (c[:-1] != GAP)]])  # runs of other signs count as one
+        held.append(np.concatenate(_distinct(c)))
         tail = c[-ORDERS + 1:]
-    return held if found else None
+    return np.unique(np.concatenate(held)) if found else None
 
 
 class Model:
-    """``langs`` and, for each kept n-gram bucket, a weight by language; ``bias`` by language."""
+    """``langs`` and, for each kept n-gram, a weight by language; ``bias`` by language."""
 
-    def __init__(self, langs: list[str], buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.langs, self.buckets, self.weights, self.bias = langs, buckets, weights, bias
+    def __init__(self, langs: list[str], kept: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.langs, self.kept, self.weights, self.bias = langs, kept, weights, bias
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for at in range(0, len(texts), BATCH):
             part = texts[at: at + BATCH]
-            held, norm = np.zeros((len(part), len(self.buckets)), np.float32), np.ones(len(part), np.float32)
+            held, norm = np.zeros((len(part), len(self.kept)), np.float32), np.ones(len(part), np.float32)
             empty = np.ones(len(part), bool)
             for i, t in enumerate(part):
                 if (g := grams(t)) is not None and self.langs:
-                    held[i], norm[i], empty[i] = g[self.buckets], np.sqrt(np.count_nonzero(g)), False
+                    held[i, _places(self.kept, g)], norm[i], empty[i] = 1, np.sqrt(len(g)), False
             f = (held @ self.weights) / norm[:, None] + self.bias if self.langs else np.zeros((len(part), 1))
             e = np.exp(STEEP * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
             best = f.argmax(axis=1)
@@ -84,8 +108,16 @@ class Model:
         return names, scores
 
 
+def _places(kept: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where those n-grams of ``g`` stand in ``kept`` that it has."""
+    if not len(kept):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(kept, g), len(kept) - 1)
+    return at[kept[at] == g]
+
+
 def fit_kernel(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on (language, bucket numbers) pairs; the first ``landmarks`` of each language are the landmarks."""
+    """Fit on (language, n-grams) pairs; the first ``landmarks`` of each language are the landmarks."""
     langs = sorted({lang for lang, _ in samples})
     if not langs:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
@@ -94,16 +126,13 @@ def fit_kernel(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS
         if n[lang] < landmarks:
             n[lang] += 1
             chosen.append(i)
-    buckets = np.unique(np.concatenate([samples[i][1] for i in chosen]))
-    place = np.full(BUCKETS, -1, np.int64)
-    place[buckets] = np.arange(len(buckets))
-    marks = np.zeros((len(buckets), len(chosen)), np.float32)
+    kept = np.unique(np.concatenate([samples[i][1] for i in chosen]))
+    marks = np.zeros((len(kept), len(chosen)), np.float32)
     for j, i in enumerate(chosen):
-        marks[place[samples[i][1]], j] = 1 / np.sqrt(len(samples[i][1]))
+        marks[_places(kept, samples[i][1]), j] = 1 / np.sqrt(len(samples[i][1]))
     kernel = np.zeros((len(samples), len(chosen)))
     for i, (_, g) in enumerate(samples):
-        p = place[g]
-        kernel[i] = marks[p[p >= 0]].sum(axis=0) / np.sqrt(len(g))
+        kernel[i] = marks[_places(kept, g)].sum(axis=0) / np.sqrt(len(g))
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-8 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
@@ -113,13 +142,20 @@ def fit_kernel(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS
     share = 1 / np.sqrt(target.sum(axis=0))[target.argmax(axis=1), None]  # every language weighs the same
     gram = (x * share).T @ (x * share) + ridge * np.eye(x.shape[1])
     w = np.linalg.solve(gram, (x * share).T @ (target * share))
-    return Model(langs, buckets, (marks @ (nystrom @ w[:-1])).astype(np.float32), w[-1].astype(np.float32))
+    return Model(langs, kept, (marks @ (nystrom @ w[:-1])).astype(np.float32), w[-1].astype(np.float32))
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Language, hash and n-grams of each text with a letter, once a task however often it stands there."""
+    seen = set()
     for batch in batches:
-        rows = [(lang, np.flatnonzero(g).astype(np.int32)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (g := grams(t)) is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["lang", "grams"])
+        rows = []
+        for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lang, h) not in seen:
+                seen.add((lang, h))
+                if (g := grams(text)) is not None:
+                    rows.append((lang, h, g))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["lang", "h", "grams"])
 
 
 def uniform(key: Column) -> Column:
@@ -128,21 +164,24 @@ def uniform(key: Column) -> Column:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model:
-    """Fit on about ``per_lang`` documents of each language, drawn by a hash of their id.
+    """Fit on at most ``per_lang`` distinct texts of each language, those of the lowest hashes.
 
-    Rows without a language or a letter don't count. The expected size of the sample is the bound; nothing
-    but the sample's n-gram numbers reaches the driver.
+    Rows without a language or text don't count, nor do texts without a letter. A text of many copies is drawn
+    once, whatever its ids, so copies can't fill the sample. About as many as wanted are picked by their hash
+    alone, without a shuffle; ranks then cut the few that are too many. The driver gets only the counts of the
+    ``LANGS`` most frequent languages and the sample's n-grams.
     """
-    have = docs.where("lang is not null")
-    rate = {r["lang"]: per_lang / r["n"] for r in have.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = docs.where("lang is not null and text is not null")
+    counts = have.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    rate = {r["lang"]: per_lang / r["n"] for r in counts.collect()}
     if not rate:
         return fit_kernel([])
     share = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(rate.items()) for v in kv]), F.col("lang"))
-    rows = have.where(uniform(F.col("doc_id")) < share).select("lang", text_of().alias("text"))
-    got = rows.mapInArrow(_bucket_rows, "lang string, grams array<int>").toPandas()
-    samples = sorted(((lang, np.asarray(g, np.int64)) for lang, g in zip(got["lang"], got["grams"])), key=lambda s: (s[0], s[1].tobytes()))
-    order = np.random.default_rng(8).permutation(len(samples))
-    return fit_kernel([samples[i] for i in order], landmarks)
+    rows = have.where(uniform(F.col("text")) < share).select("lang", F.xxhash64("text").alias("h"), "text")
+    got = rows.mapInArrow(_gram_rows, "lang string, h long, grams array<long>").groupBy("lang", "h").agg(F.first("grams").alias("grams"))
+    order = Window.partitionBy("lang").orderBy("h")
+    got = got.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang).toPandas().sort_values(["at", "lang"])
+    return fit_kernel([(lang, np.asarray(g, np.int64)) for lang, g in zip(got["lang"], got["grams"])], landmarks)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -168,8 +207,10 @@ def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: learned from the other two thirds of the rows.
 
     Held out are documents whose crc32 of the id has remainder 1 by 3. The language, source and id of a
-    document are no input to its prediction; equal texts get equal results. A null id counts as an empty
-    string. Without a row to learn from all is ``und``.
+    document are no input to its prediction; equal texts get equal results. Null texts and those without a
+    letter (Unicode category L; numbers such as ``½`` aren't) are ``und`` at 0. A null id counts as an empty
+    string, repeated rows and ids are rows of their own, other columns are ignored. Without a row to learn
+    from all is ``und``; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(3, 1))
     model = train(docs.where(~F.col("held_out")))

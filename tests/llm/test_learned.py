@@ -46,7 +46,7 @@ def test_language_is_learned_and_edges_hold(spark):
 def test_collapsed_weights_equal_the_kernel():
     rng = np.random.default_rng(1)
     held = [langid.grams(t) for _, t, *_ in corpus(40)]
-    samples = [(lang, np.flatnonzero(g)) for g, (_, _, lang, *_) in zip(held, corpus(40))]
+    samples = [(lang, g) for g, (_, _, lang, *_) in zip(held, corpus(40))]
     model = langid.fit_kernel(samples, 5)
     query = [t for _, t, *_ in corpus(10, 7)]
     names, _ = model.predict(query)
@@ -63,11 +63,53 @@ def test_collapsed_weights_equal_the_kernel():
     y = np.array([[float(lang == c) for c in model.langs] for lang, _ in samples])
     s = 1 / np.sqrt(y.sum(0))[y.argmax(1), None]
     coef = np.linalg.solve((x * s).T @ (x * s) + langid.RIDGE * np.eye(x.shape[1]), (x * s).T @ (y * s))
-    q = np.c_[np.array([[k(set(np.flatnonzero(langid.grams(t)).tolist()), m) for m in marks] for t in query]) @ nys, np.ones(len(query))]
+    q = np.c_[np.array([[k(set(langid.grams(t).tolist()), m) for m in marks] for t in query]) @ nys, np.ones(len(query))]
     assert [model.langs[i] for i in (q @ coef).argmax(1)] == names
     assert rng is not None
 
 
+def test_letters_are_category_l(spark):
+    signs = ["²", "½", "Ⅷ", "①", "٣", "\u0301", "_", "😀", "́1"]
+    rows = corpus(60) + [(2000 + i, x, "en", "s", 0) for i, x in enumerate(signs)] + [(3000, "ª", "en", "s", 0), (3001, "½ the and", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {got[2000 + i]["lang_pred"] for i in range(len(signs))} == {"und"}
+    assert got[3000]["lang_pred"] != "und" and got[3001]["lang_pred"] == "en"
+
+
+def plain_grams(text):
+    import unicodedata
+
+    signs = ["\x01", *[c if unicodedata.category(c)[0] in "LM" else "\x01" for c in text.lower()], "\x01"]
+    c = [x for i, x in enumerate(signs) if not (i and x == "\x01" == signs[i - 1])]
+    return sorted({sum(ord(x) << 21 * (n - 1 - j) for j, x in enumerate(c[i: i + n])) for n in (1, 2, 3) for i in range(len(c) - n + 1)})
+
+
+def test_grams_equal_plain_loops():
+    rng = random.Random(5)
+    for k in (3, 30, 400):
+        alphabet = [chr(0x41 + i) for i in range(k)] + list(" 1é!\u0301日")
+        for _ in range(40):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))) + "a"
+            assert langid.grams(text).tolist() == plain_grams(text)
+    assert langid.grams("") is None and langid.grams("½ 12") is None
+
+
+def test_language_sample_is_bounded(spark):
+    rows = corpus(200) + [(None, "the same text of many copies " * 3, "en", "s", 0)] * 300 + [(None, t, lang, "s", 0) for _, t, lang, *_ in corpus(200, 9)] + [(7, "sch und " * 3, "de", "s", 0)] * 100
+    x = spark.createDataFrame(rows, DOCS).repartition(7)
+    seen = []
+    old, langid.fit_kernel = langid.fit_kernel, lambda samples, *a: seen.append(samples) or old(samples, *a)
+    try:
+        model = langid.train(x, 20, 5)
+        langid.train(x.repartition(3), 20, 5)
+    finally:
+        langid.fit_kernel = old
+    for lang in SYLLABLES:
+        g = [s[1].tobytes() for s in seen[0] if s[0] == lang]
+        assert 2 < len(g) <= 20 and len(set(g)) == len(g)
+    assert all(np.array_equal(a[1], b[1]) and a[0] == b[0] for a, b in zip(*seen)) and model.langs == sorted(SYLLABLES)
+
+
 def test_grams_of_long_texts_come_from_pieces():
     text = "".join(random.Random(1).choice("abc é1") for _ in range(5000))
     whole = langid.grams(text)
