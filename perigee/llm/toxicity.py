@@ -2,7 +2,8 @@
 
 Features are densities of a lexicon, how often its words stand near a second person, capitals, punctuation
 and obfuscation. The lexicon is words and word stems that labelled toxic documents hold far more often than
-others; lexicon, trees and calibration are fitted on a bounded sample of the labelled rows.
+others; lexicon, trees and calibration are fitted on a bounded sample of the labelled rows, of which those
+that calibrate the scores are kept from the lexicon and the trees.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import math
 import re
 import string
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from perigee.llm.common import saved, table, text_of
 from perigee.llm.langid import held_out, uniform
 
-#: Bounds of what is fitted: labelled rows, lexicon entries.
-SAMPLE, LEXICON = 20_000, 600
+#: Bounds of what is fitted: labelled rows, lexicon entries; and one in so many rows calibrates.
+SAMPLE, LEXICON, CALIBRATE = 20_000, 600, 4
 STEMS = (4, 5, 6)
 #: A lexicon entry stands in this many sampled toxic documents, as a count and a share, and is this much likelier there (log).
 SUPPORT, SUPPORT_SHARE, LOG_ODDS = 3, 0.004, 3.2
@@ -37,7 +40,20 @@ WORD, STEM, YOU, VEILED, LOUD, LONG = 1, 2, 4, 8, 16, 32
 KEPT = 1 << 18
 FEATURES = ("word_density", "stem_density", "log_words", "log_stems", "distinct", "near_second", "second", "capitals", "loud", "punctuation", "exclamations", "veiled", "lengthened", "log_tokens")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_PUNCTUATION = frozenset(string.punctuation + "¡¿«»…")
+_EDGES = string.punctuation + "¡¿«»…“”„‘’"
+CAPITAL, SIGN, BANG = 1, 2, 4
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """For every code point, whether it is a capital, punctuation (category P, and ASCII's own), an exclamation mark."""
+    out = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        kind = unicodedata.category(chr(i))
+        out[i] = CAPITAL * (kind in ("Lu", "Lt")) | SIGN * (kind[0] == "P")
+    out[[ord(c) for c in string.punctuation]] |= SIGN
+    out[[ord(c) for c in "!！"]] |= BANG
+    return out
 
 
 def terms(word: str) -> list[str]:
@@ -67,7 +83,7 @@ class Marks(dict):
             if any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2)):
                 got |= LONG
         if not got & (WORD | STEM):
-            core = token.strip(string.punctuation)
+            core = token.strip(_EDGES)
             if core and not core.isalpha() and any(c.isalpha() for c in core):
                 for plain in {re.sub(r"[\W_]", "", core.translate(PLAIN)).lower(), re.sub(r"[\W_\d]", "", core).lower()}:
                     if self._hits(plain) & WORD:
@@ -90,18 +106,17 @@ def features(text: str, marks: Marks) -> list[float]:
     you = np.flatnonzero(m & YOU)
     near = distinct = 0
     if len(hit):
-        distinct = len({tokens[i].lower().strip(string.punctuation) for i in hit.tolist()})
+        distinct = len({tokens[i].lower().strip(_EDGES) for i in hit.tolist()})
         if len(you):
             i = np.searchsorted(you, hit)
             gap = np.minimum(np.abs(you[np.minimum(i, len(you) - 1)] - hit), np.abs(you[np.maximum(i - 1, 0)] - hit))
             near = np.count_nonzero(gap <= NEAR)
     size = len(text)
-    raw = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    kinds = np.bincount(raw, minlength=256)
-    capitals = int(kinds[65:91].sum())
-    signs = int(kinds[[ord(c) for c in string.punctuation]].sum())
+    # every kind is one bit, so a count by value has all of them
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=8)
+    capitals, signs, bangs = (int(kinds[[i for i in range(8) if i & bit]].sum()) for bit in (CAPITAL, SIGN, BANG))
     return [words / n, stems / n, math.log1p(words), math.log1p(stems), math.log1p(distinct), near / n, len(you) / n, capitals / size,
-            np.count_nonzero(m & LOUD) / n, signs / size, int(kinds[33]) / size, np.count_nonzero(m & VEILED) / n, np.count_nonzero(m & LONG) / n, math.log1p(n)]
+            np.count_nonzero(m & LOUD) / n, signs / size, bangs / size, np.count_nonzero(m & VEILED) / n, np.count_nonzero(m & LONG) / n, math.log1p(n)]
 
 
 # ---------------------------------------------------------------- trees
@@ -216,10 +231,13 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` labelled documents, drawn by a hash of the id.
+    """Fit on at most ``sample`` distinct pairs of id and text with a label, drawn by hashes.
 
-    Labels other than 0 and 1 don't count; several labels of one id count as their largest. Term counts are
-    summed on the cluster; the driver gets the lexicon and one short feature row per sampled document.
+    Labels other than 0 and 1 don't count; several labels of one id count as their largest. Ids are drawn
+    first, then, if many rows share them, rows; equal rows count once, so neither an id with a third of all
+    rows nor copies exceed the bound. Term counts are summed on the cluster; the driver gets the lexicon and
+    one short feature row per sampled document. One id in ``CALIBRATE`` is kept from lexicon and trees and
+    fits the isotonic step.
     """
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = y.count()
@@ -227,8 +245,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(frozenset(), None, None)
     y = y.where(uniform(F.col("doc_id")) < sample / n)
     # bounded by the sample
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(y), "doc_id").select("label", "text", "doc_id")
-    counts = rows.select("label", "text").mapInArrow(_term_counts, "term string, toxic long, clean long")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(y), "doc_id")
+    many = rows.count()
+    if not many:
+        return Model(frozenset(), None, None)
+    h = F.xxhash64("doc_id", "text", F.lit(17))
+    rows = rows.where(F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53)) < sample / many)
+    rows = rows.select("label", "text", h.alias("h"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)) == 0).alias("held"))
+    counts = rows.where(~F.col("held")).select("label", "text").mapInArrow(_term_counts, "term string, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = saved(counts.where((F.col("toxic") >= SUPPORT) | (F.col("term") == "")), "tox-terms")
     every = counts.where("term = ''").first()
@@ -243,16 +267,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lexicon = frozenset(r["term"] for r in found.orderBy(F.desc("odds"), "term").limit(LEXICON).collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(lexicon)
+        marks, seen = Marks(lexicon), set()
         for batch in batches:
-            x = [features(t, marks) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["label", "doc_id", "x"])
-
-    got = rows.mapInArrow(run, "label int, doc_id long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    x, y = np.array(got["x"].tolist()), got["label"].to_numpy().astype(float)
-    part = np.random.default_rng(3).permutation(len(y)) % 4 == 0
-    if len(y) < 100 or not 0 < y[part].sum() < part.sum():
-        part[:] = False
+            new = []
+            for i, v in enumerate(batch.column(2).to_pylist()):
+                if v not in seen:
+                    seen.add(v)
+                    new.append(i)
+            part = batch.take(pa.array(new, pa.int64()))
+            x = [features(t, marks) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(x, pa.list_(pa.float64()))], ["label", "h", "held", "x"])
+
+    got = rows.mapInArrow(run, "label int, h long, held boolean, x array<double>")
+    got = got.groupBy("h").agg(F.first(F.struct("label", "held", "x")).alias("r")).orderBy("h").limit(sample).select("h", "r.*").toPandas().sort_values("h")
+    x, y, part = np.array(got["x"].tolist()), got["label"].to_numpy().astype(float), got["held"].to_numpy().astype(bool)
+    if len(y) < 100 or not 0 < y[part].sum() < part.sum() or not 0 < y[~part].sum() < (~part).sum():
+        part = np.zeros(len(y), bool)
     trees = Trees().fit(x[~part], y[~part])
     held = x[part] if part.any() else x
     calibrate = Isotonic(trees.raw(held), y[part] if part.any() else y)
@@ -278,8 +308,10 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted``: learned from labels whose crc32 of the id isn't 0 by 5.
 
-    Labels, language, source and id of a document are no input to its score; equal texts get equal scores.
-    Without labels of both kinds all scores are 0. Empty tables give empty results.
+    Labels, language, source and id of a document are no input to its score; equal texts get equal scores,
+    null and empty texts the score of features that are all 0. Repeated rows and ids are rows of their own, a
+    null id is never learned from. Without labels of both kinds all scores are 0. Other columns are ignored.
+    Empty tables give empty results.
     """
     learned = labels.where(~held_out(5, 0))
     model = train(docs, learned)

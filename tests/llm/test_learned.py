@@ -169,6 +169,139 @@ def test_isotonic_rises_and_averages():
     assert (np.diff(z) >= -1e-12).all() and abs(iso(x).mean() - y.mean()) < 0.03
 
 
+def plain_isotonic(x, y):
+    """The min-max formula on distinct x, and blocks of equal values with the operator's prior."""
+    xs = sorted(set(x))
+    groups = [[b for a, b in zip(x, y) if a == v] for v in xs]
+    mean = lambda i, j: sum(map(sum, groups[i: j + 1])) / sum(map(len, groups[i: j + 1]))
+    fit = [max(min(mean(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i in range(len(xs))]
+    out, i = [], 0
+    while i < len(xs):
+        j = i
+        while j + 1 < len(xs) and abs(fit[j + 1] - fit[i]) < 1e-12:
+            j += 1
+        got = [v for g in groups[i: j + 1] for v in g]
+        out.append((xs[i], xs[j], (sum(got) + 0.25) / (len(got) + 0.5)))
+        i = j + 1
+    return out
+
+
+def test_isotonic_equals_the_min_max_formula():
+    rng = random.Random(8)
+    for _ in range(30):
+        n = rng.randint(1, 25)
+        x = [rng.choice([rng.randint(0, 5), rng.random() * 5]) for _ in range(n)]
+        y = [float(rng.random() < 0.4) for _ in range(n)]
+        iso = toxicity.Isotonic(np.array(x, float), np.array(y))
+        got = list(zip(iso.x[::2], iso.x[1::2], iso.y[::2]))
+        want = plain_isotonic(x, y)
+        assert len(got) == len(want) and np.allclose(got, want)
+
+
+def plain_boost(x, y, edges, trees, depth):
+    """Boosting by loops over every node, feature and edge; the first of the best splits is taken."""
+    p = sum(y) / len(y)
+    f = [math.log(p / (1 - p))] * len(y)
+    for _ in range(trees):
+        g = [b - 1 / (1 + math.exp(-a)) for a, b in zip(f, y)]
+        h = [(b - c) * (1 - (b - c)) for b, c in zip(y, g)]
+        node = [0] * len(y)
+        for _ in range(depth):
+            split = {}
+            for k in set(node):
+                rows = [i for i in range(len(y)) if node[i] == k]
+                gain = lambda r: sum(g[i] for i in r) ** 2 / (sum(h[i] for i in r) + 1)  # noqa: B023,E731
+                best = 1e-6
+                for j in range(len(x[0])):
+                    for e in edges[j]:
+                        left, right = [i for i in rows if x[i][j] <= e], [i for i in rows if x[i][j] > e]
+                        if min(len(left), len(right)) >= toxicity.LEAST_LEAF and gain(left) + gain(right) - gain(rows) > best + 1e-9:
+                            best, split[k] = gain(left) + gain(right) - gain(rows), (j, e)
+            node = [2 * k + (k in split and x[i][split[k][0]] > split[k][1]) for i, k in enumerate(node)]
+        for k in set(node):
+            rows = [i for i in range(len(y)) if node[i] == k]
+            leaf = toxicity.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+            for i in rows:
+                f[i] += leaf
+    return f
+
+
+def test_trees_equal_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 4)
+    monkeypatch.setattr(toxicity, "DEPTH", 3)
+    monkeypatch.setattr(toxicity, "BINS", 6)
+    rng = np.random.default_rng(12)
+    x = np.round(rng.random((160, 3)), 2)
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.random(160) > 0.9).astype(float)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 7)[1:-1])) for j in range(3)]
+    edges = [np.unique(np.concatenate([e, np.quantile(x[x[:, j] > e[-1], j], np.linspace(0, 1, 9)[:-1]) - 1e-12])) for j, e in enumerate(edges)]
+    got = toxicity.Trees().fit(x, y).raw(x)
+    assert np.allclose(got, plain_boost(x.tolist(), y.tolist(), edges, 4, 3), atol=1e-9)
+
+
+def plain_features(text, lexicon):
+    """All features by plain loops over tokens and characters."""
+    import string
+    import unicodedata
+
+    tokens, n = text.split(), len(text.split())
+    if not n:
+        return [0.0] * len(toxicity.FEATURES)
+    bits = [toxicity.Marks(lexicon)[t] for t in tokens]
+    hit, you = [i for i, b in enumerate(bits) if b & 3], [i for i, b in enumerate(bits) if b & toxicity.YOU]
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hit)
+    kind = [unicodedata.category(c) for c in text]
+    words, stems = sum(b & 1 for b in bits), sum(b >> 1 & 1 for b in bits)
+    distinct = len({tokens[i].lower().strip(string.punctuation + "¡¿«»…“”„‘’") for i in hit})
+    return [words / n, stems / n, math.log1p(words), math.log1p(stems), math.log1p(distinct), near / n, len(you) / n, sum(k in ("Lu", "Lt") for k in kind) / len(text),
+            sum(b >> 4 & 1 for b in bits) / n, sum(k[0] == "P" or c in string.punctuation for k, c in zip(kind, text)) / len(text), sum(c in "!！" for c in text) / len(text),
+            sum(b >> 3 & 1 for b in bits) / n, sum(b >> 5 & 1 for b in bits) / n, math.log1p(n)]
+
+
+def test_features_over_all_of_unicode():
+    lexicon = frozenset({"idiot", "дурак", "vexu*"})
+    f = dict(zip(toxicity.FEATURES, toxicity.features("Это обычное Предложение, и всё.", toxicity.Marks(lexicon))))
+    assert abs(f["punctuation"] - 2 / 31) < 1e-12 and abs(f["capitals"] - 2 / 31) < 1e-12
+    assert toxicity.features("ты «Дурак»！ 「日本」", toxicity.Marks(lexicon))[0] == 1 / 3
+    rng = random.Random(3)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("aÄbß日!?«»1dЖ.ǅ") for _ in range(rng.randint(1, 6))) if rng.random() < 0.7 else rng.choice(["you", "1d1ot", "IDIOT!", "vexuling", "«дурак»", "dich", "sooo"]) for _ in range(rng.randint(0, 30)))
+        assert np.allclose(toxicity.features(text, toxicity.Marks(lexicon)), plain_features(text, lexicon))
+
+
+def test_query_scores_equal_a_plain_walk(spark):
+    docs, labels, _ = toxic_rows(400)
+    x, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(x, y.where(~langid.held_out(5, 0)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.assess(x, y).collect()}
+    for i, text, *_ in docs[:120]:
+        v, raw = plain_features(text, model.lexicon), model.trees.base
+        for feature, edge, leaf in zip(model.trees.feature.tolist(), model.trees.edge.tolist(), model.trees.leaf.tolist()):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (v[feature[node]] > edge[node])
+            raw += leaf[node - len(feature)]
+        xs, ys = model.calibrate.x.tolist(), model.calibrate.y.tolist()
+        at = sum(a <= raw for a in xs)
+        if at in (0, len(xs)):
+            step = ys[0] if at == 0 else ys[-1]
+        else:
+            step = ys[at - 1] + (ys[at] - ys[at - 1]) * (raw - xs[at - 1]) / (xs[at] - xs[at - 1]) if xs[at] > xs[at - 1] else ys[at]
+        assert abs(got[i] - (0.999 * step + 0.001 / (1 + math.exp(-raw)))) < 1e-9
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs, labels, _ = toxic_rows(300)
+    docs += [(11, f"lorem ipsum {i}", "x", "s", 0) for i in range(400)] + [(12, "copies of it", "x", "s", 0)] * 400
+    seen = []
+    old, toxicity.Trees.fit = toxicity.Trees.fit, lambda self, x, y: seen.append(len(y)) or old(self, x, y)
+    try:
+        toxicity.train(spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 200)
+    finally:
+        toxicity.Trees.fit = old
+    assert len(seen) == 1 and 0 < seen[0] <= 200
+
+
 def brute_vectors(rows, cosine):
     ok = []
     for i, (vid, v, label) in enumerate(rows):
