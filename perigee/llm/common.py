@@ -13,9 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a new one where it is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests, one machine) gets a temporary one; on a cluster, whose executors
+    couldn't read it, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,35 +43,56 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: A key with more than one in so many of all rows is joined by broadcast; there are at most as many such keys.
+HEAVY = 1000
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``facts``, which has one row a key and in ``weight`` how many ``rows`` share it.
+
+    ``total`` is at least the sum of all weights. Keys that hold a thousandth of it or more are a thousand at
+    most: those facts are broadcast, so no task gets all rows of a key. All others are joined by a shuffle.
+    Keys aren't null.
+    """
+    heavy = facts.where(F.col(weight) * HEAVY >= total)
+    light = facts.where(F.col(weight) * HEAVY < total).drop(weight)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy.drop(weight)), keys).unionByName(rest.join(light, keys))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: ``(node, component)``, smallest node of each.
 
-    Alternating large-star and small-star steps. Every step aggregates before it shuffles: a node first
-    learns its smallest neighbour from a partial ``min`` (no neighbour list is ever gathered), then the
-    edges are rewired towards it, so a hub with millions of edges costs one partial aggregate a task.
-    Ends when a round changes no edge; each round is written to the shared folder, which cuts lineage.
-    No edges: an empty result. Self-loops and repeated edges are harmless.
+    Alternating large-star and small-star steps. A node first learns its smallest neighbour from a partial
+    ``min`` (no neighbour list is ever gathered), then the edges are rewired towards it; a hub's edges stay
+    where they are and its minimum is broadcast, so a hub with millions of edges is not one task's work. Ends
+    when a round changes no edge; each round is written to the shared folder, which cuts lineage. No edges: an
+    empty result. Self-loops and repeated edges are harmless.
     """
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     cur = saved(cur, "cc")
+    same = mark(cur)
     for _ in range(rounds):
+        if not same[0]:
+            break
         # large-star: every neighbour larger than u links to the smallest of u's neighbourhood
-        both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        both = cur.select("u", F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_spread(both.where("v > u"), low, ["u"], "n", 2 * same[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.where("u <> v").distinct(), "cc")
         # small-star: smaller neighbours and u itself link to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = join_spread(large, least, ["u"], "n", 2 * same[0])
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        nxt = saved(small, "cc")
-        same = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(same) == tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()):
+        cur, before = saved(small, "cc"), same
+        if (same := mark(cur)) == before:
             break
-        cur = nxt
     else:
         raise RuntimeError("components did not settle")
-    nodes = nxt.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = nxt.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    nodes = cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return nodes.unionByName(roots)

@@ -17,17 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm.common import components, saved, table
+from perigee.llm.common import components, join_spread, saved, table
 from perigee.llm.langid import uniform
 
 COSINE = 0.93
 #: Of neighbours just at the threshold, the share whose cell the traversal reaches.
 RECALL = 0.995
-#: Bound of the sample that codebooks and traversal are fitted on.
-SAMPLE = 20_000
+#: Bound of the sample that the codebooks of one vector length are fitted on, and least vectors of it a code.
+#: Cells hold OCCUPANCY vectors of a label on average, until the sample has no more codes to give: 2,500 a half,
+#: enough for 400 million vectors a label; from there on cells grow, and are still compared whole.
+SAMPLE, PER_CODE = 20_000, 8
 #: Vectors of one label that a cell should hold, and vectors a block takes from either side.
 OCCUPANCY, BLOCK = 64, 512
-LARGEST_BOOK = 256
 
 
 class Grid:
@@ -61,7 +62,8 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     k = min(k, len(distinct))
     c = distinct[rng.choice(len(distinct), k, replace=False)]
     for _ in range(rounds):
-        at = ((c**2).sum(1) - 2 * x @ c.T).argmin(axis=1)
+        size = (c**2).sum(1)
+        at = np.concatenate([(size - 2 * part @ c.T).argmin(axis=1) for part in np.array_split(x, -(-len(x) // 2048))])
         n = np.bincount(at, minlength=k)
         sums = np.stack([np.bincount(at, x[:, j], k) for j in range(x.shape[1])], axis=1)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
@@ -78,10 +80,12 @@ def fit_grid(x: np.ndarray, book: int, cosine: float = COSINE, recall: float = R
     u -= (u * s).sum(1, keepdims=True) * s
     u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
     y = cosine * s + math.sqrt(1 - cosine**2) * u
-    a, b = grid._far(s)
-    every = (a[:, :, None] + b[:, None, :]).reshape(len(s), -1)
-    rank = (every < every[np.arange(len(s)), grid.home(y)][:, None]).sum(axis=1) + 1
-    return Grid(*grid.books, int(np.quantile(rank, recall, method="higher")))
+    home, width, ranks = grid.home(y), len(grid.books[1]), []
+    for i, (a, b) in enumerate(zip(*grid._far(s))):
+        # cells nearer to s than the one its neighbour lives in, counted without listing them
+        far = a[home[i] // width] + b[home[i] % width]
+        ranks.append(np.searchsorted(np.sort(b), far - a - 1e-12).sum() + 1)
+    return Grid(*grid.books, int(np.quantile(ranks, recall, method="higher")))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -90,6 +94,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components stay in range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -130,10 +135,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least
     ``cosine``. Null vectors, zero vectors and those with null or non-finite components link with nothing, and
     vectors of unlike lengths don't link with each other; every length has a grid of its own, lengths with few
-    vectors a label a single cell. Vectors of one component link by sign. Equal vectors of a label are one node with a number of copies, so
-    copies are counted, never paired. A repeated ``vec_id`` is another vector; ``component_id`` is the smallest
-    id reachable. The codebooks grow with the number of vectors a label has, so that cells stay small; a cell
-    with many is compared block by block, all of it. Empty tables give empty results.
+    vectors a label a single cell. Vectors of one component link by sign. Equal vectors of a label are one node
+    with a number of copies, so copies are counted, never paired. A repeated ``vec_id`` is another vector;
+    ``component_id`` is the smallest id reachable, null where a component has null ids only (all are kept). The codebooks
+    grow with the number of vectors a label has, so that cells stay small; a cell with many is compared block
+    by block, all of it. Components of any finite size are scaled first. Other columns are ignored, empty
+    tables give empty results.
     """
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
@@ -149,7 +156,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     fitted = {}
     # lengths that stay within a cell a label need no grid
     for d, total, squares in labels.groupBy("d").agg(F.sum("n").alias("total"), F.sum(F.col("n") ** 2).alias("squares")).where(F.col("squares") > F.col("total") * OCCUPANCY).collect():
-        book = min(LARGEST_BOOK, 2 ** max(1, round(math.log2(squares / total / OCCUPANCY) / 2)))
+        book = min(SAMPLE // PER_CODE, 2 ** max(1, round(math.log2(squares / total / OCCUPANCY) / 2)))
         of_length = nodes.where(F.col("d") == d)
         sample = of_length.where(uniform(F.col("node")) < SAMPLE / total).select("v").toPandas()["v"]
         if len(sample) < 2:
@@ -166,25 +173,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
                 grid = grids.value.get(int(lengths[some[0]]))
                 x = _unit(_matrix(part.column(part.schema.get_field_index("v"))))
                 home = grid.home(x).astype(np.int64) if grid else np.zeros(len(x), np.int64)
-                cell = grid.nearest(x) if grid else home[:, None]
-                cell = np.concatenate([home[:, None], np.where(cell > home[:, None], cell, -1)], axis=1)
-                r, c = np.nonzero(cell >= 0)
-                n = len(home)
-                take = pa.array(np.concatenate([np.arange(n), r]))
-                out = pa.RecordBatch.from_arrays(
-                    [part.column(i).take(take) for i in range(part.num_columns)]
-                    + [pa.array(np.concatenate([home, home[r]])), pa.array(np.concatenate([home, cell[r, c]])), pa.array(np.concatenate([np.zeros(n, bool), np.ones(len(r), bool)]))],
-                    [*part.schema.names, "home", "cell", "visits"])
-                yield out
+                cell = np.concatenate([home[:, None], grid.nearest(x)], axis=1) if grid else home[:, None]
+                # cells with lower numbers come to this one themselves
+                keep = cell > home[:, None]
+                keep[:, 0] = True
+                ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[keep].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home), cells], [*part.schema.names, "home", "cells"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    there = nodes.select("label", "d", "node", "copies", "v").mapInArrow(visits, f"label {kind}, d int, node long, copies long, v array<double>, home long, cell long, visits boolean")
-    counts = there.groupBy("label", "d", "cell").agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("visitors"))
+    there = nodes.select("label", "d", "node", "copies", "v").mapInArrow(visits, f"label {kind}, d int, node long, copies long, v array<double>, home long, cells array<long>")
+    there = saved(there, "vec-visits")
+    # a vector is at home once and a visitor of each of its cells, its own included
+    stands = F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(False).alias("visits"))), F.transform("cells", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visits"))))).alias("s")
+    counts = there.select("label", "d", stands).groupBy("label", "d", "s.cell").agg(F.count_if(~F.col("s.visits")).alias("homes"), F.count_if("s.visits").alias("visitors"))
     counts = counts.where("homes > 0 and visitors > 0")
     parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     counts = saved(counts.select("label", "d", "cell", parts("homes").alias("h"), parts("visitors").alias("w")), "vec-cells")
     other = F.when(F.col("visits"), F.col("h")).otherwise(F.col("w"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("visits"), F.col("w")).otherwise(F.col("h"))).cast("int")
+    there = there.select("label", "d", "node", "copies", "v", "home", stands).select("label", "d", "node", "copies", "v", "home", "s.cell", "s.visits")
     blocks = there.join(counts, ["label", "d", "cell"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
     blocks = blocks.withColumn("hb", F.when(F.col("visits"), F.col("other")).otherwise(F.col("mine"))).withColumn("vb", F.when(F.col("visits"), F.col("mine")).otherwise(F.col("other")))
     blocks = blocks.select("label", "d", "cell", "hb", "vb", "node", "copies", "v", "home", "visits")
@@ -193,10 +201,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     parts_of = components(found.select("a", "b"))
     of = nodes.join(degree, "node", "left").join(parts_of, "node", "left").withColumn("part", F.coalesce("component", "node"))
     low = of.groupBy("part").agg(F.min("vec_id").alias("component_id"))
-    of = of.join(low, "part").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "k1", "k2").join(of, ["k1", "k2"], "left")
+    of = saved(of.join(low, "part").select("k1", "k2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "vec-components")
+    total = of.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    out = join_spread(rows.where("fine").select("vec_id", "k1", "k2"), of, ["k1", "k2"], "copies", total).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm.common import components, saved, table, text_of
+from perigee.llm.common import components, join_spread, saved, table, text_of
 
 BITS, RADIUS, TABLES = 64, 2, 7
 #: Buckets up to this many fingerprints are compared pair by pair; larger ones go through wildcard keys.
@@ -111,22 +111,24 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     as in ``near_duplicates``.
     """
     prints = saved(fingerprints(docs, keep), "sim-prints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "sim-distinct")
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "sim-distinct")
     parts = components(links(distinct))
     parts = parts.withColumnRenamed("node", "fp")
     of = distinct.join(parts, "fp", "left").withColumn("part", F.coalesce("component", "fp"))
     low = of.groupBy("part").agg(F.min("first").alias("component_id"))
-    of = saved(of.join(low, "part").select("fp", "component_id", "part"), "sim-components")
-    return prints.join(of, "fp").select("doc_id", *keep, "fp", "component_id", "part")
+    of = saved(of.join(low, "part").select("fp", "copies", "component_id", "part"), "sim-components")
+    total = of.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return join_spread(prints, of, ["fp"], "copies", total).select("doc_id", *keep, "fp", "component_id", "part")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, fingerprint, component_id, group_id`` per document row; works on whole texts.
+    """``doc_id, fingerprint, component_id`` per document row; works on whole texts.
 
     Documents link when their fingerprints differ in at most two bits, wordless ones (fingerprint 0) like any
     other; ``component_id`` is the smallest doc_id reachable. Copies collapse to their fingerprint before any
-    search, so a group of equal texts costs one row. Null doc_ids take part but never name a component unless
-    all of it is null. Empty tables give empty results; extra columns are ignored.
+    search, so a group of equal texts costs one row, and a fingerprint of many rows meets its group by a
+    broadcast. Null doc_ids take part but never name a component unless all of it is null; rows that repeat an
+    id are rows of their own. Empty tables give empty results; extra columns are ignored.
     """
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return grouped(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
