@@ -74,10 +74,14 @@ def lookup(packed: bytes) -> tuple[np.ndarray, int]:
     bits = int(lengths.max())
     if int((1 << (bits - lengths[used].astype(np.int64))).sum()) != 1 << bits:
         raise ValueError("a prefix code is not complete")
-    table, codes = np.zeros(1 << bits, np.uint16), canonical(lengths)
-    for s, c, n in zip(used.tolist(), codes[used].tolist(), lengths[used].tolist()):
-        table[c:: 1 << n] = s << 4 | n
-    return table, bits
+    # in canonical order the symbols fill the table in stretches, once its index is read from its first bit on
+    n = lengths[used].astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    filled = np.repeat((used[order] << 4 | n[order]).astype(np.uint16), 1 << bits - n[order])
+    return filled[_turned()[: 1 << bits] >> (16 - bits)], bits
+
+
+_NEVER = 1 << 62
 
 
 def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
@@ -91,12 +95,14 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
     weight = counts[used].astype(np.int64)
     while True:
         order = np.argsort(weight, kind="stable")
-        leaf, n = weight[order].tolist(), len(used)
-        parent, made, i, j = [0] * (2 * n - 1), [], 0, 0
+        n = len(used)
+        # what has run out or isn't made yet is larger than anything
+        leaf, made = [*weight[order].tolist(), _NEVER], [_NEVER] * n
+        parent, i, j = [0] * (2 * n - 1), 0, 0
         for k in range(n, 2 * n - 1):
             total = 0
-            for _ in range(2):
-                if j >= len(made) or i < n and leaf[i] <= made[j]:
+            for _ in (0, 1):
+                if leaf[i] <= made[j]:
                     parent[i] = k
                     total += leaf[i]
                     i += 1
@@ -104,7 +110,7 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
                     parent[n + j] = k
                     total += made[j]
                     j += 1
-            made.append(total)
+            made[k - n] = total
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -368,19 +374,64 @@ def _read_one_group(b: Bits, width: int, total: int, cache: int, code: list) ->
         raise ValueError("the stream ends early")
     if not spans:
         return out
-    begin, size_of, far = (np.concatenate(x).tolist() for x in zip(*spans))
-    known, cached = [0] * (1 << cache if cache else 0), 0
-    for i, n, d in zip(begin, size_of, far):
-        if d > 0:
-            _copy(out, i, n, d, total)
-            continue
-        for v in out[cached:i].tolist():  # a cache code: what has been written so far goes into the cache
-            known[(CACHE_FACTOR * v & 0xFFFFFFFF) >> (32 - cache)] = v
-        cached = i
-        out[i] = known[-d - 1]
+    begin, size_of, far = map(np.concatenate, zip(*spans))
+    if (far <= 0).any():
+        return _resolve(out, begin, size_of, far, cache, total)
+    for i, n, d in zip(begin.tolist(), size_of.tolist(), far.tolist()):
+        _copy(out, i, n, d, total)
     return out
 
 
+def _slots(pixels: np.ndarray, cache: int) -> np.ndarray:
+    """The place of each pixel in a colour cache of ``2 ** cache`` places."""
+    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache)).astype(np.int16)
+
+
+def _before(slots: np.ndarray) -> np.ndarray:
+    """The last pixel before each one in the same place of the cache, -1 if there is none."""
+    order = np.argsort(slots, kind="stable")
+    out = np.full(len(slots), -1, np.int64)
+    same = slots[order[1:]] == slots[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _resolve(out: np.ndarray, begin: np.ndarray, size: np.ndarray, far: np.ndarray, cache: int, total: int) -> np.ndarray:
+    """Fill in copies (``far`` above 0) and cache codes (minus the place, less 1) where literals stand.
+
+    Every pixel points to the one it takes its value from. A copy's place in the cache is that of the literal
+    or cache code it leads back to, so all places are known before any value is, and a cache code points to
+    the last pixel before it in its place. Pointers are followed by doubling.
+    """
+    copy = far > 0
+    if (begin[copy] < far[copy]).any() or len(begin) and int((begin + size).max()) > total:
+        raise ValueError("a back-reference leaves the image")
+    points, n = np.arange(total), size[copy]
+    at = np.repeat(begin[copy] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    points[at] -= np.repeat(far[copy], n)
+    root = _ends(points)
+    slots, hit, place = _slots(out, cache), begin[~copy], -far[~copy] - 1
+    literal = root == np.arange(total)
+    literal[hit] = False
+    first = np.full(1 << cache, total)
+    np.minimum.at(first, slots[literal], np.flatnonzero(literal))
+    # what no literal has filled is the zero the cache starts with, and that belongs to the first place
+    slots[hit] = np.where(first[place] > hit, 0, place)
+    hit = hit[first[place] < hit]
+    # one more place in front of all holds a zero
+    points = np.concatenate([[0], root + 1])
+    points[hit + 1] = _before(slots[root])[hit] + 1
+    return np.concatenate([np.zeros(1, np.uint32), out])[_ends(points)[1:]]
+
+
+def _ends(points: np.ndarray) -> np.ndarray:
+    while True:
+        further = points[points]
+        if np.array_equal(further, points):
+            return points
+        points = further
+
+
 def _word(three: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     at = np.minimum(at, n - 1)
     return three[at >> 3] >> (at & 7).astype(np.uint32)
@@ -574,9 +625,10 @@ class _Writer:
         self.values, self.sizes, self.parts = [], [], []
 
     def __iadd__(self, pairs: list[tuple[int, int]]) -> _Writer:
-        for v, n in pairs:
-            self.values.append(v)
-            self.sizes.append(n)
+        if pairs:
+            values, sizes = zip(*pairs)
+            self.values.extend(values)
+            self.sizes.extend(sizes)
         return self
 
     def append(self, pair: tuple) -> None:
@@ -591,44 +643,37 @@ class _Writer:
         return _pack(*map(np.concatenate, zip(*self.parts)))
 
 
-def _code_bits(lengths: np.ndarray) -> list[tuple[int, int]]:
-    """How a prefix code is written."""
+def _code_bits(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How a prefix code is written: values and their sizes."""
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (len(used) == 0 or used[-1] < 256):
         s = used.tolist() or [0]
-        return [(1, 1), (len(s) - 1, 1), (1, 1), *[(x, 8) for x in s]]
-    tokens, end = [], int(used[-1]) + 1
-    values = lengths[:end]
-    cut = np.flatnonzero(np.diff(values)) + 1
-    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), end]):
-        v, n = int(values[a]), z - a
-        if v:
-            tokens.append((v, 0, 0))
-            n -= 1
-        while n:
-            if n < 3:
-                tokens.append((v, 0, 0))
-                n -= 1
-            else:
-                k = min(n, 6 if v else 138)
-                tokens.append((16, k - 3, 2) if v else (18, k - 11, 7) if k > 10 else (17, k - 3, 3))
-                n -= k
-    counts = np.bincount([t[0] for t in tokens], minlength=19)
-    own = code_lengths(counts, 7)
-    codes = canonical(own).tolist() if np.count_nonzero(own) > 1 else [0] * 19
-    size = own.tolist() if np.count_nonzero(own) > 1 else [0] * 19
+        return np.array([1, len(s) - 1, 1, *s]), np.array([1, 1, 1, *[8] * len(s)])
+    values = lengths[: int(used[-1]) + 1].astype(np.int64)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
+    first = edge[:-1] + (values[edge[:-1]] > 0)  # of a run of a length its first stands for itself
+    long = np.flatnonzero(edge[1:] - first >= 3)
+    extra, room, keep = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64), np.ones(len(values), bool)
+    for at, end in zip(first[long].tolist(), edge[long + 1].tolist()):
+        zeros = not values[at]
+        while end - at >= 3:
+            k = min(end - at, 138 if zeros else 6)
+            values[at], extra[at], room[at] = (18, k - 11, 7) if zeros and k > 10 else (17, k - 3, 3) if zeros else (16, k - 3, 2)
+            keep[at + 1: at + k] = False
+            at += k
+    tokens, extra, room = values[keep], extra[keep], room[keep]
+    own = code_lengths(np.bincount(tokens, minlength=19), 7)
+    many = np.count_nonzero(own) > 1
+    codes, size = canonical(own) * many, own.astype(np.int64) * many
     shown = max(4, max(i for i, k in enumerate(LENGTH_ORDER) if own[k]) + 1)
-    bits = [(0, 1), (shown - 4, 4), *[(int(own[k]), 3) for k in LENGTH_ORDER[:shown]]]
+    head = [(0, 1), (shown - 4, 4), *[(int(own[k]), 3) for k in LENGTH_ORDER[:shown]]]
     if len(tokens) >= 2:
-        room = next(n for n in range(8) if len(tokens) - 2 < 1 << 2 + 2 * n)
-        bits += [(1, 1), (room, 3), (len(tokens) - 2, 2 + 2 * room)]
+        wide = next(n for n in range(8) if len(tokens) - 2 < 1 << 2 + 2 * n)
+        head += [(1, 1), (wide, 3), (len(tokens) - 2, 2 + 2 * wide)]
     else:
-        bits += [(0, 1)]
-    for s, v, n in tokens:
-        bits.append((codes[s], size[s]))
-        if n:
-            bits.append((v, n))
-    return bits
+        head += [(0, 1)]
+    h = np.array(head)
+    return np.concatenate([h[:, 0], np.stack([codes[tokens], extra], axis=1).ravel()]), np.concatenate([h[:, 1], np.stack([size[tokens], room], axis=1).ravel()])
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -684,12 +729,10 @@ def _write_pixels(pixels: np.ndarray, bits: _Writer, cache: int = 0, repeats: bo
     argb = _bytes(pixels[plain])
     green, hit = argb[:, 2].astype(np.int64), np.zeros(len(plain), bool)
     if cache:
-        known, slots = {}, ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache)).tolist()
-        at = dict(zip(plain.tolist(), range(len(plain))))
-        for i, (v, s) in enumerate(zip(pixels.tolist(), slots)):
-            if i in at and known.get(s, 0) == v:
-                green[at[i]], hit[at[i]] = 280 + s, True
-            known[s] = v
+        slots = _slots(pixels, cache)
+        before = _before(slots)[plain]
+        hit = np.where(before < 0, 0, pixels[np.maximum(before, 0)]) == pixels[plain]
+        green[hit] = 280 + slots[plain[hit]]
     ls, lv, ln = _prefix(size)
     ds, dv, dn = _prefix(far + 120)
     if main:
@@ -717,7 +760,7 @@ def _write_pixels(pixels: np.ndarray, bits: _Writer, cache: int = 0, repeats: bo
             if id(x) not in shown:
                 many = np.count_nonzero(x) > 1
                 shown[id(x)] = _code_bits(x), canonical(x) if many else np.zeros(len(x), np.int64), x.astype(np.int64) * many
-            bits += shown[id(x)][0]
+            bits.append(shown[id(x)][0])
         codes.append([shown[id(x)][1] for x in lengths])
         sizes.append([shown[id(x)][2] for x in lengths])
     value, count = np.zeros((n, 3), np.int64), np.zeros((n, 3), np.int64)
@@ -744,9 +787,9 @@ def _write_pixels(pixels: np.ndarray, bits: _Writer, cache: int = 0, repeats: bo
 def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int = 0, repeats: bool = True, modes=None, cross=None, groups=None, palette: bool = True) -> bytes:
     """A lossless WebP file of rows x columns x (R, G, B, A).
 
-    A palette is used where it makes the stream shorter for certain: at most 256 colours and fewer than a
-    quarter of the pixels. The other transforms are the caller's choice; ``modes`` and ``cross`` give their
-    tiles, ``groups`` those of the code groups.
+    A palette is used, alone, where it makes the stream shorter for certain: at most 256 colours and no more
+    than a quarter of the pixels. The other transforms are the caller's choice, applied in the order given;
+    ``modes`` and ``cross`` give their tiles, ``groups`` those of the code groups.
     """
     height, width, _ = rgba.shape
     if not (0 < width <= SIDE and 0 < height <= SIDE):
@@ -755,10 +798,11 @@ def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int =
     bits = _Writer()
     bits += [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
     side = lambda n: (n + (1 << tile) - 1) >> tile
-    if palette and not transforms and (image.size <= 2048 or len(np.unique(image.ravel()[:2048])) <= 256):
-        colours = np.unique(image)
-        if len(colours) <= 256 and 4 * len(colours) <= image.size:
-            transforms = (PALETTE,)
+    if palette and len(set(image.ravel()[:2048].tolist())) <= 256:
+        if 4 * len(set(image.ravel()[: 1024 + image.size // 4].tolist())) <= image.size:
+            colours = np.unique(image)
+            if len(colours) <= 256 and 4 * len(colours) <= image.size:
+                transforms, cache = (PALETTE,), 0
     wide = width
     for kind in transforms:
         bits += [(1, 1), (kind, 2)]
@@ -796,6 +840,66 @@ def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int =
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+# ---------------------------------------------------------------- what a stored image uses
+
+#: Pixels that the estimate looks at, bits that a transform must save beyond its own, pixels from which a cache pays
+#: by several percent.
+LOOKED, FIXED, CACHED = 512, 400, 1024
+
+
+@lru_cache(maxsize=1)
+def _count_bits() -> np.ndarray:
+    n = np.arange(4 * LOOKED + 1)
+    return n * np.log2(np.maximum(n, 1))
+
+
+def _cost(argb: np.ndarray) -> float:
+    """Bits of an ideal code for the pixels: green by itself, the other three samples together."""
+    green = np.bincount(argb[:, 2], minlength=256)
+    rest = np.bincount(argb.ravel(), minlength=256) - green
+    bits = _count_bits()
+    return bits[len(argb)] - bits[green].sum() + bits[3 * len(argb)] - bits[rest].sum()
+
+
+def _slope(x: np.ndarray, y: np.ndarray) -> int:
+    """The cross-colour factor, in 32nds, that takes most of ``y`` away given ``x``; both signed bytes."""
+    x, y = x.view(np.int8).astype(np.float64), y.view(np.int8).astype(np.float64)
+    x, y = x - x.mean(), y - y.mean()
+    return int(np.clip(np.rint(32 * (x @ y) / max(float(x @ x), 1.0)), -128, 127))
+
+
+def choose(rgba: np.ndarray) -> dict:
+    """Transforms and cache for an image, from its pixels alone: what an estimate over a stretch of it finds shortest.
+
+    Without a gain of ``FIXED`` bits over the whole image, as in the smallest, there is no transform. Large images
+    get a colour cache, of more places the more pixels they have; a predictor leaves too few equal pixels for one.
+    """
+    height, width, _ = rgba.shape
+    n = height * width
+    cache = min(11, n.bit_length() - 2) if n >= CACHED else 0
+    if n < LOOKED // 4:
+        return {"cache": cache}
+    at = max(0, (n - LOOKED) // 2) // width * width
+    x = np.ascontiguousarray(rgba.reshape(-1, 4)[at: at + LOOKED][:, [3, 0, 1, 2]])
+    green = x.copy()
+    green[:, 1] -= x[:, 2]
+    green[:, 3] -= x[:, 2]
+    plain = _cost(x)
+    found = [(_cost(green), {"transforms": (GREEN,), "cache": cache})]
+    tiles = ((height + 63) >> 6, (width + 63) >> 6)
+    for mode, back in ((1, 1), (2, width)):
+        if len(x) > back:
+            left = _cost(x[back:] - x[:-back]) * len(x) / (len(x) - back)
+            found.append((left, {"transforms": (PREDICT,), "tile": 6, "modes": np.full(tiles, ALPHA | mode << 8, np.uint32)}))
+    to_red, to_blue = _slope(x[:, 2].copy(), x[:, 1].copy()), _slope(x[:, 2].copy(), x[:, 3].copy())
+    if to_red or to_blue:
+        tile = np.uint32(ALPHA | (to_blue & 255) << 8 | to_red & 255)
+        crossed = _bytes(uncross(_words(x)[None], len(x), 16, np.full((1, 1), tile), -1).ravel())
+        found.append((_cost(crossed), {"transforms": (CROSS,), "tile": 6, "cross": np.full(tiles, tile), "cache": cache}))
+    bits, best = min(found, key=lambda f: f[0])
+    return best if (plain - bits) * n / len(x) > FIXED else {"cache": cache}
+
+
 # ---------------------------------------------------------------- operator
 
 
@@ -814,6 +918,12 @@ def padded(text: str) -> bytes:
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
+def stored(data: bytes) -> bytes:
+    """The file that a payload is kept as."""
+    image = to_image(data)
+    return encode(image, **choose(image))
+
+
 def feature(rgba: np.ndarray) -> str:
     """64 bits as hex: which of 64 equal stretches of the pixels are brighter than the whole image."""
     light = rgba.reshape(-1, 4).astype(np.int64) @ np.array([2, 5, 1, 8])
@@ -828,10 +938,11 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for at in range(0, len(ids), 256):  # bounds what a worker holds
-            part = [padded(t) for t in texts.slice(at, 256).to_pylist()]
+            part = texts.slice(at, 256).to_pylist()
+            sizes, part = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in part], pa.int64()), [padded(t) for t in part]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, 256), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts.slice(at, 256).to_pylist()], pa.int64()),
-                 pa.array(map(len, part), pa.int64()), pa.array([encode(to_image(p)) for p in part], pa.binary())],
+                [ids.slice(at, 256), sizes,
+                 pa.array(map(len, part), pa.int64()), pa.array([stored(p) for p in part], pa.binary())],
                 ["doc_id", "n_bytes", "payload_bytes", "media"])
 
 

@@ -177,6 +177,275 @@ def test_merging_matches_a_plain_loop():
         assert merge(w, lambda a, b: ranks.get((a, b))) == plain
 
 
+class Foreign:
+    """A bit stream put together by hand from the format's description; nothing of the encoder is used."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n)]
+
+    def code(self, lengths, size):
+        """A prefix code as literal lengths and runs (16, 17, 18); returns its codes, first bit first."""
+        tokens, i, last = [], 0, None
+        full = [lengths.get(s, 0) for s in range(size)]
+        while i < size:
+            n = 1
+            while i + n < size and full[i + n] == full[i]:
+                n += 1
+            if full[i] == 0 and n >= 11:
+                n = min(n, 138)
+                tokens.append((18, n - 11, 7))
+            elif full[i] == 0 and n >= 3:
+                n = min(n, 10)
+                tokens.append((17, n - 3, 3))
+            elif full[i] and full[i] == last and n >= 3:
+                n = min(n, 6)
+                tokens.append((16, n - 3, 2))
+            else:
+                n = 1
+                tokens.append((full[i], 0, 0))
+                last = full[i] or last
+            i += n
+        self.put(0, 1)
+        used = sorted({t[0] for t in tokens})
+        assert len(used) > 1
+        n = (len(used) - 1).bit_length()
+        own = {s: n - 1 if i < (1 << n) - len(used) else n for i, s in enumerate(used)}
+        self.put(15, 4)
+        for s in (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15):
+            self.put(own.get(s, 0), 3)
+        self.put(0, 1)
+        codes = self.canonical(own)
+        for s, extra, n in tokens:
+            self.bits += codes[s]
+            self.put(extra, n)
+        return self.canonical({s: n for s, n in lengths.items() if n})
+
+    @staticmethod
+    def canonical(lengths):
+        code, before, out = 0, 0, {}
+        for n, s in sorted((n, s) for s, n in lengths.items()):
+            code <<= n - before
+            out[s] = [code >> (n - 1 - i) & 1 for i in range(n)]
+            code, before = code + 1, n
+        return out
+
+    def flat(self, symbols, size):
+        """A complete code over some symbols, of two neighbouring lengths."""
+        n = (len(symbols) - 1).bit_length()
+        short = (1 << n) - len(symbols)
+        return self.code({s: n - 1 if i < short else n for i, s in enumerate(symbols)}, size)
+
+    def image(self, stream, cache, main):
+        """Codes and symbols: ("p", argb), ("c", place), ("b", length, distance code)."""
+        self.put(1 if cache else 0, 1)
+        if cache:
+            self.put(cache, 4)
+        if main:
+            self.put(0, 1)
+        places = 1 << cache if cache else 0
+        green = self.flat([*range(256), *range(256, 264), *range(280, 280 + places)], 280 + places)
+        rest = [self.flat(list(range(256)), 256) for _ in range(3)]
+        far = self.flat(list(range(14)), 40)
+        for item in stream:
+            if item[0] == "p":
+                v = item[1]
+                self.bits += green[v >> 8 & 255] + rest[0][v >> 16 & 255] + rest[1][v & 255] + rest[2][v >> 24]
+            elif item[0] == "c":
+                self.bits += green[280 + item[1]]
+            else:
+                for codes, value, base in ((green, item[1], 256), (far, item[2], 0)):
+                    s = next(s for s in range(40) if self.least(s) <= value < self.least(s + 1))
+                    self.bits += codes[base + s]
+                    self.put(value - self.least(s), max(0, (s - 2) >> 1))
+
+    @staticmethod
+    def least(s):
+        return s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1
+
+    def file(self):
+        self.bits += [0] * (-len(self.bits) % 16)
+        data = bytes(sum(b << i for i, b in enumerate(self.bits[k: k + 8])) for k in range(0, len(self.bits), 8))
+        body = b"WEBPVP8L" + len(data).to_bytes(4, "little") + data
+        return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+    @classmethod
+    def header(cls, width, height):
+        out = cls()
+        for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+            out.put(v, n)
+        return out
+
+
+#: The first near neighbours of the format's table (columns to the left, rows up), and its last. Fixed values.
+NEAR = {1: (0, 1), 2: (1, 0), 3: (1, 1), 4: (-1, 1), 5: (0, 2), 6: (2, 0), 7: (1, 2), 8: (-1, 2), 9: (2, 1), 10: (-2, 1), 11: (2, 2), 12: (-2, 2), 13: (0, 3), 14: (3, 0), 15: (1, 3), 16: (-1, 3), 120: (8, 7)}
+
+
+def random_pixels(rng, count, width, cache, main=True):
+    """A random stream and, by plain steps, the pixels that it means."""
+    stream, out, known = [], [], {}
+
+    def emit(v):
+        out.append(v)
+        known[(0x1E35A7BD * v & 0xFFFFFFFF) >> (32 - cache) if cache else 0] = v
+
+    while len(out) < count:
+        kind = rng.random()
+        if kind < 0.2 and out:
+            code = rng.choice([*NEAR, *range(121, 160)])
+            d = max(1, NEAR[code][0] + NEAR[code][1] * width) if code in NEAR else code - 120
+            n = rng.randint(1, min(12, count - len(out)))
+            if d <= len(out) and code < 129:
+                stream.append(("b", n, code))
+                for _ in range(n):
+                    emit(out[-d])
+                continue
+        if kind < 0.5 and cache:
+            place = rng.randrange(1 << cache)
+            stream.append(("c", place))
+            emit(known.get(place, 0))
+            continue
+        v = rng.getrandbits(32) if rng.random() < 0.7 or not out else rng.choice(out)
+        stream.append(("p", v))
+        emit(v)
+    return stream, out
+
+
+def argb(v):
+    return [v >> 24, v >> 16 & 255, v >> 8 & 255, v & 255]
+
+
+def rows_of_pixels(image):
+    return [[[v >> 16 & 255, v >> 8 & 255, v & 255, v >> 24] for v in row] for row in image]
+
+
+@pytest.mark.parametrize("cache", [0, 1, 4, 8])
+def test_foreign_streams_of_references_and_cache(cache):
+    rng = random.Random(cache)
+    for _ in range(12):
+        width, height = rng.randint(1, 20), rng.randint(1, 20)
+        stream, want = random_pixels(rng, width * height, width, cache)
+        f = Foreign.header(width, height)
+        f.put(0, 1)
+        f.image(stream, cache, True)
+        assert webp.decode(f.file()).tolist() == rows_of_pixels([want[i: i + width] for i in range(0, len(want), width)])
+
+
+def plain_predict(mode, l, t, r, c):
+    """The format's fourteen predictions of one pixel, sample by sample."""
+    avg = lambda a, b: [(x + y) // 2 for x, y in zip(a, b)]
+    cut = lambda v: min(255, max(0, v))
+    if mode == 11:
+        guess = [x + y - z for x, y, z in zip(l, t, c)]
+        to_l, to_t = (sum(abs(g - x) for g, x in zip(guess, p)) for p in (l, t))
+        return l if to_l < to_t else t
+    if mode == 12:
+        return [cut(x + y - z) for x, y, z in zip(l, t, c)]
+    if mode == 13:
+        return [cut(m + int((m - z) / 2)) for m, z in zip(avg(l, t), c)]
+    return {0: [255, 0, 0, 0], 1: l, 2: t, 3: r, 4: c, 5: avg(avg(l, r), t), 6: avg(l, c), 7: avg(l, t), 8: avg(c, t), 9: avg(t, r), 10: avg(avg(l, c), avg(t, r))}.get(mode, [255, 0, 0, 0])
+
+
+@pytest.mark.parametrize("mode", [*range(14), "mixed"])
+def test_foreign_streams_with_predictors(mode):
+    rng = random.Random(str(mode))
+    for width, height in ((1, 1), (1, 7), (9, 1), (5, 4), (13, 11)):
+        stream, left = random_pixels(rng, width * height, width, 0)
+        wide, high = (width + 3) >> 2, (height + 3) >> 2
+        modes = [rng.randrange(14) if mode == "mixed" else mode for _ in range(wide * high)]
+        f = Foreign.header(width, height)
+        for v, n in ((1, 1), (0, 2), (0, 3)):
+            f.put(v, n)
+        f.image([("p", rng.getrandbits(8) | m << 8 | rng.getrandbits(8) << 16) for m in modes], 0, False)
+        f.put(0, 1)
+        f.image(stream, 0, True)
+        out = []
+        for i, v in enumerate(left):
+            y, x = divmod(i, width)
+            at = lambda k: argb(out[k])  # noqa: B023,E731
+            if i == 0:
+                p = [255, 0, 0, 0]
+            elif y == 0:
+                p = at(i - 1)
+            elif x == 0:
+                p = at(i - width)
+            else:
+                p = plain_predict(modes[(y >> 2) * wide + (x >> 2)], at(i - 1), at(i - width), at(i - width + 1), at(i - width - 1))
+            a, r, g, b = ((e + q) & 255 for e, q in zip(argb(v), p))
+            out.append(a << 24 | r << 16 | g << 8 | b)
+        assert webp.decode(f.file()).tolist() == rows_of_pixels([out[i: i + width] for i in range(0, len(out), width)])
+
+
+def test_foreign_streams_with_colour_transforms_and_palettes():
+    rng = random.Random(77)
+    signed = lambda v: v - 256 if v > 127 else v
+    for trial in range(40):
+        width, height = rng.randint(1, 14), rng.randint(1, 9)
+        kind = trial % 3 + 1
+        f = Foreign.header(width, height)
+        f.put(1, 1)
+        f.put(kind, 2)
+        inner = width
+        if kind == 1:
+            f.put(1, 3)
+            wide, high = (width + 7) >> 3, (height + 7) >> 3
+            tiles = [rng.getrandbits(32) for _ in range(wide * high)]
+            f.image([("p", v) for v in tiles], 0, False)
+        if kind == 3:
+            n = rng.choice([1, 2, 3, 4, 9, 16, 17, 200, 256])
+            f.put(n - 1, 8)
+            steps, colours, now = [rng.getrandbits(32) for _ in range(n)], [], [0] * 4
+            f.image([("p", v) for v in steps], 0, False)
+            for v in steps:
+                now = [(x + y) & 255 for x, y in zip(now, argb(v))]
+                colours.append(now[0] << 24 | now[1] << 16 | now[2] << 8 | now[3])
+            pack = 8 if n <= 2 else 4 if n <= 4 else 2 if n <= 16 else 1
+            inner = -(-width // pack)
+        f.put(0, 1)
+        stream, got = random_pixels(rng, inner * height, inner, 0)
+        f.image(stream, 0, True)
+        out = []
+        for y in range(height):
+            for x in range(width):
+                a, r, g, b = argb(got[y * inner + (x // pack if kind == 3 else x)])
+                if kind == 1:
+                    t = argb(tiles[(y >> 3) * wide + (x >> 3)])
+                    r = (r + (signed(t[3]) * signed(g) >> 5)) & 255
+                    b = (b + (signed(t[2]) * signed(g) >> 5) + (signed(t[1]) * signed(r) >> 5)) & 255
+                elif kind == 2:
+                    r, b = (r + g) & 255, (b + g) & 255
+                else:
+                    bits = 8 // pack
+                    k = g >> bits * (x % pack) & (1 << bits) - 1
+                    out.append(colours[k] if k < len(colours) else 0)
+                    continue
+                out.append(a << 24 | r << 16 | g << 8 | b)
+        assert webp.decode(f.file()).tolist() == rows_of_pixels([out[i: i + width] for i in range(0, len(out), width)])
+
+
+def test_stored_files_use_what_pays():
+    rng = random.Random(6)
+    ramp = bytes(b for i in range(4000) for b in ((3 * i + rng.randrange(2)) & 255, (5 * i + rng.randrange(2)) & 255, (7 * i) & 255, (i + rng.randrange(2)) & 255))
+    row = [rng.randrange(256) for _ in range(64)]
+    table = bytes((v + rng.randrange(3)) & 255 for _ in range(200) for v in row)
+    green = [rng.randrange(-100, 100) for _ in range(6000)]
+    tinted = bytes(x & 255 for g in green for x in ((g * 24 >> 5) + rng.randrange(3), g, (g * -16 >> 5) + rng.randrange(3), 255))
+    grey = bytes(x for _ in range(6000) for g in [rng.randrange(256)] for x in ((g + rng.randrange(2)) & 255, g, (g + rng.randrange(2)) & 255, 255))
+    words = [bytes(rng.choice(b"abcdefgh") for _ in range(4)) for _ in range(300)]
+    prose = b"".join(rng.choice(words) + (b" abc" if rng.random() < 0.5 else b"") for _ in range(9000))
+    for data, kind in ((ramp, webp.PREDICT), (table, webp.PREDICT), (tinted, webp.CROSS), (grey, webp.GREEN), (prose, None), (b"ab" * 9000, "palette"), (bytes(64), None)):
+        image = webp.to_image(data)
+        how = webp.choose(image)
+        assert kind == "palette" or how.get("transforms", (None,)) == (kind,)
+        media = webp.stored(data)
+        assert webp.decode(media).tobytes()[: len(data)] == data and media == webp.stored(data)
+        if kind in (webp.PREDICT, webp.CROSS, webp.GREEN) or data is prose:
+            assert len(media) < len(webp.encode(image))
+    assert webp.choose(webp.to_image(prose))["cache"] == 11
+
+
 def test_known_webp_file():
     assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[[0, 0, 0, 0]]]
 
