@@ -1,33 +1,49 @@
-"""License scans by TF-IDF cosine to notice templates, inherited along directories (DataFrame operations only).
+"""License scans by TF-IDF cosine to templates, inherited along directories (DataFrame operations only).
 
-Every sentence of a file that mentions a licence, copyright or the like is compared with the templates as a
-sparse TF-IDF vector. A file with a match has that licence; a short one is a licence file and covers its
-directory and all below it. Other files inherit from the nearest ancestor directory that has a licence file.
+Sentences of every file, as they stand on a line and with wrapped lines joined, are compared with short
+notices, and files that are named like licence files also as a whole with whole licence texts, all as sparse
+TF-IDF vectors. A file with a match has that licence. One that is named like a licence file, or of which
+notices are at least half, covers its directory and all below it. Other files inherit from the nearest ancestor
+directory that has a licence file.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm.common import WORD, saved, table, text_of
+from perigee.llm.common import WORD, join_spread, saved, table, text_of
 
-#: Notices as they are commonly written, by SPDX identifier.
-TEMPLATES = (
+#: Notices and headers as they are commonly written, by SPDX identifier. Fixed values.
+NOTICES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and or sell copies of the Software"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "You may not use this file except in compliance with the License, you may obtain a copy of the License at apache.org licenses LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License), you may not use this file except in compliance with the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software, you can redistribute it and or modify it under the terms of the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software, you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software, you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software, you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software, you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("ISC", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -35,75 +51,152 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
 )
-HINT = "(?i)licen[cs]e|copyright|spdx|permission|redistribut|public domain"
-#: Ends of sentences; the pattern is the same in Java and RE2.
-SENTENCE = r"\n|[.!?][ \t\r\n]+"
-TERM = r"[0-9a-z]+(?:[.-][0-9a-z]+)*"
-#: A match, and the most words that a licence file has.
-LEAST_COSINE, FILE_WORDS = 0.6, 60
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Whole licence texts, without their copyright line. Fixed values; texts of many pages are known by their title and header.
+WHOLE = (
+    ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    ("ISC", "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."),
+)
+TEMPLATES = (*((k, t, False) for k, t in NOTICES), *((k, t, True) for k, t in WHOLE))
+#: Names of licence files, in lower case.
+NAMED = r"^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
+#: Ends of sentences, on a line and in a paragraph whose lines were joined; the patterns are the same in Java and RE2.
+SENTENCE, JOINED = r"\n|[.!?][ \t\r\n]+", r"\x01|[.!?][ \t\r]+"
+#: Paragraph ends and line ends, with the signs that comments begin lines with.
+PARAGRAPH, WRAP = r"\n[ \t\r#*/;%-]*\n[ \t\r\n#*/;%-]*", r"[ \t\r]*\n[ \t]*[#*/;%-]*[ \t]*"
+#: Terms, of which dots and hyphens at the end are cut. No group repeats in any pattern, so lines of any length are safe.
+TERM, ENDS = r"[0-9a-z][0-9a-z.-]*", ".-"
+#: Words that say nothing about licences; a sentence that shares no other with a notice can't match (checked in every run).
+STOP = frozenset("a an and any are as at be by can for in is it its may not of on or that the this to with you your".split())
+#: A match, and the share of a file's words that notices hold in a licence file of another name.
+LEAST_COSINE, FILE_SHARE = 0.6, 0.5
+
+
+def _any_of(words: set[str]) -> str:
+    return "(^|[^0-9a-z])(?:" + "|".join(re.escape(w) for w in sorted(words)) + ")($|[^0-9a-z])"
+
+
+_TERMS = {w.rstrip(ENDS) for _, t in NOTICES for w in re.findall(TERM, t.lower())}
+#: What a sentence has to hold to count among the texts that weigh terms, and to be compared at all.
+HINT, ALL_TERMS = _any_of(_TERMS - STOP), _any_of(_TERMS)
+
+
+def _parts(hint: str):
+    """What of a text is compared, as (kind, part): sentences by line (l) and joined (j) that match ``hint``; whole licence files (w)."""
+    text = F.col("text")
+    joined = F.regexp_replace(F.regexp_replace(text, PARAGRAPH, "\x01"), WRAP, " ")
+
+    def sentences(x, ends, kind):
+        return F.transform(F.filter(F.array_distinct(F.split(x, ends)), lambda p: F.lower(p).rlike(hint)), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
+
+    none = F.array().cast("array<struct<kind:string,part:string>>")
+    notices = F.concat(sentences(text, SENTENCE, "l"), sentences(joined, JOINED, "j"))
+    return F.concat(F.when(F.lower(text).rlike(hint), notices).otherwise(none), F.when(F.col("named"), F.array(F.struct(F.lit("w").alias("kind"), text.alias("part")))).otherwise(none))
+
+
+def _terms(parts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    terms = F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("term")
+    return parts.select(*keys, terms).withColumn("term", F.rtrim("term", F.lit(ENDS))).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``path, license, score, origin, from_dir`` per row of ``path, text`` and the kept columns.
 
     ``origin`` is ``own``, ``inherited`` or ``none``; ``from_dir`` is the directory whose licence file is
-    inherited. ``score`` is the cosine of the best sentence to 6 places, null without a licence of its own.
-    Whole texts are read, sentence by sentence. Equal sentences are scored once, so a notice that stands in a
-    third of the files costs a partial count a task. Weights count every distinct sentence with a hint and
-    every template. Of several licence files in a directory the best match counts, then the first name. A null
-    path is its own place and inherits nothing; null texts have no licence. Empty tables give empty results.
+    inherited. ``score`` is the cosine of the best part to 6 places, null without a licence of its own; of
+    equal scores the first identifier counts. Whole texts are read. Equal parts are scored once, so a notice
+    that stands in a third of the files costs a partial count a task. Weights count every distinct part that
+    shares a telling word with a notice, every whole licence file and every template. Parts that share none
+    are left out of the comparison only because they can't reach the least cosine; where the weights don't
+    bear that out, every part that shares any word is compared. Of several licence files in a directory the
+    best match counts, then the first name, then the first identifier. A null path is its own place: it keeps
+    its own licence and inherits nothing; rows that share a path keep their own licences each. Null texts have
+    no licence. Other columns are ignored. Empty tables give empty results.
     """
-    rows = files.select(*keep, "path", text_of().alias("text"))
-    hinted = rows.where(F.col("text").rlike(HINT)).select("path", F.regexp_count("text", F.lit(WORD)).alias("words"), F.explode(F.array_distinct(F.split("text", SENTENCE))).alias("sentence"))
-    hinted = saved(hinted.where(F.col("sentence").rlike(HINT)).withColumn("s", F.sha2("sentence", 256)), "license-sentences")
-    every = hinted.groupBy("s").agg(F.first("sentence").alias("sentence"))
     spark = files.sparkSession
-    notices = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(TEMPLATES)], "t int, license string, notice string")
-    terms = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))).alias("term")
-    of_sentence = saved(every.select("s", terms("sentence")).groupBy("s", "term").agg(F.count("*").alias("tf")), "license-terms")
-    of_notice = notices.select("t", terms("notice")).groupBy("t", "term").agg(F.count("*").alias("tf"))
-    texts = of_sentence.select(F.countDistinct("s")).first()[0] + len(TEMPLATES)
-    df = of_sentence.select("term").unionByName(of_notice.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weight = (F.col("tf") * (F.log(F.lit(texts + 1.0) / (F.col("df") + 1)) + 1)).alias("w")
-    df = saved(df, "license-df")
-    # the templates are a fixed list: their terms are bounded
-    t = F.broadcast(of_notice.join(df, "term").select("t", "term", weight))
-    t_norm = t.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    s = of_sentence.join(df, "term").select("s", "term", weight)
+    name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
+    rows = files.select(*keep, "path", text_of().alias("text"), F.coalesce(name.rlike(NAMED), F.lit(False)).alias("named"))
+    rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    notices = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "t int, license string, notice string, whole boolean")
+    of_notice = _terms(notices, ["t", "whole"], "notice")
+
+    for hint in (HINT, ALL_TERMS):
+        lean = rows.select(*keep, "path", "named", "k1", "k2", F.when(F.lower("text").rlike(hint) | F.col("named"), F.regexp_count("text", F.lit(WORD))).alias("words"), _parts(hint).alias("parts"))
+        lean = saved(lean.withColumn("held", F.size("parts") > 0), "license-rows")
+        part = lean.where("held").select("named", "k1", "k2", "words", F.explode("parts").alias("p")).select("named", "k1", "k2", "words", "p.*", (F.col("p.kind") == "w").alias("whole"))
+        part = part.withColumn("s", F.md5(F.concat(F.col("whole").cast("string"), "part").cast("binary")))
+        # equal texts are one, with the number of their rows
+        of_text = saved(part.groupBy("named", "k1", "k2", "kind", "s").agg(F.first("words").alias("words"), F.count("*").alias("copies")), "license-parts")
+        every = part.groupBy("s", "whole").agg(F.first("part").alias("part"), F.count("*").alias("n"))
+        every = saved(every.withColumns({"size": F.regexp_count("part", F.lit(WORD)), "weighs": F.col("whole") | F.lower("part").rlike(HINT)}), "license-sentences")
+        of_part = saved(_terms(every, ["s", "whole", "weighs"], "part"), "license-terms")
+        texts = every.where("weighs").count() + len(TEMPLATES)
+        df = of_part.select("term", F.col("weighs").cast("int").alias("one")).unionByName(of_notice.select("term", F.lit(1).alias("one")))
+        df = saved(df.groupBy("term").agg(F.sum("one").alias("df"), F.count("*").alias("n")), "license-df")
+        weight = ((1 + F.log(F.col("tf").cast("double"))) * (F.log(F.lit(texts + 1.0) / (F.col("df") + 1)) + 1)).alias("w")
+        # the templates are a fixed list, so their terms are bounded
+        t = of_notice.join(df.drop("n"), "term").select("t", "whole", "term", weight)
+        # what a sentence without a telling word can reach, by Cauchy and Schwarz
+        stop = F.sum(F.when(F.col("term").isin(sorted(STOP)), F.col("w") ** 2).otherwise(0.0))
+        reach = t.where("not whole").groupBy("t").agg(F.sqrt(stop / F.sum(F.col("w") ** 2)).alias("r")).agg(F.max("r")).first()[0]
+        if reach < LEAST_COSINE:
+            break
+
+    total = df.agg(F.sum("n")).first()[0]
+    s = join_spread(of_part, df, ["term"], "n", total).select("s", "whole", "term", weight)
     s_norm = s.groupBy("s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s_norm"))
-    dot = s.withColumnRenamed("w", "sw").join(t, "term").groupBy("s", "t").agg(F.sum(F.col("sw") * F.col("w")).alias("dot"))
+    t_norm = t.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
+    dot = s.withColumnRenamed("w", "sw").join(F.broadcast(t), ["term", "whole"]).groupBy("s", "t").agg(F.sum(F.col("sw") * F.col("w")).alias("dot"))
     dot = dot.join(F.broadcast(t_norm), "t").join(F.broadcast(notices.select("t", "license")), "t").join(s_norm, "s")
     dot = dot.withColumn("score", F.round(F.col("dot") / (F.col("s_norm") * F.col("t_norm")), 6)).where(F.col("score") >= LEAST_COSINE)
-    best = dot.groupBy("s").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("m"))
-    best = saved(best.select("s", "m.license", "m.score"), "license-matches")
-    own = hinted.join(best, "s").groupBy("path").agg(F.first("words").alias("words"), F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("m"))
-    own = saved(own.select("path", "words", "m.license", "m.score"), "license-own")
-
-    parent = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
-    files_of = own.where((F.col("words") <= FILE_WORDS) & F.col("path").isNotNull()).withColumn("dir", parent("path"))
-    covered = files_of.groupBy("dir").agg(F.min_by("license", F.struct(-F.col("score"), F.col("path"))).alias("dir_license"))
+    first = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("m")
+    best = dot.groupBy("s").agg(first).select("s", "m.*").join(every.select("s", "size", "n"), "s")
+    total = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = join_spread(of_text, saved(best, "license-matches"), ["s"], "n", total)
+    share = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("size"))), F.lit(0))
+    own = own.groupBy("named", "k1", "k2").agg(first, F.greatest(share("l"), share("j")).alias("covered"), F.first("words").alias("words"))
+    own = own.select("named", "k1", "k2", "m.*", (F.col("named") | (F.col("covered") >= F.col("words") * FILE_SHARE)).alias("covers"))
+    # a fact for every text that was compared, so that many rows of one text without a match are found too
+    facts = of_text.groupBy("named", "k1", "k2").agg(F.max("copies").alias("copies")).join(own, ["named", "k1", "k2"], "left")
+    facts = saved(facts, "license-own")
+    total = facts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    names = [*keep, "path", "license", "score", "covers"]
+    mine = join_spread(lean.where("held").select(*keep, "path", "named", "k1", "k2"), facts, ["named", "k1", "k2"], "copies", total).select(*names)
+    mine = mine.unionByName(lean.where("not held").select(*keep, "path"), allowMissingColumns=True)
+    mine = saved(mine.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "license-files")
+
+    covered = mine.where("covers and path is not null").groupBy("dir").agg(F.min_by("license", F.struct(-F.col("score"), F.col("path"), F.col("license"))).alias("dir_license"))
     covered = saved(covered, "license-dirs")
-    dirs = rows.where("path is not null").select(parent("path").alias("dir")).distinct()
-    depth = F.size(F.split("dir", "/"))
-    up = dirs.select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("level"))
+    dirs = saved(mine.where("path is not null").groupBy("dir").agg(F.count("*").alias("n")), "license-places")
+    up = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(F.split("dir", "/")))).alias("level"))
     up = up.withColumn("at", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("level")), "/"))
-    near = up.join(covered.withColumnRenamed("dir", "at"), "at").groupBy("dir").agg(F.max_by(F.struct("dir_license", "at"), "level").alias("near"))
-    near = saved(near.select("dir", "near.dir_license", F.col("near.at").alias("at")), "license-near")
-    out = rows.select(*keep, "path").join(own.select("path", "license", "score"), "path", "left").withColumn("dir", parent("path")).join(near, "dir", "left")
+    # a directory with very many below it is one key of this join
+    above = up.groupBy("at").agg(F.count("*").alias("n")).join(covered.withColumnRenamed("dir", "at"), "at")
+    near = join_spread(up, above, ["at"], "n", up.count()).groupBy("dir").agg(F.max_by(F.struct("dir_license", "at"), "level").alias("near"))
+    near = saved(dirs.join(near, "dir", "left").select("dir", "n", "near.dir_license", "near.at"), "license-near")
+    total = near.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = join_spread(mine.where("path is not null"), near, ["dir"], "n", total).unionByName(mine.where("path is null"), allowMissingColumns=True)
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
-    return out.select(*keep, "path", F.coalesce("license", "dir_license").alias("license"), "score", origin.alias("origin"), F.when(origin == "inherited", F.col("at")).alias("from_dir"))
+    return placed.select(*keep, "path", F.coalesce("license", "dir_license").alias("license"), "score", origin.alias("origin"), F.when(origin == "inherited", F.col("at")).alias("from_dir"))
 
 
 def as_files(docs: DataFrame) -> DataFrame:
     """Documents laid out as files: source / language / thousand of the id / id.
 
-    Ids divisible by 50 stand one directory higher and those divisible by 500 directly under the source, so
-    that directories of every depth hold files.
+    Ids divisible by 50 stand one directory higher and those divisible by 500 directly under the source, named
+    as licence files, so that directories of every depth hold files and some licence files. A null id is a
+    null path.
     """
     part = lambda c: F.coalesce(F.col(c), F.lit("_"))
     name = F.col("doc_id").cast("string")
     shelf = F.floor(F.col("doc_id") / 1000).cast("string")
-    path = F.when(F.col("doc_id") % 500 == 0, F.concat_ws("/", part("source"), name)).when(F.col("doc_id") % 50 == 0, F.concat_ws("/", part("source"), part("lang"), name))
+    named = F.concat(F.lit("LICENSE-"), name)
+    path = F.when(F.col("doc_id") % 500 == 0, F.concat_ws("/", part("source"), named)).when(F.col("doc_id") % 50 == 0, F.concat_ws("/", part("source"), part("lang"), named))
     return docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path.otherwise(F.concat_ws("/", part("source"), part("lang"), shelf, name))).alias("path"), "text")
 
 
@@ -112,50 +205,60 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    notices = ",\n    ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(TEMPLATES))
+    """All parts of all files are compared here, without regard to telling words; those only say what counts in the weights."""
+    quoted = lambda x: x.replace("'", "''")
+    notices = ",\n    ".join(f"({i}, '{k}', '{quoted(t)}', {str(w).lower()})" for i, (k, t, w) in enumerate(TEMPLATES))
+    weight = "(1 + ln(tf)) * (ln((texts + 1.0) / (coalesce(df, 0) + 1)) + 1)"
     return rf"""
-WITH notices(t, license, notice) AS (VALUES
+WITH notices(t, license, notice, whole) AS (VALUES
     {notices}),
 files AS (
-  SELECT doc_id, coalesce(text, '') AS text,
-         CASE WHEN doc_id IS NULL THEN NULL
-              WHEN doc_id % 500 = 0 THEN coalesce(source, '_') || '/' || doc_id
-              WHEN doc_id % 50 = 0 THEN coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || doc_id
-              ELSE coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || (doc_id // 1000) || '/' || doc_id END AS path
-  FROM documents),
-hinted AS (
-  SELECT * FROM (
-    SELECT path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
-           unnest(list_distinct(string_split_regex(text, '\n|[.!?][ \t\r\n]+'))) AS s
-    FROM files WHERE regexp_matches(text, '{HINT}'))
-  WHERE regexp_matches(s, '{HINT}')),
-sentences AS (SELECT DISTINCT s FROM hinted),
-st AS (SELECT s, term, count(*) AS tf FROM (SELECT s, unnest(regexp_extract_all(lower(s), '{TERM}')) AS term FROM sentences) GROUP BY s, term),
-nt AS (SELECT t, term, count(*) AS tf FROM (SELECT t, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM notices) GROUP BY t, term),
-df AS (SELECT term, count(*) AS df FROM (SELECT term FROM st UNION ALL SELECT term FROM nt) GROUP BY term),
-n AS (SELECT (SELECT count(DISTINCT s) FROM st) + (SELECT count(*) FROM notices) AS texts),
-sw AS (SELECT s, st.term, tf * (ln((texts + 1.0) / (df + 1)) + 1) AS w FROM st JOIN df ON st.term = df.term, n),
-tw AS (SELECT t, nt.term, tf * (ln((texts + 1.0) / (df + 1)) + 1) AS w FROM nt JOIN df ON nt.term = df.term, n),
-sn AS (SELECT s, sqrt(sum(w * w)) AS norm FROM sw GROUP BY s),
+  SELECT *, row_number() OVER () AS r, regexp_matches(lower(coalesce(regexp_extract(path, '[^/]*$'), '')), '{NAMED}') AS named,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         regexp_replace(regexp_replace(text, '{PARAGRAPH}', chr(1), 'g'), '{WRAP}', ' ', 'g') AS joined
+  FROM (
+    SELECT doc_id, coalesce(text, '') AS text,
+           CASE WHEN doc_id IS NULL THEN NULL
+                WHEN doc_id % 500 = 0 THEN coalesce(source, '_') || '/LICENSE-' || doc_id
+                WHEN doc_id % 50 = 0 THEN coalesce(source, '_') || '/' || coalesce(lang, '_') || '/LICENSE-' || doc_id
+                ELSE coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || (doc_id // 1000) || '/' || doc_id END AS path
+    FROM documents)),
+parts AS (
+  SELECT r, 'l' AS kind, false AS whole, unnest(list_distinct(string_split_regex(text, '{SENTENCE}'))) AS s FROM files
+  UNION ALL SELECT r, 'j', false, unnest(list_distinct(string_split_regex(joined, '{JOINED}'))) FROM files
+  UNION ALL SELECT r, 'w', true, text FROM files WHERE named),
+sentences AS (
+  SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS size, whole OR regexp_matches(lower(s), '{HINT}') AS weighs
+  FROM (SELECT DISTINCT s, whole FROM parts) WHERE whole OR regexp_matches(lower(s), '{ALL_TERMS}')),
+st AS (SELECT s, whole, weighs, term, count(*) AS tf FROM (SELECT s, whole, weighs, rtrim(unnest(regexp_extract_all(lower(s), '{TERM}')), '{ENDS}') AS term FROM sentences) GROUP BY ALL),
+nt AS (SELECT t, whole, term, count(*) AS tf FROM (SELECT t, whole, rtrim(unnest(regexp_extract_all(lower(notice), '{TERM}')), '{ENDS}') AS term FROM notices) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT term FROM st WHERE weighs UNION ALL SELECT term FROM nt) GROUP BY term),
+n AS (SELECT (SELECT count(*) FROM sentences WHERE weighs) + (SELECT count(*) FROM notices) AS texts),
+sw AS (SELECT s, whole, st.term, {weight} AS w FROM st LEFT JOIN df ON st.term = df.term, n),
+tw AS (SELECT t, whole, nt.term, {weight} AS w FROM nt LEFT JOIN df ON nt.term = df.term, n),
+sn AS (SELECT s, whole, sqrt(sum(w * w)) AS norm FROM sw GROUP BY s, whole),
 tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tw GROUP BY t),
-dots AS (SELECT s, t, sum(sw.w * tw.w) AS dot FROM sw JOIN tw ON sw.term = tw.term GROUP BY s, t),
+dots AS (SELECT s, sw.whole, t, sum(sw.w * tw.w) AS dot FROM sw JOIN tw ON sw.term = tw.term AND sw.whole = tw.whole GROUP BY ALL),
 scored AS (
-  SELECT d.s, license, round(dot / (sn.norm * tn.norm), 6) AS score
-  FROM dots d JOIN sn ON d.s = sn.s JOIN tn ON d.t = tn.t JOIN notices ON d.t = notices.t),
-best AS (SELECT * FROM scored WHERE score >= {LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, license) = 1),
+  SELECT d.s, d.whole, license, round(dot / (sn.norm * tn.norm), 6) AS score
+  FROM dots d JOIN sn ON d.s = sn.s AND d.whole = sn.whole JOIN tn ON d.t = tn.t JOIN notices ON d.t = notices.t),
+best AS (SELECT * FROM scored WHERE score >= {LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY s, whole ORDER BY score DESC, license) = 1),
+matched AS (
+  SELECT r, kind, size, license, score FROM parts p JOIN best b ON p.s = b.s AND p.whole = b.whole JOIN sentences z ON p.s = z.s AND p.whole = z.whole),
 own AS (
-  SELECT path, words, license, score FROM hinted JOIN best ON hinted.s = best.s
-  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+  SELECT r, arg_min(license, (-score, license)) AS license, max(score) AS score,
+         greatest(coalesce(sum(size) FILTER (kind = 'l'), 0), coalesce(sum(size) FILTER (kind = 'j'), 0)) AS covered
+  FROM matched GROUP BY r),
 covered AS (
-  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license FROM own WHERE words <= {FILE_WORDS} AND path IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, path) = 1),
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license FROM own JOIN files USING (r) WHERE (named OR covered >= words * {FILE_SHARE}) AND path IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, path, license) = 1),
 near AS (
-  SELECT f.path, c.license, c.dir FROM files f JOIN covered c ON starts_with(f.path, c.dir || '/') OR c.dir = ''
-  QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(c.dir) DESC) = 1)
+  SELECT f.r, c.license, c.dir FROM files f JOIN covered c ON starts_with(f.path, c.dir || '/') OR c.dir = ''
+  QUALIFY row_number() OVER (PARTITION BY f.r ORDER BY length(c.dir) DESC) = 1)
 SELECT f.doc_id, f.path, coalesce(own.license, near.license) AS license, own.score AS score,
        CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        CASE WHEN own.license IS NULL THEN near.dir END AS from_dir
-FROM files f LEFT JOIN own ON f.path = own.path LEFT JOIN near ON f.path = near.path
+FROM files f LEFT JOIN own ON f.r = own.r LEFT JOIN near ON f.r = near.r
 """
 
 

@@ -74,11 +74,82 @@ def test_licenses_agree_with_sql(spark, rows):
         assert set(got["origin"]) == {"own", "inherited", "none"} or set(got["origin"]) == {"own", "inherited"}
 
 
+def scanned(spark, rows):
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string").withColumn("license", F.lit("clash")).withColumn("dir", F.lit("x")), keep=())
+    return sorted((tuple(r)[:2] + (r["origin"], r["from_dir"]) for r in got.collect()), key=str)
+
+
 def test_nearest_license_file_wins(spark):
-    rows = [("a/LICENSE", NOTICE), ("a/b/LICENSE", "Licensed under CC BY 4.0."), ("a/b/c/x", "code"), ("a/y", "code"), ("z/q", "code"), ("a/b/own", "w " * 99 + "\n" + NOTICE)]
-    got = {r["path"]: (r["license"], r["origin"], r["from_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string"), keep=()).collect()}
-    assert got["a/b/c/x"] == ("CC-BY-4.0", "inherited", "a/b") and got["a/y"] == ("MIT", "inherited", "a")
-    assert got["z/q"] == (None, "none", None) and got["a/b/own"] == ("MIT", "own", None)
+    rows = [("a/LICENSE", NOTICE), ("a/b/LICENSE", "Licensed under CC BY 4.0."), ("a/b/c/x", "code"), ("a/y", "code"), ("z/q", "code"), ("a/b/own", "w " * 99 + "\n" + NOTICE), ("a/b/own2", NOTICE), ("q/license.txt", "all rights are kept"), ("q/x", "code")]
+    got = {p: r for p, *r in scanned(spark, rows)}
+    assert got["a/b/c/x"] == ["CC-BY-4.0", "inherited", "a/b"] and got["a/y"] == ["MIT", "inherited", "a"]
+    assert got["z/q"] == got["q/x"] == [None, "none", None] and got["a/b/own"] == ["MIT", "own", None]
+
+
+def filled(name):
+    whole = next(t for k, t, w in licenses.TEMPLATES if w and k == name)
+    body = whole.replace(". ", ".\n\n", 1) if name in ("MIT", "ISC") else whole
+    lines, line = [], ""
+    for word in body.replace("\n\n", " \n\n ").split(" "):
+        if word == "\n\n":
+            lines += [line, "Copyright (c) 2021 Some Body <some@body.example>", ""]
+            line = ""
+        elif len(line) + len(word) > 70:
+            lines.append(line)
+            line = word
+        else:
+            line = f"{line} {word}".strip()
+    return "\n".join([*lines, line])
+
+
+HEADER = """%(c)s This file is part of Frob.
+%(c)s
+%(c)s This program is free software; you can redistribute it and/or modify
+%(c)s it under the terms of the GNU General Public License as published by
+%(c)s the Free Software Foundation; either version %(v)s of the License, or
+%(c)s (at your option) any later version.
+
+int main() { return 0; }
+"""
+
+
+def test_whole_license_texts_and_wrapped_headers(spark):
+    rows = [(f"p/{k.lower()}/{n}", filled(k)) for k, n in (("MIT", "LICENSE"), ("BSD-2-Clause", "LICENSE.txt"), ("BSD-3-Clause", "COPYING"), ("ISC", "license.md"), ("Unlicense", "UNLICENSE"))]
+    rows += [(f"p/{k}/src/code.c", "int x;") for k in ("mit", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense")]
+    rows += [(f"g/{v}{i}.c", HEADER % {"c": c, "v": v}) for v in (2, 3) for i, c in enumerate(["#", "//", " *", ";;", "--"])]
+    rows += [("m/about", filled("MIT")), ("m/x", "code"), ("n/about", filled("MIT") + "\n\n" + "prose about other things " * 300), ("n/x", "code")]
+    got = {p: r for p, *r in scanned(spark, rows)}
+    for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense"):
+        own = next(r for p, r in got.items() if p.startswith(f"p/{k.lower()}/") and "src" not in p)
+        assert own == [k, "own", None] and got[f"p/{k.lower()}/src/code.c"] == [k, "inherited", f"p/{k.lower()}"]
+    assert all(got[f"g/{v}{i}.c"] == [f"GPL-{v}.0", "own", None] for v in (2, 3) for i in range(5))
+    assert got["m/about"][0] == got["n/about"][0] == "MIT" and got["n/x"] == [None, "none", None]
+
+
+def test_licenses_of_null_and_shared_paths(spark):
+    rows = [(None, NOTICE), (None, "text"), (None, None), ("a/x", NOTICE), ("a/x", "Licensed under CC BY 4.0."), ("a/x", "plain"), ("a/x", "plain"), ("top", "plain"), ("", "plain"), ("LICENSE", NOTICE)]
+    got = scanned(spark, rows)
+    assert [r for r in got if r[0] is None] == [(None, "MIT", "own", None), (None, None, "none", None), (None, None, "none", None)]
+    assert [r[1:3] for r in got if r[0] == "a/x"].count(("CC-BY-4.0", "own")) == 1 and [r[1:3] for r in got if r[0] == "a/x"].count(("MIT", "own")) == 1
+    assert [r for r in got if r[0] == "top"] == [("top", "MIT", "inherited", "")] and len(got) == len(rows)
+
+
+def test_licenses_of_equal_scores_go_by_name(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATES", (("Z-1", "Covered by the frob terms of use", False), ("A-1", "Covered by the frob terms of use", False)))
+    monkeypatch.setattr(licenses, "HINT", licenses._any_of({"covered", "frob", "terms", "use"}))
+    monkeypatch.setattr(licenses, "ALL_TERMS", licenses._any_of({"covered", "by", "the", "frob", "terms", "of", "use"}))
+    assert scanned(spark, [("a", "Covered by the frob terms of use.")]) == [("a", "A-1", "own", None)]
+
+
+def test_licenses_with_hot_groups_and_long_lines(spark, monkeypatch):
+    from perigee.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 4)
+    rows = [(f"d/e{i % 3}/f{i}", "same text " + NOTICE if i % 2 else f"text {i}") for i in range(90)] + [(f"d/g/{i}", None) for i in range(30)]
+    rows += [("d/LICENSE", "Licensed under CC BY 4.0."), ("l/1", "license-" * 20_000 + "x\n" + "\n" * 20_000 + NOTICE), ("l/LICENSE", "a-" * 30_000 + "mit license " * 10_000)]
+    got = {p: r for p, *r in scanned(spark, rows)}
+    assert len(got) == len(rows) and sum(r[1] == "inherited" for r in got.values()) == 75 and got["d/g/3"] == ["CC-BY-4.0", "inherited", "d"]
+    assert got["l/1"] == ["MIT", "own", None]
 
 
 PAGES = "page_id long, url string, html string"
