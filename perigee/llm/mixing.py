@@ -50,26 +50,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
     """How many words of each document the mix takes: ``keep`` columns, ``size, source_size, target, taken``.
 
     ``docs`` has ``doc_id, text, source``; other columns are ignored. Null text counts 0 words, a null
-    source is a source of its own. Documents are shuffled within a source by the md5 of their id; rows that
-    agree in id and size are interchangeable, so reruns agree; further ``keep`` columns put them in order. A copy is queued while its middle lies before its
+    source is a source of its own. Documents are shuffled within a source by the md5 of their id and text, so
+    that rows without an id or of one id spread as well; rows that agree in both are interchangeable, so reruns
+    agree; further ``keep`` columns put them in order. A copy is queued while its middle lies before its
     source's target, so a source comes within half a document of it; the budget is the number of words of all
     documents and is never exceeded, which may cost the copies that finish last. Empty tables give empty results.
     """
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    h = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of().cast("binary"))).cast("binary"))
     more = [c for c in keep if c != "doc_id"]
-    sizes = docs.select("doc_id", "source", *more, F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    sizes = docs.select("doc_id", "source", *more, F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), h.alias("h"))
     sizes = saved(sizes, "mix-sizes")
     stats = saved(source_targets(sizes, weights, repeats), "mix-sources")
     total, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    digits = min(4, max(1, math.ceil(math.log(max(rows, 16) / 256 + 1, 16))))
+    # buckets of about 256 rows, up to 268 million rows a source; from there on they grow with the rows
+    digits = min(5, max(1, math.ceil(math.log(max(rows, 16) / 256 + 1, 16))))
     ranges = 16**digits
 
     s = stats.withColumnRenamed("source", "stat_source")
     x = sizes.join(s, sizes["source"].eqNullSafe(s["stat_source"])).drop("stat_source", "weight")
-    x = x.withColumn("h", h).withColumn("bucket", F.substring("h", 1, digits))
+    x = x.withColumn("bucket", F.substring("h", 1, digits))
     own = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size", *more)
     x = x.withColumn("in_bucket", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = sizes.join(s, sizes["source"].eqNullSafe(s["stat_source"])).withColumn("bucket", F.substring(h, 1, digits))
+    sums = sizes.join(s, sizes["source"].eqNullSafe(s["stat_source"])).withColumn("bucket", F.substring("h", 1, digits))
     sums = sums.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("idx", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
@@ -111,7 +113,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h, row_number() OVER () AS r
   FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 numbered AS (
@@ -129,8 +131,8 @@ targets AS (
   SELECT source, idx, source_size, least(cap::DOUBLE, coalesce((SELECT w FROM water), 0.0) * weight) AS target
   FROM levels),
 queue AS (
-  SELECT s.doc_id, s.size, s.h, t.idx, t.source_size, t.target,
-         (sum(s.size) OVER (PARTITION BY t.idx ORDER BY s.h, s.doc_id, s.size
+  SELECT s.doc_id, s.size, s.h, s.r, t.idx, t.source_size, t.target,
+         (sum(s.size) OVER (PARTITION BY t.idx ORDER BY s.h, s.doc_id, s.size, s.r
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS handed
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 copies AS (
@@ -138,12 +140,12 @@ copies AS (
   FROM queue q, (VALUES (0), (1), (2)) e(e)
   WHERE size > 0 AND target > 0 AND (handed * 2 - size + source_size * 2 * e.e) < target * 2),
 fitted AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, idx, h, doc_id, size, e
+  SELECT *, sum(size) OVER (ORDER BY finish, idx, h, doc_id, size, e, r
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
   FROM copies),
 took AS (
-  SELECT doc_id, sum(size)::BIGINT AS taken FROM fitted
-  WHERE total <= (SELECT sum(size) FROM sizes) GROUP BY doc_id)
+  SELECT r, sum(size)::BIGINT AS taken FROM fitted
+  WHERE total <= (SELECT sum(size) FROM sizes) GROUP BY r)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken
-FROM queue q LEFT JOIN took k ON q.doc_id = k.doc_id
+FROM queue q LEFT JOIN took k ON q.r = k.r
 """

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm.common import saved, table
+from perigee.llm.common import join_spread, saved, table
 
 #: Payloads from this many bytes up are stored once.
 LEAST = 100
@@ -128,17 +128,26 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """``path, content`` of archives, each one gzip stream, with a record for every row of ``pages``.
 
     ``pages`` has ``page_id, url, html``. Of rows with equal payloads of at least 100 bytes the one with the
-    smallest page_id is the response and the others revisit it; rows that repeat that id are responses too.
-    Digests are grouped without their payloads, so a payload that a third of the pages share costs a partial
-    minimum a task; pages meet the decisions by id, revisits only.
+    smallest page_id is the response and the others revisit it, rows without an id among them; rows that
+    repeat that id are responses too, and so are all where no row has an id. Digests are grouped without
+    their payloads, so a payload that a third of the pages share costs a partial minimum a task; pages meet
+    the decisions by id, revisits only.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     x = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     x = x.withColumn("digest", F.sha2("payload", 256))
     long = saved(x.where(F.octet_length("payload") >= LEAST).select("page_id", "digest"), "warc-digests")
-    first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = long.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    x = x.join(saved(revisits, "warc-revisits"), ["page_id", "digest"], "left")
+    first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows"), F.count_if(F.col("page_id").isNull()).alias("n"))
+    first = saved(first.where("rows > 1 or n > 0"), "warc-first")
+    revisits = long.join(first.where("rows > 1"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    revisits = saved(revisits, "warc-revisits")
+    if nameless := first.agg(F.sum("n")).first()[0]:
+        # long payloads without an id have only the digest to go by, which many may share
+        by_digest = F.col("page_id").isNull() & (F.octet_length("payload") >= LEAST)
+        found = join_spread(x.where(by_digest), first.where("n > 0").drop("rows"), ["digest"], "n", nameless)
+        x = x.where(~by_digest).join(revisits, ["page_id", "digest"], "left").unionByName(found)
+    else:
+        x = x.join(revisits, ["page_id", "digest"], "left")
     return x.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_write, "path string, content binary")
 
 
@@ -166,9 +175,9 @@ def sidecar(normalised: DataFrame) -> DataFrame:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     for batch in batches:
-        for content, index in zip(*batch.columns):
+        for content, spans in zip(*batch.columns):
             content, rows = content.as_py(), []
-            for span in index.as_py():
+            for span in spans.as_py():
                 head, block = split_record(gzip.decompress(content[span["offset"]: span["offset"] + span["length"]]))
                 http, _, payload = block.partition(b"\r\n\r\n")
                 number = lambda name: int(v) if (v := head[name][len("<urn:page:"): -1]) != "None" else None  # noqa: B023,E731
@@ -182,19 +191,39 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def read_archives(normalised: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to``: every record, fetched by its offset."""
-    return normalised.select("content", "index").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_archives(archives: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to``: every record, fetched by its offset.
+
+    ``archives`` has ``path, content`` with a member per record and ``offsets`` is their sidecar, ``path, offset,
+    length``. A response's payload has to agree with its digest. A revisit's payload is that of the response it
+    refers to, whose own length and digest it gets; one that refers to nothing, or to a response of another
+    digest, is an error.
+    """
+    # an archive is closed at a bounded size, and so are its offsets
+    spans = offsets.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))
+    found = archives.select("path", "content").join(spans, "path").select("content", "spans")
+    found = saved(found.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-records")
+    again = found.where("record_type = 'revisit'")
+    wanted = again.groupBy(F.col("refers_to").alias("id"), F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n"))
+    there = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("bytes"))
+    facts = saved(wanted.join(there, ["id", "digest"], "left"), "warc-referred")
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = join_spread(again.withColumnsRenamed({"refers_to": "id", "payload_digest": "digest"}), facts, ["id", "digest"], "n", total)
+    size = F.coalesce("bytes", F.raise_error(F.lit("a revisit refers to no payload")).cast("long"))
+    again = again.select("page_id", size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("id").alias("refers_to"))
+    return found.where("record_type <> 'revisit'").unionByName(again)
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back; a null html is an empty payload, equal payloads have equal digests.
 
-    Nulls in page_id and url are kept. Empty tables give empty results; extra columns are ignored.
+    The sidecar of offsets is a table of its own, and records are read through it. Nulls in page_id and url are
+    kept, repeated rows and ids are records of their own. Empty tables give empty results; extra columns are
+    ignored.
     """
     whole = saved(write_archives(pages), "warc-whole")
     members = saved(normalise_archives(whole), "warc-members")
-    return read_archives(members)
+    return read_archives(members, saved(sidecar(members), "warc-offsets"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +235,7 @@ WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT p.page_id, p.payload_bytes, p.payload_digest,
-       CASE WHEN f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
+       CASE WHEN f.first_id IS NOT NULL AND f.first_id IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id IS NOT NULL AND f.first_id IS DISTINCT FROM p.page_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
 """

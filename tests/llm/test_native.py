@@ -56,6 +56,13 @@ def test_mixing_agrees_with_sql(spark, rows):
         assert rows_of(again) == rows_of(got)
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join(["w%d" % rng.randrange(50)] * rng.randint(0, 30)), "en", rng.choice("aab"), 0) for i in range(150)] + [(4, "x y z", "en", "b", 0)] * 40 + [(None, "v " * 20_000, "en", "c", 0)]
+    got = against(spark, mixing.mix, mixing.OP6_SQL, DOCS, rows, "documents")
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     rows = [("a", 10), ("b", 1000), ("c", 5)]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
@@ -163,6 +170,25 @@ def test_warc_agrees_with_sql(spark, rows):
         assert dict(zip(got["page_id"], got["record_type"]))[1] == "response" and (got["record_type"] == "revisit").sum() == 3
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    rows = [(5, "a", LONG), (5, "b", LONG), (None, "c", LONG), (None, None, LONG), (7, "d", LONG), (None, "e", "z" * 300), (None, "f", "z" * 300), (None, "g", "short"), (None, None, None), (9, "h", "y" * 40_000_00), (3, "i", "y" * 40_000_00)]
+    got = against(spark, warc.archived, warc.OP7_SQL, PAGES, rows, "pages")
+    by = sorted((r["record_type"], r["refers_to"]) for r in got.fillna(-1).to_dict("records") if r["page_id"] == -1)
+    assert by == [("response", -1)] * 4 + [("revisit", 5)] * 2
+
+
+def test_revisits_need_their_response(spark):
+    import hashlib
+
+    payload = b"p" * 200
+    digest = hashlib.sha256(payload).hexdigest()
+    data, index = warc.normalise(warc.record(1, None, payload, digest, None) + warc.record(2, None, payload, digest, 9))
+    archives = spark.createDataFrame([("x", bytearray(data), index)], "path string, content binary, index array<struct<offset: long, length: long>>")
+    with pytest.raises(Exception, match="refers to no payload"):
+        warc.read_archives(archives, warc.sidecar(archives)).collect()
+    assert warc.read_archives(archives, warc.sidecar(archives).where("offset = 0")).count() == 1
+
+
 def test_warc_members_and_offsets(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "body %d " % i * 50) for i in range(20)], PAGES)
     whole = warc.write_archives(pages.coalesce(1)).collect()
