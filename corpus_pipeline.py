@@ -1,4 +1,9 @@
-"""The corpus pipeline: language, toxicity, near-duplicates, mixing and encoding, one stage after the other."""
+"""The corpus pipeline: language, toxicity, near-duplicates, mixing and encoding, one stage after the other.
+
+Rows are told apart by themselves, never by ``doc_id`` alone: null ids and ids that repeat take part in every
+stage, and each row goes or stays by its own text. Columns beyond those of ``documents`` are dropped at the
+first stage, whatever their names. An empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +18,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (null or letterless texts); a missing ``lang`` gets the prediction."""
+    """Drop documents without a language; a missing ``lang`` gets the prediction.
+
+    Null, empty and letterless texts have none. Rows that repeat, with or without an id, all stay. Texts of any
+    length are read whole. Without a row to learn from nothing has a language, and all go.
+    """
     model = langid.train(docs.where(~langid.held_out(3, 1)))
     known = langid.predict(docs, model, COLUMNS).where(F.col("lang_pred") != langid.UND)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents predicted toxic."""
+    """Drop documents predicted toxic, at a calibrated score of 0.5 or more.
+
+    Equal texts share their fate, whatever their ids. Without labels of both kinds none is toxic, and all stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~langid.held_out(5, 0)))
     return toxicity.predict(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -46,7 +58,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the mix takes; a row that it takes several times stands as many times.
 
-    Rows with null or equal ids are rows of their own: each stands as often as it was taken itself.
+    Rows with null or equal ids are rows of their own: each stands as often as it was taken itself, at most
+    three times. A null source is a source. Texts without a word aren't taken.
     """
     docs = keyed(docs)
     taken = mixing.mix(docs, keep=("row",)).where("taken > 0").select("row", F.expr("cast(taken div size as int)").alias("copies"))
@@ -55,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_bytes, n_pieces, ids_sha256, round_trip, ids`` of every text that is left."""
+    """``doc_id, n_bytes, n_pieces, ids_sha256, round_trip, ids`` of every row that is left; a null text is empty."""
     return sentencepieces.digest(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
 
 
