@@ -439,6 +439,39 @@ def test_pipeline_stages(spark):
     assert out.count() == mixed.count() and out.where("not round_trip").count() == 0
 
 
+def test_pipeline_accounts_for_every_row(spark):
+    import corpus_pipeline as pipe
+    from perigee.llm import mixing, simhash
+    from perigee.llm.common import table
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    first = docs.where("text is not null and n_chars > 200").orderBy("doc_id").limit(6).collect()
+    odd = [(None, None, None, None, 0), (None, "", "en", "src0", 0), (10**6, "½ 12", "en", None, 4), (10**6, first[0]["text"], None, None, 9), (None, first[1]["text"], None, None, 9), (None, first[1]["text"], None, None, 9),
+           (10**6, "the and of " * 40_000, None, "src1", 0), (None, "x" * 500_000, "en", "src1", 0), (first[2]["doc_id"], first[3]["text"], "en", "src2", 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, DOCS).select(docs.columns))
+    for name in ("row", "score", "fp", "part", "copies", "copy", "size", "taken", "lang_pred", "predicted", "label"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs = docs.cache()
+    n = docs.count()
+
+    known = pipe.identify_language(spark, docs, DATA).cache()
+    assert known.count() == n - 3 - docs.where("doc_id < 1000000 and (text is null or not text rlike '\\\\p{L}')").count()
+    assert known.where("lang is null").count() == 0 and known.columns == list(pipe.COLUMNS)
+    model = toxicity.train(known, table(spark, DATA, "labels").where(~langid.held_out(5, 0)))
+    bad = toxicity.predict(known, model).where("predicted = 1").count()
+    clean = pipe.drop_toxic(spark, known, DATA).cache()
+    assert clean.count() == known.count() - bad
+    single = pipe.drop_near_duplicates(spark, clean, DATA).cache()
+    assert single.count() == simhash.grouped(clean).select("part").distinct().count()
+    mixed = pipe.mix_sources(spark, single, DATA).cache()
+    taken = mixing.mix(single).agg(F.sum(F.expr("taken div size"))).first()[0]
+    assert mixed.count() == taken
+    assert pipe.encode_pieces(spark, mixed, DATA).count() == taken
+    for name, stage in pipe.STAGES:
+        out = stage(spark, docs.limit(0).select(*pipe.COLUMNS), DATA)
+        assert out.count() == 0 and (name == "pieces" or out.columns == list(pipe.COLUMNS))
+
+
 def test_pipeline_keeps_rows_apart(spark):
     import corpus_pipeline as pipe
     from perigee.llm import mixing
