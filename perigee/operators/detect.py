@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import is_finite
+from perigee.operators.ordered import exact_medians
 
 MAD_SCALE = 1.4826
 
@@ -24,9 +25,10 @@ def fit_std(df: DataFrame, boundary: int | None = None) -> DataFrame:
 def fit_mad(df: DataFrame, boundary: int | None = None) -> DataFrame:
     """``channel, center, scale, n``: median and scaled median absolute deviation."""
     x = _training(df, boundary)
-    center = x.groupBy("channel").agg(F.median("value").alias("center"))
+    center = exact_medians(x, ["channel"], "value", "center")
     far = x.join(center, "channel").withColumn("far", F.abs(F.col("value") - F.col("center")))
-    return far.groupBy("channel").agg(F.first("center").alias("center"), (F.median("far") * MAD_SCALE).alias("scale"), F.count("*").alias("n"))
+    scale = exact_medians(far, ["channel"], "far", "scale").withColumn("scale", F.col("scale") * MAD_SCALE)
+    return center.join(scale, "channel").join(x.groupBy("channel").agg(F.count("*").alias("n")), "channel")
 
 
 def missing_channels(df: DataFrame, parameters: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import split_of
+from perigee.operators.ordered import exact_medians
 
 SPLITS = ("train", "validation", "test")
 
@@ -100,10 +101,12 @@ def summary(ev: DataFrame) -> DataFrame:
 def quality(rows: DataFrame) -> DataFrame:
     """One row on a label table: rows, ids, extent, flags, durations (median cut to a whole number) and nulls."""
     d = F.col("end_ns") - F.col("start_ns")
-    return rows.agg(
+    one = rows.agg(
         F.count("*").alias("row_count"), F.count_distinct("event_id").alias("event_count"), F.min("start_ns").alias("first_start_ns"), F.max("end_ns").alias("last_end_ns"),
-        F.count_if("is_selected_channel").alias("selected_rows"), F.min(d).alias("min_duration_ns"), F.floor(F.median(d)).cast("long").alias("median_duration_ns"), F.max(d).alias("max_duration_ns"),
+        F.count_if("is_selected_channel").alias("selected_rows"), F.min(d).alias("min_duration_ns"), F.max(d).alias("max_duration_ns"),
         F.count_if(d == 0).alias("zero_durations"), F.count_if(F.col("category").isNull()).alias("null_categories"), F.count_if(F.col("class").isNull()).alias("null_classes"))
+    middle = exact_medians(rows.withColumn("__d", d), (), "__d").select(F.floor("median").cast("long").alias("median_duration_ns"))
+    return one.join(middle, F.lit(True), "left")  # single rows
 
 
 def quality_by_category(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,16 @@ def spanned(df: DataFrame, time: str, width: int = DAY) -> DataFrame:
     return df.withColumn(SPAN, F.floor(F.col(time) / F.lit(width)).cast("long"))
 
 
+def meet(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``; nulls are equal to each other, as they are in windows and groups."""
+    right = facts.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = df[k].eqNullSafe(right[f"__r_{k}"])
+        on = same if on is None else on & same
+    return df.join(right, on).drop(*[f"__r_{k}" for k in keys])
+
+
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], width: int = DAY) -> DataFrame:
     """Adds structs ``prev`` and ``next`` of ``columns`` of the row before and after in ``order`` (time first)."""
     df = spanned(df, order[0], width)
@@ -29,7 +39,8 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns
     ends = df.groupBy(*keys, SPAN).agg(F.min_by(row, at).alias("__first"), F.max_by(row, at).alias("__last"))
     across = Window.partitionBy(*keys).orderBy(SPAN)
     ends = ends.select(*keys, SPAN, F.lag("__last").over(across).alias("__before"), F.lead("__first").over(across).alias("__after"))
-    df = df.withColumn("__p", F.lag(row).over(own)).withColumn("__n", F.lead(row).over(own)).join(ends, [*keys, SPAN])
+    df = df.withColumn("__p", F.lag(row).over(own)).withColumn("__n", F.lead(row).over(own))
+    df = meet(df, ends, [*keys, SPAN])
     return df.withColumn("prev", F.coalesce("__p", "__before")).withColumn("next", F.coalesce("__n", "__after")).drop("__p", "__n", "__before", "__after", SPAN)
 
 
@@ -41,7 +52,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     sums = df.groupBy(*keys, SPAN).agg(*[F.sum(f"__v{i}").alias(f"__s{i}") for i in range(len(names))])
     across = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, SPAN, *[F.coalesce(F.sum(f"__s{i}").over(across), F.lit(0)).alias(f"__o{i}") for i in range(len(names))])
-    df = df.withColumns({f"__c{i}": F.sum(f"__v{i}").over(own) for i in range(len(names))}).join(sums, [*keys, SPAN])
+    df = meet(df.withColumns({f"__c{i}": F.sum(f"__v{i}").over(own) for i in range(len(names))}), sums, [*keys, SPAN])
     df = df.withColumns({n: F.col(f"__c{i}") + F.col(f"__o{i}") for i, n in enumerate(names)})
     return df.drop(SPAN, *[f"__{k}{i}" for k in "vco" for i in range(len(names))])
 
@@ -64,7 +75,8 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, key
     ends = both.groupBy(*keys, SPAN).agg(F.max_by("__r", F.when(F.col("__side") == 0, F.struct("__t", "__k"))).alias("__e"))
     across = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, SPAN, F.last("__e", ignorenulls=True).over(across).alias("__carried"))
-    found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(own)).where("__side = 1").join(ends, [*keys, SPAN])
+    found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(own)).where("__side = 1")
+    found = meet(found, ends, [*keys, SPAN])
     return found.select("__l.*", F.coalesce("__m", "__carried").alias("match"))
 
 
@@ -91,3 +103,41 @@ def trailing_counts(left: DataFrame, right: DataFrame, left_time: str, right_tim
     wide = both.groupBy("__row").agg(F.count_if(F.col("__end") == -1).cast("int").alias("__copies"), *[(at(i, -1) - at(i, ends.index(length[n]))).alias(f"__d{i}") for i, n in enumerate(names)])
     wide = wide.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))  # repeated rows stay repeated
     return wide.select("__row.*", *[F.col(f"__d{i}").alias(n) for i, n in enumerate(names)])
+
+
+#: Buckets of values that ranks are counted in, and how near approximate quantiles cut them; neither changes a result.
+CUTS, NEARNESS = 64, 2000
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
+    """``keys, point, quantile_value``: quantiles of non-null values with linear interpolation, exact.
+
+    Equal values are counted first. Approximate quantiles cut every key's values into buckets of about equal
+    weight; running counts inside buckets and one row a bucket give the ranks, so no key's values meet in one
+    task. Keys without a value have no rows.
+    """
+    x = df.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(0).alias("__one")).where("__v is not null")
+    by = [*keys, "__one"]
+    cuts = x.groupBy(*by).agg(F.approx_percentile("__v", [i / CUTS for i in range(1, CUTS)], NEARNESS).alias("__cuts"))
+    n = x.groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    n = meet(n, cuts, by).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    sums = n.groupBy(*by, "__b").agg(F.sum("__n").alias("__s"))
+    up = Window.partitionBy(*by).orderBy("__b")
+    sums = sums.select(*by, "__b", F.coalesce(F.sum("__s").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"), F.sum("__s").over(Window.partitionBy(*by)).alias("__all"))
+    own = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    n = meet(n.withColumn("__to", F.sum("__n").over(own)), sums, [*by, "__b"])
+    n = n.withColumn("__to", F.col("__to") + F.col("__o")).withColumn("__from", F.col("__to") - F.col("__n"))
+    # the ranks from 0 that a point lies between
+    place = lambda p: (F.col("__all") - 1) * F.lit(float(p))
+    ask = F.array(*[F.struct(F.lit(float(p)).alias("point"), place(p).alias("at")) for p in points])
+    inside = lambda rank: (rank >= F.col("__from")) & (rank < F.col("__to"))
+    hit = F.filter(ask, lambda a: inside(F.floor(a["at"])) | inside(F.ceil(a["at"])))
+    hits = n.select(*by, "__v", "__from", "__to", F.explode(hit).alias("a")).select(*by, "__v", "__from", "__to", "a.*")
+    low = F.max(F.when(inside(F.floor("at")), F.col("__v")))
+    high = F.max(F.when(inside(F.ceil("at")), F.col("__v")))
+    out = hits.groupBy(*by, "point").agg(low.alias("low"), high.alias("high"), F.first("at").alias("at"))
+    return out.select(*keys, "point", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("quantile_value"))
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    return exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("quantile_value").alias(name))

@@ -8,28 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import DAY, HOUR
-from perigee.operators.ordered import SPAN, neighbours, running_sum, spanned
+from perigee.operators.ordered import SPAN, meet, neighbours, running_sum, running_sums, spanned
 
 #: Lengths of buckets of the interval join grow by this factor from level to level.
 STEP = 16
 
 
-def _merged(df: DataFrame, parts: Sequence[str]) -> DataFrame:
-    before = Window.partitionBy(*parts).orderBy("start_ns", "end_ns").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*parts).orderBy("start_ns", "end_ns").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max("end_ns").over(before)
-    df = df.withColumn("__new", (reach.isNull() | (F.col("start_ns") > reach + 1)).cast("long"))
-    df = df.withColumn("__g", F.sum("__new").over(upto))
-    return df.groupBy(*parts, "__g").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).drop("__g")
-
-
 def union(df: DataFrame, keys: Sequence[str] = (), width: int = DAY) -> DataFrame:
-    """Union per key; intervals that overlap or touch by one become one.
+    """Union per key; intervals that overlap or touch by one become one. Invalid and null ones are left out.
 
-    Merged first inside spans of time, so the pass over a whole key only meets what is left.
+    Runs are found inside spans of time, given how far all spans before reach, which is one row a span. At most
+    one run of a span carries on from before; it belongs to the last run that began there.
     """
     x = df.select(*keys, "start_ns", "end_ns").where("start_ns is not null and end_ns >= start_ns")
-    return _merged(_merged(spanned(x, "start_ns", width), [*keys, SPAN]).drop(SPAN), keys)
+    x, by = spanned(x, "start_ns", width), [*keys, SPAN]
+    across = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
+    reach = x.groupBy(*by).agg(F.max("end_ns").alias("__reach")).select(*by, F.max("__reach").over(across).alias("__carried"))
+    own = Window.partitionBy(*by).orderBy("start_ns", "end_ns")
+    before = F.greatest(F.max("end_ns").over(own.rowsBetween(Window.unboundedPreceding, -1)), "__carried")
+    x = meet(x, reach, by).withColumn("__new", (before.isNull() | (F.col("start_ns") > before + 1)).cast("long"))
+    x = x.withColumn("__g", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = x.groupBy(*by, "__g").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+    last = runs.groupBy(*by).agg(F.max(F.when(F.col("__g") > 0, F.col("start_ns"))).alias("__last"))
+    last = last.select(*by, F.last("__last", ignorenulls=True).over(across).alias("__home"))
+    runs = meet(runs, last, by).withColumn("__start", F.when(F.col("__g") > 0, F.col("start_ns")).otherwise(F.col("__home")))
+    return runs.groupBy(*keys, "__start").agg(F.max("end_ns").alias("end_ns")).select(*keys, F.col("__start").alias("start_ns"), "end_ns")
 
 
 def clip(df: DataFrame, low: int, high: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -94,11 +97,28 @@ def subtract(df: DataFrame, masks: DataFrame, keys: Sequence[str] = (), width: i
     across = Window.partitionBy(*keys).orderBy(SPAN)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(*keys, SPAN, F.coalesce(F.sum("__sx").over(before), F.lit(0)).alias("__ox"), F.coalesce(F.sum("__sm").over(before), F.lit(0)).alias("__om"), F.lead("__first").over(across).alias("__after"))
-    points = points.withColumns({"__cx": F.sum("__dx").over(upto), "__cm": F.sum("__dm").over(upto), "__next": F.lead("__t").over(own)}).join(spans, [*keys, SPAN])
+    points = points.withColumns({"__cx": F.sum("__dx").over(upto), "__cm": F.sum("__dm").over(upto), "__next": F.lead("__t").over(own)})
+    points = meet(points, spans, [*keys, SPAN])
     inside = (F.col("__cx") + F.col("__ox") > 0) & (F.col("__cm") + F.col("__om") == 0)
     return union(points.where(inside).select(*keys, F.col("__t").alias("start_ns"), (F.coalesce("__next", "__after") - 1).alias("end_ns")), keys, width)
 
 
+def sweep(parts: dict[str, DataFrame], width: int = DAY) -> DataFrame:
+    """One row a moment at which any interval of any part begins or has ended: ``t_ns``, and how many of each part
+    are open from then on (``name``) and were just before (``name_before``).
+
+    All parts are merged into one ordered pass.
+    """
+    points = None
+    for name, df in parts.items():
+        both = F.explode(F.array(F.struct(F.col("start_ns").alias("t"), F.lit(1).alias("d")), F.struct((F.col("end_ns") + 1).alias("t"), F.lit(-1).alias("d")))).alias("p")
+        x = df.where("start_ns is not null and end_ns >= start_ns").select(both).select(F.col("p.t").alias("t_ns"), *[(F.col("p.d") if n == name else F.lit(0)).alias(f"__{n}") for n in parts])
+        points = x if points is None else points.unionByName(x)
+    points = points.groupBy("t_ns").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in parts])
+    out = running_sums(points, (), ["t_ns"], {n: F.col(f"__{n}") for n in parts}, width)
+    return out.select("t_ns", *parts, *[(F.col(n) - F.col(f"__{n}")).alias(f"{n}_before") for n in parts])
+
+
 def overlap_flags(df: DataFrame, others: DataFrame, keys: Sequence[str] = (), name: str = "overlaps") -> DataFrame:
     """Adds whether each interval overlaps any of ``others``."""
     own = [*keys, "start_ns", "end_ns"]

@@ -6,43 +6,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.operators import ranges
+from perigee.operators.ordered import running_sum
 
 POSITIVE = {"unusual": ("Anomaly", "Rare Event"), "operational": ("Anomaly",)}
 MASKED = ("Communication Gap",)
 
 
+def selected(rows: DataFrame) -> DataFrame:
+    """Label rows of selected channels, where that is marked. A row that ends before it starts is an error."""
+    x = rows.where("is_selected_channel") if "is_selected_channel" in rows.columns else rows
+    wrong = F.concat(F.lit("a label ends before it starts: "), F.coalesce(F.col("event_id").cast("string"), F.lit("null")))
+    return x.withColumn("end_ns", F.when(F.col("end_ns") < F.col("start_ns"), F.raise_error(wrong).cast("long")).otherwise(F.col("end_ns")))
+
+
 def event_intervals(rows: DataFrame, categories=None) -> DataFrame:
     """``event_id, start_ns, end_ns``, united per event, of selected label rows of the categories."""
-    x = rows.where("is_selected_channel") if "is_selected_channel" in rows.columns else rows
+    x = selected(rows)
     x = x if categories is None else x.where(F.col("category").isin(*categories) if categories else F.lit(False))
     return ranges.union(x, ["event_id"])
 
 
 def invalid_rows(rows: DataFrame) -> DataFrame:
-    """Label rows that end before they start, which scoring must not meet."""
+    """Label rows that end before they start, which scoring refuses."""
     return rows.where("end_ns < start_ns")
 
 
 def _by_category(predictions: DataFrame, rows: DataFrame, low: int, high: int, masked) -> tuple[DataFrame, DataFrame]:
-    """Events, those found by the kept and by all predictions, per category; and one row on false predictions."""
-    x = rows.where("is_selected_channel") if "is_selected_channel" in rows.columns else rows
-    # each is read by several branches below
-    labels = event_intervals(rows).select("start_ns", "end_ns").persist()
-    raw = ranges.clip(predictions, low, high).persist()
-    kept = ranges.subtract(raw, event_intervals(rows, masked)).persist()
-    both = raw.withColumn("kept", F.lit(False)).unionByName(kept.withColumn("kept", F.lit(True)))
-    events = ranges.clip(x, low, high, ["event_id", "category"])
+    """Events, those found by the kept and by all predictions, per category; and one row on false predictions.
+
+    One sweep over the ends of predictions, labels and the range knows at every moment what is open, so the
+    kept predictions are its runs, and false time and nominal time are sums over it.
+    """
+    x = selected(rows)
+    domain = predictions.sparkSession.createDataFrame([(low, high)], "start_ns long, end_ns long")
+    mask = x.where(F.col("category").isin(*masked) if masked else F.lit(False))
+    s = ranges.sweep({"p": predictions, "m": mask, "l": x, "d": domain})
+    state = lambda end: {"raw": (F.col(f"p{end}") > 0) & (F.col(f"d{end}") > 0), "kept": (F.col(f"p{end}") > 0) & (F.col(f"d{end}") > 0) & (F.col(f"m{end}") == 0), "free": F.col(f"l{end}") == 0, "inside": F.col(f"d{end}") > 0}
+    now, then = state(""), state("_before")
+    wrong = lambda t: {"raw": t["raw"], "kept": t["kept"], "fp": t["kept"] & t["free"], "nominal": t["inside"] & t["free"]}
+    flags = {f"{k}_on": v for k, v in wrong(now).items()} | {f"{k}_was": v for k, v in wrong(then).items()}
+    s = s.withColumns(flags).select("t_ns", "l", *flags)
+    # a run of integers is one shorter than the moments it holds: every start of one takes that one away
+    part = lambda k: F.coalesce(F.sum(F.when(F.col(f"{k}_was") & ~F.col(f"{k}_on"), F.col("t_ns") - 1).when(F.col(f"{k}_on") & ~F.col(f"{k}_was"), -F.col("t_ns"))), F.lit(0))
+    time = s.agg(part("fp").alias("fp_time_ns"), part("nominal").alias("nominal_ns"))
+    runs = []
+    for kind in ("kept", "raw"):
+        edges = running_sum(s, (), ["t_ns"], (F.col(f"{kind}_on") & ~F.col(f"{kind}_was")).cast("long"), "run")
+        # a row belongs to a run while it is on, and once more where it ends
+        edges = edges.where(F.col(f"{kind}_on") | F.col(f"{kind}_was")).withColumn("ends", ~F.col(f"{kind}_on"))
+        begins = F.col(f"{kind}_on") & ~F.col(f"{kind}_was")
+        runs.append(edges.groupBy("run").agg(F.min(F.when(begins, F.col("t_ns"))).alias("start_ns"), (F.max(F.when(F.col("ends"), F.col("t_ns"))) - 1).alias("end_ns"), F.bool_or(F.col(f"{kind}_on") & (F.col("l") > 0)).alias("labelled")).withColumn("kept", F.lit(kind == "kept")))
+    both = runs[0].unionByName(runs[1])
+    events = x.where((F.col("end_ns") >= low) & (F.col("start_ns") <= high)).select("event_id", "category", F.greatest("start_ns", F.lit(low)).alias("start_ns"), F.least("end_ns", F.lit(high)).alias("end_ns"))
     found = ranges.interval_join(events, both).groupBy("category").agg(
         F.count_distinct(F.when(F.col("b_kept"), F.col("event_id"))).alias("found"), F.count_distinct(F.when(~F.col("b_kept"), F.col("event_id"))).alias("found_raw"))
     total = events.groupBy("category").agg(F.count_distinct("event_id").alias("events"))
     cats = total.join(found, "category", "left").fillna(0, ["found", "found_raw"])
-    domain = predictions.sparkSession.createDataFrame([(low, high)], "start_ns long, end_ns long")
-    # what the labels leave of the predictions and of the whole range, in one subtraction
-    outside = ranges.subtract(kept.withColumn("of", F.lit("kept")).unionByName(domain.withColumn("of", F.lit("domain"))),
-                              labels.withColumn("of", F.explode(F.array(F.lit("kept"), F.lit("domain")))), ["of"])
-    length = lambda of: F.coalesce(F.sum(F.when(F.col("of") == of, F.col("end_ns") - F.col("start_ns"))), F.lit(0))
-    time = outside.agg(length("kept").alias("fp_time_ns"), length("domain").alias("nominal_ns"))
-    false = ranges.overlap_flags(kept, labels).agg(F.count_if(~F.col("overlaps")).alias("fp"))
+    false = both.where("kept").agg(F.count_if(~F.col("labelled")).alias("fp"))
     return cats, time.join(false, F.lit(True))  # single rows
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import is_finite
-from perigee.operators.ordered import neighbours, running_sum
+from perigee.operators.ordered import exact_quantiles, neighbours, running_sum
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -27,8 +27,7 @@ def quality(df: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, points=QUANTILES) -> DataFrame:
     """Linear-interpolated quantiles of the finite values, one row per channel and point."""
     v = F.col("value").cast("double")
-    q = df.where(is_finite(v)).groupBy("channel").agg(F.percentile(v, F.array(*[F.lit(p) for p in points])).alias("q"))
-    return q.select("channel", F.posexplode("q").alias("i", "quantile_value")).withColumn("point", F.element_at(F.array(*[F.lit(p) for p in points]), F.col("i") + 1)).select("channel", "point", "quantile_value")
+    return exact_quantiles(df.where(is_finite(v)), ["channel"], "value", points)
 
 
 def intervals(df: DataFrame) -> DataFrame:
