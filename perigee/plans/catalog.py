@@ -45,6 +45,14 @@ def _places(s, d):
     return _table(s, d, "part").select((k + 10000).alias("object_id"), (6800.0 + k % 400).alias("x"), ((k * 31 % 8000) - 4000.0).alias("y"), ((k * 17 % 9000) - 4500.0).alias("z"), (F.lit(2460310.5) + (k % 100) / 10.0).alias("jd"))
 
 
+def _elevations(s, d):
+    """A stored grid of elevations by arithmetic alone: objects rise and set, some never, some don't set in time."""
+    k, minute = F.col("p_partkey"), F.explode(F.sequence(F.lit(0), F.lit(239))).alias("minute")
+    x = _table(s, d, "part").select("p_partkey", minute)
+    height = F.when(k % 11 == 0, -10.0).when((k % 7 == 0) & (F.col("minute") > 100), 20.0).when((F.col("minute") * 13 + k) % 97 == 0, F.lit(None)).otherwise(((F.col("minute") + k * 17) % 90 - 70.0))
+    return x.select((k + 10000).alias("object_id"), (F.lit(EPOCH) + F.col("minute").cast("long") * 60 * SECOND).alias("at_ns"), height.cast("double").alias("elevation_deg"))
+
+
 def _raw(s, d):
     e = v.events(s, d)
     start = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -161,6 +169,7 @@ QUERIES = {
     "p4_sgp4_states": lambda s, d: orbit.states(orbit.propagate(objects(s, d).withColumn("at_ns", F.lit(EPOCH + 3600 * SECOND)))).select("object_id", "error", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("alt_km", 2).alias("alt_km"), F.round("speed_kms", 3).alias("speed_kms")),
     "p6_ground_track": lambda s, d: orbit.ground_track(objects(s, d), EPOCH).select("object_id", "minute", "part", "error", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("alt_km", 2).alias("alt_km")),
     "p12_next_passes": lambda s, d: orbit.next_passes(objects(s, d), STATION, EPOCH),
+    "p12_grid_passes": lambda s, d: orbit.grid_passes(_elevations(s, d), EPOCH),
     "r1_rf_normalize": lambda s, d: radio.observations(_raw(s, d)).select("object_id", "observation_id", F.unix_micros("at").alias("at_us"), "station", "status"),
     "r2_rf_status": lambda s, d: _rf(s, d).select("object_id", "observations", "recent_observations", "transmitters", "decoders", "rf_status"),
     "r3_recent_rf_ids": lambda s, d: radio.recent_ids(radio.observations(_raw(s, d)), _now(), 24.0),
@@ -246,6 +255,17 @@ ORACLES = {
     "p11_visible_objects": sql("SELECT object_id FROM view_of WHERE elevation_deg >= 5", places=_PLACES, view_of=_VIEW),
     "o7_nearest_point": sql("SELECT object_id FROM places WHERE z > 0 AND sqrt((x - 6900) ** 2 + (y - 100) ** 2) <= 500 ORDER BY sqrt((x - 6900) ** 2 + (y - 100) ** 2), object_id LIMIT 1", places=_PLACES),
     "w10_dead_reckoning": f"SELECT object_id, ts_ns, {_MOD.format('lon + (' + _MOD.format('nlon - lon + 540') + ' - 180) / 2 + 540')} - 180 AS lon, (lat + nlat) / 2 AS lat FROM (SELECT *, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat FROM (SELECT user_id AS object_id, epoch_us(ts) * 1000 AS ts_ns, (event_id * 37 % 360 - 180)::DOUBLE AS lon, (event_id * 13 % 180 - 90)::DOUBLE AS lat FROM events) WINDOW w AS (PARTITION BY object_id ORDER BY ts_ns)) WHERE nlon IS NOT NULL",
+    "p12_grid_passes": f"""
+        WITH g AS (
+          SELECT p_partkey + 10000 AS object_id, {EPOCH} + m * 60000000000 AS at_ns,
+                 CASE WHEN p_partkey % 11 = 0 THEN -10.0 WHEN p_partkey % 7 = 0 AND m > 100 THEN 20.0 WHEN (m * 13 + p_partkey) % 97 = 0 THEN NULL ELSE ((m + p_partkey * 17) % 90) - 70.0 END::DOUBLE AS el
+          FROM part, range(240) r(m)),
+        a AS (SELECT object_id, min(at_ns) FILTER (el >= 5) AS aos FROM g GROUP BY object_id),
+        e AS (SELECT a.object_id, any_value(aos) AS aos, min(at_ns) FILTER (at_ns > aos AND NOT coalesce(el >= 5, false)) AS los FROM g JOIN a USING (object_id) GROUP BY a.object_id),
+        t AS (SELECT e.object_id, any_value(aos) AS aos, any_value(los) AS los, max(el) FILTER (at_ns >= aos AND at_ns < los) AS top FROM e JOIN g USING (object_id) GROUP BY e.object_id)
+        SELECT object_id, CASE WHEN los IS NULL THEN {EPOCH + 135 * 60 * SECOND} ELSE aos END AS aos_ns, coalesce(los, {EPOCH + 135 * 60 * SECOND + 660 * SECOND}) AS los_ns,
+               CASE WHEN los IS NULL THEN 48.5 ELSE round(top, 2) END AS max_elevation_deg, CASE WHEN los IS NULL THEN 660 ELSE (los - aos) // 1000000000 END AS duration_s,
+               CASE WHEN los IS NULL THEN 'ESTIMATED_ORBITAL_PASS' ELSE 'PASS_PREDICTED' END AS status FROM t""",
     "r1_rf_normalize": sql("SELECT object_id, ordinal::VARCHAR AS observation_id, epoch_us(seen) AS at_us, CASE WHEN sname IS NOT NULL AND snum IS NOT NULL THEN sname || ' (#' || snum || ')' WHEN sname IS NOT NULL THEN sname WHEN snum IS NOT NULL THEN 'Station #' || snum ELSE 'Unknown station' END AS station, status FROM raw", raw=_RAWSQL),
     "r2_rf_status": sql("""
         SELECT object_id, observations, recent_observations, transmitters, decoders, CASE WHEN transmitters = 0 THEN 'NO TRANSMITTER' WHEN recent_observations = 0 THEN 'NO RECENT DATA' WHEN decoders = 0 THEN 'NO DECODER' ELSE 'AVAILABLE' END AS rf_status
