@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.text import jaccard
+from perigee.operators.ordered import running_sum
 
 KNOWN = 0.80
 LABELS = ("VALID_OPERATION", "CONFIRMED_ANOMALY")
@@ -45,79 +46,194 @@ def stored(memories: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
+def cleared(memories: DataFrame) -> DataFrame:
+    """The memory with nothing in it, of the same columns."""
+    return memories.limit(0)
+
+
 def listed(memories: DataFrame, label: str | None = "VALID_OPERATION") -> DataFrame:
     """Memories of a label, or all, in order of creation."""
     x = memories if label is None else memories.where(F.col("label") == label)
     return x.orderBy("ordinal")
 
 
-def nearest(candidates: DataFrame, memories: DataFrame, threshold: float = KNOWN) -> DataFrame:
-    """Per candidate the most similar memory, the earliest of equals: ``event_id, nearest_id, similarity, status``.
+#: Rows of either side that one comparison step holds.
+BLOCK = 2048
+_NEEDS = ("vector", "affected", "score", "near", "count")
+
+
+def _lean(df: DataFrame, *more: str) -> DataFrame:
+    """What similarity needs of a signature, flat."""
+    ctx = lambda k, d: F.coalesce(F.element_at("context_features", k), F.lit(d)).cast("double")
+    return df.select(*more, F.coalesce("vector", F.array().cast("array<double>")).alias("vector"), F.coalesce(F.array_distinct("affected"), F.array().cast("array<string>")).alias("affected"), F.coalesce(F.element_at("telemetry_features", "agg_score_max"), F.lit(0.0)).cast("double").alias("score"),
+                     F.log1p(ctx("nearest_tc_diff_sec", 86400.0)).alias("near"), ctx("tc_count_5m", 0.0).alias("count"))
+
+
+def similarities(a: dict[str, list], b: dict[str, list]) -> np.ndarray:
+    """The guarded hybrid similarity of every row of ``a`` to every row of ``b``, the same as ``similarity``.
 
-    The nearest is named even below the threshold; without memories it is null, at 0 and UNKNOWN. The memory
-    is a set that operators confirmed one by one, so it is the small side of the pairing.
+    Both hold the columns of ``_lean`` as lists.
     """
-    c = candidates.select("event_id", F.struct(*candidates.columns).alias("a"))
-    m = memories.select("memory_id", "ordinal", F.struct("vector", "affected", "telemetry_features", "context_features").alias("b"))
-    x = c.join(m, F.lit(True), "left").withColumn("s", F.when(F.col("memory_id").isNotNull(), similarity()))
-    best = F.max_by(F.struct("memory_id", "s"), F.struct("s", -F.col("ordinal")))
-    x = x.groupBy("event_id").agg(best.alias("m"))
-    s = F.coalesce("m.s", F.lit(0.0))
-    return x.select("event_id", F.col("m.memory_id").alias("nearest_id"), s.alias("similarity"), F.when(s >= threshold, "KNOWN").otherwise("UNKNOWN").alias("status"))
-
-
-def pairs(signatures: DataFrame) -> DataFrame:
-    """Similarity of every event to each earlier one of a stated cohort: ``later, earlier, similarity``."""
-    x = signatures.withColumn("at", F.struct("start_ns", "event_id"))
-    c = x.select(F.struct(*x.columns).alias("a"))
-    m = x.select(F.struct(*x.columns).alias("b"))
-    return c.join(m, F.col("b.at") < F.col("a.at")).select(F.col("a.event_id").alias("later"), F.col("b.event_id").alias("earlier"), similarity().alias("similarity"))
-
-
-def _fold(threshold: float, mode: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Decisions in order of time; the memory a decision meets depends on all before it."""
-        rows = rows.sort_values(["start_ns", "event_id"], kind="stable")
-        memory: list[str] = []
-        out: list[tuple] = []
-        for r in rows.itertuples():
-            known = dict(zip(r.earlier, r.similarity)) if r.earlier is not None else {}
-            best, name = 0.0, None
-            for m in memory:
-                if known.get(m, 0.0) > best:
-                    best, name = known[m], m
-            asks = bool(r.alarm) or mode != "gated"
-            hit = asks and best >= threshold
-            learns = not hit and r.category == "Rare Event" and asks
-            if learns:
-                memory.append(r.event_id)
-            out.append((r.event_id, r.category, r.start_ns, bool(r.alarm), asks, best if asks else 0.0, name if asks else None, bool(hit), learns, bool(r.alarm) and not (hit and mode == "gated")))
-        return pd.DataFrame(out, columns=["event_id", "category", "start_ns", "alarm", "queried", "best_similarity", "matched_id", "recognized", "stored", "alarm_after"])
+    far = np.zeros((len(a["score"]), len(b["score"])))
+    lengths = [np.array([len(v) for v in x["vector"]]) for x in (a, b)]
+    for n in np.intersect1d(*lengths):
+        i, j = (np.flatnonzero(x == n) for x in lengths)
+        if n:
+            x, y = (np.array([v["vector"][k] for k in rows], float) for v, rows in ((a, i), (b, j)))
+            for at in range(0, len(i), max(1, (1 << 20) // (len(j) * int(n)))):
+                part = slice(at, at + max(1, (1 << 20) // (len(j) * int(n))))
+                wide = np.maximum(np.abs(x[part])[:, None], np.abs(y)[None]) + 1e-6
+                u, v = x[part][:, None] / wide, y[None] / wide
+                norm = np.sqrt((u * u).sum(-1)) * np.sqrt((v * v).sum(-1))
+                far[np.ix_(i[part], j)] = np.where(norm > 0, (u * v).sum(-1) / np.where(norm > 0, norm, 1), 0.0)
+    names = {c: k for k, c in enumerate({c for x in (a, b) for row in x["affected"] for c in row})}
+    sets = [np.zeros((len(x["affected"]), len(names) + 1)) for x in (a, b)]
+    for x, held in zip((a, b), sets):
+        for k, row in enumerate(x["affected"]):
+            held[k, [names[c] for c in row]] = 1
+    both = sets[0] @ sets[1].T
+    every = sets[0].sum(1)[:, None] + sets[1].sum(1)[None] - both
+    alike = np.where(every > 0, both / np.where(every > 0, every, 1), 1.0)
+    column = lambda x, k: np.array(x[k], float)
+    near = np.exp(-np.abs(column(a, "near")[:, None] - column(b, "near")[None]))
+    count = np.exp(-np.abs(column(a, "count")[:, None] - column(b, "count")[None]) / 5)
+    total = WEIGHTS[0] * np.maximum(far, 0) + WEIGHTS[1] * alike + WEIGHTS[2] * near + WEIGHTS[3] * count
+    x, y = column(a, "score")[:, None], column(b, "score")[None]
+    return np.where((x > 3.5) & ((y < 2.5) | (x > 2 * y)), 0.0, np.clip(total, 0, 1))
+
+
+def _lists(block: pa.Table, rows: np.ndarray) -> dict[str, list]:
+    part = block.take(pa.array(rows))
+    return {k: part.column(k).to_pylist() for k in _NEEDS}
+
+
+def _dealt(c: DataFrame, m: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides in blocks of bounded size, every block of one met with every block of the other, by key."""
+    n, k = c.count(), m.count()
+    wide, high = max(1, -(-n // BLOCK)), max(1, -(-k // BLOCK))
+    spread = lambda df, own, number, other, many: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    c = spread(c.withColumn("asks", F.lit(True)), "__i", wide, "__j", high)
+    m = spread(m.withColumn("asks", F.lit(False)), "__j", high, "__i", wide)
+    names = ["__i", "__j", "asks", *keys, "id", "at", *_NEEDS]
+    return c.select(*names).unionByName(m.select(*names)).groupBy("__i", "__j", *keys)
+
+
+def _best(earlier: bool):
+    def run(block: pa.Table) -> pa.Table:
+        """Of every row that asks the most similar remembered one of the block, the earliest of equals."""
+        asks = block.column("asks").to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        at, ids = block.column("at").to_numpy(), np.array(block.column("id").to_pylist(), object)
+        b = b[sorted(range(len(b)), key=lambda i: (at[b[i]], ids[b[i]]))]
+        kinds = {"id": pa.string(), "s": pa.float64(), "at": pa.int64(), "other": pa.string()}
+        if not len(a) or not len(b):
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        s = similarities(_lists(block, a), _lists(block, b))
+        if earlier:  # only what came before can be remembered
+            before = (at[b][None] < at[a][:, None]) | (at[b][None] == at[a][:, None]) & np.array([[x < y for x in ids[b]] for y in ids[a]] if len(np.intersect1d(at[a], at[b])) else False)
+            s = np.where(before, s, -1.0)
+        best = s.argmax(axis=1)  # the first of equals
+        top = s[np.arange(len(a)), best]
+        hit = top >= 0
+        return pa.table({"id": pa.array(ids[a[hit]], kinds["id"]), "s": pa.array(top[hit]), "at": pa.array(at[b[best[hit]]]), "other": pa.array(ids[b[best[hit]]], kinds["other"])})
 
     return run
 
 
-FOLD = "event_id string, category string, start_ns long, alarm boolean, queried boolean, best_similarity double, matched_id string, recognized boolean, stored boolean, alarm_after boolean"
+def _nearest(c: DataFrame, m: DataFrame, keys: list[str] = (), earlier: bool = False) -> DataFrame:
+    """``id, s, other``: the best of ``m`` for each of ``c`` that has any, by ``id, at`` and the columns of ``_lean``."""
+    found = _dealt(c, m, list(keys)).applyInArrow(_best(earlier), "id string, s double, at long, other string")
+    first = found.groupBy("id").agg(F.min_by(F.struct("s", "other"), F.struct(-F.col("s"), F.col("at"), F.col("other"))).alias("b"))
+    return first.select("id", "b.s", "b.other")
+
+
+def nearest(candidates: DataFrame, memories: DataFrame, threshold: float = KNOWN) -> DataFrame:
+    """Per candidate the most similar memory, the earliest of equals: ``event_id, nearest_id, similarity, status``.
+
+    The nearest is named even below the threshold; without memories it is null, at 0 and UNKNOWN. Both sides
+    are dealt to blocks of bounded size, and a block gives one row a candidate, so neither side is broadcast or
+    paired row by row.
+    """
+    c = _lean(candidates, F.col("event_id").cast("string").alias("id"), F.lit(0).cast("long").alias("at"))
+    m = _lean(memories, F.col("memory_id").cast("string").alias("id"), F.col("ordinal").cast("long").alias("at"))
+    found = _nearest(c, m)
+    x = candidates.select("event_id").join(found.withColumnRenamed("id", "event_id"), "event_id", "left")
+    s = F.coalesce("s", F.lit(0.0))
+    return x.select("event_id", F.col("other").alias("nearest_id"), s.alias("similarity"), F.when(s >= threshold, "KNOWN").otherwise("UNKNOWN").alias("status"))
+
+
+def similar(candidates: DataFrame, memories: DataFrame, threshold: float = KNOWN) -> DataFrame:
+    """``event_id, memory_id, similarity`` of every pair at or above the threshold, found block by block."""
+    def run(block: pa.Table) -> pa.Table:
+        asks = block.column("asks").to_numpy(zero_copy_only=False)
+        a, b, ids = np.flatnonzero(asks), np.flatnonzero(~asks), np.array(block.column("id").to_pylist(), object)
+        s = similarities(_lists(block, a), _lists(block, b))
+        i, j = np.nonzero(s >= threshold)
+        return pa.table({"event_id": pa.array(ids[a[i]], pa.string()), "memory_id": pa.array(ids[b[j]], pa.string()), "similarity": pa.array(s[i, j], pa.float64())})
+
+    c = _lean(candidates, F.col("event_id").cast("string").alias("id"), F.lit(0).cast("long").alias("at"))
+    m = _lean(memories, F.col("memory_id").cast("string").alias("id"), F.lit(0).cast("long").alias("at"))
+    return _dealt(c, m, []).applyInArrow(run, "event_id string, memory_id string, similarity double")
+
+
+#: Candidates for the memory that one round of the study decides on.
+ROUND = 4096
+
+
+def _learned(threshold: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """Of one round's candidates without a match before the round, in order of time, those that are learned."""
+        at, ids = rows.column("at").to_numpy(), rows.column("id").to_pylist()
+        order = np.array(sorted(range(len(ids)), key=lambda i: (at[i], ids[i])), dtype=np.int64)
+        some = _lists(rows, order)
+        like = similarities(some, some) >= threshold
+        kept: list[int] = []
+        for i in range(len(order)):
+            if not kept or not like[i, kept].any():
+                kept.append(i)
+        return rows.select(["id"]).take(pa.array(order[kept], pa.int64()))
+
+    return run
 
 
-def study(signatures: DataFrame, cohort: DataFrame, threshold: float = KNOWN, mode: str = "gated", key: str | None = None) -> DataFrame:
+def study(signatures: DataFrame, cohort: DataFrame, threshold: float = KNOWN, mode: str = "gated", key: str | None = None, save=None) -> DataFrame:
     """Sequential learning over ``cohort`` (``event_id, category, start_ns, alarm``, and ``key`` where given).
 
     ``gated``: only alarms ask the memory; a known pattern suppresses its alarm, an unknown rare event is
-    learned, an anomaly never is. ``open``: every event asks, whatever the detector said. Similarities are
-    computed for all pairs at once; only the decisions, a few numbers an event, are folded in order, which is
-    one task for each key because each depends on the one before.
+    learned, an anomaly never is. ``open``: every event asks, whatever the detector said. Events are taken in
+    order of time and id. Only rare events can be remembered, so they alone are decided in order, a bounded
+    number a round: first against all that earlier rounds learned, in blocks, then among themselves in one
+    step. What is remembered being known, every event's best earlier memory is one more comparison in blocks.
+    ``save`` writes a frame and reads it back; by default into the folder of ``spark.checkpoint.dir``.
     """
-    keys = [key] if key else []
-    s = signatures.join(cohort.select("event_id", *keys), "event_id")
-    sims = pairs(s) if not key else None
-    if key:
-        x = s.withColumn("at", F.struct("start_ns", "event_id"))
-        a, b = x.select(key, F.struct(*x.columns).alias("a")), x.select(key, F.struct(*x.columns).alias("b"))
-        sims = a.join(b, key).where(F.col("b.at") < F.col("a.at")).select(F.col("a.event_id").alias("later"), F.col("b.event_id").alias("earlier"), similarity().alias("similarity"))
-    sims = sims.where("similarity > 0").groupBy(F.col("later").alias("event_id")).agg(F.collect_list("earlier").alias("earlier"), F.collect_list("similarity").alias("similarity"))
-    x = cohort.join(sims, "event_id", "left").select("event_id", "category", "start_ns", "alarm", "earlier", "similarity", *keys)
-    return x.groupBy(*keys).applyInPandas(_fold(threshold, mode), FOLD)
+    from perigee.sources.tables import written
+
+    save, keys = save or written, [key] if key else []
+    s = _lean(signatures, "event_id").join(cohort.select("event_id", *keys, "category", "start_ns", "alarm"), "event_id")
+    s = s.withColumn("queried", F.coalesce("alarm", F.lit(False)) if mode == "gated" else F.lit(True))
+    s = save(s.withColumnsRenamed({"event_id": "id", "start_ns": "at"}))
+    could = s.where("queried and category = 'Rare Event'")
+    could = save(running_sum(could, keys, ["at", "id"], F.lit(1), "__n").withColumn("__round", F.floor((F.col("__n") - 1) / ROUND)))
+    rounds = could.agg(F.max("__round")).first()[0]
+    memory = None
+    for i in range(0 if rounds is None else rounds + 1):
+        now = could.where(F.col("__round") == i)
+        if memory is not None:
+            known = _nearest(now, memory, keys).where(F.col("s") >= threshold)
+            now = now.join(known.select("id"), "id", "left_anti")
+        new = now.groupBy("__round", *keys).applyInArrow(_learned(threshold), "id string")
+        new = save(now.join(new, "id", "left_semi"))
+        memory = new if memory is None else memory.unionByName(new)
+    memory = s.limit(0) if memory is None else memory
+    best = _nearest(s.where("queried"), memory, keys, earlier=True).where("s > 0")
+    x = s.join(best, "id", "left").join(memory.select("id", F.lit(True).alias("stored")), "id", "left")
+    top = F.coalesce("s", F.lit(0.0))
+    x = x.withColumns({"best_similarity": F.when(F.col("queried"), top).otherwise(0.0), "recognized": F.col("queried") & (top >= threshold), "stored": F.coalesce("stored", F.lit(False)), "alarm": F.coalesce("alarm", F.lit(False))})
+    after = F.col("alarm") & ~(F.col("recognized") & F.lit(mode == "gated"))
+    out = x.select(F.col("id").alias("event_id"), *keys, "category", F.col("at").alias("start_ns"), "alarm", "queried", "best_similarity", F.col("other").alias("matched_id"), "recognized", "stored", after.alias("alarm_after"))
+    # events without a signature ask and find nothing
+    bare = cohort.join(s.select(F.col("id").alias("event_id")), "event_id", "left_anti").select("event_id", *keys, "category", "start_ns", F.coalesce("alarm", F.lit(False)).alias("alarm"), (F.coalesce("alarm", F.lit(False)) | F.lit(mode != "gated")).alias("queried"), F.lit(0.0).alias("best_similarity"), F.lit(None).cast("string").alias("matched_id"), F.lit(False).alias("recognized"), F.lit(False).alias("stored"), F.coalesce("alarm", F.lit(False)).alias("alarm_after"))
+    return out.unionByName(bare)
 
 
 def study_summary(decisions: DataFrame) -> DataFrame:

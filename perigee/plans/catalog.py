@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +22,6 @@ def _table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def _folder(s: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one where none is set."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def objects(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     return _table(s, d, "part").select(
@@ -76,18 +67,19 @@ def _answers(s, d):
     e = _table(s, d, "embeddings").where("embedding is not null")
     num = lambda x: x.cast("double")
     return e.select(
-        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("event_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("event_id"), "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
         F.array(F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")), F.concat(F.lit("c"), (F.col("vec_id") % 5).cast("string"))).alias("affected"),
         F.create_map(F.lit("agg_score_max"), num(F.col("vec_id") % 10)).alias("telemetry_features"),
         F.create_map(F.lit("nearest_tc_diff_sec"), num(F.col("vec_id") * 13 % 1000), F.lit("tc_count_5m"), num(F.col("vec_id") % 7)).alias("context_features"))
 
 
 def _memories(s, d):
-    return _answers(s, d).where("vec_id < 20").select(F.col("event_id").alias("memory_id"), F.col("vec_id").alias("ordinal"), "vector", "affected", "telemetry_features", "context_features")
+    """What operators have confirmed: everything of one label."""
+    return _answers(s, d).where("label = 0").select(F.col("event_id").alias("memory_id"), F.col("vec_id").alias("ordinal"), "vector", "affected", "telemetry_features", "context_features")
 
 
 def _candidates(s, d):
-    return _answers(s, d).where("vec_id >= 20")
+    return _answers(s, d).where("label is null or label <> 0")
 
 
 def _scored(s, d):
@@ -117,10 +109,7 @@ def _cohort(s, d):
 
 
 def _study(s, d, mode, with_commands=True):
-    folder = _folder(s)
-    _signatures(s, d, with_commands).write.parquet(f"{folder}/signatures")
-    _cohort(s, d).write.parquet(f"{folder}/cohort")
-    return memory.study(s.read.parquet(f"{folder}/signatures"), s.read.parquet(f"{folder}/cohort"), mode=mode)
+    return memory.study(tables.written(_signatures(s, d, with_commands)), tables.written(_cohort(s, d)), mode=mode)
 
 
 def _ablation(s, d):
@@ -132,7 +121,7 @@ def _ablation(s, d):
 
 
 def _round_trip(s, d):
-    path = f"{_folder(s)}/telemetry"
+    path = f"{tables.shared_folder(s)}/telemetry"
     tables.write_telemetry(v.telemetry(s, d).select("channel", "ts_ns", F.col("value").cast("float").alias("value")), path)
     return tables.read_parquet(s, path).groupBy("channel").agg(F.count("*").alias("samples"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
@@ -145,7 +134,7 @@ def _sessions(s, d):
         x = stream.select(F.concat(F.lit("channel_"), (41 + F.col("user_id") % 6).cast("string")).alias("channel"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), "value")
         return jobs.alarm_sessions(jobs.scored(x, parameters, 1.0), "90 minutes")
 
-    x = jobs.replay(s, f"{d}/events.parquet", transform, _folder(s))
+    x = jobs.replay(s, f"{d}/events.parquet", transform, tables.shared_folder(s))
     return x.select("channel", (F.unix_micros("start") * 1000).alias("start_ns"), (F.unix_micros("end") * 1000).alias("end_ns"), "alarms")
 
 
@@ -187,7 +176,7 @@ QUERIES = {
     "g2_affected_channels": lambda s, d: signature.affected_channels(signature.channel_features(signature.window_samples(_scored(s, d), _test_events(s, d)))).select("event_id", F.array_join("affected", ",").alias("affected")),
     "g3_command_context": lambda s, d: signature.command_context(labels.events(v.label_rows(s, d)), v.commands(s, d)).withColumn("nearest_tc_diff_sec", F.round("nearest_tc_diff_sec", 6)),
     "g4_signatures": lambda s, d: _signatures(s, d).select("event_id", "num_affected", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 3).alias("vector_sum")),
-    "g8_similarity_pairs": lambda s, d: _candidates(s, d).select(F.struct("event_id", "vector", "affected", "telemetry_features", "context_features").alias("a")).join(_memories(s, d).select("memory_id", F.struct("vector", "affected", "telemetry_features", "context_features").alias("b")), F.lit(True)).select(F.col("a.event_id").alias("event_id"), "memory_id", F.round(memory.similarity(), 6).alias("similarity")),
+    "g8_similarity_pairs": lambda s, d: memory.similar(_candidates(s, d), _memories(s, d), 0.4).withColumn("similarity", F.round("similarity", 6)),
     "g9_nearest_memory": lambda s, d: memory.nearest(_candidates(s, d), _memories(s, d), 0.3).select("event_id", "nearest_id", F.round("similarity", 6).alias("similarity"), "status"),
     "g11_gated_learning": lambda s, d: _study(s, d, "gated"),
     "g12_recurrence_study": lambda s, d: _study(s, d, "open"),
@@ -216,12 +205,12 @@ _VIEW = f"""
 _RAWSQL = "SELECT user_id + 10000 AS object_id, event_id AS ordinal, user_id % 4 <> 0 AS decoder, event_type AS status, date_trunc('second', ts) AS seen, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'GS' || (event_id % 11) END AS sname, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 40 + 1)::VARCHAR END AS snum FROM events"
 _HOURS = f"date_diff('microsecond', seen, TIMESTAMP '{NOW}') BETWEEN 0 AND {{}} * 3600000000"
 _EMB = """
-      SELECT 'v' || vec_id AS event_id, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vector, list_distinct(['c' || (vec_id % 3), 'c' || (vec_id % 5)]) AS affected, (vec_id % 10)::DOUBLE AS score,
+      SELECT 'v' || vec_id AS event_id, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vector, list_distinct(['c' || (vec_id % 3), 'c' || (vec_id % 5)]) AS affected, (vec_id % 10)::DOUBLE AS score,
              (vec_id * 13 % 1000)::DOUBLE AS near, (vec_id % 7)::DOUBLE AS cnt FROM embeddings WHERE embedding IS NOT NULL"""
 _COS = """
       SELECT a_id, b_id, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS cos FROM (
         SELECT a_id, b_id, x / (greatest(abs(x), abs(y)) + 1e-6::DOUBLE) AS x, y / (greatest(abs(x), abs(y)) + 1e-6::DOUBLE) AS y FROM (
-          SELECT a.vec_id AS a_id, b.vec_id AS b_id, unnest(a.vector) AS x, unnest(b.vector) AS y FROM emb a JOIN emb b ON a.vec_id >= 20 AND b.vec_id < 20)) GROUP BY a_id, b_id"""
+          SELECT a.vec_id AS a_id, b.vec_id AS b_id, unnest(a.vector) AS x, unnest(b.vector) AS y FROM emb a JOIN emb b ON (a.label IS NULL OR a.label <> 0) AND b.label = 0)) GROUP BY a_id, b_id"""
 _SIM = """
       SELECT a.event_id, b.event_id AS memory_id, b.vec_id AS ordinal, CASE WHEN a.score > 3.5 AND (b.score < 2.5 OR a.score > 2 * b.score) THEN 0.0 ELSE least(greatest(
                0.4 * greatest(cos, 0) + 0.2 * len(list_intersect(a.affected, b.affected))::DOUBLE / len(list_distinct(list_concat(a.affected, b.affected)))
@@ -289,7 +278,7 @@ ORACLES = {
     "g1_channel_features": sql("SELECT event_id, channel, " + ", ".join(f"round({c}, 6) AS {c}" for c in signature.PER_CHANNEL) + " FROM feat", "assigned", "scored", tev=_TESTEV, placed=_PLACED, win=_WIN, feat=_FEAT),
     "g2_affected_channels": sql("SELECT event_id, coalesce(string_agg(CASE WHEN score_max > 3 OR mag > 0.05 THEN channel END, ',' ORDER BY channel), '') AS affected FROM feat GROUP BY event_id", "assigned", "scored", tev=_TESTEV, placed=_PLACED, win=_WIN, feat=_FEAT),
     "g3_command_context": sql("SELECT event_id, CASE WHEN last_ns IS NULL THEN 86400.0 ELSE round((start_ns - last_ns) / 1e9, 6) END AS nearest_tc_diff_sec, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in signature.CONTEXT[1:]) + " FROM ctx", "ev", "commands", ctx=_CTX),
-    "g8_similarity_pairs": sql("SELECT event_id, memory_id, round(similarity, 6) AS similarity FROM sims", emb=_EMB, cosines=_COS, sims=_SIM),
+    "g8_similarity_pairs": sql("SELECT event_id, memory_id, round(similarity, 6) AS similarity FROM sims WHERE similarity >= 0.4", emb=_EMB, cosines=_COS, sims=_SIM),
     "g9_nearest_memory": sql("SELECT event_id, nearest_id, round(similarity, 6) AS similarity, status FROM nearest", emb=_EMB, cosines=_COS, sims=_SIM, nearest=_NEAREST),
     "g14_alerts": sql("SELECT event_id, status, CASE WHEN status = 'KNOWN' THEN 'INFO' WHEN length(event_id) % 2 = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM nearest", emb=_EMB, cosines=_COS, sims=_SIM, nearest=_NEAREST),
     "t_alarm_sessions": sql("""

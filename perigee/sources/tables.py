@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
@@ -22,6 +24,28 @@ class SchemaError(ValueError):
     pass
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster, whose executors couldn't read
+    it, that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame, written as Parquet into the shared folder and read back: its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A table, columns pruned at the scan. Nanosecond timestamps arrive as LONG."""
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
@@ -65,21 +89,33 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("﻿"))
 
 
+def load_counts(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
+    """One row on a catalog file: records read, accepted and rejected ones, and objects after the last of each id."""
+    read = spark.read.schema(ELEMENTS).option("multiLine", True).json(path).limit(most).count()
+    good = _elements(spark, path, most).where("object_id > 0")
+    return good.agg(F.lit(read).cast("long").alias("records"), F.count("*").alias("accepted"), (F.lit(read) - F.count("*")).alias("rejected"), F.count_distinct("object_id").alias("objects"))
+
+
 def read_elements(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
     """A catalog of orbital elements from JSON: the first records, valid ids, the last of each id.
 
     A record with a field that can't be read is left out on its own; the rest stays.
     """
+    from perigee.operators.orbit import deduplicated
+
+    return deduplicated(_elements(spark, path, most))
+
+
+def _elements(spark: SparkSession, path: str, most: int) -> DataFrame:
     raw = spark.read.schema(ELEMENTS).option("multiLine", True).json(path)
     x = raw.withColumn("ordinal", F.monotonically_increasing_id()).orderBy("ordinal").limit(most)
     d = lambda c, default: F.coalesce(F.col(c).try_cast("double"), F.when(F.col(c).isNull(), F.lit(default)))
     from perigee.functions.clock import parse_ns
-    from perigee.operators.orbit import deduplicated
 
     x = x.select(F.col("NORAD_CAT_ID").try_cast("long").alias("object_id"), F.coalesce("OBJECT_NAME", F.lit("UNKNOWN")).alias("name"), F.col("OBJECT_ID").alias("alt_id"), parse_ns("EPOCH").alias("epoch_ns"),
                  d("MEAN_MOTION", 15.0).alias("mean_motion"), d("ECCENTRICITY", 0.0005).alias("eccentricity"), d("INCLINATION", 51.64).alias("inclination"), d("RA_OF_ASC_NODE", 0.0).alias("raan"),
                  d("ARG_OF_PERICENTER", 0.0).alias("arg_perigee"), d("MEAN_ANOMALY", 0.0).alias("mean_anomaly"), d("BSTAR", 0.00001).alias("bstar"), "ordinal")
-    return deduplicated(x.dropna(subset=["object_id", "mean_motion", "eccentricity", "inclination", "raan", "arg_perigee", "mean_anomaly", "bstar"]))
+    return x.dropna(subset=["object_id", "mean_motion", "eccentricity", "inclination", "raan", "arg_perigee", "mean_anomaly", "bstar"])
 
 
 def freshest(tiers: list[DataFrame], key: str) -> DataFrame:
@@ -130,8 +166,16 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.select("path", "length", *[c.alias(k) for k, c in digests(F.col("content")).items()])
 
 
+def seconds(value_ns: int | None) -> str:
+    """Nanoseconds as seconds with six decimals, N/A where missing."""
+    return "N/A" if value_ns is None else f"{value_ns / 1e9:.6f}"
+
+
 def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A small result as a Markdown table; missing numbers are N/A."""
+    """A small result as a Markdown table; missing numbers are N/A. More than ``most`` rows are an error, not a cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report of more than {most} rows")
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
-    body = ["| " + " | ".join("N/A" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()]
+    body = ["| " + " | ".join("N/A" if v is None else str(v) for v in r) + " |" for r in got]
     return "\n".join([f"# {title}", "", head, *body, ""])

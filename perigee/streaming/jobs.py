@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from perigee.functions.clock import SECOND, timestamp
-from perigee.operators import detect, orbit
+from perigee.operators import detect, memory, orbit
+from perigee.sources.tables import shared_folder, written
 
 DECISIONS = "mission string, event_id string, status string, similarity double, nearest_id string"
 
@@ -35,66 +35,103 @@ def windowed_rates(stream: DataFrame, length: str = "1 hour", slide: str = "15 m
     return g.select("channel", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "samples", "alarms")
 
 
-def snapshot_writer(objects: DataFrame, view: str = "object_states"):
-    """For ``foreachBatch`` on a rate stream: states of all objects at the batch's last tick, as a view."""
+#: Snapshots that are kept before a folder is used again, and how old one may be.
+SNAPSHOTS, SNAPSHOT_SECONDS = 8, 3.0
 
-    def write(batch: DataFrame, _: int) -> None:
+
+def snapshot_writer(objects: DataFrame, view: str = "object_states", folder: str | None = None):
+    """For ``foreachBatch`` on a rate stream: states of all objects at the batch's last tick, as a view.
+
+    A snapshot is written once and read by all who look at the view; ``at_ns`` is its time.
+    """
+    folder = folder or shared_folder(objects.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
         now = batch.agg(F.max(F.unix_micros("timestamp"))).first()[0]
         if now is not None:
-            orbit.states(orbit.propagate(objects.withColumn("at_ns", F.lit(now * 1000)))).createOrReplaceTempView(view)
+            states = orbit.states(orbit.propagate(objects.withColumn("at_ns", F.lit(now * 1000))))
+            path = f"{folder}/{number % SNAPSHOTS}"
+            states.write.mode("overwrite").parquet(path)
+            objects.sparkSession.read.schema(states.schema).parquet(path).createOrReplaceTempView(view)
 
     return write
 
 
+def is_fresh(snapshot: DataFrame, now_ns: int, seconds: float = SNAPSHOT_SECONDS) -> bool:
+    """Whether a snapshot has rows and is at most so old."""
+    at = snapshot.agg(F.max("at_ns")).first()[0]
+    return at is not None and 0 <= now_ns - at <= seconds * SECOND
+
+
 def start_snapshot(spark: SparkSession, objects: DataFrame, checkpoint: str, every: str = "3 seconds"):
     """The running query that refreshes the snapshot."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(snapshot_writer(objects)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def object_ticks(ticks: DataFrame, objects: DataFrame) -> DataFrame:
-    """States of a few objects at every tick of a rate stream."""
-    x = ticks.select((F.unix_micros("timestamp") * 1000).alias("at_ns")).join(F.broadcast(objects.limit(1000)), F.lit(True))
+#: Time between two loads of the catalog.
+REFRESH = "7200 seconds"
+
+
+def start_refresh(spark: SparkSession, load: Callable[[], DataFrame], checkpoint: str, view: str = "catalog", every: str = REFRESH):
+    """The running query that loads the catalog again and again; a load that fails leaves the last one in place."""
+    def refresh(batch: DataFrame, _: int) -> None:
+        if batch.limit(1).count():
+            try:
+                fresh = written(load())
+            except Exception as e:  # noqa: BLE001  the old catalog serves on, as after any failed fetch
+                print(f"catalog not refreshed: {e}")
+                return
+            fresh.createOrReplaceTempView(view)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def object_ticks(ticks: DataFrame, objects: DataFrame, ids: list[int]) -> DataFrame:
+    """States of the named objects at every tick of a rate stream."""
+    some = objects.where(F.col("object_id").isin(list(ids)))  # as few as were named
+    x = ticks.select((F.unix_micros("timestamp") * 1000).alias("at_ns")).join(F.broadcast(some), F.lit(True))
     return orbit.states(orbit.propagate(x))
 
 
-def _similar(a: dict, b: dict) -> float:
-    """The similarity of two remembered vectors, as in the batch operator's direction part."""
-    if len(a["vector"]) != len(b["vector"]):
-        return 0.0
-    xx = yy = xy = 0.0
-    for x, y in zip(a["vector"], b["vector"]):
-        w = max(abs(x), abs(y)) + 1e-6
-        x, y = x / w, y / w
-        xx, yy, xy = xx + x * x, yy + y * y, xy + x * y
-    return max(0.0, xy / (xx * yy) ** 0.5) if xx and yy else 0.0
+#: One mission's memory, a list of each column.
+MEMORY = "id array<string>, at array<long>, vector array<array<double>>, affected array<array<string>>, score array<double>, near array<double>, count array<double>"
+_COLUMNS = ("id", "at", "vector", "affected", "score", "near", "count")
 
 
-def memory_stream(events: DataFrame, threshold: float = 0.8, late: str = "1 hour") -> DataFrame:
-    """Decisions on ``mission, event_id, at, category, vector`` with one memory per mission.
+def memory_stream(events: DataFrame, threshold: float = 0.8, late: str = "1 hour", keep: int | None = None) -> DataFrame:
+    """Decisions on signatures with ``mission, at`` and ``category``, with one memory per mission.
 
-    State is kept per key by Spark and survives restarts; inside a micro-batch events are taken in order of
-    time. An unknown rare event is learned; a known pattern is named. Events later than the watermark go.
+    Similarity is that of the batch operators, guard, channels and command context included. State is kept per
+    key by Spark and survives restarts; inside a micro-batch events are taken in order of time and id. An
+    unknown rare event is learned, a known pattern is named, the earliest of equals. ``keep`` bounds the state:
+    patterns older than that many nanoseconds are forgotten. Events later than the watermark go.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        held = dict(zip(_COLUMNS, map(list, state.get))) if state.exists else {c: [] for c in _COLUMNS}
+        rows = pd.concat(list(frames)).sort_values(["at_ns", "id"])
         out = []
         for r in rows.itertuples():
-            me = {"id": r.event_id, "vector": [float(v) for v in r.vector]}
-            best, name = 0.0, None
-            for m in memory:
-                if (s := _similar(me, m)) > best:
-                    best, name = s, m["id"]
-            known = best >= threshold
+            if keep is not None and held["at"] and held["at"][0] < r.at_ns - keep:
+                stay = [i for i, t in enumerate(held["at"]) if t >= r.at_ns - keep]
+                held = {c: [v[i] for i in stay] for c, v in held.items()}
+            me = {"vector": [list(r.vector)], "affected": [list(r.affected)], "score": [r.score], "near": [r.near], "count": [r.count_]}
+            s = memory.similarities(me, held)[0] if held["id"] else []
+            best = int(s.argmax()) if len(s) else -1
+            top = float(s[best]) if best >= 0 else 0.0
+            known = top >= threshold
+            out.append((key[0], r.id, "KNOWN" if known else "UNKNOWN", top, held["id"][best] if top > 0 else None))
             if not known and r.category == "Rare Event":
-                memory.append(me)
-            out.append((key[0], r.event_id, "KNOWN" if known else "UNKNOWN", best, name))
-        state.update((json.dumps(memory),))
+                for c, v in zip(_COLUMNS, (r.id, int(r.at_ns), me["vector"][0], me["affected"][0], float(r.score), float(r.near), float(r.count_))):
+                    held[c].append(v)
+        state.update(tuple(held[c] for c in _COLUMNS))
         yield pd.DataFrame(out, columns=["mission", "event_id", "status", "similarity", "nearest_id"])
 
-    return events.withWatermark("at", late).groupBy("mission").applyInPandasWithState(run, DECISIONS, "memory string", "append", GroupStateTimeout.NoTimeout)
+    x = memory._lean(events, "mission", F.col("event_id").cast("string").alias("id"), "at", F.unix_micros("at").alias("at_us"), "category")
+    x = x.withColumn("at_ns", F.col("at_us") * 1000).withColumnRenamed("count", "count_").drop("at_us")
+    return x.withWatermark("at", late).groupBy("mission").applyInPandasWithState(run, DECISIONS, MEMORY, "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(spark: SparkSession, path: str, transform, out: str, mode: str = "append", files: int | None = None) -> DataFrame:
@@ -110,5 +147,3 @@ def replay(spark: SparkSession, path: str, transform, out: str, mode: str = "app
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
-
-REFRESH_NS = 7200 * SECOND
