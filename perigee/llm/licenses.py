@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.llm.common import WORD, join_spread, saved, table, text_of
@@ -71,28 +71,37 @@ SENTENCE, JOINED = r"\n|[.!?][ \t\r\n]+", r"\x01|[.!?][ \t\r]+"
 PARAGRAPH, WRAP = r"\n[ \t\r#*/;%-]*\n[ \t\r\n#*/;%-]*", r"[ \t\r]*\n[ \t]*[#*/;%-]*[ \t]*"
 #: Terms, of which dots and hyphens at the end are cut. No group repeats in any pattern, so lines of any length are safe.
 TERM, ENDS = r"[0-9a-z][0-9a-z.-]*", ".-"
-#: Words that say nothing about licences; a sentence that shares no other with a notice can't match (checked in every run).
-STOP = frozenset("a an and any are as at be by can for in is it its may not of on or that the this to with you your".split())
+#: Words that say nothing about licences. Of all others a match shares at least so many with its notice.
+STOP = frozenset("a all an and any are as at be but by can either for from in is it its may nor not of on or other that the this to with you your".split())
+SHARED = 2
 #: A match, and the share of a file's words that notices hold in a licence file of another name.
 LEAST_COSINE, FILE_SHARE = 0.6, 0.5
 
 
 def _any_of(words: set[str]) -> str:
-    return "(^|[^0-9a-z])(?:" + "|".join(re.escape(w) for w in sorted(words)) + ")($|[^0-9a-z])"
+    """A pattern for any of the words, branching by first letter; it reads lower case."""
+    heads = "|".join(h + "(?:" + "|".join(sorted(re.escape(w[1:]) for w in words if w[0] == h)) + ")" for h in sorted({w[0] for w in words}))
+    return "(?<![0-9a-z])(?:" + heads + ")(?![0-9a-z])"
 
 
-_TERMS = {w.rstrip(ENDS) for _, t in NOTICES for w in re.findall(TERM, t.lower())}
-#: What a sentence has to hold to count among the texts that weigh terms, and to be compared at all.
-HINT, ALL_TERMS = _any_of(_TERMS - STOP), _any_of(_TERMS)
+TELLING = frozenset(w.rstrip(ENDS) for _, t in NOTICES for w in re.findall(TERM, t.lower())) - STOP
+#: What every match holds: two words tell, so one that isn't this common one (in German) is among them.
+HINT = _any_of(TELLING - {"mit"})
 
 
-def _parts(hint: str):
-    """What of a text is compared, as (kind, part): sentences by line (l) and joined (j) that match ``hint``; whole licence files (w)."""
-    text = F.col("text")
+def _listed(text) -> Column:
+    """The terms of a text, repeats included."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda x: F.rtrim(x, F.lit(ENDS)))
+
+
+def _parts(telling: frozenset[str], hint: str) -> Column:
+    """What of a text is compared, as (kind, part): sentences by line (l) and joined (j) with enough telling words; whole licence files (w)."""
+    text, tell = F.col("text"), F.array(*map(F.lit, sorted(telling)))
     joined = F.regexp_replace(F.regexp_replace(text, PARAGRAPH, "\x01"), WRAP, " ")
 
     def sentences(x, ends, kind):
-        return F.transform(F.filter(F.array_distinct(F.split(x, ends)), lambda p: F.lower(p).rlike(hint)), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
+        enough = lambda p: F.lower(p).rlike(hint) & (F.size(F.array_intersect(_listed(p), tell)) >= SHARED)
+        return F.transform(F.filter(F.array_distinct(F.split(x, ends)), enough), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
 
     none = F.array().cast("array<struct<kind:string,part:string>>")
     notices = F.concat(sentences(text, SENTENCE, "l"), sentences(joined, JOINED, "j"))
@@ -100,8 +109,7 @@ def _parts(hint: str):
 
 
 def _terms(parts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    terms = F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("term")
-    return parts.select(*keys, terms).withColumn("term", F.rtrim("term", F.lit(ENDS))).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return parts.select(*keys, F.explode(_listed(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -109,14 +117,13 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     ``origin`` is ``own``, ``inherited`` or ``none``; ``from_dir`` is the directory whose licence file is
     inherited. ``score`` is the cosine of the best part to 6 places, null without a licence of its own; of
-    equal scores the first identifier counts. Whole texts are read. Equal parts are scored once, so a notice
-    that stands in a third of the files costs a partial count a task. Weights count every distinct part that
-    shares a telling word with a notice, every whole licence file and every template. Parts that share none
-    are left out of the comparison only because they can't reach the least cosine; where the weights don't
-    bear that out, every part that shares any word is compared. Of several licence files in a directory the
-    best match counts, then the first name, then the first identifier. A null path is its own place: it keeps
-    its own licence and inherits nothing; rows that share a path keep their own licences each. Null texts have
-    no licence. Other columns are ignored. Empty tables give empty results.
+    equal scores the first identifier counts. A sentence matches a notice that it shares ``SHARED`` telling words
+    with at a cosine of ``LEAST_COSINE``; sentences with fewer telling words are neither compared nor weighed.
+    Whole texts are read. Equal parts are scored once, so a notice that stands in a third of the files costs a
+    partial count a task. Weights count every distinct part and every template. Of several licence files in a
+    directory the best match counts, then the first name, then the first identifier. A null path is its own
+    place: it keeps its own licence and inherits nothing; rows that share a path keep their own licences each.
+    Null texts have no licence. Other columns are ignored. Empty tables give empty results.
     """
     spark = files.sparkSession
     name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
@@ -125,33 +132,28 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     notices = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "t int, license string, notice string, whole boolean")
     of_notice = _terms(notices, ["t", "whole"], "notice")
 
-    for hint in (HINT, ALL_TERMS):
-        lean = rows.select(*keep, "path", "named", "k1", "k2", F.when(F.lower("text").rlike(hint) | F.col("named"), F.regexp_count("text", F.lit(WORD))).alias("words"), _parts(hint).alias("parts"))
-        lean = saved(lean.withColumn("held", F.size("parts") > 0), "license-rows")
-        part = lean.where("held").select("named", "k1", "k2", "words", F.explode("parts").alias("p")).select("named", "k1", "k2", "words", "p.*", (F.col("p.kind") == "w").alias("whole"))
-        part = part.withColumn("s", F.md5(F.concat(F.col("whole").cast("string"), "part").cast("binary")))
-        # equal texts are one, with the number of their rows
-        of_text = saved(part.groupBy("named", "k1", "k2", "kind", "s").agg(F.first("words").alias("words"), F.count("*").alias("copies")), "license-parts")
-        every = part.groupBy("s", "whole").agg(F.first("part").alias("part"), F.count("*").alias("n"))
-        every = saved(every.withColumns({"size": F.regexp_count("part", F.lit(WORD)), "weighs": F.col("whole") | F.lower("part").rlike(HINT)}), "license-sentences")
-        of_part = saved(_terms(every, ["s", "whole", "weighs"], "part"), "license-terms")
-        texts = every.where("weighs").count() + len(TEMPLATES)
-        df = of_part.select("term", F.col("weighs").cast("int").alias("one")).unionByName(of_notice.select("term", F.lit(1).alias("one")))
-        df = saved(df.groupBy("term").agg(F.sum("one").alias("df"), F.count("*").alias("n")), "license-df")
-        weight = ((1 + F.log(F.col("tf").cast("double"))) * (F.log(F.lit(texts + 1.0) / (F.col("df") + 1)) + 1)).alias("w")
-        # the templates are a fixed list, so their terms are bounded
-        t = of_notice.join(df.drop("n"), "term").select("t", "whole", "term", weight)
-        # what a sentence without a telling word can reach, by Cauchy and Schwarz
-        stop = F.sum(F.when(F.col("term").isin(sorted(STOP)), F.col("w") ** 2).otherwise(0.0))
-        reach = t.where("not whole").groupBy("t").agg(F.sqrt(stop / F.sum(F.col("w") ** 2)).alias("r")).agg(F.max("r")).first()[0]
-        if reach < LEAST_COSINE:
-            break
+    lean = rows.select(*keep, "path", "named", "k1", "k2", _parts(TELLING, HINT).alias("parts"), F.when(F.size("parts") > 0, F.regexp_count("text", F.lit(WORD))).alias("words"))
+    lean = saved(lean.withColumn("held", F.size("parts") > 0), "license-rows")
+    part = lean.where("held").select("named", "k1", "k2", "words", F.explode("parts").alias("p")).select("named", "k1", "k2", "words", "p.*", (F.col("p.kind") == "w").alias("whole"))
+    part = part.withColumn("s", F.md5(F.concat(F.col("whole").cast("string"), "part").cast("binary")))
+    # equal texts are one, with the number of their rows
+    of_text = saved(part.groupBy("named", "k1", "k2", "kind", "s").agg(F.first("words").alias("words"), F.count("*").alias("copies")), "license-parts")
+    every = part.groupBy("s", "whole").agg(F.first("part").alias("part"), F.count("*").alias("n"))
+    every = saved(every.withColumn("size", F.regexp_count("part", F.lit(WORD))), "license-sentences")
+    of_part = saved(_terms(every, ["s", "whole"], "part"), "license-terms")
+    texts = every.count() + len(TEMPLATES)
+    df = of_part.select("term").unionByName(of_notice.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = saved(df.withColumn("n", F.col("df")), "license-df")
+    weight = ((1 + F.log(F.col("tf").cast("double"))) * (F.log(F.lit(texts + 1.0) / (F.col("df") + 1)) + 1)).alias("w")
+    # the templates are a fixed list, so their terms are bounded
+    t = of_notice.join(df.drop("n"), "term").select("t", "whole", "term", weight, F.col("term").isin(sorted(TELLING)).cast("int").alias("tells"))
 
     total = df.agg(F.sum("n")).first()[0]
     s = join_spread(of_part, df, ["term"], "n", total).select("s", "whole", "term", weight)
     s_norm = s.groupBy("s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s_norm"))
     t_norm = t.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    dot = s.withColumnRenamed("w", "sw").join(F.broadcast(t), ["term", "whole"]).groupBy("s", "t").agg(F.sum(F.col("sw") * F.col("w")).alias("dot"))
+    dot = s.withColumnRenamed("w", "sw").join(F.broadcast(t), ["term", "whole"]).groupBy("s", "whole", "t").agg(F.sum(F.col("sw") * F.col("w")).alias("dot"), F.sum("tells").alias("tells"))
+    dot = dot.where((F.col("tells") >= SHARED) | F.col("whole"))
     dot = dot.join(F.broadcast(t_norm), "t").join(F.broadcast(notices.select("t", "license")), "t").join(s_norm, "s")
     dot = dot.withColumn("score", F.round(F.col("dot") / (F.col("s_norm") * F.col("t_norm")), 6)).where(F.col("score") >= LEAST_COSINE)
     first = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("m")
@@ -205,10 +207,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """All parts of all files are compared here, without regard to telling words; those only say what counts in the weights."""
+    telling = "[" + ", ".join(f"'{w}'" for w in sorted(TELLING)) + "]"
     quoted = lambda x: x.replace("'", "''")
     notices = ",\n    ".join(f"({i}, '{k}', '{quoted(t)}', {str(w).lower()})" for i, (k, t, w) in enumerate(TEMPLATES))
-    weight = "(1 + ln(tf)) * (ln((texts + 1.0) / (coalesce(df, 0) + 1)) + 1)"
+    weight = "(1 + ln(tf)) * (ln((texts + 1.0) / (df + 1)) + 1)"
     return rf"""
 WITH notices(t, license, notice, whole) AS (VALUES
     {notices}),
@@ -227,18 +229,19 @@ parts AS (
   SELECT r, 'l' AS kind, false AS whole, unnest(list_distinct(string_split_regex(text, '{SENTENCE}'))) AS s FROM files
   UNION ALL SELECT r, 'j', false, unnest(list_distinct(string_split_regex(joined, '{JOINED}'))) FROM files
   UNION ALL SELECT r, 'w', true, text FROM files WHERE named),
+listed AS (SELECT s, whole, list_transform(regexp_extract_all(lower(s), '{TERM}'), lambda x: rtrim(x, '{ENDS}')) AS terms FROM (SELECT DISTINCT s, whole FROM parts)),
 sentences AS (
-  SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS size, whole OR regexp_matches(lower(s), '{HINT}') AS weighs
-  FROM (SELECT DISTINCT s, whole FROM parts) WHERE whole OR regexp_matches(lower(s), '{ALL_TERMS}')),
-st AS (SELECT s, whole, weighs, term, count(*) AS tf FROM (SELECT s, whole, weighs, rtrim(unnest(regexp_extract_all(lower(s), '{TERM}')), '{ENDS}') AS term FROM sentences) GROUP BY ALL),
+  SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS size FROM listed
+  WHERE whole OR len(list_intersect(list_distinct(terms), {telling})) >= {SHARED}),
+st AS (SELECT s, whole, term, count(*) AS tf FROM (SELECT s, whole, unnest(terms) AS term FROM sentences) GROUP BY ALL),
 nt AS (SELECT t, whole, term, count(*) AS tf FROM (SELECT t, whole, rtrim(unnest(regexp_extract_all(lower(notice), '{TERM}')), '{ENDS}') AS term FROM notices) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT term FROM st WHERE weighs UNION ALL SELECT term FROM nt) GROUP BY term),
-n AS (SELECT (SELECT count(*) FROM sentences WHERE weighs) + (SELECT count(*) FROM notices) AS texts),
-sw AS (SELECT s, whole, st.term, {weight} AS w FROM st LEFT JOIN df ON st.term = df.term, n),
-tw AS (SELECT t, whole, nt.term, {weight} AS w FROM nt LEFT JOIN df ON nt.term = df.term, n),
+df AS (SELECT term, count(*) AS df FROM (SELECT term FROM st UNION ALL SELECT term FROM nt) GROUP BY term),
+n AS (SELECT (SELECT count(*) FROM sentences) + (SELECT count(*) FROM notices) AS texts),
+sw AS (SELECT s, whole, st.term, {weight} AS w FROM st JOIN df ON st.term = df.term, n),
+tw AS (SELECT t, whole, nt.term, {weight} AS w, list_contains({telling}, nt.term)::INT AS tells FROM nt JOIN df ON nt.term = df.term, n),
 sn AS (SELECT s, whole, sqrt(sum(w * w)) AS norm FROM sw GROUP BY s, whole),
 tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tw GROUP BY t),
-dots AS (SELECT s, sw.whole, t, sum(sw.w * tw.w) AS dot FROM sw JOIN tw ON sw.term = tw.term AND sw.whole = tw.whole GROUP BY ALL),
+dots AS (SELECT s, sw.whole, t, sum(sw.w * tw.w) AS dot FROM sw JOIN tw ON sw.term = tw.term AND sw.whole = tw.whole GROUP BY s, sw.whole, t HAVING sw.whole OR sum(tells) >= {SHARED}),
 scored AS (
   SELECT d.s, d.whole, license, round(dot / (sn.norm * tn.norm), 6) AS score
   FROM dots d JOIN sn ON d.s = sn.s AND d.whole = sn.whole JOIN tn ON d.t = tn.t JOIN notices ON d.t = notices.t),

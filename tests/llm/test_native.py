@@ -143,8 +143,8 @@ def test_licenses_of_null_and_shared_paths(spark):
 
 def test_licenses_of_equal_scores_go_by_name(spark, monkeypatch):
     monkeypatch.setattr(licenses, "TEMPLATES", (("Z-1", "Covered by the frob terms of use", False), ("A-1", "Covered by the frob terms of use", False)))
+    monkeypatch.setattr(licenses, "TELLING", frozenset({"covered", "frob", "terms", "use"}))
     monkeypatch.setattr(licenses, "HINT", licenses._any_of({"covered", "frob", "terms", "use"}))
-    monkeypatch.setattr(licenses, "ALL_TERMS", licenses._any_of({"covered", "by", "the", "frob", "terms", "of", "use"}))
     assert scanned(spark, [("a", "Covered by the frob terms of use.")]) == [("a", "A-1", "own", None)]
 
 
