@@ -43,10 +43,19 @@ def iso(ts_ns: Column | str) -> Column:
     return F.date_format(timestamp(ts_ns), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def split_of(ts_ns: Column | str, validation: int, test: int) -> Column:
-    """``train``, ``validation`` or ``test``; either boundary belongs to the part before it."""
+def split_of(ts_ns: Column | str, validation: int, test: int, first: int | None = None, last: int | None = None) -> Column:
+    """``train``, ``validation`` or ``test``; either boundary belongs to the part before it.
+
+    Boundaries have to be in order. With the extent ``first`` to ``last`` given, a time outside it is an error.
+    """
+    low, high = validation if first is None else first, test if last is None else last
+    if not low <= validation < test <= high:
+        raise ValueError("split boundaries must be ordered inside the extent")
     ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
-    return F.when(ts_ns <= validation, "train").when(ts_ns <= test, "validation").otherwise("test")
+    out = F.when(ts_ns <= validation, "train").when(ts_ns <= test, "validation").otherwise("test")
+    outside = F.lit(False) if first is None else ts_ns < first
+    outside = outside if last is None else outside | (ts_ns > last)
+    return out if first is None and last is None else F.when(outside, F.raise_error(F.lit("a time lies outside the extent"))).otherwise(out)
 
 
 def recent(ts: Column, now: Column, hours: float) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import HOUR, SECOND
-from perigee.operators.ordered import asof, trailing_counts
+from perigee.operators.labels import one_each
+from perigee.operators.ordered import asof, exact_medians, trailing_counts
 
 WINDOWS = {"5m": 300 * SECOND, "30m": 1800 * SECOND, "2h": 2 * HOUR, "24h": 24 * HOUR}
 PRIORITIES = (0, 1, 2, 3)
@@ -44,9 +45,12 @@ def priority_counts(ev: DataFrame, commands: DataFrame, window: int = 24 * HOUR)
 
 def delta_summary(near: DataFrame) -> DataFrame:
     """Per category: events, those with a command before, and min, median, mean and max of the gap in seconds."""
-    d = F.col("delta_ns") / 1e9
-    return near.groupBy("category").agg(
-        F.count("*").alias("event_count"), F.count("delta_ns").alias("with_command"), F.round(F.min(d), 6).alias("min_s"), F.round(F.median(d), 6).alias("median_s"), F.round(F.try_divide(F.sum("delta_ns"), F.count("delta_ns")) / 1e9, 6).alias("mean_s"), F.round(F.max(d), 6).alias("max_s"))
+    near = near.withColumn("__d", F.col("delta_ns") / 1e9)
+    d = F.col("__d")
+    middle = exact_medians(near, ["category"], "__d", "median_s").withColumn("median_s", F.round("median_s", 6))
+    x = near.groupBy("category").agg(
+        F.count("*").alias("event_count"), F.count("delta_ns").alias("with_command"), F.round(F.min(d), 6).alias("min_s"), F.round(F.try_divide(F.sum("delta_ns"), F.count("delta_ns")) / 1e9, 6).alias("mean_s"), F.round(F.max(d), 6).alias("max_s"))
+    return x.join(middle, "category", "left")
 
 
 def proximity(ev: DataFrame, commands: DataFrame, windows: dict[str, int] | None = None) -> DataFrame:
@@ -57,3 +61,19 @@ def proximity(ev: DataFrame, commands: DataFrame, windows: dict[str, int] | None
     x = x.select("category", pairs).groupBy("category", F.col("w.window").alias("window"))
     x = x.agg(F.count("*").alias("event_count"), F.count_if(F.col("w.n") > 0).alias("with_command"))
     return x.withColumn("rate", F.round(F.coalesce(F.try_divide("with_command", "event_count"), F.lit(0.0)), 6))
+
+
+def command_streams(commands: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Per defined command ``telecommand, priority``: executions, 0 where there are none, and their extent."""
+    n = commands.groupBy("telecommand").agg(F.count("*").alias("executions"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
+    return one_each(definitions.select("telecommand", "priority"), "telecommand").join(n, "telecommand", "left").withColumn("executions", F.coalesce("executions", F.lit(0)))
+
+
+def command_quality(commands: DataFrame, definitions: DataFrame) -> DataFrame:
+    """One row: definitions, executions, streams without one, and the extent of all."""
+    return command_streams(commands, definitions).agg(F.count("*").alias("definitions"), F.sum("executions").alias("executions"), F.count_if(F.col("executions") == 0).alias("empty_streams"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"))
+
+
+def execution_counts(commands: DataFrame, by: str) -> DataFrame:
+    """Executions and commands by priority, by value or by whatever column is named, and their extent."""
+    return commands.groupBy(by).agg(F.count("*").alias("executions"), F.count_distinct("telecommand").alias("telecommands"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))

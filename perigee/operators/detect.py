@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.functions.clock import is_finite
+from perigee.functions.clock import SECOND, is_finite
 from perigee.operators.ordered import exact_medians
+from perigee.operators.ranges import islands
 
 MAD_SCALE = 1.4826
 
@@ -64,12 +65,27 @@ def event_alarms(scored_windows: DataFrame, threshold: float) -> DataFrame:
     return scored_windows.groupBy("event_id").agg(F.bool_or(F.col("score") > threshold).alias("alarm"), F.max("score").alias("score_max"))
 
 
-def suite(df: DataFrame, boundary: int) -> DataFrame:
-    """The baselines none, 3 and 5 deviations, and 5 median deviations: alarmed samples and times of each."""
-    std, mad = fit_std(df, boundary), fit_mad(df, boundary)
-    runs = {"no_alarm": no_alarm(df), "std3": score(df, std, 3.0), "std5": score(df, std, 5.0), "mad5": score(df, mad, 5.0)}
-    out = None
-    for name, x in runs.items():
-        row = x.agg(F.count_if("alarm").alias("alarms"), F.count_distinct(F.when(F.col("alarm"), F.col("ts_ns"))).alias("alarm_times")).select(F.lit(name).alias("baseline"), "alarms", "alarm_times")
-        out = row if out is None else out.unionByName(row)
-    return out
+#: The longest gap in nanoseconds between alarms of one window.
+CONTINUITY = 90 * SECOND
+
+
+def alarm_windows(scored: DataFrame, max_gap_ns: int = CONTINUITY) -> DataFrame:
+    """Windows in which any channel alarms, over all channels; alarms further apart than the gap are two."""
+    x = across_channels(scored).select("ts_ns", F.col("alarm").alias("positive"))
+    return islands(x, (), max_gap_ns)
+
+
+def suite(df: DataFrame, boundary: int, max_gap_ns: int = CONTINUITY) -> DataFrame:
+    """The baselines none, 3 and 5 deviations, and 5 median deviations: alarmed samples, times and windows of each.
+
+    All are scored in one pass over the samples; windows are found per baseline in time order.
+    """
+    limits = {"no_alarm": ("none", 0.0), "std3": ("std", 3.0), "std5": ("std", 5.0), "mad5": ("mad", 5.0)}
+    both = fit_std(df, boundary).select("channel", F.col("center").alias("std_center"), F.col("scale").alias("std_scale"))
+    both = both.join(fit_mad(df, boundary).select("channel", F.col("center").alias("mad_center"), F.col("scale").alias("mad_scale")), "channel")
+    far = {k: score_of(F.col("value"), F.col(f"{k}_center"), F.col(f"{k}_scale")) for k in ("std", "mad")} | {"none": F.lit(0.0)}
+    x = df.join(both, "channel").withColumn("b", F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), (far[k] > limit if limit else F.lit(False)).alias("alarm")) for n, (k, limit) in limits.items()])))
+    at = x.groupBy("b.baseline", "ts_ns").agg(F.count_if("b.alarm").alias("n"))
+    runs = islands(at.select("baseline", "ts_ns", (F.col("n") > 0).alias("positive")), ["baseline"], max_gap_ns).groupBy("baseline").agg(F.count("*").alias("windows"))
+    out = at.groupBy("baseline").agg(F.sum("n").alias("alarms"), F.count_if(F.col("n") > 0).alias("alarm_times")).join(runs, "baseline", "left")
+    return out.withColumn("windows", F.coalesce("windows", F.lit(0)))

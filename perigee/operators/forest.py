@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import is_finite
+from perigee.operators.ordered import exact_quantiles
 
 TREES, SUBSAMPLE, CONTAMINATION, SEED = 100, 256, 0.01, 42
 #: Training values of a channel that the trees' subsamples are drawn from, at most in expectation.
@@ -49,19 +51,22 @@ def anomaly(trees: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, n: int) -
 def fit(df: DataFrame, boundary: int, seed: int = SEED) -> dict[str, tuple]:
     """Forest and cut-off per channel of finite training values.
 
-    Trees grow on subsamples of a bounded sample; the cut-off is the exact quantile of the scores of all
-    training rows. Scores have few distinct values, one an interval between cut points, so counting them is small.
+    Each channel's trees grow in a task of their own on subsamples of a bounded sample; only grown trees reach
+    the driver. The cut-off is the exact quantile of the scores of all training rows.
     """
-    x = df.where(is_finite("value") & (F.col("ts_ns") <= boundary)).select("channel", F.col("value").cast("double").alias("value"), "ts_ns")
+    x = df.where(is_finite("value") & (F.col("ts_ns") <= boundary) & F.col("channel").isNotNull()).select("channel", F.col("value").cast("double").alias("value"), "ts_ns")
     n = x.groupBy("channel").agg(F.count("*").alias("n"))
     part = F.shiftrightunsigned(F.xxhash64("channel", "ts_ns"), 11) / F.lit(float(1 << 53))
-    got = x.join(n, "channel").where(part < F.lit(float(BOUND)) / F.col("n")).select("channel", "value", "ts_ns").toPandas().sort_values(["channel", "ts_ns"])
-    forests = {}
-    for channel, g in got.groupby("channel"):
-        values = g["value"].to_numpy()
-        forests[channel] = grow(values, np.random.default_rng(seed)), len(values), np.inf
-    scores = score(x.where(F.col("channel").isNotNull()), forests)
-    cuts = {r["channel"]: r["cut"] for r in scores.groupBy("channel").agg(F.percentile("score", 1 - CONTAMINATION).alias("cut")).collect()}
+
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows.sort_values("ts_ns")["value"].to_numpy()
+        return pd.DataFrame({"channel": rows["channel"].iloc[:1], "size": [len(values)], "trees": [pickle.dumps(grow(values, np.random.default_rng(seed)))]})
+
+    got = x.join(n, "channel").where(part < F.lit(float(BOUND)) / F.col("n")).drop("n").groupBy("channel").applyInPandas(forest, "channel string, size long, trees binary").collect()
+    forests = {r["channel"]: (pickle.loads(r["trees"]), r["size"], np.inf) for r in got}
+    if not forests:
+        return {}
+    cuts = {r["channel"]: r["quantile_value"] for r in exact_quantiles(score(x, forests), ["channel"], "score", [1 - CONTAMINATION]).collect()}
     return {c: (trees, size, cuts[c]) for c, (trees, size, _) in forests.items()}
 
 

@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import split_of
+from perigee.functions.text import trailing_number
 from perigee.operators.ordered import exact_medians
 
 SPLITS = ("train", "validation", "test")
 
 
+def _refused(bad: Column, message: Column | str, kind: str = "string") -> Column:
+    """Null, or an error where ``bad`` holds."""
+    return F.when(bad, F.raise_error(F.lit(message) if isinstance(message, str) else message).cast(kind))
+
+
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """The frame with at most one row a key; a key that stands twice is an error."""
+    rest = [c for c in df.columns if c != key]
+    x = df.groupBy(key).agg(F.count("*").alias("__n"), F.any_value(F.struct(*rest)).alias("__r"))
+    twice = F.concat(F.lit(f"{key} stands more than once: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = F.coalesce(_refused(F.col("__n") > 1, twice, x.schema["__r"].dataType.simpleString()), F.col("__r"))
+    return x.select(key, checked.alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in rest])
+
+
+def many_to_one(df: DataFrame, right: DataFrame, key: str, right_key: str | None = None, required: str | None = None) -> DataFrame:
+    """Left join to a table of definitions that must have one row a key; all rows of ``df`` stay.
+
+    ``required`` names a column of ``right`` that must be there for every row; a row without it is an error.
+    """
+    facts = one_each(right, right_key or key).withColumnRenamed(right_key or key, key)
+    out = df.join(facts, key, "left")
+    if required:
+        missing = F.concat(F.lit(f"{key} is undefined: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+        kind = out.schema[required].dataType.simpleString()
+        out = out.withColumn(required, F.coalesce(F.col(required), _refused(F.col(required).isNull(), missing, kind)))
+    return out
+
+
+def only_channels(df: DataFrame, channels: list[str]) -> DataFrame:
+    """Rows of the named channels; a name that is repeated or has no row is an error."""
+    if len(set(channels)) != len(channels):
+        raise ValueError("a channel is named twice")
+    found = {r["channel"] for r in df.where(F.col("channel").isin(channels)).select("channel").distinct().collect()}
+    if missing := sorted(set(channels) - found):
+        raise ValueError(f"channels without a row: {missing}")
+    return df.where(F.col("channel").isin(channels))
+
+
+def channel_counts(rows: DataFrame) -> DataFrame:
+    """``event_id, selected_channels, all_channels``: distinct channels of each event."""
+    return rows.groupBy("event_id").agg(F.count_distinct(F.when(F.col("is_selected_channel"), F.col("channel"))).alias("selected_channels"), F.count_distinct("channel").alias("all_channels"))
+
+
 def event_table(rows: DataFrame, types: DataFrame, selected: list[str]) -> DataFrame:
     """Label rows of events that touch a selected channel, with their type and channel counts.
 
-    ``types`` must have one row per event id; the join keeps every label row.
+    ``types`` must have one row per event id, or the join is refused; it keeps every label row.
     """
     ids = rows.where(F.col("channel").isin(selected)).select("event_id").distinct()
-    kept = rows.join(ids, "event_id", "left_semi")
-    is_selected = F.col("channel").isin(selected)
-    counts = kept.groupBy("event_id").agg(F.count_distinct(F.when(is_selected, F.col("channel"))).alias("selected_channels"), F.count_distinct("channel").alias("all_channels"))
-    out = kept.join(types, "event_id", "left").join(counts, "event_id")
-    return (out.withColumn("is_selected_channel", is_selected).withColumn("multichannel", F.col("all_channels") > 1)
-            .withColumn("duration_ns", F.col("end_ns") - F.col("start_ns")))
+    kept = rows.join(ids, "event_id", "left_semi").withColumn("is_selected_channel", F.col("channel").isin(selected))
+    out = many_to_one(kept, types, "event_id").join(channel_counts(kept), "event_id")
+    return out.withColumn("multichannel", F.col("all_channels") > 1).withColumn("duration_ns", F.col("end_ns") - F.col("start_ns"))
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
@@ -37,15 +78,32 @@ def undefined_keys(df: DataFrame, definitions: DataFrame, key: str, defined: str
 
 def natural_order(df: DataFrame, column: str = "channel") -> DataFrame:
     """Sorted by the number at the end of the name, names without one last, then by name."""
-    number = F.regexp_extract(column, r"(\d+)$", 1).try_cast("long")
-    return df.orderBy(number.asc_nulls_last(), column)
+    return df.orderBy(trailing_number(column).asc_nulls_last(), column)
+
+
+def natural_places(df: DataFrame, column: str) -> DataFrame:
+    """``column, place``: distinct names in natural order, counted from 1. Names are few: one row a name."""
+    names = df.select(column).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(trailing_number(column).asc_nulls_last(), column)))
 
 
 def events(rows: DataFrame) -> DataFrame:
-    """One row per event id from its selected rows: category, class and extent."""
-    return rows.where("is_selected_channel").groupBy("event_id").agg(
-        F.first("category", ignorenulls=True).alias("category"), F.first("class", ignorenulls=True).alias("class"),
-        F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+    """One row per event id from its selected rows: category, class and extent.
+
+    An event with more than one category or class is an error.
+    """
+    x = rows.where("is_selected_channel").groupBy("event_id").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("category", "class") for n, f in (("low", F.min), ("high", F.max))], F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+    both = F.concat(F.lit("more than one category or class: "), F.col("event_id").cast("string"))
+    one = lambda c: F.coalesce(_refused(F.col(f"low_{c}") != F.col(f"high_{c}"), both), F.col(f"low_{c}")).alias(c)
+    return x.select("event_id", one("category"), one("class"), "start_ns", "end_ns")
+
+
+def class_sets(ev: DataFrame) -> DataFrame:
+    """``class, seen``: classes of events only before the test part, only in it, or in both."""
+    test = F.col("split") == "test"
+    x = ev.groupBy("class").agg(F.bool_or(test).alias("late"), F.bool_or(~test).alias("early"))
+    return x.select("class", F.when(F.col("late") & F.col("early"), "both").when(F.col("late"), "test only").otherwise("before test").alias("seen"))
 
 
 def conflicting(rows: DataFrame) -> DataFrame:
@@ -54,10 +112,10 @@ def conflicting(rows: DataFrame) -> DataFrame:
     return x.where("categories > 1 or classes > 1")
 
 
-def assigned(ev: DataFrame, validation: int, test: int) -> DataFrame:
+def assigned(ev: DataFrame, validation: int, test: int, first: int | None = None, last: int | None = None) -> DataFrame:
     """Events with the split of their start and whether they cross a boundary on either side."""
     start, end = F.col("start_ns"), F.col("end_ns")
-    return (ev.withColumn("split", split_of("start_ns", validation, test))
+    return (ev.withColumn("split", split_of("start_ns", validation, test, first, last))
             .withColumn("crosses_validation", (start <= validation) & (end > validation))
             .withColumn("crosses_test", (start <= test) & (end > test)))
 

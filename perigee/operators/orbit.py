@@ -508,6 +508,20 @@ def counts(objects: DataFrame, column: str, values: list[str]) -> DataFrame:
     return known.join(n, column, "left").fillna(0, ["n"])
 
 
+def freshest(updates: DataFrame) -> DataFrame:
+    """``object_id, freshest_ns``: the last update of every object."""
+    return updates.groupBy("object_id").agg(F.max("ts_ns").alias("freshest_ns"))
+
+
+def stacked(*catalogs: DataFrame) -> DataFrame:
+    """Catalogs one after the other: rows of an earlier one come first, whatever their ordinals."""
+    out = None
+    for i, c in enumerate(catalogs):
+        x = c.withColumn("tier", F.lit(i))
+        out = x if out is None else out.unionByName(x)
+    return out.orderBy("tier", "ordinal").drop("tier")
+
+
 def nearest_point(points: DataFrame, x: float, y: float, radius: float) -> DataFrame:
     """The visible point nearest to a place within a radius, none or one row."""
     far = F.sqrt((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2)

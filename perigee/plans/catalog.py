@@ -54,6 +54,35 @@ def _raw(s, d):
     return e.select((F.col("user_id") + 10000).alias("object_id"), F.col("event_id").alias("ordinal"), payload.alias("payload"), (F.col("user_id") % 4 != 0).alias("decoder"))
 
 
+#: Pieces of paths that every rule of the source kinds meets.
+_DIRS = ("data/channels", "archive.zip!channels", "x", "telemetry/raw", "misc", "labels", "deep/a.b")
+_NAMES = ("channel_41.csv", "channel_41.zip!channel_41", "readme.md", "values.parquet", "channel_7.npy", "telecommands.csv", "anomaly_types.csv", "channels.csv", "plain")
+_HEADERS = ("event_id", "Start Time", "end", "channel", "subclass", "value", "timestamp", "reading", "epoch", "plain", "event_type", "finish")
+
+
+def _paths(s, d):
+    k = F.col("p_partkey")
+    at = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int"))
+    return _table(s, d, "part").select("p_partkey", F.concat(at(_DIRS, k % len(_DIRS)), F.lit("/"), at(_NAMES, F.floor(k / len(_DIRS)) % len(_NAMES))).alias("path"))
+
+
+def _headers(s, d):
+    k = F.col("n_nationkey")
+    return _table(s, d, "nation").select(F.concat(F.element_at(F.array(*map(F.lit, _HEADERS)), (k % len(_HEADERS) + 1).cast("int")), F.when(k >= len(_HEADERS), F.concat(F.lit("-"), k.cast("string"))).otherwise("")).alias("header"))
+
+
+def _as_text(s, d):
+    """Events as a table of text, with seconds under a name that says so."""
+    return v.events(s, d).select("event_id", F.col("ts").cast("string").alias("ts"), "event_type", F.floor(F.col("ts_ns") / 10**9).cast("string").alias("event_time"))
+
+
+def _entries(s, d):
+    t = v.telemetry(s, d)
+    n = t.groupBy("channel").agg(F.count("*").alias("row_count"), (F.count_if(F.col("value").isNull()) > 0).alias("missing"))
+    x = series.intervals(t).join(n, "channel")
+    return x.select(F.concat(F.lit("channels/"), F.col("channel"), F.lit(".parquet")).alias("path"), F.lit(".parquet").alias("format"), "row_count", F.when(F.col("interval_count") < 2, "unresolved").when(F.col("uniform"), "uniform").otherwise("varying").alias("assessment"), F.when(F.col("uniform"), F.col("mode_step_ns") / 1e9).alias("interval"), F.lit("seconds").alias("unit"), "missing")
+
+
 def _now():
     return F.lit(NOW).cast("timestamp")
 
@@ -149,7 +178,7 @@ QUERIES = {
     "o3_catalog_search": lambda s, d: orbit.search(objects(s, d), "widget").select("object_id", "name", "tier"),
     "o3_catalog_search_id": lambda s, d: orbit.search(objects(s, d), " P-17 ").select("object_id", "name", "tier"),
     "s17_catalog_dedup": lambda s, d: orbit.deduplicated(objects(s, d).withColumn("object_id", F.col("ordinal") % 97)).select("object_id", "name", "ordinal"),
-    "a22_freshest_update": lambda s, d: v.events(s, d).groupBy(F.col("user_id").alias("object_id")).agg(F.max("ts_ns").alias("freshest_ns")),
+    "a22_freshest_update": lambda s, d: orbit.freshest(v.events(s, d).select(F.col("user_id").alias("object_id"), "ts_ns")),
     "p5_sub_points": lambda s, d: (lambda x: x.select("object_id", *[F.round(c, 6).alias(k) for k, c in geo.sub_point("x", "y", "z", "jd").items()]))(_places(s, d)),
     "p10_view_angles": lambda s, d: _places(s, d).select("object_id", *[F.round(c, 6).alias(k) for k, c in geo.view(STATION, (F.col("object_id") * 7 % 160) - 80.0, (F.col("object_id") * 11 % 360) - 180.0, 400.0 + F.col("object_id") % 600).items()]),
     "p11_visible_objects": lambda s, d: _places(s, d).where(geo.view(STATION, (F.col("object_id") * 7 % 160) - 80.0, (F.col("object_id") * 11 % 360) - 180.0, 400.0 + F.col("object_id") % 600)["elevation_deg"] >= 5).select("object_id"),
@@ -163,14 +192,18 @@ QUERIES = {
     "r2_rf_status": lambda s, d: _rf(s, d).select("object_id", "observations", "recent_observations", "transmitters", "decoders", "rf_status"),
     "r3_recent_rf_ids": lambda s, d: radio.recent_ids(radio.observations(_raw(s, d)), _now(), 24.0),
     "f8_recent_objects": lambda s, d: objects(s, d).join(radio.recent_ids(radio.observations(_raw(s, d)), _now(), 24.0), "object_id", "left_semi").select("object_id", "name"),
-    "a28_type_profile": lambda s, d: profile.columns(_table(s, d, "customer")).select("column", "row_count", "null_count", "inferred_type", F.array_join("examples", "|").alias("examples"), "role"),
+    "a28_type_profile": lambda s, d: profile.columns(_table(s, d, "labels")).select("column", "row_count", "null_count", "inferred_type", F.array_join("examples", "|").alias("examples"), "role"),
+    "x11_timestamp_candidates": lambda s, d: (lambda x: profile.timestamp_candidates(profile.observations(x, "event_id"), profile.columns(x.drop("event_id"))).select("column", "representation", "by_name", "by_values"))(_as_text(s, d)),
+    "x11_sampling_interval": lambda s, d: (lambda x: profile.sampling_interval(profile.timestamp_candidates(profile.observations(x, "event_id"), profile.columns(x.drop("event_id")))).select("column", "assessment", "unit", "intervals"))(_as_text(s, d).drop("ts")),
+    "x12_header_roles": lambda s, d: _headers(s, d).select("header", F.array_join(text.roles("header"), ",").alias("roles"), text.names_time("header").alias("names_time"), text.names_value("header").alias("names_value")),
+    "a30_telemetry_summary": lambda s, d: profile.telemetry_summary(_entries(s, d)).select("files", "total_rows", "least_rows", "most_rows", F.array_join("formats", ",").alias("formats"), "uniform_files", "varying_files", "unresolved_files", F.size("steps").alias("steps"), "files_with_missing", "comparison"),
     "a27_extension_counts": lambda s, d: profile.extension_counts(_table(s, d, "pages").select(F.regexp_replace("url", r"^https?://|[?#].*$", "").alias("path"))),
     "a29_sampling": lambda s, d: profile.sampling(series.intervals(v.telemetry(s, d))),
-    "x8_source_kind": lambda s, d: _table(s, d, "part").select("p_partkey", text.source_kind(F.concat("p_type", F.lit("/"), F.element_at(F.array(*map(F.lit, ["labels.csv", "Telecommand_7", "channel-41", "readme", "other"])), (F.col("p_partkey") % 5 + 1).cast("int")))).alias("kind")),
-    "o1_natural_sort": lambda s, d: (lambda x: x.withColumn("place", F.row_number().over(Window.orderBy(text.trailing_number("telecommand").asc_nulls_last(), "telecommand"))))(v.commands(s, d).select("telecommand").distinct()),
-    "x23_digests": lambda s, d: _table(s, d, "customer").select("c_custkey", F.sha2("c_name", 256).alias("sha256"), F.md5("c_name").alias("md5")),
+    "x8_source_kind": lambda s, d: _paths(s, d).select("p_partkey", text.source_kind("path").alias("kind")),
+    "o1_natural_sort": lambda s, d: labels.natural_places(v.commands(s, d), "telecommand"),
+    "x23_digests": lambda s, d: (lambda k: _table(s, d, "customer").select("c_custkey", k["sha256"].alias("sha256"), k["md5"].alias("md5")))(text.digests(F.col("c_name").cast("binary"))),
     "x16_channel_jaccard": lambda s, d: (lambda x: x.select("event_id", F.round(text.jaccard(F.col("channels"), F.array(F.lit("channel_9"), F.lit("channel_41"), F.lit("channel_42"))), 6).alias("jaccard")))(v.label_rows(s, d).groupBy("event_id").agg(F.collect_set("channel").alias("channels"))),
-    "i7_class_difference": lambda s, d: (lambda e: e.where("split = 'test'").select("class").distinct().subtract(e.where("split <> 'test'").select("class").distinct()))(labels.assigned(labels.events(v.label_rows(s, d)), VALIDATION, TEST)),
+    "i7_class_sets": lambda s, d: labels.class_sets(labels.assigned(labels.events(v.label_rows(s, d)), VALIDATION, TEST)),
     "s11_telemetry_round_trip": _round_trip,
     "g1_channel_features": _features,
     "g2_affected_channels": lambda s, d: signature.affected_channels(signature.channel_features(signature.window_samples(_scored(s, d), _test_events(s, d)))).select("event_id", F.array_join("affected", ",").alias("affected")),
@@ -231,6 +264,9 @@ _FEAT = "SELECT event_id, channel, avg(value) AS mean, stddev_pop(value) AS std,
 _TYPE = "CASE WHEN t IS NULL THEN 'null' WHEN lower(t) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(t, '^[+-]?\\d+$') THEN 'integer' WHEN regexp_matches(t, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN 'float' ELSE 'string' END"
 _CTX = "SELECT e.event_id, any_value(e.start_ns) AS start_ns, max(c.ts_ns) AS last_ns, " + ", ".join(f"count(CASE WHEN c.ts_ns >= e.start_ns - {n}000000000 THEN 1 END) AS tc_count_{k}" for k, n in (("5m", 300), ("30m", 1800), ("2h", 7200), ("24h", 86400))) + ", " + ", ".join(f"count(CASE WHEN c.priority = {p} AND c.ts_ns >= e.start_ns - 86400000000000 THEN 1 END) AS tc_p{p}_count" for p in range(4)) + " FROM ev e LEFT JOIN commands c ON c.ts_ns <= e.start_ns GROUP BY e.event_id"
 
+_TOKENS, _HAS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))", "list_has_any({}, {})"
+_ROLE = "CASE " + " ".join(f"WHEN list_has_any(list_distinct(regexp_extract_all(lower({{0}}), '[a-z0-9]+')), {list(w)}) THEN '{k}'" for k, w in text.ROLES.items()) + " END"
+
 ORACLES = {
     "p1_orbit_derived": sql("SELECT object_id, round(period, 2) AS period_min, round(a, 2) AS semi_major_km, round(greatest(a * (1 + e) - 6378.137, 0), 2) AS apogee_km, round(greatest(a * (1 - e) - 6378.137, 0), 2) AS perigee_km, regime FROM der", obj=_OBJ, der=_DER),
     "a21_regime_counts": sql("SELECT k.regime, count(der.object_id) AS n FROM (VALUES ('LEO'), ('MEO'), ('GEO'), ('HEO'), ('OTHER')) k(regime) LEFT JOIN der ON der.regime = k.regime GROUP BY k.regime", obj=_OBJ, der=_DER),
@@ -265,18 +301,48 @@ ORACLES = {
     "a28_type_profile": f"""
         SELECT "column", count(*) AS row_count, count(*) FILTER (t IS NULL) AS null_count,
                CASE WHEN count(DISTINCT k) FILTER (k <> 'null') = 0 THEN 'null' WHEN count(DISTINCT k) FILTER (k <> 'null') = 1 THEN any_value(k) FILTER (k <> 'null') WHEN bool_and(k IN ('null', 'integer', 'float')) THEN 'float' ELSE 'string' END AS inferred_type,
-               array_to_string(list_slice(list_sort(list(DISTINCT t) FILTER (t IS NOT NULL)), 1, 5), '|') AS examples, NULL AS role
-        FROM (SELECT *, {_TYPE} AS k FROM (SELECT "column", nullif(trim(val), '') AS t FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM customer) ON COLUMNS(*) INTO NAME "column" VALUE val))) GROUP BY "column\"""",
+               array_to_string(list_slice(list_sort(list(DISTINCT t) FILTER (t IS NOT NULL)), 1, 5), '|') AS examples, any_value({_ROLE.format('"column"')}) AS role
+        FROM (SELECT *, {_TYPE} AS k FROM (SELECT "column", nullif(trim(val), '') AS t FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM labels) ON COLUMNS(*) INTO NAME "column" VALUE val))) GROUP BY "column\"""",
+    "x11_timestamp_candidates": f"""
+        SELECT "column", CASE WHEN by_values THEN 'ISO-8601-like string' WHEN "column" = 'event_time' THEN 'integer' ELSE 'string' END AS representation, by_name, by_values
+        FROM (SELECT "column", any_value({_HAS.format(_TOKENS.format('"column"'), list(text.TIMES))}) AS by_name, bool_and(regexp_matches(val, '{text.ISO}')) AS by_values
+              FROM (SELECT event_id, 'ts' AS "column", strftime(ts, '%Y-%m-%d %H:%M:%S') AS val FROM events UNION ALL SELECT event_id, 'event_type', event_type FROM events UNION ALL SELECT event_id, 'event_time', (epoch_us(ts) // 1000000)::VARCHAR FROM events)
+              WHERE trim(val) <> '' GROUP BY "column") WHERE by_name OR by_values""",
+    "x11_sampling_interval": """
+        SELECT 'event_time' AS "column", CASE WHEN count(*) < 2 THEN 'unresolved' WHEN max(d) - min(d) <= 1e-9 * max(d) THEN 'uniform' ELSE 'varying' END AS assessment, 'raw timestamp units' AS unit, count(*)::INT AS intervals
+        FROM (SELECT t - lag(t) OVER (ORDER BY event_id) AS d FROM (SELECT event_id, epoch_us(ts) // 1000000 AS t FROM events ORDER BY event_id LIMIT 512)) WHERE d > 0""",
+    "x12_header_roles": f"""
+        SELECT header, array_to_string(list_filter([{', '.join(f"CASE WHEN {_HAS.format(_TOKENS.format("header"), list(w))} THEN '{k}' END" for k, w in text.ROLES.items())}], lambda x: x IS NOT NULL), ',') AS roles, {_HAS.format(_TOKENS.format('header'), list(text.TIMES))} AS names_time, {_HAS.format(_TOKENS.format('header'), list(text.VALUES))} AS names_value
+        FROM (SELECT list_extract({list(_HEADERS)}, (n_nationkey % {len(_HEADERS)} + 1)::INT) || CASE WHEN n_nationkey >= {len(_HEADERS)} THEN '-' || n_nationkey ELSE '' END AS header FROM nation)""",
+    "a30_telemetry_summary": sql("""
+        SELECT count(*) AS files, sum(n)::BIGINT AS total_rows, min(n) AS least_rows, max(n) AS most_rows, '.parquet' AS formats, count(*) FILTER (kind = 'uniform') AS uniform_files, count(*) FILTER (kind = 'varying') AS varying_files, count(*) FILTER (kind = 'unresolved') AS unresolved_files,
+               count(DISTINCT CASE WHEN kind = 'uniform' THEN step END)::INT AS steps, count(*) FILTER (missing) AS files_with_missing,
+               CASE WHEN bool_or(kind = 'varying') THEN 'varying within a file' WHEN count(DISTINCT CASE WHEN kind = 'uniform' THEN step END) > 1 THEN 'varying between files' WHEN bool_and(kind = 'uniform') THEN 'uniform' WHEN bool_or(kind = 'uniform') THEN 'partly measured' ELSE 'unresolved' END AS comparison
+        FROM (SELECT channel, count(*) AS n, bool_or(value IS NULL) AS missing, min(step) AS step, CASE WHEN count(step) < 2 THEN 'unresolved' WHEN min(step) = max(step) THEN 'uniform' ELSE 'varying' END AS kind
+              FROM (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY channel ORDER BY ts_ns) AS step FROM telemetry) GROUP BY channel)""", "telemetry"),
     "a27_extension_counts": "SELECT CASE WHEN ext = '' THEN '<none>' ELSE ext END AS extension, CASE WHEN top = '' THEN '<root>' ELSE top END AS top_level, count(*) AS file_count FROM (SELECT lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS ext, regexp_extract(path, '^([^/]+)/', 1) AS top FROM (SELECT regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS path FROM pages)) GROUP BY ALL",
     "a29_sampling": sql("SELECT count(*) AS channels, count(*) FILTER (lo = hi) AS uniform_channels, min(lo) AS min_step_ns, max(hi) AS max_step_ns, min(lo) = max(hi) AS all_equal FROM (SELECT channel, min(step) AS lo, max(step) AS hi FROM (SELECT channel, ts_ns - lag(ts_ns) OVER (PARTITION BY channel ORDER BY ts_ns) AS step FROM telemetry) GROUP BY channel)", "telemetry"),
-    "x8_source_kind": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'labels' WHEN 1 THEN 'telecommands' WHEN 2 THEN 'telemetry' WHEN 3 THEN 'metadata' ELSE 'unclassified' END AS kind FROM part",
+    "x8_source_kind": f"""
+        SELECT p_partkey, CASE WHEN {_HAS.format('every', list(text.LABELS))} THEN 'labels' WHEN {_HAS.format('every', list(text.COMMANDS))} THEN 'telecommands'
+                               WHEN {_HAS.format('above', list(text.TELEMETRY))} OR {_HAS.format('list_filter(every, lambda x: NOT list_contains(own, x))', list(text.TELEMETRY))} THEN 'telemetry'
+                               WHEN suffix IN {text.TABLES} THEN 'metadata' WHEN {_HAS.format('every', list(text.TELEMETRY))} AND suffix IN {text.ARRAYS} THEN 'telemetry' ELSE 'unclassified' END AS kind
+        FROM (SELECT p_partkey, {_TOKENS.format('path')} AS every, {_TOKENS.format("regexp_replace(member, '/?[^/]*$', '')")} AS above, {_TOKENS.format("regexp_replace(name, '(.)[.][^.]+$', chr(92) || '1')")} AS own, lower(regexp_extract(name, '.([.][^.]+)$', 1)) AS suffix
+              FROM (SELECT *, list_extract(string_split(member, '/'), -1) AS name
+                    FROM (SELECT p_partkey, path, list_extract(string_split(path, '!'), -1) AS member
+                          FROM (SELECT p_partkey, list_extract({list(_DIRS)}, (p_partkey % {len(_DIRS)} + 1)::INT) || '/' || list_extract({list(_NAMES)}, ((p_partkey // {len(_DIRS)}) % {len(_NAMES)} + 1)::INT) AS path FROM part))))""",
     "o1_natural_sort": sql("SELECT telecommand, row_number() OVER (ORDER BY regexp_extract(telecommand, '(\\d+)$', 1)::BIGINT, telecommand) AS place FROM (SELECT DISTINCT telecommand FROM commands)", "commands"),
     "x23_digests": "SELECT c_custkey, sha256(c_name) AS sha256, md5(c_name) AS md5 FROM customer",
     "x16_channel_jaccard": sql("SELECT event_id, round(len(list_intersect(c, k))::DOUBLE / len(list_distinct(list_concat(c, k))), 6) AS jaccard FROM (SELECT event_id, list(DISTINCT channel) AS c, ['channel_9', 'channel_41', 'channel_42'] AS k FROM label_rows GROUP BY event_id)", "label_rows"),
-    "i7_class_difference": sql("SELECT DISTINCT class FROM assigned WHERE split = 'test' EXCEPT SELECT class FROM assigned WHERE split <> 'test'", "assigned"),
+    "i7_class_sets": sql("SELECT class, CASE WHEN bool_or(split = 'test') AND bool_or(split <> 'test') THEN 'both' WHEN bool_or(split = 'test') THEN 'test only' ELSE 'before test' END AS seen FROM assigned GROUP BY class", "assigned"),
     "s11_telemetry_round_trip": sql("SELECT channel, count(*) AS samples, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM telemetry GROUP BY channel", "telemetry"),
     "g1_channel_features": sql("SELECT event_id, channel, " + ", ".join(f"round({c}, 6) AS {c}" for c in signature.PER_CHANNEL) + " FROM feat", "assigned", "scored", tev=_TESTEV, placed=_PLACED, win=_WIN, feat=_FEAT),
     "g2_affected_channels": sql("SELECT event_id, coalesce(string_agg(CASE WHEN score_max > 3 OR mag > 0.05 THEN channel END, ',' ORDER BY channel), '') AS affected FROM feat GROUP BY event_id", "assigned", "scored", tev=_TESTEV, placed=_PLACED, win=_WIN, feat=_FEAT),
+    "g4_signatures": sql(f"""
+        SELECT t.event_id, coalesce(f.hit, 0)::INT AS num_affected, {9 * len(SELECTED) + 2 + len(signature.CONTEXT)} AS dimensions,
+               round(coalesce(f.total, 0) + coalesce(f.top, 0) + (t.end_ns - t.start_ns) / 1e9 + ln(1 + greatest(CASE WHEN last_ns IS NULL THEN 86400.0 ELSE (t.start_ns - last_ns) / 1e9 END, 0)) / 10 + ({' + '.join(signature.CONTEXT[1:])}) / 10.0, 3) AS vector_sum
+        FROM tev t JOIN ctx c ON t.event_id = c.event_id
+        LEFT JOIN (SELECT event_id, count(*) FILTER (score_max > 3 OR mag > 0.05) AS hit, max(score_max) AS top, sum({' + '.join(f'coalesce({c}, 0)' for c in signature.PER_CHANNEL)}) AS total FROM feat GROUP BY event_id) f ON t.event_id = f.event_id""",
+        "assigned", "scored", "commands", tev=_TESTEV, placed=_PLACED, win=_WIN, feat=_FEAT, ctx=_CTX),
     "g3_command_context": sql("SELECT event_id, CASE WHEN last_ns IS NULL THEN 86400.0 ELSE round((start_ns - last_ns) / 1e9, 6) END AS nearest_tc_diff_sec, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in signature.CONTEXT[1:]) + " FROM ctx", "ev", "commands", ctx=_CTX),
     "g8_similarity_pairs": sql("SELECT event_id, memory_id, round(similarity, 6) AS similarity FROM sims WHERE similarity >= 0.4", emb=_EMB, cosines=_COS, sims=_SIM),
     "g9_nearest_memory": sql("SELECT event_id, nearest_id, round(similarity, 6) AS similarity, status FROM nearest", emb=_EMB, cosines=_COS, sims=_SIM, nearest=_NEAREST),

@@ -37,6 +37,12 @@ def _types(s, d):
     return r.groupBy("event_id").agg(F.min("category").alias("category"), F.min("class").alias("class"))
 
 
+def _definitions(s, d):
+    """Commands by name with a priority; some are never executed."""
+    k = F.col("n_nationkey")
+    return s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("telecommand_"), k.cast("string")).alias("name"), (k % 4).alias("priority"))
+
+
 def _windowed(s, d):
     w = _ev(s, d).select("event_id", "start_ns", "end_ns")
     x = _scored(s, d).select("channel", "value", "score", F.col("ts_ns").alias("start_ns"), F.col("ts_ns").alias("end_ns"))
@@ -50,10 +56,11 @@ def split_assign(s, d):
 QUERIES = {
     "x4_split_assign": split_assign,
     "j1_event_table": lambda s, d: labels.event_table(v.label_rows(s, d).drop("category", "class", "is_selected_channel"), _types(s, d), SELECTED),
-    "j2_undefined_commands": lambda s, d: labels.undefined_keys(v.commands(s, d), v.commands(s, d).where("priority > 0 and ts_ns < %d" % VALIDATION).select(F.col("telecommand").alias("defined")).distinct(), "telecommand", "defined"),
-    "j2_command_priorities": lambda s, d: v.commands(s, d).groupBy("telecommand", "priority").agg(F.count("*").alias("executions"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")),
+    "j2_undefined_commands": lambda s, d: labels.undefined_keys(v.commands(s, d), _definitions(s, d).where("priority < 3"), "telecommand", "name"),
+    "j2_defined_commands": lambda s, d: labels.many_to_one(v.commands(s, d).drop("priority"), _definitions(s, d), "telecommand", "name", "priority").select("telecommand", "ts_ns", "priority"),
+    "j3_execution_counts": lambda s, d: context.execution_counts(v.commands(s, d), "telecommand"),
     "a1_events": lambda s, d: labels.events(v.label_rows(s, d)),
-    "a2_channel_counts": lambda s, d: v.label_rows(s, d).groupBy("event_id").agg(F.count_distinct(F.when(F.col("is_selected_channel"), F.col("channel"))).alias("selected_channels"), F.count_distinct("channel").alias("all_channels")),
+    "a2_channel_counts": lambda s, d: labels.channel_counts(v.label_rows(s, d)),
     "a3_nested_counts": lambda s, d: labels.nested_counts(_ev(s, d)).select("split", "category", "class", "event_count"),
     "a4_split_counts": lambda s, d: labels.split_counts(_ev(s, d)),
     "a5_recurrence": lambda s, d: labels.recurrence(_ev(s, d)),
@@ -66,12 +73,15 @@ QUERIES = {
     "a12_intervals": lambda s, d: series.intervals(v.telemetry(s, d)),
     "a13_event_quality": lambda s, d: labels.quality(v.label_rows(s, d)),
     "a13_event_quality_by_category": lambda s, d: labels.quality_by_category(v.label_rows(s, d)),
-    "a14_command_quality": lambda s, d: v.commands(s, d).groupBy("priority").agg(F.count("*").alias("executions"), F.count_distinct("telecommand").alias("telecommands"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")),
+    "a14_command_quality": lambda s, d: context.command_quality(v.commands(s, d), _definitions(s, d).withColumnRenamed("name", "telecommand")),
+    "a14_command_streams": lambda s, d: context.command_streams(v.commands(s, d), _definitions(s, d).withColumnRenamed("name", "telecommand")),
+    "a14_priority_counts": lambda s, d: context.execution_counts(v.commands(s, d), "priority"),
     "a15_delta_summary": lambda s, d: context.delta_summary(context.nearest_commands(_ev(s, d), v.commands(s, d))),
     "a16_proximity": lambda s, d: context.proximity(_ev(s, d), v.commands(s, d)),
     "a17_priority_totals": lambda s, d: context.priority_counts(_ev(s, d), v.commands(s, d)).groupBy("category", "priority").agg(F.sum("commands").alias("commands"), F.count("*").alias("event_count")),
     "a20_unusualness": lambda s, d: detect.across_channels(_scored(s, d)).withColumn("unusualness", F.round("unusualness", 6)),
     "w1_steps": lambda s, d: series.violations(v.telemetry(s, d)),
+    "w2_checked_series": lambda s, d: series.checked(labels.only_channels(v.telemetry(s, d), SELECTED)).groupBy("channel").agg(F.count("*").alias("samples"), F.max("ts_ns").alias("last_ns")),
     "w3_islands": _islands,
     "w4_interval_union": lambda s, d: ranges.union(v.label_rows(s, d), ["channel"]),
     "w4_global_union": lambda s, d: ranges.union(v.label_rows(s, d)),
@@ -88,11 +98,12 @@ QUERIES = {
     "m2_std_alarms": lambda s, d: _scored(s, d, 3.0).groupBy("channel").agg(F.count("*").alias("samples"), F.count_if("alarm").alias("alarms")),
     "m3_mad_alarms": lambda s, d: (lambda t: detect.score(t, detect.fit_mad(t, VALIDATION), 2.0).groupBy("channel").agg(F.count("*").alias("samples"), F.count_if("alarm").alias("alarms")))(v.telemetry(s, d)),
     "m6_event_alarms": lambda s, d: detect.event_alarms(_windowed(s, d), 1.5).select("event_id", "alarm"),
-    "m7_baseline_suite": lambda s, d: detect.suite(v.telemetry(s, d), VALIDATION),
+    "m7_baseline_suite": lambda s, d: detect.suite(v.telemetry(s, d), VALIDATION, GAP),
     "e2_event_f_beta": lambda s, d: scoring.f_beta(_predictions(s, d), v.label_rows(s, d), LOW, HIGH, ("Anomaly", "Rare Event")).select("tp", "fp", "fn", "fp_time_ns", "nominal_ns", *[F.round(c, 6).alias(c) for c in ("tnr", "precision", "recall", "f_beta")]),
     "e3_two_mode_metrics": lambda s, d: scoring.modes(_predictions(s, d), v.label_rows(s, d), LOW, HIGH).select("mode", "tp", "fp", "fn", "fp_time_ns", "nominal_ns", "rare_alarms", "rare_events", "gap_predictions", "gap_events", *[F.round(c, 6).alias(c) for c in ("f_beta", "burden_precision", "rare_alarm_rate")]),
 }
 
+_DEFINED = "SELECT 'telecommand_' || n_nationkey AS telecommand, n_nationkey % 4 AS priority FROM nation"
 _PRED = "SELECT ts_ns - 900000000000 AS start_ns, ts_ns + 900000000000 AS end_ns FROM scored WHERE score > 1.7"
 _SEL = "SELECT event_id, start_ns, end_ns, category FROM label_rows WHERE is_selected_channel"
 _CLIP = f"SELECT greatest(start_ns, {LOW}) AS start_ns, least(end_ns, {HIGH}) AS end_ns FROM ({{}}) WHERE end_ns >= {LOW} AND start_ns <= {HIGH}"
@@ -144,8 +155,9 @@ ORACLES = {
     "j1_event_table": sql("""
         SELECT event_id, channel, start_ns, end_ns, category, class, selected_channels, all_channels, is_selected_channel, all_channels > 1 AS multichannel, end_ns - start_ns AS duration_ns
         FROM label_rows JOIN counts USING (event_id) WHERE selected_channels > 0""", "label_rows", counts="SELECT event_id, count(DISTINCT CASE WHEN is_selected_channel THEN channel END) AS selected_channels, count(DISTINCT channel) AS all_channels FROM label_rows GROUP BY event_id"),
-    "j2_undefined_commands": sql(f"SELECT DISTINCT telecommand FROM commands WHERE telecommand NOT IN (SELECT telecommand FROM commands WHERE priority > 0 AND ts_ns < {VALIDATION})", "commands"),
-    "j2_command_priorities": sql("SELECT telecommand, priority, count(*) AS executions, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM commands GROUP BY telecommand, priority", "commands"),
+    "j2_undefined_commands": sql("SELECT DISTINCT telecommand FROM commands WHERE telecommand NOT IN (SELECT telecommand FROM definitions WHERE priority < 3)", "commands", definitions=_DEFINED),
+    "j2_defined_commands": sql("SELECT c.telecommand, c.ts_ns, d.priority FROM commands c LEFT JOIN definitions d ON c.telecommand = d.telecommand", "commands", definitions=_DEFINED),
+    "j3_execution_counts": sql("SELECT telecommand, count(*) AS executions, count(DISTINCT telecommand) AS telecommands, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM commands GROUP BY telecommand", "commands"),
     "a1_events": sql("SELECT * FROM ev", "ev"),
     "a2_channel_counts": sql("SELECT event_id, count(DISTINCT CASE WHEN is_selected_channel THEN channel END) AS selected_channels, count(DISTINCT channel) AS all_channels FROM label_rows GROUP BY event_id", "label_rows"),
     "a3_nested_counts": sql("SELECT split, category, class, count(*) AS event_count FROM assigned GROUP BY GROUPING SETS ((split), (split, category), (split, category, class))", "assigned"),
@@ -169,7 +181,9 @@ ORACLES = {
                min(end_ns - start_ns) AS min_duration_ns, floor(median(end_ns - start_ns))::BIGINT AS median_duration_ns, max(end_ns - start_ns) AS max_duration_ns, count(*) FILTER (end_ns = start_ns) AS zero_durations,
                count(*) FILTER (category IS NULL) AS null_categories, count(*) FILTER (class IS NULL) AS null_classes FROM label_rows""", "label_rows"),
     "a13_event_quality_by_category": sql("SELECT category, count(*) AS row_count, count(DISTINCT event_id) AS event_count FROM label_rows GROUP BY category", "label_rows"),
-    "a14_command_quality": sql("SELECT priority, count(*) AS executions, count(DISTINCT telecommand) AS telecommands, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM commands GROUP BY priority", "commands"),
+    "a14_command_quality": sql("SELECT count(DISTINCT d.telecommand) AS definitions, count(c.ts_ns) AS executions, count(DISTINCT CASE WHEN c.ts_ns IS NULL THEN d.telecommand END) AS empty_streams, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM definitions d LEFT JOIN commands c ON c.telecommand = d.telecommand", "commands", definitions=_DEFINED),
+    "a14_command_streams": sql("SELECT d.telecommand, any_value(d.priority) AS priority, count(c.ts_ns) AS executions, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM definitions d LEFT JOIN commands c ON c.telecommand = d.telecommand GROUP BY d.telecommand", "commands", definitions=_DEFINED),
+    "a14_priority_counts": sql("SELECT priority, count(*) AS executions, count(DISTINCT telecommand) AS telecommands, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM commands GROUP BY priority", "commands"),
     "a15_delta_summary": sql("SELECT category, count(*) AS event_count, count(delta_ns) AS with_command, round(min(delta_ns / 1e9), 6) AS min_s, round(median(delta_ns / 1e9), 6) AS median_s, round(sum(delta_ns)::DOUBLE / count(delta_ns) / 1e9, 6) AS mean_s, round(max(delta_ns / 1e9), 6) AS max_s FROM near GROUP BY category", "ev", "commands", near=_NEAR),
     "a16_proximity": sql(" UNION ALL ".join(f"SELECT category, '{k}' AS \"window\", count(*) AS event_count, count(*) FILTER (count_{k} > 0) AS with_command, round(count(*) FILTER (count_{k} > 0) / count(*)::DOUBLE, 6) AS rate FROM counts GROUP BY category" for k in _W), "ev", "commands", counts=_COUNTS),
     "a17_priority_totals": sql("""
@@ -178,6 +192,7 @@ ORACLES = {
         GROUP BY category, priority""", "ev", "commands"),
     "a20_unusualness": sql("SELECT ts_ns, round(sqrt(avg(score * score)), 6) AS unusualness, bool_or(score > 1.0) AS alarm FROM scored GROUP BY ts_ns", "scored"),
     "w1_steps": sql("SELECT channel, count(*) FILTER (step <= 0) AS not_increasing FROM (SELECT channel, ts_ns - lag(ts_ns) OVER (PARTITION BY channel ORDER BY ts_ns) AS step FROM telemetry) x GROUP BY channel", "telemetry"),
+    "w2_checked_series": sql("SELECT channel, count(*) AS samples, max(ts_ns) AS last_ns FROM telemetry GROUP BY channel", "telemetry"),
     "w3_islands": sql(_ISLANDS, "scored"),
     "w4_interval_union": sql(union_sql("SELECT * FROM label_rows", ("channel",)), "label_rows"),
     "w4_global_union": sql(union_sql("SELECT * FROM label_rows"), "label_rows"),
@@ -194,7 +209,11 @@ ORACLES = {
     "m2_std_alarms": sql("SELECT channel, count(*) AS samples, count(*) FILTER (score > 3.0) AS alarms FROM scored GROUP BY channel", "scored"),
     "m3_mad_alarms": sql("SELECT t.channel, count(*) AS samples, count(*) FILTER (abs(value - center) / scale > 2.0) AS alarms FROM telemetry t JOIN mad_fit f ON t.channel = f.channel GROUP BY t.channel", "mad_fit"),
     "m6_event_alarms": sql("SELECT event_id, bool_or(score > 1.5) AS alarm FROM windowed GROUP BY event_id", "ev", "scored", windowed=_WINDOWED),
-    "m7_baseline_suite": sql("SELECT 'no_alarm' AS baseline, 0 AS alarms, 0 AS alarm_times UNION ALL SELECT 'std3', count(*), count(DISTINCT ts_ns) FROM scored WHERE score > 3.0 UNION ALL SELECT 'std5', count(*), count(DISTINCT ts_ns) FROM scored WHERE score > 5.0 UNION ALL SELECT 'mad5', count(*), count(DISTINCT ts_ns) FROM telemetry t JOIN mad_fit f ON t.channel = f.channel WHERE abs(value - center) / scale > 5.0", "scored", "mad_fit"),
+    "m7_baseline_suite": sql(f"""
+        SELECT baseline, sum(n)::BIGINT AS alarms, count(*) FILTER (n > 0) AS alarm_times, count(*) FILTER (n > 0 AND coalesce(NOT before_on OR ts_ns - before_ns > {GAP}, true)) AS windows
+        FROM (SELECT *, lag(n > 0) OVER w AS before_on, lag(ts_ns) OVER w AS before_ns FROM per WINDOW w AS (PARTITION BY baseline ORDER BY ts_ns)) GROUP BY baseline""", "scored", "mad_fit",
+        far="SELECT ts_ns, score, 0.0 AS mad FROM scored UNION ALL SELECT ts_ns, 0.0, abs(value - center) / scale FROM telemetry t JOIN mad_fit f ON t.channel = f.channel",
+        per="SELECT b.baseline, ts_ns, count(*) FILTER (score > std OR mad > dev) AS n FROM far, (VALUES ('no_alarm', 1e9, 1e9), ('std3', 3.0, 1e9), ('std5', 5.0, 1e9), ('mad5', 1e9, 5.0)) b(baseline, std, dev) GROUP BY b.baseline, ts_ns"),
     "e2_event_f_beta": _score_sql(_mode_sql("unusual", "'Anomaly', 'Rare Event'"), "SELECT tp, fp, fn, fp_time_ns, nominal_ns, round(tnr, 6) AS tnr, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f_beta, 6) AS f_beta FROM correct"),
     "e3_two_mode_metrics": _score_sql(_mode_sql("unusual", "'Anomaly', 'Rare Event'") + " UNION ALL " + _mode_sql("operational", "'Anomaly'"), f"""
         SELECT mode, tp, fp, fn, fp_time_ns, nominal_ns, rare_alarms, rare_events, gap_predictions, gap_events, round(f_beta, 6) AS f_beta,

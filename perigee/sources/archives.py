@@ -2,40 +2,83 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import re
+import shutil
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", "\t", ";", "|")
-HEADERS = frozenset("id identifier start end time timestamp channel category class type subclass name value telecommand priority group unit subsystem target".split())
+#: Words of header names. Fixed values.
+HEADERS = frozenset("category channel class description end endtime id identifier name priority start starttime subclass telecommand time timestamp value".split())
 SAMPLE = 64 * 1024
-DEEPEST = 6
+#: Depth of nested archives that are followed, and bytes of one that stay in memory.
+DEEPEST, SPOOLED = 6, 8 << 20
 
 
 def members(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """Members of all ZIP files below a path, nested ones too: ``path, member, depth, size, packed_size, crc32``."""
+    """Members of all ZIP files below a path, nested ones too: ``path, member, depth, size, packed_size, crc32``.
 
-    def walk(data: bytes, prefix: str, depth: int) -> Iterator[tuple]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+    An archive is opened where it lies and only its directory is read; one inside another is unpacked into
+    memory up to ``SPOOLED`` bytes and beyond that into the task's own temporary file. Stores that Arrow can't
+    open are read through Spark's reader, whole.
+    """
+
+    def walk(file, prefix: str, depth: int) -> Iterator[tuple]:
+        with zipfile.ZipFile(file) as z:
             for i in z.infolist():
                 if not i.is_dir():
                     yield prefix + i.filename, depth, i.file_size, i.compress_size, i.CRC
                     if i.filename.lower().endswith(".zip") and depth < DEEPEST:
-                        yield from walk(z.read(i), f"{prefix}{i.filename}!", depth + 1)
+                        with tempfile.SpooledTemporaryFile(SPOOLED) as held:
+                            with z.open(i) as inner:
+                                shutil.copyfileobj(inner, held, 1 << 20)
+                            yield from walk(held, f"{prefix}{i.filename}!", depth + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = ["path", "member", "depth", "size", "packed_size", "crc32"]
+
+    def rows(path: str, file) -> pa.RecordBatch:
+        found = [(path, *m) for m in walk(file, "", 0)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 6, kinds)], names)
+
+    def by_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(quoted(p))
+                with store.open_input_file(name) as f:
+                    yield rows(p, f)
+
+    def by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(*batch.columns):
-                rows = [(p.as_py(), *m) for m in walk(data.as_py(), "", 0)]
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["path", "member", "depth", "size", "packed_size", "crc32"])
+                yield rows(p.as_py(), io.BytesIO(data.as_py()))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, member string, depth int, size long, packed_size long, crc32 long")
+    schema = "path string, member string, depth int, size long, packed_size long, crc32 long"
+    first = files.select("path").first()
+    if first is None or first["path"].split(":", 1)[0] in ("file", "hdfs", "s3", "gs"):
+        return files.select("path").mapInArrow(by_path, schema)
+    return files.select("path", "content").mapInArrow(by_content, schema)
+
+
+def quoted(path: str) -> str:
+    """The form of a local path that Arrow reads: ``file:/x`` is ``file:///x``."""
+    return "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """One row an archive of ``members``: files, nested archives, bytes packed and unpacked, and files by extension."""
+    ext = F.lower(F.regexp_extract(F.element_at(F.split("member", "[/!]"), -1), r".(\.[^.]+)$", 1))
+    x = found.withColumn("ext", F.when(ext == "", "<none>").otherwise(ext)).groupBy("path", "ext").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.when(F.col("depth") == 0, F.col("packed_size")).otherwise(0)).alias("packed"))
+    return x.groupBy("path").agg(F.sum("n").alias("members"), F.coalesce(F.sum(F.when(F.col("ext") == ".zip", F.col("n"))), F.lit(0)).alias("archives"), F.sum("size").alias("size"), F.sum("packed").alias("packed_size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("extensions"))
 
 
 def sniff(sample: bytes) -> dict:
@@ -51,18 +94,58 @@ def sniff(sample: bytes) -> dict:
     score = {d: (min(x.count(d) for x in lines), sum(x.count(d) for x in lines)) for d in DELIMITERS} if lines else {}
     best = max(DELIMITERS, key=lambda d: score.get(d, (0, 0))) if lines else ","
     first = [c.strip().strip('"') for c in lines[0].split(best)] if lines else []
-    words = {w for c in first for w in c.lower().replace("_", " ").split()}
+    words = {w for c in first for w in re.findall("[a-z0-9]+", c.lower())}
     named = bool(words & HEADERS) or bool(first) and all(c and not c[0].isdigit() and c[0] not in "+-." for c in first)
     return {"encoding": encoding, "delimiter": best, "header": named, "columns": first if named else [f"column_{i + 1}" for i in range(len(first))]}
 
 
+def head(spark: SparkSession, path: str, size: int = SAMPLE) -> tuple[bytes, int]:
+    """The first bytes of a file, through the store's own reader, and its length; of a folder its first file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = store.getFileStatus(p)
+    if status.isDirectory():
+        inside = sorted((s for s in store.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._"), key=lambda s: s.getPath().getName())
+        if not inside:
+            return b"", 0
+        status = inside[0]
+    stream = store.open(status.getPath())
+    try:
+        return bytes(stream.readNBytes(size)), status.getLen()
+    finally:
+        stream.close()
+
+
+def fields(spark: SparkSession, path: str, row_limit: int | None = None) -> tuple[DataFrame, dict, int]:
+    """Rows of a delimited file as ``line, fields, bytes`` without the header, its form, and its length in bytes.
+
+    Lines keep their order in ``line``. With a limit only the first rows are kept.
+    """
+    sample, size = head(spark, path)
+    form = sniff(sample)
+    skip = int(form["header"])
+    form["head_bytes"] = sample.find(b"\n") + 1 if skip else 0
+    encoding = "utf-8-sig" if form["encoding"] == "UTF-8" else "cp1252"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            got = [next(csv.reader([b.decode(encoding, "replace").rstrip("\r")], delimiter=form["delimiter"]), []) for b in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.string())), pa.array([len(b) + 1 for b in raw], pa.int64())], ["line", "fields", "bytes"])
+
+    x = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("raw")).where(F.col("line") >= skip)
+    if row_limit is not None:
+        x = x.where(F.col("line") < row_limit + skip)  # lines of the first split are numbered one by one
+    return x.where(F.length("raw") > 0).mapInArrow(run, "line long, fields array<string>, bytes long"), form, size
+
+
 def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """A delimited file of unknown form as text columns, and what was found; unnamed columns are numbered.
 
     The form is read from the first 64 KiB, the file itself by Spark's reader.
     """
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SAMPLE).alias("s")).first()
-    form = sniff(bytes(head["s"]) if head else b"")
+    form = sniff(head(spark, path)[0])
     names = [c.lstrip("﻿") or f"column_{i + 1}" for i, c in enumerate(form["columns"])]
     names = [n if names.index(n) == i else f"{n}_{i + 1}" for i, n in enumerate(names)]
     if not names:

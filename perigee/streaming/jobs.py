@@ -117,14 +117,15 @@ def memory_stream(events: DataFrame, threshold: float = 0.8, late: str = "1 hour
             if keep is not None and held["at"] and held["at"][0] < r.at_ns - keep:
                 stay = [i for i, t in enumerate(held["at"]) if t >= r.at_ns - keep]
                 held = {c: [v[i] for i in stay] for c, v in held.items()}
-            me = {"vector": [list(r.vector)], "affected": [list(r.affected)], "score": [r.score], "near": [r.near], "count": [r.count_]}
+            # plain Python values, as the state store takes no others
+            me = {"vector": [[float(v) for v in r.vector]], "affected": [[str(v) for v in r.affected]], "score": [float(r.score)], "near": [float(r.near)], "count": [float(r.count_)]}
             s = memory.similarities(me, held)[0] if held["id"] else []
             best = int(s.argmax()) if len(s) else -1
             top = float(s[best]) if best >= 0 else 0.0
             known = top >= threshold
             out.append((key[0], r.id, "KNOWN" if known else "UNKNOWN", top, held["id"][best] if top > 0 else None))
             if not known and r.category == "Rare Event":
-                for c, v in zip(_COLUMNS, (r.id, int(r.at_ns), me["vector"][0], me["affected"][0], float(r.score), float(r.near), float(r.count_))):
+                for c, v in zip(_COLUMNS, (r.id, int(r.at_ns), *(me[k][0] for k in _COLUMNS[2:]))):
                     held[c].append(v)
         state.update(tuple(held[c] for c in _COLUMNS))
         yield pd.DataFrame(out, columns=["mission", "event_id", "status", "similarity", "nearest_id"])

@@ -77,3 +77,32 @@ def freshness(age_hours: Column) -> Column:
 def place(lat: Column, lon: Column) -> Column:
     """Latitude and longitude with hemispheres, two decimals."""
     return F.concat(F.format_number(F.abs(lat), 2), F.when(lat < 0, "S").otherwise("N"), F.lit(" "), F.format_number(F.abs(lon), 2), F.when(lon < 0, "W").otherwise("E"))
+
+
+def mission_summary(spark: SparkSession, name: str, scenario: str | None, category: str | None, channels: list[str], memories: DataFrame) -> DataFrame:
+    """One row on the mission that is shown: its scenario, channels and how many patterns are remembered."""
+    one = [(name, category or "Nominal", channels, len(channels), scenario, "ACTIVE")]
+    x = spark.createDataFrame(one, "mission string, operational_state string, channels array<string>, channel_count int, scenario string, detector_state string")
+    return x.join(memories.agg(F.count("*").alias("stored_patterns")), F.lit(True))  # single rows
+
+
+def fleet(spark: SparkSession, authorized: list[tuple[str, str]]) -> DataFrame:
+    """Spacecraft ``spacecraft_id, name`` whose telemetry may be shown, and whether there are any."""
+    rows = [(i, n, "AUTHORIZED") for i, n in authorized] or [(None, None, "NO AUTHORIZED FLEET")]
+    return spark.createDataFrame(rows, "spacecraft_id string, name string, state string")
+
+
+def spacecraft(spark: SparkSession, spacecraft_id: str, name: str, channels: list[str], state: str = "HISTORICAL") -> DataFrame:
+    """The parameters of one spacecraft, a row a channel; a live stream is never claimed."""
+    return spark.createDataFrame([(spacecraft_id, name, state, c) for c in channels], "spacecraft_id string, name string, stream_state string, parameter string")
+
+
+def research(spark: SparkSession, ev: DataFrame, telemetry: DataFrame, memories: DataFrame) -> DataFrame:
+    """One row on the research data: labelled events, channels and remembered patterns."""
+    a = ev.agg(F.count_distinct("event_id").alias("labelled_events"))
+    return a.join(telemetry.agg(F.count_distinct("channel").alias("channels")), F.lit(True)).join(memories.agg(F.count("*").alias("stored_patterns")), F.lit(True))
+
+
+def health(spark: SparkSession) -> DataFrame:
+    """One row: that the session answers, and the version it runs."""
+    return spark.createDataFrame([("ok", spark.version)], "status string, spark_version string")

@@ -294,3 +294,129 @@ def test_profile(spark):
         profile.columns(x, -1)
     y = spark.createDataFrame([(bytearray(b"PAR1xx"),), (bytearray(b"PK\x03\x04"),), (bytearray(b"plain text\n"),), (bytearray(bytes(range(256))),), (bytearray(b""),)], "content binary")
     assert [r[0] for r in y.select(text.content_kind(F.col("content"))).collect()] == ["parquet", "zip", "text", "binary", "empty"]
+
+
+def plain_study(events, threshold, mode):
+    """One event after the other with the memory so far; similarities from the column expression's numpy twin."""
+    memory_of, out = [], {}
+    for e in sorted(events, key=lambda e: (e["at"], e["id"])):
+        asks = e["alarm"] or mode != "gated"
+        best, name = 0.0, None
+        for m in memory_of:
+            s = float(memory.similarities({k: [e[k]] for k in memory._NEEDS}, {k: [m[k]] for k in memory._NEEDS})[0, 0])
+            if s > best:
+                best, name = s, m["id"]
+        hit = asks and best >= threshold
+        learns = asks and not hit and e["category"] == "Rare Event"
+        if learns:
+            memory_of.append(e)
+        out[e["id"]] = (asks, round(best, 9) if asks else 0.0, name if asks else None, hit, learns, e["alarm"] and not (hit and mode == "gated"))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["gated", "open"])
+def test_study_equals_a_plain_loop(spark, monkeypatch, mode):
+    monkeypatch.setattr(memory, "ROUND", 9)
+    monkeypatch.setattr(memory, "BLOCK", 7)
+    rng = random.Random(11)
+    rows = [sig(f"e{i:03d}", rng.randrange(60), rng.choice([1.0, 3.0, 4.0, 9.0]), [rng.choice([1.0, 2.0, -3.0]) for _ in range(rng.choice([3, 3, 4]))], rng.sample("abcd", rng.randint(0, 3)), rng.choice([0.0, 20.0, 9000.0]), rng.choice([0.0, 2.0, 30.0])) for i in range(90)]
+    kinds = [(r[0], rng.choice(["Rare Event", "Rare Event", "Anomaly"]), r[1], rng.random() < 0.7) for r in rows]
+    s = spark.createDataFrame(rows, KIND)
+    cohort = spark.createDataFrame(kinds, "event_id string, category string, start_ns long, alarm boolean")
+    got = {r["event_id"]: (r["queried"], round(r["best_similarity"], 9), r["matched_id"], r["recognized"], r["stored"], r["alarm_after"]) for r in memory.study(s, cohort, 0.85, mode).collect()}
+    events = [{"id": r[0], "at": r[1], "vector": r[2], "affected": r[3], "score": r[4]["agg_score_max"], "near": math.log1p(r[5]["nearest_tc_diff_sec"]), "count": r[5]["tc_count_5m"], "category": k[1], "alarm": k[3]} for r, k in zip(rows, kinds)]
+    want = plain_study(events, 0.85, mode)
+    assert got == want and 0 < sum(v[3] for v in want.values()) < 80 and sum(v[4] for v in want.values()) > 9
+
+
+def test_block_similarity_equals_the_column(spark):
+    rng = random.Random(7)
+    rows = [sig(f"s{i}", i, rng.choice([1.0, 3.6, 5.0, 9.0]), [rng.choice([0.0, 1.0, -2.0, 1e-9]) for _ in range(rng.choice([0, 3, 3]))], rng.sample("abc", rng.randint(0, 3)), rng.random() * 100, float(rng.randint(0, 9))) for i in range(25)]
+    x = spark.createDataFrame(rows, KIND)
+    m = x.withColumnsRenamed({"event_id": "memory_id", "start_ns": "ordinal"})
+    pairs = x.select(F.struct("*").alias("a")).join(x.select(F.struct("*").alias("b")), F.lit(True)).select("a.event_id", F.col("b.event_id").alias("memory_id"), memory.similarity().alias("s"))
+    want = {(r[0], r[1]): r[2] for r in pairs.collect()}
+    got = {(r[0], r[1]): r[2] for r in memory.similar(x, m, 0.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    some = {(r[0], r[1]) for r in memory.similar(x, m, 0.6).collect()}
+    assert some == {k for k, v in want.items() if v >= 0.6}
+
+
+def test_exact_quantiles_equal_numpy(spark, monkeypatch):
+    from perigee.operators import ordered
+
+    monkeypatch.setattr(ordered, "CUTS", 5)
+    monkeypatch.setattr(ordered, "NEARNESS", 10)
+    rng = random.Random(5)
+    rows = [("a", rng.choice([0.0, 1.0, rng.random() * 1e6, -rng.random()])) for _ in range(301)] + [("b", 7.0)] + [(None, float(i)) for i in range(4)] + [("c", None)]
+    points = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    got = {(r["k"], r["point"]): r["quantile_value"] for r in ordered.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points).collect()}
+    assert {k for k, _ in got} == {"a", "b", None}
+    for k in ("a", "b", None):
+        values = [v for n, v in rows if n == k and v is not None]
+        assert all(abs(got[k, p] - np.quantile(values, p)) < 1e-6 for p in points)
+    x = spark.createDataFrame(rows, "k string, v double")
+    assert abs(ordered.exact_medians(x, (), "v").first()[0] - np.median([v for _, v in rows if v is not None])) < 1e-9
+
+
+def test_refused_inputs(spark):
+    rows = spark.createDataFrame([("e1", "c1", 0, 5, True, "A", "x"), ("e1", "c2", 0, 5, True, "B", "x")], "event_id string, channel string, start_ns long, end_ns long, is_selected_channel boolean, category string, class string")
+    with pytest.raises(Exception, match="more than one category"):
+        labels.events(rows).collect()
+    types = spark.createDataFrame([("e1", "A"), ("e1", "B")], "event_id string, kind string")
+    with pytest.raises(Exception, match="stands more than once"):
+        labels.event_table(rows.drop("is_selected_channel"), types, ["c1"]).collect()
+    one = labels.event_table(rows.drop("is_selected_channel"), types.limit(1), ["c1"])
+    assert one.count() == 2 and {r["kind"] for r in one.collect()} == {"A"}
+    x = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    d = spark.createDataFrame([("a", 7), ("z", 8)], "name string, p int")
+    with pytest.raises(Exception, match="k is undefined: b"):
+        labels.many_to_one(x, d, "k", "name", "p").collect()
+    assert sorted(map(tuple, labels.many_to_one(x, d, "k", "name").collect())) == [("a", 1, 7), ("b", 2, None)]
+    with pytest.raises(Exception, match="outside the extent"):
+        spark.range(10).select(clock.split_of("id", 3, 5, 1, 9)).collect()
+    assert spark.range(1, 10).select(clock.split_of("id", 3, 5, 1, 9)).count() == 9
+    with pytest.raises(ValueError):
+        clock.split_of(F.lit(1), 5, 5)
+    t = spark.createDataFrame([("c", 1, 1.0), ("c", 2, 1.0)], "channel string, ts_ns long, value double")
+    assert series.checked(t).count() == 2
+    with pytest.raises(Exception, match="don't increase"):
+        series.checked(t.unionByName(t.limit(1))).collect()
+    with pytest.raises(ValueError, match="without a row"):
+        labels.only_channels(t, ["c", "channel_4"])
+    with pytest.raises(ValueError, match="twice"):
+        labels.only_channels(t, ["c", "c"])
+    from perigee.operators import scoring
+
+    with pytest.raises(Exception, match="ends before it starts"):
+        scoring.event_intervals(rows.withColumn("end_ns", F.lit(-1).cast("long"))).collect()
+
+
+def test_source_kinds_roles_and_keys(spark):
+    cases = {"channels/channel_41.zip!channel_41": "telemetry", "x/channel_41.csv": "metadata", "channel_41/x.csv": "telemetry", "labels.csv": "labels", "event.npy": "labels", "telecommands.csv": "telecommands", "a/commands/labels.csv": "labels",
+             "x/channel_41.npy": "telemetry", "x/plain.npy": "unclassified", "readme.md": "unclassified", "notes.txt": "metadata"}
+    got = {r["p"]: r["k"] for r in spark.createDataFrame([(p,) for p in cases], "p string").select("p", text.source_kind("p").alias("k")).collect()}
+    assert got == cases
+    iso = {"2024-01-01": True, "2024-02-30": False, "2024-01-01T25:00": False, "2024-01-01 10:00:00.123+02:00": True, "12:00": False, "1-2-3": False, "": False}
+    assert {r["t"]: r["i"] for r in spark.createDataFrame([(t,) for t in iso], "t string").select("t", text.looks_iso("t").alias("i")).collect()} == iso
+    assert [r[0] for r in spark.createDataFrame([("event_type",), ("End-Time",), ("plain",)], "h string").select(text.roles("h")).collect()] == [["id", "category"], ["end"], []]
+    names = spark.createDataFrame([("channel_10",), ("channel_9",), ("alpha",), ("beta_2",)], "n string")
+    assert [r[0] for r in names.orderBy(text.identifier_key("n")).collect()] == ["alpha", "beta_2", "channel_9", "channel_10"]
+
+
+def test_dataset_profile(spark):
+    x = spark.createDataFrame([(1, "2024-01-01", 0.5)], "event_id long, start_time string, value double")
+    p = profile.dataset(spark, {"channels/channel_1.parquet": x, "labels.csv": x, "telecommands.csv": x.limit(0)})
+    got = {r["path"]: r for r in p.collect()}
+    assert got["labels.csv"]["kind"] == "labels" and got["labels.csv"]["roles"] == ["id", "start"] and got["labels.csv"]["times"] == ["start_time"] and got["telecommands.csv"]["row_count"] is None
+    entries = spark.createDataFrame([("a", ".csv", 5, "uniform", 1.0, "seconds", False), ("b", ".csv", 9, "varying", None, None, True), ("c", ".npy", 2, None, None, None, None)], "path string, format string, row_count long, assessment string, interval double, unit string, missing boolean")
+    one = profile.telemetry_summary(entries).first()
+    assert (one["files"], one["total_rows"], one["least_rows"], one["most_rows"], one["formats"], one["uniform_files"], one["varying_files"], one["unresolved_files"], one["files_with_missing"], one["comparison"]) == (3, 16, 2, 9, [".csv", ".npy"], 1, 1, 1, 1, "varying within a file")
+    assert profile.telemetry_summary(entries.where("path = 'a'")).first()["comparison"] == "uniform" and profile.telemetry_summary(entries.limit(0)).first()["comparison"] == "unresolved"
+    said = profile.open_questions(p, profile.telemetry_summary(entries))
+    assert any("sampling varies" in q for q in said) and any("command values" in q for q in said)
+    c = spark.createDataFrame([("defs.csv", 4, False, ["Telecommand", "Priority"]), ("x.zip!a", 10, True, ["t"]), ("x.zip!b", 5, False, ["t"])], "path string, row_count long, is_estimate boolean, columns array<string>")
+    assert tuple(profile.command_summary(c).first()) == (4, 2, 15, True, ["Priority"])
+    o = profile.observations(spark.createDataFrame([(2, "b", None), (1, "a", "q"), (3, "a", " ")], "line long, category string, other string"), "line")
+    assert [(r["column"], r["values"]) for r in o.orderBy("place").collect()] == [("category", ["a", "b", "a"]), ("other", ["q"])]
+    assert [tuple(r) for r in profile.label_fields(o).collect()] == [("category", ["category"], ["a", "b"])]

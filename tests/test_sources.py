@@ -1,4 +1,5 @@
 import json
+import time
 import zipfile
 
 import pytest
@@ -74,11 +75,18 @@ def test_json_and_digests(spark, tmp_path):
     assert sorted(map(tuple, tables.freshest(tiers, "k").select("k", "v").collect())) == [(1, "live"), (2, "old")]
 
 
+SIGNED = "mission string, event_id string, t long, category string, vector array<double>, affected array<string>, telemetry_features map<string,double>, context_features map<string,double>"
+
+
+def signed(event_id, t, category, vector, affected=("a",), score=1.0, near=10.0, count=1.0):
+    return "m", event_id, t, category, list(vector), list(affected), {"agg_score_max": score}, {"nearest_tc_diff_sec": near, "tc_count_5m": count}
+
+
 def test_streams(spark, tmp_path):
     S = 1_000_000_000
-    rows = [("m", f"e{i}", i, "Rare Event", [1.0, 2.0]) for i in range(3)] + [("m", "other", 9, "Anomaly", [-5.0, 1.0])]
+    rows = [signed(f"e{i}", i, "Rare Event", [1.0, 2.0]) for i in range(3)] + [signed("other", 9, "Anomaly", [-5.0, 1.0], ("z",), 1.0, 9999.0, 60.0)]
     for i, r in enumerate(rows):
-        spark.createDataFrame([r], "mission string, event_id string, t long, category string, vector array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([r], SIGNED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     t = lambda s: jobs.memory_stream(s.withColumn("at", F.timestamp_seconds("t")).drop("t"))
     got = {r["event_id"]: r["status"] for r in jobs.replay(spark, str(tmp_path / "in"), t, str(tmp_path / "out")).collect()}
     assert len(got) == 4 and sum(got[f"e{i}"] == "KNOWN" for i in range(3)) == 2 and got["other"] == "UNKNOWN"
@@ -104,8 +112,107 @@ def test_replay_does_not_depend_on_files(spark, tmp_path):
         out = jobs.replay(spark, str(tmp_path / f"in{n}"), lambda s: jobs.alarm_sessions(jobs.scored(s, p), "10 seconds"), str(tmp_path / f"out{n}"))
         got.append(sorted(map(tuple, out.collect())))
     assert got[0] == got[1] and len(got[0]) == 33 and {r[3] for r in got[0]} == {3}
-    events = spark.createDataFrame([("m", f"e{i}", i, "Rare Event", [1.0, 2.0]) for i in range(3)], "mission string, event_id string, t long, category string, vector array<double>")
+    events = spark.createDataFrame([signed(f"e{i}", i, "Rare Event", [1.0, 2.0]) for i in range(3)], SIGNED)
     events.repartition(3, "t").write.parquet(str(tmp_path / "e"))
     t = lambda s: jobs.memory_stream(s.withColumn("at", F.timestamp_seconds("t")).drop("t"))
     known = jobs.replay(spark, str(tmp_path / "e"), t, str(tmp_path / "eo"), files=1).where("status = 'KNOWN'")
     assert known.count() == 2
+
+
+def test_stream_decides_as_the_batch(spark, tmp_path):
+    """The memory stream over all events at once equals the study in which every event asks."""
+    import random
+
+    from perigee.operators import memory
+
+    rng = random.Random(4)
+    rows = [signed(f"e{i:03d}", rng.randrange(300), rng.choice(["Rare Event", "Anomaly"]), [rng.choice([1.0, 2.0, -3.0]) for _ in range(4)], rng.sample("abcd", 2), rng.choice([1.0, 3.0, 6.0]), rng.choice([0.0, 50.0, 9000.0]), rng.choice([0.0, 3.0])) for i in range(70)]
+    x = spark.createDataFrame(rows, SIGNED)
+    x.coalesce(1).write.parquet(str(tmp_path / "in"))
+    t = lambda s: jobs.memory_stream(s.withColumn("at", F.timestamp_seconds("t")).drop("t"), 0.85)
+    got = {r["event_id"]: (r["status"], round(r["similarity"], 9), r["nearest_id"]) for r in jobs.replay(spark, str(tmp_path / "in"), t, str(tmp_path / "out")).collect()}
+    cohort = x.select("event_id", "category", (F.col("t") * 1_000_000_000).alias("start_ns"), F.lit(True).alias("alarm"))
+    want = {r["event_id"]: ("KNOWN" if r["recognized"] else "UNKNOWN", round(r["best_similarity"], 9), r["matched_id"]) for r in memory.study(x, cohort, 0.85, "open").collect()}
+    assert got == want and {v[0] for v in got.values()} == {"KNOWN", "UNKNOWN"}
+    short = lambda s: jobs.memory_stream(s.withColumn("at", F.timestamp_seconds("t")).drop("t"), 0.85, keep=1)
+    assert jobs.replay(spark, str(tmp_path / "in"), short, str(tmp_path / "out2")).where("status = 'KNOWN'").count() < sum(v[0] == "KNOWN" for v in got.values())
+
+
+def test_snapshot_ticks_and_refresh(spark, tmp_path):
+    from perigee.operators import orbit
+
+    now = 1_705_276_800
+    objects = orbit.synthetic(spark, 1500, now * 1_000_000_000)
+    ticks = spark.createDataFrame([(now,), (now + 1,)], "s long").select(F.timestamp_seconds("s").alias("timestamp"))
+    assert jobs.object_ticks(ticks, objects, [40003, 41400]).count() == 4
+    write = jobs.snapshot_writer(objects.limit(5), "snap", f"file://{tmp_path}/snap")
+    write(ticks, 0)
+    write(ticks, 1)
+    snap = spark.table("snap")
+    assert snap.count() == 5 and "FileScan" in snap._jdf.queryExecution().executedPlan().toString()
+    assert jobs.is_fresh(snap, (now + 2) * 10**9) and not jobs.is_fresh(snap, (now + 9) * 10**9)
+    loads = []
+    q = jobs.start_refresh(spark, lambda: loads.append(1) or objects.limit(7), str(tmp_path / "state"), "fresh_catalog", "1 second")
+    try:
+        for _ in range(300):
+            if spark.catalog.tableExists("fresh_catalog"):
+                break
+            time.sleep(0.1)
+    finally:
+        q.stop()
+    assert loads and spark.table("fresh_catalog").count() == 7
+
+
+def test_delimited_profiles(spark, tmp_path):
+    from perigee.operators import profile
+    from perigee.sources import archives
+
+    path = tmp_path / "t.csv"
+    path.write_text("event_id;Start Time;value;value\n" + "".join(f"{i};2024-01-01T00:{i:02d}:00Z;{i / 2};\n" for i in range(40)) + "40;2024-01-01T00:40:00Z\n41;2024-01-01T00:41:00Z;1;2;3;4\n", encoding="utf-8")
+    got = profile.delimited(spark, str(path))
+    one = got["summary"].first()
+    assert (one["rows_read"], one["row_count"], one["is_estimate"], one["malformed_rows"], one["extra_fields"], one["duplicate_names"], one["delimiter"], one["header"]) == (42, 42, False, 2, 2, ["value"], ";", True)
+    kinds = {r["column"]: r for r in got["columns"].collect()}
+    assert (kinds["event_id"]["inferred_type"], kinds["value"]["inferred_type"], kinds["value"]["null_count"], kinds["value_4"]["null_count"]) == ("integer", "float", 1, 41)
+    times = got["times"].collect()
+    assert [(r["column"], r["representation"], r["by_name"], r["by_values"]) for r in times] == [("Start Time", "ISO-8601-like string", True, True)]
+    step = profile.sampling_interval(got["times"]).first()
+    assert (step["assessment"], step["interval"], step["unit"], step["intervals"]) == ("uniform", 60.0, "seconds", 41)
+    assert [r["column"] for r in profile.value_candidates(got["observed"], got["columns"]).collect()] == ["value", "value_4"]
+    part = profile.delimited(spark, str(path), row_limit=10)["summary"].first()
+    assert part["rows_read"] == 10 and part["is_estimate"] and 35 <= part["row_count"] <= 50
+    odd = tmp_path / "o.txt"
+    odd.write_bytes("1|caf\xe9|2\n2|x|9\n4|y|7\n".encode("cp1252"))
+    got = profile.delimited(spark, str(odd))
+    assert got["summary"].first()["encoding"] == "windows-1252" and not got["summary"].first()["header"]
+    assert got["columns"].where("`column` = 'column_2'").first()["examples"][0] == "caf\xe9"
+    assert profile.sampling_interval(got["times"]).count() == 0 or got["times"].count() == 0
+    assert archives.head(spark, str(path), 5)[0] == b"event"
+
+
+def test_archive_members_are_opened_in_place(spark, tmp_path):
+    import io
+    import zipfile
+
+    from perigee.sources import archives
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep/a.csv", "x" * 1000)
+        z.writestr("noext", "y")
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("channels/c.zip", inner.getvalue())
+        z.writestr("labels.csv", "id\n1\n")
+    found = archives.members(spark, str(tmp_path))
+    assert sorted((r["member"], r["depth"], r["size"]) for r in found.collect()) == [("channels/c.zip", 0, len(inner.getvalue())), ("channels/c.zip!deep/a.csv", 1, 1000), ("channels/c.zip!noext", 1, 1), ("labels.csv", 0, 5)]
+    one = archives.summary(found).first()
+    assert (one["members"], one["archives"], one["extensions"]) == (4, 1, {".csv": 2, ".zip": 1, "<none>": 1})
+
+
+def test_catalog_load_counts_and_reports(spark, tmp_path):
+    rows = [{"NORAD_CAT_ID": "1", "EPOCH": "2024-01-01T00:00:00"}, {"NORAD_CAT_ID": "1", "EPOCH": "2024-01-02T00:00:00"}, {"NORAD_CAT_ID": "x"}, {"NORAD_CAT_ID": "2", "MEAN_MOTION": "bad"}, {"NORAD_CAT_ID": "-5"}]
+    (tmp_path / "c.json").write_text(json.dumps(rows))
+    assert tuple(tables.load_counts(spark, str(tmp_path / "c.json")).first()) == (5, 2, 3, 1)
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        tables.markdown(spark.range(3), "t", 2)
+    assert tables.seconds(1_500_000_000) == "1.500000" and tables.seconds(None) == "N/A"

@@ -50,3 +50,36 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["query", "nothing", str(tmp_path)]) == 2
     a, b = cli.new_run(str(tmp_path), {"x": 1}), cli.new_run(str(tmp_path), {"x": 1})
     assert a != b and a.name[:12] == b.name[:12]
+
+
+def test_mission_views_and_manifests(spark, tmp_path):
+    import json
+
+    from perigee.operators import memory
+    from perigee.sources import manifests, tables
+
+    m = spark.createDataFrame([("a", 1)], "memory_id string, ordinal long")
+    one = views.mission_summary(spark, "demo", None, None, ["channel_1", "channel_2"], m).first()
+    assert (one["operational_state"], one["channel_count"], one["stored_patterns"]) == ("Nominal", 2, 1)
+    assert memory.cleared(m).count() == 0 and memory.cleared(m).columns == m.columns
+    assert views.fleet(spark, []).first()["state"] == "NO AUTHORIZED FLEET" and views.fleet(spark, [("x", "X")]).first()["state"] == "AUTHORIZED"
+    assert views.spacecraft(spark, "x", "X", ["channel_1"]).first()["stream_state"] == "HISTORICAL" and views.health(spark).first()["status"] == "ok"
+    ev = spark.createDataFrame([("e1", "A", "x", 5, 12), ("e2", "A", "y", 15, 16), ("e3", "B", "x", 30, 31)], "event_id string, category string, class string, start_ns long, end_ns long")
+    t = spark.createDataFrame([("c", i, 0.0) for i in range(1, 40)], "channel string, ts_ns long, value double")
+    assert tuple(views.research(spark, ev, t, m).first()) == (3, 1, 1)
+    got = manifests.split_manifest(ev, 0, 50, 10, 20, t)
+    assert got["events_by_category"] == {"train": {"A": 1}, "validation": {"A": 1}, "test": {"B": 1}} and got["events_by_class"]["test"] == {"B": {"x": 1}}
+    assert got["crossing"] == {"validation": ["e1"], "test": []} and got["telemetry_rows"] == {"train": 10, "validation": 10, "test": 19}
+    assert manifests.boundaries(0, manifests.VALIDATION, manifests.TEST, 2 * 10**18)["train"]["end"] == "2006-10-01T00:00:00Z"
+    with pytest.raises(Exception, match="outside the extent"):
+        manifests.split_manifest(ev, 6, 50, 10, 20)
+    with pytest.raises(ValueError):
+        manifests.boundaries(0, 20, 10, 50)
+    a, b = (manifests.subset_manifest({"t": x}, {"k": 1}) for x in (t, t.repartition(3)))
+    assert a["tables"] == b["tables"] and a["identity"] == b["identity"]
+    ev.write.parquet(str(tmp_path / "ev"))
+    spark.createDataFrame([("telecommand_1", 4, 1)], "telecommand string, ts_ns long, priority long").write.parquet(str(tmp_path / "co"))
+    for name, more in (("split", []), ("recurrence", []), ("context", [str(tmp_path / "co")])):
+        assert cli.main([name, str(tmp_path / "ev"), *more, "--validation", "10", "--test", "20", "--out", str(tmp_path / name)]) == 0
+    assert json.loads((tmp_path / "split").read_text())["events"] == 3 and "| A | x |" in (tmp_path / "recurrence").read_text() and "24h" in (tmp_path / "context").read_text()
+    assert tables.identity({"a": 1}) != tables.identity({"a": 2})
