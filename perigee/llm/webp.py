@@ -78,7 +78,13 @@ def lookup(packed: bytes) -> tuple[np.ndarray, int]:
     n = lengths[used].astype(np.int64)
     order = np.argsort(n, kind="stable")
     filled = np.repeat((used[order] << 4 | n[order]).astype(np.uint16), 1 << bits - n[order])
-    return filled[_turned()[: 1 << bits] >> (16 - bits)], bits
+    return filled.take(_order(bits)), bits
+
+
+@lru_cache(maxsize=16)
+def _order(bits: int) -> np.ndarray:
+    """Numbers of so many bits with their bits in reverse."""
+    return _turned()[: 1 << bits] >> (16 - bits)
 
 
 _NEVER = 1 << 62
@@ -304,21 +310,20 @@ def _read_one_group(b: Bits, width: int, total: int, cache: int, code: list) ->
         word = (three[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # the next 16 bits and more, by bit
         n = len(word)
         kinds: dict[int, np.ndarray] = {}
-        for t, mask in tables:
+        for t, mask in tables[:4]:  # the last is looked up where a reference stands
             if id(t) not in kinds:
-                kinds[id(t)] = t[word & mask] if len(t) > 1 else None
+                kinds[id(t)] = t.take(word & mask) if len(t) > 1 else None
         green = kinds[id(tables[0][0])]
         if green is None:
             green = np.full(n, tables[0][0][0], np.uint16)
-        idx = np.arange(n, dtype=np.int32)
-        ends = idx + (green & 15).astype(np.int32)
+        ends = np.arange(n)
+        ends += green & 15
         for t, _ in tables[1:4]:
             if (k := kinds[id(t)]) is not None:
-                size_of = kinds.setdefault(-id(t), (k & 15).astype(np.int32))
-                np.minimum(ends, n - 1, out=ends)
-                ends = ends + size_of[ends]
-        special = np.flatnonzero(green >= 256 << 4)
-        special = special[special < 8 * size]
+                if -id(t) not in kinds:
+                    kinds[-id(t)] = k & 15
+                ends += kinds[-id(t)].take(ends, mode="clip")
+        special = (green[: 8 * size] >= 256 << 4).nonzero()[0]
         length = np.ones(n, np.int64) if len(special) else None
         if len(special):
             s = (green[special] >> 4).astype(np.int64)
@@ -335,20 +340,17 @@ def _read_one_group(b: Bits, width: int, total: int, cache: int, code: list) ->
             reach[where] = far
         follow, p, stop, chain = memoryview(np.ascontiguousarray(ends)), b.at - 8 * lead, 8 * size, []
         add, need = chain.append, total - done
-        if len(special):
-            long = memoryview(length)
-            while p < stop and need > 0:
-                add(p)
-                need -= long[p]
-                p = follow[p]
-        else:
-            for _ in range(need):
-                if p >= stop:
-                    break
-                add(p)
-                p = follow[p]
-        b.at = 8 * lead + p
+        for _ in range(need):
+            if p >= stop:
+                break
+            add(p)
+            p = follow[p]
         at = np.array(chain, np.int64)
+        if len(special):  # references hold several pixels, so the chain may be longer than the image
+            held = int(np.searchsorted(np.cumsum(length[at]), need)) + 1
+            if held < len(at):
+                p, at = int(at[held]), at[:held]
+        b.at = 8 * lead + p
         got = green[at] >> 4
         pixel = got.astype(np.uint32) << np.uint32(8)
         nxt = at + (green[at] & 15)
@@ -643,37 +645,75 @@ class _Writer:
         return _pack(*map(np.concatenate, zip(*self.parts)))
 
 
-def _code_bits(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How a prefix code is written: values and their sizes."""
+def _tokens(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths by symbol as the symbols of the length code, with values and sizes of their extra bits."""
+    cut = (np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()
+    out, at, extra, room = [], [], [], []
+    for v, a, z in zip(lengths[[0, *cut]].tolist(), [0, *cut], [*cut, len(lengths)]):
+        n = z - a
+        if v:  # a run begins with its length itself
+            out.append(v)
+            n -= 1
+        while n:
+            if n < 3:
+                out += [v] * n
+                break
+            k = min(n, 6 if v else 138)
+            at.append(len(out))
+            if v:
+                out.append(16)
+                extra.append(k - 3)
+                room.append(2)
+            elif k > 10:
+                out.append(18)
+                extra.append(k - 11)
+                room.append(7)
+            else:
+                out.append(17)
+                extra.append(k - 3)
+                room.append(3)
+            n -= k
+    values, sizes = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64)
+    values[at], sizes[at] = extra, room
+    return np.array(out), values, sizes
+
+
+def _small_codes(lengths: list[int]) -> list[int]:
+    """As ``canonical``, step by step, for the few symbols of the length code."""
+    out, code = [0] * len(lengths), 0
+    for n in range(1, 8):
+        code <<= 1
+        for s, k in enumerate(lengths):
+            if k == n:
+                out[s] = int(f"{code:0{n}b}"[::-1], 2)
+                code += 1
+    return out
+
+
+def _code_bits(lengths: np.ndarray) -> tuple[list[tuple[int, int]], tuple[np.ndarray, np.ndarray] | None]:
+    """How a prefix code is written: pairs of value and size, and arrays of both that follow them."""
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (len(used) == 0 or used[-1] < 256):
         s = used.tolist() or [0]
-        return np.array([1, len(s) - 1, 1, *s]), np.array([1, 1, 1, *[8] * len(s)])
-    values = lengths[: int(used[-1]) + 1].astype(np.int64)
-    edge = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
-    first = edge[:-1] + (values[edge[:-1]] > 0)  # of a run of a length its first stands for itself
-    long = np.flatnonzero(edge[1:] - first >= 3)
-    extra, room, keep = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64), np.ones(len(values), bool)
-    for at, end in zip(first[long].tolist(), edge[long + 1].tolist()):
-        zeros = not values[at]
-        while end - at >= 3:
-            k = min(end - at, 138 if zeros else 6)
-            values[at], extra[at], room[at] = (18, k - 11, 7) if zeros and k > 10 else (17, k - 3, 3) if zeros else (16, k - 3, 2)
-            keep[at + 1: at + k] = False
-            at += k
-    tokens, extra, room = values[keep], extra[keep], room[keep]
-    own = code_lengths(np.bincount(tokens, minlength=19), 7)
-    many = np.count_nonzero(own) > 1
-    codes, size = canonical(own) * many, own.astype(np.int64) * many
+        return [(1, 1), (len(s) - 1, 1), (1, 1), *[(x, 8) for x in s]], None
+    tokens, extra, room = _tokens(lengths[: int(used[-1]) + 1])
+    own = code_lengths(np.bincount(tokens, minlength=19), 7).tolist()
+    many = 19 - own.count(0) > 1
     shown = max(4, max(i for i, k in enumerate(LENGTH_ORDER) if own[k]) + 1)
-    head = [(0, 1), (shown - 4, 4), *[(int(own[k]), 3) for k in LENGTH_ORDER[:shown]]]
+    head = [(0, 1), (shown - 4, 4), *[(own[k], 3) for k in LENGTH_ORDER[:shown]]]
     if len(tokens) >= 2:
         wide = next(n for n in range(8) if len(tokens) - 2 < 1 << 2 + 2 * n)
         head += [(1, 1), (wide, 3), (len(tokens) - 2, 2 + 2 * wide)]
     else:
         head += [(0, 1)]
-    h = np.array(head)
-    return np.concatenate([h[:, 0], np.stack([codes[tokens], extra], axis=1).ravel()]), np.concatenate([h[:, 1], np.stack([size[tokens], room], axis=1).ravel()])
+    values, sizes = np.empty(2 * len(tokens), np.int64), np.empty(2 * len(tokens), np.int64)
+    values[0::2], sizes[0::2] = (np.array(_small_codes(own))[tokens], np.array(own)[tokens]) if many else (0, 0)
+    values[1::2], sizes[1::2] = extra, room
+    return head, (values, sizes)
+
+
+#: Bits of the longest code that is written; short tables are quick to read, and longer codes save next to nothing.
+LONGEST = 12
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -693,8 +733,10 @@ def matches(pixels: np.ndarray, shortest: int = 4) -> tuple[np.ndarray, np.ndarr
         return none
     p = pixels.astype(np.uint64)
     key = (p[:-2] * np.uint64(0x9E3779B97F4A7C15) + p[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + p[2:]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    # by sixteen bits of it, which sort quickly; the few keys that share them hide a match from one another
+    order = np.argsort((key >> np.uint64(48)).astype(np.uint16), kind="stable")
+    ordered = key[order]
+    same = ordered[1:] == ordered[:-1]
     back = np.zeros(len(key), np.int64)
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
     cut = np.flatnonzero(np.diff(back)) + 1
@@ -722,10 +764,11 @@ def _write_pixels(pixels: np.ndarray, bits: _Writer, cache: int = 0, repeats: bo
     bits += [(1, 1), (cache, 4)] if cache else [(0, 1)]
     start, size, far = matches(pixels) if repeats else (np.zeros(0, np.int64),) * 3
     n = len(pixels)
-    covered = np.zeros(n + 1, np.int32)
-    np.add.at(covered, start, 1)
-    np.add.at(covered, start + size, -1)
-    plain = np.flatnonzero(np.cumsum(covered[:-1]) == 0) if len(start) else np.arange(n)
+    if len(start):
+        open_at = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)
+        plain = np.flatnonzero(np.cumsum(open_at[:-1]) == 0)
+    else:
+        plain = np.arange(n)
     argb = _bytes(pixels[plain])
     green, hit = argb[:, 2].astype(np.int64), np.zeros(len(plain), bool)
     if cache:
@@ -747,20 +790,24 @@ def _write_pixels(pixels: np.ndarray, bits: _Writer, cache: int = 0, repeats: bo
     group_p, group_r = of(plain), of(start)
     codes, sizes = [], []
     for g in range(number):
-        here, ref = (group_p == g) & ~hit, group_r == g
-        first = np.bincount(np.concatenate([green[group_p == g], 256 + ls[ref]]), minlength=280 + (1 << cache if cache else 0))
-        rest = np.bincount(argb[here][:, [1, 3, 0]].ravel(), minlength=256)
+        here, mine, ref = ((group_p == g) & ~hit, group_p == g, group_r == g) if number > 1 else (~hit if cache else slice(None), slice(None), slice(None))
+        first = np.bincount(np.concatenate([green[mine], 256 + ls[ref]]), minlength=280 + (1 << cache if cache else 0))
+        some = argb[here]
+        rest = np.bincount(some.ravel(), minlength=256) - np.bincount(some[:, 2], minlength=256)
         if len(plain) and n <= 64:  # in small images each channel its own code: constant ones vanish
             three = [code_lengths(np.bincount(argb[here][:, k], minlength=256)) for k in (1, 3, 0)]
         else:
-            three = [code_lengths(rest)] * 3
-        lengths = [code_lengths(first), *three, code_lengths(np.bincount(ds[ref], minlength=40))]
+            three = [code_lengths(rest, LONGEST)] * 3
+        lengths = [code_lengths(first, LONGEST), *three, code_lengths(np.bincount(ds[ref], minlength=40), LONGEST)]
         shown = {}
         for x in lengths:
             if id(x) not in shown:
                 many = np.count_nonzero(x) > 1
                 shown[id(x)] = _code_bits(x), canonical(x) if many else np.zeros(len(x), np.int64), x.astype(np.int64) * many
-            bits.append(shown[id(x)][0])
+            head, rest_of = shown[id(x)][0]
+            bits += head
+            if rest_of is not None:
+                bits.append(rest_of)
         codes.append([shown[id(x)][1] for x in lengths])
         sizes.append([shown[id(x)][2] for x in lengths])
     value, count = np.zeros((n, 3), np.int64), np.zeros((n, 3), np.int64)
@@ -844,7 +891,7 @@ def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int =
 
 #: Pixels that the estimate looks at, bits that a transform must save beyond its own, pixels from which a cache pays
 #: by several percent.
-LOOKED, FIXED, CACHED = 512, 400, 1024
+LOOKED, FIXED, CACHED = 512, 400, 2048
 
 
 @lru_cache(maxsize=1)
@@ -877,7 +924,7 @@ def choose(rgba: np.ndarray) -> dict:
     height, width, _ = rgba.shape
     n = height * width
     cache = min(11, n.bit_length() - 2) if n >= CACHED else 0
-    if n < LOOKED // 4:
+    if n < CACHED:
         return {"cache": cache}
     at = max(0, (n - LOOKED) // 2) // width * width
     x = np.ascontiguousarray(rgba.reshape(-1, 4)[at: at + LOOKED][:, [3, 0, 1, 2]])
@@ -913,8 +960,8 @@ def to_image(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(width * height * 4, b"\0"), np.uint8).reshape(height, width, 4)
 
 
-def padded(text: str) -> bytes:
-    raw = text.encode("utf-8", "surrogatepass")
+def padded(raw: bytes) -> bytes:
+    """The payload of a text's bytes: zeros up to a positive multiple of 64."""
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
@@ -927,7 +974,7 @@ def stored(data: bytes) -> bytes:
 def feature(rgba: np.ndarray) -> str:
     """64 bits as hex: which of 64 equal stretches of the pixels are brighter than the whole image."""
     light = rgba.reshape(-1, 4).astype(np.int64) @ np.array([2, 5, 1, 8])
-    edges = np.linspace(0, len(light), 65).astype(np.int64)
+    edges = np.arange(65) * len(light) // 64
     total = np.concatenate([[0], np.cumsum(light)])
     part, size = total[edges[1:]] - total[edges[:-1]], np.diff(edges)
     bright = part * len(light) > total[-1] * size
@@ -939,7 +986,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), batch.column(1)
         for at in range(0, len(ids), 256):  # bounds what a worker holds
             part = texts.slice(at, 256).to_pylist()
-            sizes, part = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in part], pa.int64()), [padded(t) for t in part]
+            raw = [t.encode("utf-8", "surrogatepass") for t in part]
+            sizes, part = pa.array(map(len, raw), pa.int64()), [padded(x) for x in raw]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(at, 256), sizes,
                  pa.array(map(len, part), pa.int64()), pa.array([stored(p) for p in part], pa.binary())],
