@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -350,6 +351,10 @@ def _propagated(e: dict[str, np.ndarray], t: np.ndarray, deep: bool) -> tuple[np
         return error, r[..., None] * ux * _RE, (vr[..., None] * ux + vt[..., None] * vx) * (_RE * _XKE / 60)
 
 
+#: Objects that one step holds at all their moments.
+AT_ONCE = 64
+
+
 def propagate(objects: DataFrame, at_ns: Column | str = "at_ns") -> DataFrame:
     """Adds ``error, x, y, z, vx, vy, vz`` at ``at_ns``; positions are null where ``error`` isn't 0.
 
@@ -380,11 +385,39 @@ def states(propagated: DataFrame, at_ns: str = "at_ns") -> DataFrame:
     return propagated.withColumns({**p, "speed_kms": speed})
 
 
+def propagate_grid(objects: DataFrame, now_ns: int, minutes: Sequence[int]) -> DataFrame:
+    """Every object at every moment ``now_ns`` plus so many minutes: ``minute, at_ns`` and what ``propagate`` adds.
+
+    An object's orbit is set up once for all its moments.
+    """
+    steps = np.asarray(minutes, np.int32)
+    moments = now_ns + steps.astype(np.int64) * 60 * SECOND
+    x = objects.withColumns({k: F.col(k).cast("double" if k != "epoch_ns" else "long") for k in ELEMENTS})
+    more = {"minute": "int", "at_ns": "long", "error": "int"} | dict.fromkeys(("x", "y", "z", "vx", "vy", "vz"), "double")
+    schema = x.schema
+    for name, kind in more.items():
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                e = {k: b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(float) for k in ELEMENTS}
+                since = (moments[None] - b.column(b.schema.get_field_index("epoch_ns")).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]) / 6e10
+                error, r, v = sgp4(e, since)
+                error = error.ravel()
+                rows = pa.array(np.repeat(np.arange(len(b)), len(steps)))
+                state = np.concatenate([r, v], axis=-1).reshape(-1, 6)
+                tiled = [np.tile(steps, len(b)), np.tile(moments, len(b)), error.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in b.columns], *map(pa.array, tiled), *[pa.array(state[:, i], mask=error != 0) for i in range(6)]], [*b.schema.names, *more])
+
+    return x.mapInArrow(run, schema)
+
+
 def ground_track(objects: DataFrame, now_ns: int, back_minutes: int = 45, ahead_minutes: int = 90, step_minutes: int = 3) -> DataFrame:
     """States from before now (without it) and from now on, a row per object and moment."""
-    steps = F.explode(F.sequence(F.lit(-back_minutes), F.lit(ahead_minutes), F.lit(step_minutes))).alias("minute")
-    x = objects.select("*", steps).withColumn("at_ns", F.lit(now_ns) + F.col("minute").cast("long") * 60 * SECOND)
-    return states(propagate(x)).withColumn("part", F.when(F.col("minute") < 0, "past").otherwise("future"))
+    x = propagate_grid(objects, now_ns, range(-back_minutes, ahead_minutes + 1, step_minutes))
+    return states(x).withColumn("part", F.when(F.col("minute") < 0, "past").otherwise("future"))
 
 
 def elevation(station: tuple[float, float, float], r: np.ndarray, at_ns: np.ndarray) -> np.ndarray:
@@ -419,10 +452,6 @@ def first_passes(up: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.nda
     return aos, los, np.where(inside, height, -np.inf).max(axis=1)
 
 
-#: Objects that one step of the pass search holds at all its moments.
-AT_ONCE = 64
-
-
 def next_passes(objects: DataFrame, station: tuple[float, float, float], now_ns: int, hours: int = 12, least_elevation: float = 5.0, fallback: bool = True) -> DataFrame:
     """The first whole pass of each object over a station on a one-minute grid.
 

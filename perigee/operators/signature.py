@@ -15,17 +15,17 @@ CONTEXT = ("nearest_tc_diff_sec", "tc_count_24h", "tc_count_2h", "tc_count_30m",
 MOVED = 0.05
 
 
-def window_samples(scored: DataFrame, ev: DataFrame, around: int = 5) -> DataFrame:
-    """Samples of every channel inside each event's window, ``event_id, channel, ts_ns, value, score``.
+def window_samples(scored: DataFrame, ev: DataFrame, channels: list[str], around: int = 5) -> DataFrame:
+    """Samples of the named channels inside each event's window, ``event_id, channel, ts_ns, value, score``.
 
     A channel without a sample in the window gives the samples at the positions from ``around`` before to
     ``around - 1`` after the first one at or past the start, as far as the series goes.
     """
-    w = ev.select("event_id", "start_ns", "end_ns")
+    w, scored = ev.select("event_id", "start_ns", "end_ns"), scored.where(F.col("channel").isin(channels))
     points = scored.select("channel", "value", "score", F.col("ts_ns").alias("start_ns"), F.col("ts_ns").alias("end_ns"))
     inside = ranges.interval_join(points, w).select(F.col("b_event_id").alias("event_id"), "channel", F.col("start_ns").alias("ts_ns"), "value", "score")
-    channels = scored.select("channel").distinct()
-    bare = w.join(channels, F.lit(True)).join(inside.select("event_id", "channel").distinct(), ["event_id", "channel"], "left_anti")  # events by a few channels
+    every = w.select("*", F.explode(F.array(*map(F.lit, channels))).alias("channel"))
+    bare = every.join(inside.select("event_id", "channel").distinct(), ["event_id", "channel"], "left_anti")
     placed = running_sum(scored.select("channel", "ts_ns", "value", "score"), ["channel"], ["ts_ns"], F.lit(1), "n")
     at = asof(bare.withColumn("before_ns", F.col("start_ns") - 1), placed.select("channel", "ts_ns", "n"), "before_ns", "ts_ns", ["channel"])
     at = at.select("event_id", "channel", F.coalesce("match.n", F.lit(0)).alias("i"))
@@ -64,7 +64,7 @@ def signatures(scored: DataFrame, ev: DataFrame, commands: DataFrame, channels:
     Telemetry features enter the vector as they are; context in seconds as a tenth of log(1 + x), other
     context as a tenth.
     """
-    f = channel_features(window_samples(scored, ev).where(F.col("channel").isin(channels)))
+    f = channel_features(window_samples(scored, ev, channels))
     top = affected_channels(f, threshold)
     names = F.transform(F.array(*map(F.lit, PER_CHANNEL)), lambda n: F.concat(F.col("channel"), F.lit("_"), n))
     each = f.groupBy("event_id").agg(F.flatten(F.collect_list(F.arrays_zip(names.alias("k"), F.array(*PER_CHANNEL).alias("v")))).alias("pairs"))

@@ -135,7 +135,7 @@ def test_context_defaults_and_order(spark):
 def test_fallback_samples(spark):
     x = frame(spark, [float(i) for i in range(30)]).withColumn("score", F.lit(0.0))
     ev = spark.createDataFrame([("mid", 10 * S + 1, 10 * S + 2), ("start", -9 * S, -8 * S), ("end", 90 * S, 91 * S), ("in", 3 * S, 4 * S)], "event_id string, start_ns long, end_ns long")
-    got = signature.window_samples(x, ev).groupBy("event_id").agg(F.array_sort(F.collect_list("value")).alias("v")).collect()
+    got = signature.window_samples(x, ev, ["c"]).groupBy("event_id").agg(F.array_sort(F.collect_list("value")).alias("v")).collect()
     got = {r["event_id"]: r["v"] for r in got}
     assert got["mid"] == [float(i) for i in range(6, 16)]
     assert got["start"] == [0.0, 1.0, 2.0, 3.0, 4.0] and got["end"] == [25.0, 26.0, 27.0, 28.0, 29.0] and got["in"] == [3.0, 4.0]
