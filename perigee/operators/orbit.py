@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from perigee.functions import geo
 from perigee.functions.clock import SECOND
@@ -393,10 +394,8 @@ def propagate_grid(objects: DataFrame, now_ns: int, minutes: Sequence[int]) -> D
     steps = np.asarray(minutes, np.int32)
     moments = now_ns + steps.astype(np.int64) * 60 * SECOND
     x = objects.withColumns({k: F.col(k).cast("double" if k != "epoch_ns" else "long") for k in ELEMENTS})
-    more = {"minute": "int", "at_ns": "long", "error": "int"} | dict.fromkeys(("x", "y", "z", "vx", "vy", "vz"), "double")
-    schema = x.schema
-    for name, kind in more.items():
-        schema = schema.add(name, kind)
+    added = StructType.fromDDL("minute int, at_ns long, error int, x double, y double, z double, vx double, vy double, vz double")
+    schema, more = StructType([*x.schema.fields, *added.fields]), added.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
