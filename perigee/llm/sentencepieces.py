@@ -60,26 +60,68 @@ class Pieces:
         if any(SPACE in p.strip(SPACE) or p.endswith(SPACE) and p.strip(SPACE) for p in self.ids):
             raise ValueError("a piece crosses words")
         self.words: dict[str, list[int]] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         line = "" if any("\n" in p and len(p) > 1 for p in self.ids) else "\n"
         self.split = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else "")).findall
         self.ends: dict[str, list[int]] = {}  # lengths of pieces by last character, longest first
         for p in self.ids:
             self.ends.setdefault(p[-1], []).append(len(p))
         self.ends = {c: sorted(set(n), reverse=True) for c, n in self.ends.items()}
+        self.names = {i: p for p, i in self.ids.items()}
+        self.tails: dict[str, list[int]] = {}  # lengths from three up by the last three characters, longest first
+        for p in self.ids:
+            if len(p) > 2:
+                self.tails.setdefault(p[-3:], []).append(len(p))
+        self.tails = {c: sorted(set(n), reverse=True) for c, n in self.tails.items()}
 
-    def _stay(self, a: str, b: str) -> bool:
-        """Merging ``a + b`` from its characters ends in just these two pieces."""
-        if (got := self.apart.get((a, b))) is None:
+    def _stay(self, a: int, b: int) -> bool:
+        """Merging two pieces from their characters ends in just these two; ``a`` is -1 for an unknown character."""
+        if (got := self.apart.get(a << 32 | b)) is None:
             if len(self.apart) > KEPT:
                 self.apart.clear()
-            get = self.score.get
-            got = merge(list(a + b), lambda x, y: None if (s := get(x + y)) is None else -s) == [a, b]
-            self.apart[a, b] = got
+            get, parts = self.score.get, [self.names[b]] if a < 0 else [self.names[a], self.names[b]]
+            got = merge(list("".join(parts)), lambda x, y: None if (s := get(x + y)) is None else -s) == parts
+            self.apart[a << 32 | b] = got
         return got
 
+    def _learn_merges(self, words: list[str]) -> None:
+        """As ``learn`` for a merge model: the rows hold the number and the length of each prefix's last piece."""
+        get, tails, stay, apart, known = self.ids.get, self.tails.get, self._stay, self.apart.get, self.words
+        last, size, before = [0], [0], ""
+        for word in sorted(words):
+            n = 0
+            for x, y in zip(word, before):
+                if x != y:
+                    break
+                n += 1
+            del last[n + 1:], size[n + 1:]
+            for i in range(n + 1, len(word) + 1):
+                found, k = None, 0
+                if i > 2:
+                    for k in tails(word[i - 3: i], ()):
+                        if k <= i and (p := get(word[i - k: i])) is not None and (k == i or apart(last[i - k] << 32 | p) or stay(last[i - k], p)):
+                            found = p
+                            break
+                if found is None and i > 1 and (p := get(word[i - 2: i])) is not None and (i == 2 or apart(last[i - 2] << 32 | p) or stay(last[i - 2], p)):
+                    found, k = p, 2
+                if found is None:
+                    found, k = get(word[i - 1], -1), 1
+                last.append(found)
+                size.append(k)
+            before, i, out = word, len(word), []
+            while i:
+                if (p := last[i]) >= 0:
+                    out.append(p)
+                else:
+                    out += self._ids(word[i - 1])[::-1]
+                i -= size[i]
+            out.reverse()
+            known[word] = out
+
     def learn(self, words: list[str]) -> None:
         """Encode distinct words: sorted, each continues from the forward row it shares with the one before."""
+        if self.merges:
+            return self._learn_merges(words)
         last: list[str] = [""]  # last piece of the best split of each prefix
         best: list[float] = [0.0]
         before = ""
@@ -99,16 +141,13 @@ class Pieces:
             self.words[word] = [k for p in reversed(out) for k in self._ids(p)]
 
     def _forward(self, word: str, i: int, last: list[str], best: list[float]) -> None:
+        """The best split of a prefix by scores."""
         found, top = word[i - 1], -math.inf
         for n in self.ends.get(word[i - 1], ()):
             if n > i or (p := word[i - n: i]) not in self.ids:
                 continue
-            if not self.merges:
-                if best[i - n] + self.score[p] > top:
-                    found, top = p, best[i - n] + self.score[p]
-            elif n == i or self._stay(last[i - n], p):
-                found = p
-                break
+            if best[i - n] + self.score[p] > top:
+                found, top = p, best[i - n] + self.score[p]
         last.append(found)
         best.append(top if top > -math.inf else best[i - 1] - 1e4)  # an unknown character
 
