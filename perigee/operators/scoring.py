@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.operators import ranges
-from perigee.operators.ordered import running_sum
+from perigee.operators.ordered import running_sums
+from perigee.sources.tables import written
 
 POSITIVE = {"unusual": ("Anomaly", "Rare Event"), "operational": ("Anomaly",)}
 MASKED = ("Communication Gap",)
@@ -45,18 +46,16 @@ def _by_category(predictions: DataFrame, rows: DataFrame, low: int, high: int, m
     now, then = state(""), state("_before")
     wrong = lambda t: {"raw": t["raw"], "kept": t["kept"], "fp": t["kept"] & t["free"], "nominal": t["inside"] & t["free"]}
     flags = {f"{k}_on": v for k, v in wrong(now).items()} | {f"{k}_was": v for k, v in wrong(then).items()}
-    s = s.withColumns(flags).select("t_ns", "l", *flags)
+    begins = lambda k: (F.col(f"{k}_on") & ~F.col(f"{k}_was")).cast("long")
+    s = running_sums(s.withColumns(flags).select("t_ns", "l", *flags), (), ["t_ns"], {"kept_run": begins("kept"), "raw_run": begins("raw")})
+    s = written(s)  # read once for the times and once for the runs
     # a run of integers is one shorter than the moments it holds: every start of one takes that one away
     part = lambda k: F.coalesce(F.sum(F.when(F.col(f"{k}_was") & ~F.col(f"{k}_on"), F.col("t_ns") - 1).when(F.col(f"{k}_on") & ~F.col(f"{k}_was"), -F.col("t_ns"))), F.lit(0))
     time = s.agg(part("fp").alias("fp_time_ns"), part("nominal").alias("nominal_ns"))
-    runs = []
-    for kind in ("kept", "raw"):
-        edges = running_sum(s, (), ["t_ns"], (F.col(f"{kind}_on") & ~F.col(f"{kind}_was")).cast("long"), "run")
-        # a row belongs to a run while it is on, and once more where it ends
-        edges = edges.where(F.col(f"{kind}_on") | F.col(f"{kind}_was")).withColumn("ends", ~F.col(f"{kind}_on"))
-        begins = F.col(f"{kind}_on") & ~F.col(f"{kind}_was")
-        runs.append(edges.groupBy("run").agg(F.min(F.when(begins, F.col("t_ns"))).alias("start_ns"), (F.max(F.when(F.col("ends"), F.col("t_ns"))) - 1).alias("end_ns"), F.bool_or(F.col(f"{kind}_on") & (F.col("l") > 0)).alias("labelled")).withColumn("kept", F.lit(kind == "kept")))
-    both = runs[0].unionByName(runs[1])
+    kinds = F.explode(F.array(*[F.struct(F.lit(k == "kept").alias("kept"), F.col(f"{k}_run").alias("run"), F.col(f"{k}_on").alias("on"), F.col(f"{k}_was").alias("was")) for k in ("kept", "raw")])).alias("r")
+    # a moment belongs to a run while it is on, and once more where it ends
+    edges = s.select("t_ns", "l", kinds).select("t_ns", "l", "r.*").where(F.col("on") | F.col("was"))
+    both = edges.groupBy("kept", "run").agg(F.min(F.when(F.col("on") & ~F.col("was"), F.col("t_ns"))).alias("start_ns"), (F.max(F.when(~F.col("on"), F.col("t_ns"))) - 1).alias("end_ns"), F.bool_or(F.col("on") & (F.col("l") > 0)).alias("labelled"))
     events = x.where((F.col("end_ns") >= low) & (F.col("start_ns") <= high)).select("event_id", "category", F.greatest("start_ns", F.lit(low)).alias("start_ns"), F.least("end_ns", F.lit(high)).alias("end_ns"))
     found = ranges.interval_join(events, both).groupBy("category").agg(
         F.count_distinct(F.when(F.col("b_kept"), F.col("event_id"))).alias("found"), F.count_distinct(F.when(~F.col("b_kept"), F.col("event_id"))).alias("found_raw"))
