@@ -26,9 +26,8 @@ UND = "und"
 PER_LANG, LANDMARKS, LANGS = 800, 64, 128
 ORDERS = 3
 RIDGE = 1e-3
-#: Steepness of the score as a probability of the best language against the others.
-STEEP = 6.0
-BATCH = 64
+#: Steepness of the score as a probability of the best language against the others, and the most texts of a product.
+STEEP, BATCH = 6.0, 64
 _PIECE = 1 << 20
 
 
@@ -93,8 +92,9 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for at in range(0, len(texts), BATCH):
-            part = texts[at: at + BATCH]
+        batch = max(1, min(BATCH, (1 << 22) // max(1, len(self.kept))))
+        for at in range(0, len(texts), batch):
+            part = texts[at: at + batch]
             held, norm = np.zeros((len(part), len(self.kept)), np.float32), np.ones(len(part), np.float32)
             empty = np.ones(len(part), bool)
             for i, t in enumerate(part):
@@ -127,12 +127,18 @@ def fit_kernel(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS
             n[lang] += 1
             chosen.append(i)
     kept = np.unique(np.concatenate([samples[i][1] for i in chosen]))
-    marks = np.zeros((len(kept), len(chosen)), np.float32)
-    for j, i in enumerate(chosen):
-        marks[_places(kept, samples[i][1]), j] = 1 / np.sqrt(len(samples[i][1]))
+    # landmarks by n-gram, one list after the other, so that memory grows with what they hold
+    places = [_places(kept, samples[i][1]) for i in chosen]
+    size = np.array([1 / np.sqrt(len(samples[i][1])) for i in chosen])
+    order = np.argsort(np.concatenate(places), kind="stable")
+    marks = np.repeat(np.arange(len(chosen)), [len(p) for p in places])[order]
+    first = np.searchsorted(np.concatenate(places)[order], np.arange(len(kept) + 1))
     kernel = np.zeros((len(samples), len(chosen)))
     for i, (_, g) in enumerate(samples):
-        kernel[i] = marks[_places(kept, g)].sum(axis=0) / np.sqrt(len(g))
+        p = _places(kept, g)
+        wide = first[p + 1] - first[p]
+        at = np.repeat(first[p] - np.cumsum(wide) + wide, wide) + np.arange(int(wide.sum()))
+        kernel[i] = np.bincount(marks[at], minlength=len(chosen)) * size / np.sqrt(len(g))
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-8 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
@@ -142,7 +148,10 @@ def fit_kernel(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS
     share = 1 / np.sqrt(target.sum(axis=0))[target.argmax(axis=1), None]  # every language weighs the same
     gram = (x * share).T @ (x * share) + ridge * np.eye(x.shape[1])
     w = np.linalg.solve(gram, (x * share).T @ (target * share))
-    return Model(langs, kept, (marks @ (nystrom @ w[:-1])).astype(np.float32), w[-1].astype(np.float32))
+    by_mark, weights = nystrom @ w[:-1], np.zeros((len(kept), len(langs)), np.float32)
+    for j, p in enumerate(places):
+        weights[p] += (size[j] * by_mark[j]).astype(np.float32)
+    return Model(langs, kept, weights, w[-1].astype(np.float32))
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
