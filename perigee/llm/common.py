@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +29,43 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Tables stand in one folder a Spark application. ``discard`` removes one of them, ``discard_all`` the folder,
+    once nothing that was made from them will be read again.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``saved`` returned and that a later one has replaced."""
+    _remove(df.sparkSession, df.saved_at)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove everything that ``saved`` wrote in this application; results that still need it must be read before."""
+    _remove(spark, _run_dir(spark))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import langid, licenses, mixing, neardup_vectors, sentencepieces, simhash, token_counts, toxicity, warc, webp
+from perigee.llm import centroids, langid, licenses, lsh, mixing, neardup_vectors, sentencepieces, simhash, token_counts, toxicity, warc, webp, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.op8_language_id,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_simhash": simhash.op10_simhash,
+        "op11_neighbours": lsh.op11_neighbours,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_centroids": centroids.op13_centroids,
     }
 
 
