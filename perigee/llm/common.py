@@ -80,17 +80,21 @@ def text_of(column: str = "text") -> Column:
 HEAVY = 1000
 
 
-def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, keep: str | None = None) -> DataFrame:
     """``rows`` inner-joined with ``facts``, which has one row a key and in ``weight`` how many ``rows`` share it.
 
+    The weight itself is dropped unless ``keep`` names it.
+
     ``total`` is at least the sum of all weights. Keys that hold a thousandth of it or more are a thousand at
     most: those facts are broadcast, so no task gets all rows of a key. All others are joined by a shuffle.
     Keys aren't null.
     """
     heavy = facts.where(F.col(weight) * HEAVY >= total)
-    light = facts.where(F.col(weight) * HEAVY < total).drop(weight)
+    light = facts.where(F.col(weight) * HEAVY < total)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(heavy.drop(weight)), keys).unionByName(rest.join(light, keys))
+    if keep != weight:
+        heavy, light = heavy.drop(weight), light.drop(weight)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

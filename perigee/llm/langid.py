@@ -18,12 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perigee.llm.common import table, text_of
+from perigee.llm.common import saved, table, text_of
 
 UND = "und"
-#: Bounds of the sample: distinct texts of each language to fit on, those of them that are landmarks, and the most
-#: languages that are learned, the most frequent ones.
-PER_LANG, LANDMARKS, LANGS = 800, 64, 128
+#: Bounds of the sample: distinct texts of each language to fit on, and those of them that are landmarks.
+PER_LANG, LANDMARKS = 800, 64
+#: Bounds over all languages, which share them evenly: texts, landmarks, and n-grams of those texts. Every language
+#: has a text of its own as long as there are no more of them than texts.
+TEXTS, MARKS, NUMBERS = 25_600, 2048, 1 << 25
+#: Texts drawn by hash for each that is wanted, as distinct texts are estimated to a few percent.
+DRAW = 1.25
+#: N-grams times languages up to which landmarks and weights are multiplied out.
+DENSE = 1 << 25
 ORDERS = 3
 RIDGE = 1e-3
 #: Steepness of the score as a probability of the best language against the others, and the most texts of a product.
@@ -84,27 +90,64 @@ def grams(text: str) -> np.ndarray | None:
     return np.unique(np.concatenate(held)) if found else None
 
 
+class Landmarks:
+    """Landmark texts by n-gram, one list after the other, so that memory grows with what they hold."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.kept = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.int64)
+        self.size = np.array([1 / np.sqrt(len(g)) for g in texts])
+        places = [_places(self.kept, g) for g in texts]
+        held = np.concatenate(places) if places else np.zeros(0, np.int64)
+        order = np.argsort(held, kind="stable")
+        self.marks = np.repeat(np.arange(len(texts)), [len(p) for p in places])[order].astype(np.int32)
+        self.first = np.searchsorted(held[order], np.arange(len(self.kept) + 1))
+
+    def kernel(self, g: np.ndarray) -> np.ndarray:
+        """Kernel of a text's n-grams with every landmark."""
+        p = _places(self.kept, g)
+        wide = self.first[p + 1] - self.first[p]
+        at = np.repeat(self.first[p] - np.cumsum(wide) + wide, wide) + np.arange(int(wide.sum()))
+        return np.bincount(self.marks[at], minlength=len(self.size)) * self.size / np.sqrt(len(g))
+
+    def multiplied(self, by_mark: np.ndarray) -> np.ndarray:
+        """Weights of the n-grams: those of the landmarks that hold them, added up."""
+        out = np.zeros((len(self.kept), by_mark.shape[1]), np.float32)
+        which = np.repeat(np.arange(len(self.kept)), np.diff(self.first))
+        for lang, w in enumerate((self.size[:, None] * by_mark).T):
+            out[:, lang] = np.bincount(which, w[self.marks], len(self.kept))
+        return out
+
+
 class Model:
-    """``langs`` and, for each kept n-gram, a weight by language; ``bias`` by language."""
+    """``langs``, landmarks with a weight by language each, and ``bias`` by language.
+
+    While n-grams times languages are few, both are multiplied out to a weight of each n-gram.
+    """
 
-    def __init__(self, langs: list[str], kept: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.langs, self.kept, self.weights, self.bias = langs, kept, weights, bias
+    def __init__(self, langs: list[str], landmarks: Landmarks, by_mark: np.ndarray, bias: np.ndarray):
+        self.langs, self.kept, self.bias = langs, landmarks.kept, bias
+        dense = len(self.kept) * len(langs) <= DENSE
+        self.weights = landmarks.multiplied(by_mark) if dense else None
+        self.landmarks, self.by_mark = (None, None) if dense else (landmarks, by_mark)
+
+    def _scores(self, held: list[np.ndarray]) -> np.ndarray:
+        if self.weights is None:
+            return np.stack([self.landmarks.kernel(g) for g in held]) @ self.by_mark + self.bias
+        x, norm = np.zeros((len(held), len(self.kept)), np.float32), np.array([np.sqrt(len(g)) for g in held], np.float32)
+        for i, g in enumerate(held):
+            x[i, _places(self.kept, g)] = 1
+        return (x @ self.weights) / norm[:, None] + self.bias
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        batch = max(1, min(BATCH, (1 << 22) // max(1, len(self.kept))))
-        for at in range(0, len(texts), batch):
-            part = texts[at: at + batch]
-            held, norm = np.zeros((len(part), len(self.kept)), np.float32), np.ones(len(part), np.float32)
-            empty = np.ones(len(part), bool)
-            for i, t in enumerate(part):
-                if (g := grams(t)) is not None and self.langs:
-                    held[i, _places(self.kept, g)], norm[i], empty[i] = 1, np.sqrt(len(g)), False
-            f = (held @ self.weights) / norm[:, None] + self.bias if self.langs else np.zeros((len(part), 1))
-            e = np.exp(STEEP * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
-            best = f.argmax(axis=1)
-            names += [UND if empty[i] else self.langs[best[i]] for i in range(len(part))]
-            scores += np.where(empty, 0.0, (e / e.sum(axis=1, keepdims=True)).max(axis=1)).tolist()
+        names, scores = [UND] * len(texts), [0.0] * len(texts)
+        batch = max(1, min(BATCH, (1 << 22) // max(1, len(self.kept), len(self.langs))))
+        for at in range(0, len(texts) if self.langs else 0, batch):
+            have = [(i, g) for i in range(at, min(at + batch, len(texts))) if (g := grams(texts[i])) is not None]
+            if have:
+                f = self._scores([g for _, g in have])
+                e = np.exp(STEEP * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
+                for (i, _), best, score in zip(have, f.argmax(axis=1), (e / e.sum(axis=1, keepdims=True)).max(axis=1)):
+                    names[i], scores[i] = self.langs[best], float(score)
         return names, scores
 
 
@@ -117,41 +160,34 @@ def _places(kept: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def fit_kernel(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on (language, n-grams) pairs; the first ``landmarks`` of each language are the landmarks."""
+    """Fit on (language, n-grams) pairs; the first ``landmarks`` of each language are the landmarks, ``MARKS`` in all.
+
+    Sums of products are built block by block, so nothing is larger than landmarks squared.
+    """
     langs = sorted({lang for lang, _ in samples})
     if not langs:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+        return Model([], Landmarks([]), np.zeros((0, 0)), np.zeros(0, np.float32))
+    code = {lang: i for i, lang in enumerate(langs)}
     chosen, n = [], dict.fromkeys(langs, 0)
     for i, (lang, _) in enumerate(samples):
-        if n[lang] < landmarks:
+        if n[lang] < min(landmarks, max(1, MARKS // len(langs))) and len(chosen) < MARKS:
             n[lang] += 1
             chosen.append(i)
-    kept = np.unique(np.concatenate([samples[i][1] for i in chosen]))
-    # landmarks by n-gram, one list after the other, so that memory grows with what they hold
-    places = [_places(kept, samples[i][1]) for i in chosen]
-    size = np.array([1 / np.sqrt(len(samples[i][1])) for i in chosen])
-    order = np.argsort(np.concatenate(places), kind="stable")
-    marks = np.repeat(np.arange(len(chosen)), [len(p) for p in places])[order]
-    first = np.searchsorted(np.concatenate(places)[order], np.arange(len(kept) + 1))
-    kernel = np.zeros((len(samples), len(chosen)))
-    for i, (_, g) in enumerate(samples):
-        p = _places(kept, g)
-        wide = first[p + 1] - first[p]
-        at = np.repeat(first[p] - np.cumsum(wide) + wide, wide) + np.arange(int(wide.sum()))
-        kernel[i] = np.bincount(marks[at], minlength=len(chosen)) * size / np.sqrt(len(g))
-    values, vectors = np.linalg.eigh(kernel[chosen])
+    marks = Landmarks([samples[i][1] for i in chosen])
+    values, vectors = np.linalg.eigh(np.stack([marks.kernel(samples[i][1]) for i in chosen]))
     good = values > 1e-8 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
-    x = kernel @ nystrom
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    target = np.array([[1.0 if lang == k else 0.0 for k in langs] for lang, _ in samples])
-    share = 1 / np.sqrt(target.sum(axis=0))[target.argmax(axis=1), None]  # every language weighs the same
-    gram = (x * share).T @ (x * share) + ridge * np.eye(x.shape[1])
-    w = np.linalg.solve(gram, (x * share).T @ (target * share))
-    by_mark, weights = nystrom @ w[:-1], np.zeros((len(kept), len(langs)), np.float32)
-    for j, p in enumerate(places):
-        weights[p] += (size[j] * by_mark[j]).astype(np.float32)
-    return Model(langs, kept, weights, w[-1].astype(np.float32))
+    y = np.array([code[lang] for lang, _ in samples])
+    share = 1 / np.bincount(y, minlength=len(langs))  # every language weighs the same
+    gram, right = ridge * np.eye(nystrom.shape[1] + 1), np.zeros((nystrom.shape[1] + 1, len(langs)))
+    for at in range(0, len(samples), 1024):
+        part = y[at: at + 1024]
+        x = np.stack([marks.kernel(g) for _, g in samples[at: at + 1024]]) @ nystrom
+        x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+        gram += x.T @ (x * share[part, None])
+        np.add.at(right.T, part, x * share[part, None])
+    w = np.linalg.solve(gram, right)
+    return Model(langs, marks, nystrom @ w[:-1], w[-1].astype(np.float32))
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,23 +209,34 @@ def uniform(key: Column) -> Column:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model:
-    """Fit on at most ``per_lang`` distinct texts of each language, those of the lowest hashes.
+    """Fit on at most ``per_lang`` distinct texts of each language, those of the lowest hashes, and ``TEXTS`` in all.
 
     Rows without a language or text don't count, nor do texts without a letter. A text of many copies is drawn
-    once, whatever its ids, so copies can't fill the sample. About as many as wanted are picked by their hash
-    alone, without a shuffle; ranks then cut the few that are too many. The driver gets only the counts of the
-    ``LANGS`` most frequent languages and the sample's n-grams.
+    once, whatever its ids, and counts once: the rate of a language is over its distinct texts, so one whose rows
+    are few texts over and over is learned from all of these. A few more than wanted are picked by their hash
+    alone, without a shuffle; ranks then cut what is too many. Of more than ``TEXTS`` languages the most frequent
+    have a text. Texts of very many n-grams leave room for fewer of them a language, one at least. The driver gets the sample's
+    n-grams, ``NUMBERS`` and one text a language at most.
     """
-    have = docs.where("lang is not null and text is not null")
-    counts = have.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
-    rate = {r["lang"]: per_lang / r["n"] for r in counts.collect()}
-    if not rate:
+    have = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))
+    counts = have.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(lettered, 0.02).alias("texts"))
+    counts = saved(counts.orderBy(F.desc("n"), "lang").limit(TEXTS), "lang-counts")
+    langs = counts.count()
+    if not langs:
         return fit_kernel([])
-    share = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(rate.items()) for v in kv]), F.col("lang"))
-    rows = have.where(uniform(F.col("text")) < share).select("lang", F.xxhash64("text").alias("h"), "text")
+    per_lang = min(per_lang, max(1, TEXTS // langs))
+    # a row a language, TEXTS at most
+    rates = F.broadcast(counts.select("lang", (F.lit(DRAW * per_lang) / F.greatest("texts", F.lit(1))).alias("rate")))
+    drawn = F.shiftrightunsigned(F.xxhash64("text", F.lit(8)), 11) / F.lit(float(1 << 53))
+    rows = have.join(rates, "lang").where(drawn < F.col("rate")).select("lang", "h", "text")
     got = rows.mapInArrow(_gram_rows, "lang string, h long, grams array<long>").groupBy("lang", "h").agg(F.first("grams").alias("grams"))
     order = Window.partitionBy("lang").orderBy("h")
-    got = got.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang).toPandas().sort_values(["at", "lang"])
+    got = saved(got.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang), "lang-sample")
+    sizes = got.groupBy("at").agg(F.sum(F.size("grams")).alias("n")).orderBy("at").collect()
+    held = np.cumsum([r["n"] for r in sizes])
+    most = max(1, int(np.searchsorted(held, NUMBERS, side="right")))
+    got = got.where(F.col("at") <= most).toPandas().sort_values(["at", "lang"])
     return fit_kernel([(lang, np.asarray(g, np.int64)) for lang, g in zip(got["lang"], got["grams"])], landmarks)
 
 

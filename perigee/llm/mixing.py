@@ -14,10 +14,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perigee.llm.common import WORD, saved, table, text_of
+from perigee.llm.common import WORD, join_spread, saved, table, text_of
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
+#: Rows of a source that agree in id and text are summed as one, and numbered in parts, where there are more than so many.
+EQUAL = 256
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -52,14 +54,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
     ``docs`` has ``doc_id, text, source``; other columns are ignored. Null text counts 0 words, a null
     source is a source of its own. Documents are shuffled within a source by the md5 of their id and text, so
     that rows without an id or of one id spread as well; rows that agree in both are interchangeable, so reruns
-    agree; further ``keep`` columns put them in order. A copy is queued while its middle lies before its
+    agree; further ``keep`` columns put up to ``EQUAL`` of them in order. More than that are one row with a count
+    until each gets its number, in parts, so that no task meets all rows of one boilerplate text. A copy is queued while its middle lies before its
     source's target, so a source comes within half a document of it; the budget is the number of words of all
     documents and is never exceeded, which may cost the copies that finish last. Empty tables give empty results.
     """
     h = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of().cast("binary"))).cast("binary"))
     more = [c for c in keep if c != "doc_id"]
-    sizes = docs.select("doc_id", "source", *more, F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), h.alias("h"))
+    sizes = docs.select("doc_id", "source", *more, F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), h.alias("h"), F.monotonically_increasing_id().alias("rid"))
     sizes = saved(sizes, "mix-sizes")
+    equal = sizes.groupBy("source", "h").agg(F.count("*").alias("c"), F.first("doc_id").alias("doc_id"), F.first("size").alias("size")).where(F.col("c") > EQUAL)
+    equal = saved(equal, "mix-equal")
+    alike = equal.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     stats = saved(source_targets(sizes, weights, repeats), "mix-sources")
     total, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     # buckets of about 256 rows, up to 268 million rows a source; from there on they grow with the rows
@@ -67,15 +73,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep=("doc_id"
     ranges = 16**digits
 
     s = stats.withColumnRenamed("source", "stat_source")
-    x = sizes.join(s, sizes["source"].eqNullSafe(s["stat_source"])).drop("stat_source", "weight")
+    single = sizes.withColumn("c", F.lit(1).cast("long"))
+    if alike:
+        # one row for all that are alike; with a key of their own, as a source may be null
+        key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("s"), F.col("h").alias("h")).alias("key")
+        of = sizes.select("*", key)
+        few = join_spread(of, equal.select(key, "c"), ["key"], "c", rows, keep="c")
+        single = of.join(equal.select(key), "key", "left_anti").drop("key").withColumn("c", F.lit(1).cast("long")).unionByName(equal, allowMissingColumns=True)
+    x = single.join(s, single["source"].eqNullSafe(s["stat_source"])).drop("stat_source", "weight")
     x = x.withColumn("bucket", F.substring("h", 1, digits))
     own = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size", *more)
-    x = x.withColumn("in_bucket", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("in_bucket", F.sum(F.col("size") * F.col("c")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     sums = sizes.join(s, sizes["source"].eqNullSafe(s["stat_source"])).withColumn("bucket", F.substring("h", 1, digits))
     sums = sums.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("idx", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     x = x.join(sums, ["idx", "bucket"]).withColumn("handed", F.col("offset") + F.col("in_bucket"))
+    if alike:
+        # rows that are alike stand one after the other: numbered inside parts, behind the parts before
+        few = few.withColumn("part", F.pmod(F.xxhash64("rid"), F.ceil(F.col("c") / EQUAL)))
+        inside = Window.partitionBy("key", "part").orderBy(*more, "rid")
+        few = few.withColumn("at", F.row_number().over(inside))
+        before = few.groupBy("key", "part").agg(F.count("*").alias("n"))
+        before = before.withColumn("first", F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n"))
+        facts = x.where("c > 1").select(key, "c", "source_size", "target", "idx", "handed")
+        few = few.drop("c").join(before.drop("n"), ["key", "part"])
+        few = join_spread(few, saved(facts, "mix-alike"), ["key"], "c", rows, keep="c")
+        x = x.where("c = 1").drop("c").unionByName(few.withColumn("handed", F.col("handed") - (F.col("c") - F.col("first") - F.col("at")) * F.col("size")).drop("c", "key", "part", "at", "first"), allowMissingColumns=True)
     x = saved(x.select("doc_id", "source", *more, "size", "source_size", "target", "idx", "h", "handed"), "mix-order")
 
     # a copy is queued when its middle lies before its source's target

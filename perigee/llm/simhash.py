@@ -85,7 +85,7 @@ def links(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks())])).alias("x"))
     keyed = keyed.select("fp", "x.t", "x.k")
     counts = saved(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "sim-buckets")
-    held = saved(keyed.join(counts, ["t", "k"]), "sim-keyed")
+    held = saved(join_spread(keyed, counts.withColumn("rows", F.col("n")), ["t", "k"], "rows", len(masks()) * prints.count()), "sim-keyed")
     few = held.where(F.col("n") <= pairwise).groupBy("t", "k").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     few = few.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda b: (b > F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= RADIUS))).alias("b"))
     free = []

@@ -233,13 +233,14 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` distinct pairs of id and text with a label, drawn by hashes.
 
-    Labels other than 0 and 1 don't count; several labels of one id count as their largest. Ids are drawn
-    first, then, if many rows share them, rows; equal rows count once, so neither an id with a third of all
+    Labels other than 0 and 1 don't count, nor do those of ids that no document has; several labels of one id
+    count as their largest. Ids are drawn first, then, if many rows share them, rows; equal rows count once, so neither an id with a third of all
     rows nor copies exceed the bound. Term counts are summed on the cluster; the driver gets the lexicon and
     one short feature row per sampled document. One id in ``CALIBRATE`` is kept from lexicon and trees and
     fits the isotonic step.
     """
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    y = saved(y.join(docs.select("doc_id"), "doc_id", "left_semi"), "tox-labels")
     n = y.count()
     if not n:
         return Model(frozenset(), None, None)

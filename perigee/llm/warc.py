@@ -139,7 +139,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
     long = saved(x.where(F.octet_length("payload") >= LEAST).select("page_id", "digest"), "warc-digests")
     first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows"), F.count_if(F.col("page_id").isNull()).alias("n"))
     first = saved(first.where("rows > 1 or n > 0"), "warc-first")
-    revisits = long.join(first.where("rows > 1"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    shared = first.where("rows > 1").select("digest", "refers_to", "rows")
+    revisits = join_spread(long, shared, ["digest"], "rows", long.count()).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     revisits = saved(revisits, "warc-revisits")
     if nameless := first.agg(F.sum("n")).first()[0]:
         # long payloads without an id have only the digest to go by, which many may share

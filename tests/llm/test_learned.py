@@ -94,6 +94,37 @@ def test_grams_equal_plain_loops():
     assert langid.grams("") is None and langid.grams("½ 12") is None
 
 
+def test_language_of_few_texts_many_times_is_learned(spark):
+    german = ["der schnelle braune fuchs springt über den faulen hund", "ein haus steht am see und niemand wohnt darin", "die katze schläft heute auf dem alten sofa"]
+    english = spark.range(1000).select("id", F.concat_ws(" ", F.lit("the quick brown fox"), "id", F.lit("jumps over the lazy dog and"), F.col("id") * 7, F.lit("words of the house")).alias("text"), F.lit("en").alias("lang"))
+    many = spark.range(20_000).select((F.col("id") + 10_000).alias("id"), F.element_at(F.array(*map(F.lit, german)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("de").alias("lang"))
+    got = langid.identify(english.unionByName(many).withColumnRenamed("id", "doc_id")).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in got} == {"en": 1000, "de": 20_000}
+
+
+def test_every_one_of_many_languages_is_learned(spark, monkeypatch):
+    rng, rows = random.Random(3), []
+    for lang in range(150):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 6))) for _ in range(30)]
+        rows += [(lang * 100 + j, " ".join(rng.choice(words) for _ in range(20)), f"l{lang:03d}") for j in range(12)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "TEXTS", 900)
+    monkeypatch.setattr(langid, "MARKS", 300)
+    whole = {r["doc_id"]: (r["lang_pred"], round(r["score"], 5)) for r in langid.identify(x).collect()}
+    assert sum(whole[i][0] == lang for i, _, lang in rows) > 0.97 * len(rows) and len({lang for lang, _ in whole.values()}) == 150
+    monkeypatch.setattr(langid, "DENSE", 0)  # by landmarks instead of weights of n-grams
+    split = {r["doc_id"]: (r["lang_pred"], round(r["score"], 5)) for r in langid.identify(x).collect()}
+    assert all(whole[i][0] == split[i][0] and abs(whole[i][1] - split[i][1]) < 1e-3 for i in whole)
+
+
+def test_labels_without_documents_do_not_starve_the_sample(spark):
+    text = F.when(F.col("id") % 4 == 0, "you are a stupid idiot moron and i hate you damn fool").otherwise("the committee met on monday to discuss the budget of the town")
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", text, "id").alias("text"))
+    labels = spark.range(1_200_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    got = toxicity.assess(docs, labels).groupBy((F.col("doc_id") % 4 == 0).alias("toxic"), "predicted").count().collect()
+    assert {(r["toxic"], r["predicted"]): r["count"] for r in got} == {(True, 1): 300, (False, 0): 900}
+
+
 def test_language_sample_is_bounded(spark):
     rows = corpus(200) + [(None, "the same text of many copies " * 3, "en", "s", 0)] * 300 + [(None, t, lang, "s", 0) for _, t, lang, *_ in corpus(200, 9)] + [(7, "sch und " * 3, "de", "s", 0)] * 100
     x = spark.createDataFrame(rows, DOCS).repartition(7)
@@ -351,23 +382,6 @@ def test_vectors_of_every_length_link(spark):
     assert {i: (got[i]["n_links"], got[i]["component_id"]) for i in (200, 300, 201, 301, 400, 401, 402, 403, 404, 405)} == {200: (1, 200), 300: (1, 200), 201: (1, 201), 301: (1, 201), 400: (1, 400), 401: (1, 400), 402: (1, 402), 404: (1, 402), 403: (0, 403), 405: (0, 405)}
 
 
-def test_recall_of_the_query_set(spark):
-    """Vectors whose id is divisible by 100 against all of the largest table, by brute force."""
-    path = Path("/root/testdata/sf0.1/embeddings.parquet")
-    path = path if path.exists() else Path(DATA) / "embeddings.parquet"
-    x = spark.read.parquet(str(path))
-    all_rows = [(r["vec_id"], r["label"], np.array(r["embedding"], np.float64)) for r in x.collect() if r["embedding"] is not None and r["label"] is not None]
-    all_rows = [r for r in all_rows if len(r[2]) and np.isfinite(r[2]).all() and r[2].any()]
-    want = {}
-    for v, label, e in all_rows:
-        if v % 100 == 0:
-            same = np.array([o / np.linalg.norm(o) for _, k, o in all_rows if k == label and len(o) == len(e)])
-            want[v] = int((same @ (e / np.linalg.norm(e)) >= 0.93).sum()) - 1
-    got = {r["vec_id"]: r["n_links"] for r in neardup_vectors.near_duplicates(x).where("vec_id % 100 = 0").collect()}
-    assert all(got[v] <= n for v, n in want.items())
-    assert sum(got[v] for v in want) >= 0.99 * sum(want.values())
-
-
 def test_vectors_of_extreme_size_and_repeated_ids(spark):
     rng = np.random.default_rng(8)
     a = rng.normal(size=(30, 6))

@@ -289,3 +289,11 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 0 for i in range(80)) and got[500] == 499
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_mixing_numbers_equal_rows_in_parts(spark, monkeypatch):
+    rows = [(None, "boiler plate text of it", "a")] * 700 + [(i % 50, "w " * (i % 7), "ab"[i % 2]) for i in range(400)] + [(None, "boiler plate text of it", None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "EQUAL", 10**9)
+    assert parts == sorted(map(str, mixing.mix(docs).collect())) and len(parts) == len(rows)
