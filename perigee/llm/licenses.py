@@ -1,7 +1,7 @@
 """License scans by TF-IDF cosine to templates, inherited along directories (DataFrame operations only).
 
 Sentences of every file, as they stand on a line and with wrapped lines joined, are compared with short
-notices, and files that are named like licence files also as a whole with whole licence texts, all as sparse
+notices and identifiers, and files that are named like licence files also as a whole with whole licence texts, all as sparse
 TF-IDF vectors. A file with a match has that licence. One that is named like a licence file, or of which
 notices are at least half, covers its directory and all below it. Other files inherit from the nearest ancestor
 directory that has a licence file.
@@ -9,7 +9,9 @@ directory that has a licence file.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +52,16 @@ NOTICES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("GPL-3.0", "Licensed under GPLv3"),
+    ("GPL-2.0", "Licensed under GPLv2"),
+    ("LGPL-3.0", "Licensed under LGPLv3"),
+    ("LGPL-2.1", "Licensed under LGPLv2.1"),
+    ("AGPL-3.0", "Licensed under AGPLv3"),
+    ("Unlicense", "The Unlicense"),
 )
+#: The tag that names a licence by its identifier, what may stand between the two, and the ends of identifiers that have several.
+TAG, BETWEEN, LATER = "spdx-license-identifier", r"[: \t(\"']*", ("", "-only", "-or-later", "+")
+_IDENTIFIED = tuple((k, f"{TAG}: {k}{end}") for k in dict.fromkeys(k for k, _ in NOTICES) for end in (LATER if "GPL" in k else ("",)))
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
@@ -62,7 +73,7 @@ WHOLE = (
     ("ISC", "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."),
 )
-TEMPLATES = (*((k, t, False) for k, t in NOTICES), *((k, t, True) for k, t in WHOLE))
+TEMPLATES = (*((k, t, False) for k, t in NOTICES + _IDENTIFIED), *((k, t, True) for k, t in WHOLE))
 #: Names of licence files, in lower case.
 NAMED = r"^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 #: Ends of sentences, on a line and in a paragraph whose lines were joined; the patterns are the same in Java and RE2.
@@ -71,9 +82,6 @@ SENTENCE, JOINED = r"\n|[.!?][ \t\r\n]+", r"\x01|[.!?][ \t\r]+"
 PARAGRAPH, WRAP = r"\n[ \t\r#*/;%-]*\n[ \t\r\n#*/;%-]*", r"[ \t\r]*\n[ \t]*[#*/;%-]*[ \t]*"
 #: Terms, of which dots and hyphens at the end are cut. No group repeats in any pattern, so lines of any length are safe.
 TERM, ENDS = r"[0-9a-z][0-9a-z.-]*", ".-"
-#: Words that say nothing about licences. Of all others a match shares at least so many with its notice.
-STOP = frozenset("a all an and any are as at be but by can either for from in is it its may nor not of on or other that the this to with you your".split())
-SHARED = 2
 #: A match, and the share of a file's words that notices hold in a licence file of another name.
 LEAST_COSINE, FILE_SHARE = 0.6, 0.5
 
@@ -84,24 +92,59 @@ def _any_of(words: set[str]) -> str:
     return "(?<![0-9a-z])(?:" + heads + ")(?![0-9a-z])"
 
 
-TELLING = frozenset(w.rstrip(ENDS) for _, t in NOTICES for w in re.findall(TERM, t.lower())) - STOP
-#: What every match holds: two words tell, so one that isn't this common one (in German) is among them.
-HINT = _any_of(TELLING - {"mit"})
+def terms_of(text: str) -> list[str]:
+    """The terms of a template, as ``_listed`` gives them."""
+    return [w.rstrip(ENDS) for w in re.findall(TERM, re.sub(TAG + BETWEEN, TAG + ".", text.lower()))]
+
+
+def weigh(tf: int, df: int, n: int) -> float:
+    return (1 + math.log(tf)) * (math.log((n + 1) / (df + 1)) + 1)
+
+
+def _weights(df: dict[str, int], n: int) -> list[dict[str, float]]:
+    """The vector of every template, given in how many of ``n`` texts its terms are."""
+    return [{w: weigh(tf, df[w], n) for w, tf in Counter(terms_of(t)).items()} for _, t, _ in TEMPLATES]
+
+
+def needed(df: dict[str, int], n: int) -> set[str]:
+    """Terms of notices of which every match holds at least one.
+
+    The most frequent terms are left out as long as they hold, in each notice, less of its squared length than a
+    match needs: by Cauchy and Schwarz, what has no other term of a notice stays below ``LEAST_COSINE`` with it.
+    """
+    held = [v for v, (_, _, whole) in zip(_weights(df, n), TEMPLATES) if not whole]
+    room = [(LEAST_COSINE - 1e-6) ** 2 * sum(w * w for w in v.values()) for v in held]
+    left = [0.0] * len(held)
+    out = set()
+    for term in sorted({w for v in held for w in v}, key=lambda w: (-df[w], w)):
+        at = [i for i, v in enumerate(held) if term in v]
+        if all(left[i] + held[i][term] ** 2 < room[i] for i in at):
+            for i in at:
+                left[i] += held[i][term] ** 2
+        else:
+            out.add(term)
+    return out
+
+
+def _hint(words: set[str]) -> str:
+    """A pattern that every text with one of the terms has; an identifier's term is its tag in the text."""
+    return _any_of({TAG if w.startswith(TAG + ".") else w for w in words})
 
 
 def _listed(text) -> Column:
-    """The terms of a text, repeats included."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda x: F.rtrim(x, F.lit(ENDS)))
+    """The terms of a text, repeats included; a tag and its identifier are one."""
+    low = F.lower(text)
+    low = F.when(F.contains(low, F.lit(TAG)), F.regexp_replace(low, TAG + BETWEEN, TAG + ".")).otherwise(low)
+    return F.transform(F.regexp_extract_all(low, F.lit(TERM), F.lit(0)), lambda x: F.rtrim(x, F.lit(ENDS)))
 
 
-def _parts(telling: frozenset[str], hint: str) -> Column:
-    """What of a text is compared, as (kind, part): sentences by line (l) and joined (j) with enough telling words; whole licence files (w)."""
-    text, tell = F.col("text"), F.array(*map(F.lit, sorted(telling)))
+def _parts(hint: str) -> Column:
+    """What of a text can match, as (kind, part): sentences by line (l) and joined (j) with a needed term; whole licence files (w)."""
+    text = F.col("text")
     joined = F.regexp_replace(F.regexp_replace(text, PARAGRAPH, "\x01"), WRAP, " ")
 
     def sentences(x, ends, kind):
-        enough = lambda p: F.lower(p).rlike(hint) & (F.size(F.array_intersect(_listed(p), tell)) >= SHARED)
-        return F.transform(F.filter(F.array_distinct(F.split(x, ends)), enough), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
+        return F.transform(F.filter(F.array_distinct(F.split(x, ends)), lambda p: F.lower(p).rlike(hint)), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
 
     none = F.array().cast("array<struct<kind:string,part:string>>")
     notices = F.concat(sentences(text, SENTENCE, "l"), sentences(joined, JOINED, "j"))
@@ -117,10 +160,10 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     ``origin`` is ``own``, ``inherited`` or ``none``; ``from_dir`` is the directory whose licence file is
     inherited. ``score`` is the cosine of the best part to 6 places, null without a licence of its own; of
-    equal scores the first identifier counts. A sentence matches a notice that it shares ``SHARED`` telling words
-    with at a cosine of ``LEAST_COSINE``; sentences with fewer telling words are neither compared nor weighed.
-    Whole texts are read. Equal parts are scored once, so a notice that stands in a third of the files costs a
-    partial count a task. Weights count every distinct part and every template. Of several licence files in a
+    equal scores the first identifier counts. A sentence matches a notice at a cosine of ``LEAST_COSINE``. Weights
+    count in how many rows' texts and templates a term is, every term of every whole text; only then are
+    sentences passed over, those without any of the ``needed`` terms, which can't reach the cosine. Equal parts are
+    scored once, so a notice that stands in a third of the files costs a partial count a task. Of several licence files in a
     directory the best match counts, then the first name, then the first identifier. A null path is its own
     place: it keeps its own licence and inherits nothing; rows that share a path keep their own licences each.
     Null texts have no licence. Other columns are ignored. Empty tables give empty results.
@@ -132,7 +175,15 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     notices = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "t int, license string, notice string, whole boolean")
     of_notice = _terms(notices, ["t", "whole"], "notice")
 
-    lean = rows.select(*keep, "path", "named", "k1", "k2", _parts(TELLING, HINT).alias("parts"), F.when(F.size("parts") > 0, F.regexp_count("text", F.lit(WORD))).alias("words"))
+    # one count a text; partial counts are of a task's terms, however often they stand there
+    df = rows.select(F.explode(F.array_distinct(_listed(F.col("text")))).alias("term")).unionByName(of_notice.select("term"))
+    df = saved(df.groupBy("term").agg(F.count("*").alias("df")), "license-df")
+    texts = rows.count() + len(TEMPLATES)
+    vocabulary = {w for _, t, _ in TEMPLATES for w in terms_of(t)}
+    known = {r["term"]: r["df"] for r in df.where(F.col("term").isin(sorted(vocabulary))).collect()}
+    hint = _hint(needed(known, texts))
+
+    lean = rows.select(*keep, "path", "named", "k1", "k2", _parts(hint).alias("parts"), F.when(F.size("parts") > 0, F.regexp_count("text", F.lit(WORD))).alias("words"))
     lean = saved(lean.withColumn("held", F.size("parts") > 0), "license-rows")
     part = lean.where("held").select("named", "k1", "k2", "words", F.explode("parts").alias("p")).select("named", "k1", "k2", "words", "p.*", (F.col("p.kind") == "w").alias("whole"))
     part = part.withColumn("s", F.md5(F.concat(F.col("whole").cast("string"), "part").cast("binary")))
@@ -141,19 +192,15 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     every = part.groupBy("s", "whole").agg(F.first("part").alias("part"), F.count("*").alias("n"))
     every = saved(every.withColumn("size", F.regexp_count("part", F.lit(WORD))), "license-sentences")
     of_part = saved(_terms(every, ["s", "whole"], "part"), "license-terms")
-    texts = every.count() + len(TEMPLATES)
-    df = of_part.select("term").unionByName(of_notice.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    df = saved(df.withColumn("n", F.col("df")), "license-df")
     weight = ((1 + F.log(F.col("tf").cast("double"))) * (F.log(F.lit(texts + 1.0) / (F.col("df") + 1)) + 1)).alias("w")
     # the templates are a fixed list, so their terms are bounded
-    t = of_notice.join(df.drop("n"), "term").select("t", "whole", "term", weight, F.col("term").isin(sorted(TELLING)).cast("int").alias("tells"))
+    t = of_notice.join(df.where(F.col("term").isin(sorted(vocabulary))), "term").select("t", "whole", "term", weight)
 
-    total = df.agg(F.sum("n")).first()[0]
-    s = join_spread(of_part, df, ["term"], "n", total).select("s", "whole", "term", weight)
+    used = saved(of_part.groupBy("term").agg(F.count("*").alias("n")).join(df, "term"), "license-used")
+    s = join_spread(of_part, used, ["term"], "n", of_part.count()).select("s", "whole", "term", weight)
     s_norm = s.groupBy("s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s_norm"))
     t_norm = t.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    dot = s.withColumnRenamed("w", "sw").join(F.broadcast(t), ["term", "whole"]).groupBy("s", "whole", "t").agg(F.sum(F.col("sw") * F.col("w")).alias("dot"), F.sum("tells").alias("tells"))
-    dot = dot.where((F.col("tells") >= SHARED) | F.col("whole"))
+    dot = s.withColumnRenamed("w", "sw").join(F.broadcast(t), ["term", "whole"]).groupBy("s", "whole", "t").agg(F.sum(F.col("sw") * F.col("w")).alias("dot"))
     dot = dot.join(F.broadcast(t_norm), "t").join(F.broadcast(notices.select("t", "license")), "t").join(s_norm, "s")
     dot = dot.withColumn("score", F.round(F.col("dot") / (F.col("s_norm") * F.col("t_norm")), 6)).where(F.col("score") >= LEAST_COSINE)
     first = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("m")
@@ -207,7 +254,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    telling = "[" + ", ".join(f"'{w}'" for w in sorted(TELLING)) + "]"
+    listed = lambda x: f"list_transform(regexp_extract_all(regexp_replace(lower({x}), '{quoted(TAG + BETWEEN)}', '{TAG}.', 'g'), '{TERM}'), lambda x: rtrim(x, '{ENDS}'))"
     quoted = lambda x: x.replace("'", "''")
     notices = ",\n    ".join(f"({i}, '{k}', '{quoted(t)}', {str(w).lower()})" for i, (k, t, w) in enumerate(TEMPLATES))
     weight = "(1 + ln(tf)) * (ln((texts + 1.0) / (df + 1)) + 1)"
@@ -229,19 +276,16 @@ parts AS (
   SELECT r, 'l' AS kind, false AS whole, unnest(list_distinct(string_split_regex(text, '{SENTENCE}'))) AS s FROM files
   UNION ALL SELECT r, 'j', false, unnest(list_distinct(string_split_regex(joined, '{JOINED}'))) FROM files
   UNION ALL SELECT r, 'w', true, text FROM files WHERE named),
-listed AS (SELECT s, whole, list_transform(regexp_extract_all(lower(s), '{TERM}'), lambda x: rtrim(x, '{ENDS}')) AS terms FROM (SELECT DISTINCT s, whole FROM parts)),
-sentences AS (
-  SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS size FROM listed
-  WHERE whole OR len(list_intersect(list_distinct(terms), {telling})) >= {SHARED}),
+sentences AS (SELECT s, whole, {listed("s")} AS terms, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS size FROM (SELECT DISTINCT s, whole FROM parts)),
 st AS (SELECT s, whole, term, count(*) AS tf FROM (SELECT s, whole, unnest(terms) AS term FROM sentences) GROUP BY ALL),
-nt AS (SELECT t, whole, term, count(*) AS tf FROM (SELECT t, whole, rtrim(unnest(regexp_extract_all(lower(notice), '{TERM}')), '{ENDS}') AS term FROM notices) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT term FROM st UNION ALL SELECT term FROM nt) GROUP BY term),
-n AS (SELECT (SELECT count(*) FROM sentences) + (SELECT count(*) FROM notices) AS texts),
+nt AS (SELECT t, whole, term, count(*) AS tf FROM (SELECT t, whole, unnest({listed("notice")}) AS term FROM notices) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({listed("text")})) AS term FROM files UNION ALL SELECT term FROM nt) GROUP BY term),
+n AS (SELECT (SELECT count(*) FROM files) + (SELECT count(*) FROM notices) AS texts),
 sw AS (SELECT s, whole, st.term, {weight} AS w FROM st JOIN df ON st.term = df.term, n),
-tw AS (SELECT t, whole, nt.term, {weight} AS w, list_contains({telling}, nt.term)::INT AS tells FROM nt JOIN df ON nt.term = df.term, n),
+tw AS (SELECT t, whole, nt.term, {weight} AS w FROM nt JOIN df ON nt.term = df.term, n),
 sn AS (SELECT s, whole, sqrt(sum(w * w)) AS norm FROM sw GROUP BY s, whole),
 tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tw GROUP BY t),
-dots AS (SELECT s, sw.whole, t, sum(sw.w * tw.w) AS dot FROM sw JOIN tw ON sw.term = tw.term AND sw.whole = tw.whole GROUP BY s, sw.whole, t HAVING sw.whole OR sum(tells) >= {SHARED}),
+dots AS (SELECT s, sw.whole, t, sum(sw.w * tw.w) AS dot FROM sw JOIN tw ON sw.term = tw.term AND sw.whole = tw.whole GROUP BY s, sw.whole, t),
 scored AS (
   SELECT d.s, d.whole, license, round(dot / (sn.norm * tn.norm), 6) AS score
   FROM dots d JOIN sn ON d.s = sn.s AND d.whole = sn.whole JOIN tn ON d.t = tn.t JOIN notices ON d.t = notices.t),

@@ -143,11 +143,42 @@ def test_licenses_of_null_and_shared_paths(spark):
 
 def test_licenses_of_equal_scores_go_by_name(spark, monkeypatch):
     monkeypatch.setattr(licenses, "TEMPLATES", (("Z-1", "Covered by the frob terms of use", False), ("A-1", "Covered by the frob terms of use", False)))
-    monkeypatch.setattr(licenses, "TELLING", frozenset({"covered", "frob", "terms", "use"}))
-    monkeypatch.setattr(licenses, "HINT", licenses._any_of({"covered", "frob", "terms", "use"}))
     assert scanned(spark, [("a", "Covered by the frob terms of use.")]) == [("a", "A-1", "own", None)]
 
 
+def test_licenses_lose_no_match(spark):
+    """Made headers of every nearness to the notices against SQL that compares all sentences with all of them."""
+    rng = random.Random(12)
+    notices = [t.split() for _, t, whole in licenses.TEMPLATES if not whole]
+    common = "the of and mit und by work use under file for public version".split()
+    rows = [(1, "the MIT", "en", "s", 0), (2, "MIT", "en", "s", 0), (3, "under MIT", "de", "s", 0)]
+    for i in range(4, 1500):
+        words = [w for w in rng.choice(notices) if rng.random() < rng.choice([0.2, 0.5, 0.9, 1.0])] + rng.choices(common, k=rng.randint(0, 6)) + [f"w{rng.randrange(900)}" for _ in range(rng.choice([0, 0, 1, 4]))]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words[:40]) + rng.choice([".", "\n", " prose follows. And more of it."]), rng.choice(["en", "de"]), "s", 0))
+    got = against(spark, lambda d: licenses.scan(licenses.as_files(d)), licenses.OP2_SQL, DOCS, rows, "documents")
+    near = got["score"].dropna()
+    assert 100 < len(near) and ((near > 0.6) & (near < 0.65)).sum() > 10 and got["score"].isna().sum() > 100
+
+
+def test_needed_terms_are_in_every_match():
+    df = {w: 1 + 7 * i % 50 for i, w in enumerate(sorted({w for _, t, _ in licenses.TEMPLATES for w in licenses.terms_of(t)}))}
+    need = licenses.needed(df, 60)
+    for (_, _, whole), v in zip(licenses.TEMPLATES, licenses._weights(df, 60)):
+        rest = sum(w * w for t, w in v.items() if t not in need)
+        assert whole or rest < licenses.LEAST_COSINE**2 * sum(w * w for w in v.values())
+    assert need and need < set(df)
+
+
+def test_license_identifiers(spark):
+    said = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "BSD-3-Clause": "BSD-3-Clause", "WTFPL": None}
+    rows = [(f"s{i}/x.c", f"{c} SPDX-License-Identifier: {k}\n\nint main();\n") for i, (k, c) in enumerate(zip(said, ["//", "#", " *", "--", "/*", ";;"]))]
+    rows += [("t/a", "This is under the GPLv3"), ("u/b", "See The Unlicense for more"), ("v/c", "plain words of no licence")]
+    got = {p: r[0] for p, *r in scanned(spark, rows)}
+    assert [got[f"s{i}/x.c"] for i in range(len(said))] == list(said.values())
+    assert got["t/a"] == "GPL-3.0" and got["u/b"] == "Unlicense" and got["v/c"] is None
+
+
 def test_licenses_with_hot_groups_and_long_lines(spark, monkeypatch):
     from perigee.llm import common
 
