@@ -47,7 +47,7 @@ def delta_summary(near: DataFrame) -> DataFrame:
     """Per category: events, those with a command before, and min, median, mean and max of the gap in seconds."""
     near = near.withColumn("__d", F.col("delta_ns") / 1e9)
     d = F.col("__d")
-    middle = exact_medians(near, ["category"], "__d", "median_s").withColumn("median_s", F.round("median_s", 6))
+    middle = exact_medians(near, ["category"], "__d", "median_s").drop("n").withColumn("median_s", F.round("median_s", 6))
     x = near.groupBy("category").agg(
         F.count("*").alias("event_count"), F.count("delta_ns").alias("with_command"), F.round(F.min(d), 6).alias("min_s"), F.round(F.try_divide(F.sum("delta_ns"), F.count("delta_ns")) / 1e9, 6).alias("mean_s"), F.round(F.max(d), 6).alias("max_s"))
     return x.join(middle, "category", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perigee.functions.clock import SECOND, is_finite
 from perigee.operators.ordered import exact_medians
-from perigee.operators.ranges import islands
+from perigee.operators.ranges import islands, run_counts
 
 MAD_SCALE = 1.4826
 
@@ -24,12 +24,14 @@ def fit_std(df: DataFrame, boundary: int | None = None) -> DataFrame:
 
 
 def fit_mad(df: DataFrame, boundary: int | None = None) -> DataFrame:
-    """``channel, center, scale, n``: median and scaled median absolute deviation."""
+    """``channel, center, scale, n``: median and scaled median absolute deviation. The medians are written, a row a channel."""
+    from perigee.sources.tables import written
+
     x = _training(df, boundary)
-    center = exact_medians(x, ["channel"], "value", "center")
-    far = x.join(center, "channel").withColumn("far", F.abs(F.col("value") - F.col("center")))
-    scale = exact_medians(far, ["channel"], "far", "scale").withColumn("scale", F.col("scale") * MAD_SCALE)
-    return center.join(scale, "channel").join(x.groupBy("channel").agg(F.count("*").alias("n")), "channel")
+    center = written(exact_medians(x, ["channel"], "value", "center"))
+    far = x.join(center.drop("n"), "channel").select("channel", F.abs(F.col("value") - F.col("center")).alias("far"))
+    scale = exact_medians(far, ["channel"], "far", "scale").select("channel", (F.col("scale") * MAD_SCALE).alias("scale"))
+    return center.join(scale, "channel").select("channel", "center", "scale", "n")
 
 
 def missing_channels(df: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -78,14 +80,20 @@ def alarm_windows(scored: DataFrame, max_gap_ns: int = CONTINUITY) -> DataFrame:
 def suite(df: DataFrame, boundary: int, max_gap_ns: int = CONTINUITY) -> DataFrame:
     """The baselines none, 3 and 5 deviations, and 5 median deviations: alarmed samples, times and windows of each.
 
-    All are scored in one pass over the samples; windows are found per baseline in time order.
+    All are scored in one pass over the samples, which leaves one row a time with the alarms of each baseline; that
+    table is written. Times without any alarm only break runs, so they are carried as one flag a baseline too.
     """
-    limits = {"no_alarm": ("none", 0.0), "std3": ("std", 3.0), "std5": ("std", 5.0), "mad5": ("mad", 5.0)}
+    from perigee.sources.tables import written
+
+    limits = {"std3": ("std", 3.0), "std5": ("std", 5.0), "mad5": ("mad", 5.0)}
     both = fit_std(df, boundary).select("channel", F.col("center").alias("std_center"), F.col("scale").alias("std_scale"))
     both = both.join(fit_mad(df, boundary).select("channel", F.col("center").alias("mad_center"), F.col("scale").alias("mad_scale")), "channel")
-    far = {k: score_of(F.col("value"), F.col(f"{k}_center"), F.col(f"{k}_scale")) for k in ("std", "mad")} | {"none": F.lit(0.0)}
-    x = df.join(both, "channel").withColumn("b", F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), (far[k] > limit if limit else F.lit(False)).alias("alarm")) for n, (k, limit) in limits.items()])))
-    at = x.groupBy("b.baseline", "ts_ns").agg(F.count_if("b.alarm").alias("n"))
-    runs = islands(at.select("baseline", "ts_ns", (F.col("n") > 0).alias("positive")), ["baseline"], max_gap_ns).groupBy("baseline").agg(F.count("*").alias("windows"))
-    out = at.groupBy("baseline").agg(F.sum("n").alias("alarms"), F.count_if(F.col("n") > 0).alias("alarm_times")).join(runs, "baseline", "left")
-    return out.withColumn("windows", F.coalesce("windows", F.lit(0)))
+    far = {k: score_of(F.col("value"), F.col(f"{k}_center"), F.col(f"{k}_scale")) for k in ("std", "mad")}
+    x = df.join(both, "channel").select("ts_ns", *[far[k].alias(k) for k in far])
+    at = written(x.groupBy("ts_ns").agg(*[F.count_if(F.col(k) > limit).alias(n) for n, (k, limit) in limits.items()]))
+    sums = at.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in limits], *[F.count_if(F.col(n) > 0).alias(f"{n}_times") for n in limits], F.count("*").alias("all"))
+    none = F.lit(0).cast("long")
+    out = sums.where("all > 0").select(F.explode(F.array(F.struct(F.lit("no_alarm").alias("baseline"), none.alias("alarms"), none.alias("alarm_times")), *[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("alarms"), F.col(f"{n}_times").alias("alarm_times")) for n in limits])).alias("r")).select("r.*")
+    runs = run_counts(at, {n: F.col(n) > 0 for n in limits}, max_gap_ns)
+    runs = runs.select(F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("windows")) for n in limits])).alias("r")).select("r.*")
+    return out.join(F.broadcast(runs), "baseline", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))

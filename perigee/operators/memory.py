@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.text import jaccard
-from perigee.operators.ordered import running_sum
 
 KNOWN = 0.80
 LABELS = ("VALID_OPERATION", "CONFIRMED_ANOMALY")
@@ -57,8 +59,13 @@ def listed(memories: DataFrame, label: str | None = "VALID_OPERATION") -> DataFr
     return x.orderBy("ordinal")
 
 
-#: Rows of either side that one comparison step holds.
-BLOCK = 2048
+#: Rows of one side that a comparison step holds, remembered rows of a box, about most boxes (each key has one at least), and
+#: most channel names that boxes tell apart.
+BLOCK, BOX, BOXES, NAMES = 2048, 128, 65_536, 256
+#: How the rows of a box lie together: width of a band of the logarithm of the nearest command's distance.
+BAND = 0.25
+#: Boxes that a search visits at first, then up to, then all that its bound leaves.
+VISITS = (0, 1, 8, 1 << 40)
 _NEEDS = ("vector", "affected", "score", "near", "count")
 
 
@@ -107,52 +114,180 @@ def _lists(block: pa.Table, rows: np.ndarray) -> dict[str, list]:
     return {k: part.column(k).to_pylist() for k in _NEEDS}
 
 
-def _dealt(c: DataFrame, m: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides in blocks of bounded size, every block of one met with every block of the other, by key."""
-    n, k = c.count(), m.count()
-    wide, high = max(1, -(-n // BLOCK)), max(1, -(-k // BLOCK))
-    spread = lambda df, own, number, other, many: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    c = spread(c.withColumn("asks", F.lit(True)), "__i", wide, "__j", high)
-    m = spread(m.withColumn("asks", F.lit(False)), "__j", high, "__i", wide)
-    names = ["__i", "__j", "asks", *keys, "id", "at", *_NEEDS]
-    return c.select(*names).unionByName(m.select(*names)).groupBy("__i", "__j", *keys)
+def _boxed(m: DataFrame, keys: list[str]) -> DataFrame:
+    """Remembered rows with the number of a ``box`` each, written. A box holds few rows of one key that are alike.
+
+    Rows are ordered by key, channels, band of the nearest command and number of commands, and cut into boxes;
+    equal ones are told apart by a hash, so no task gets more of them than others get. Boxes grow where there
+    would be more than ``BOXES``.
+    """
+    from perigee.sources.tables import written
+
+    n = m.count()
+    size = max(BOX, -(-n // BOXES))
+    key = (F.to_json(F.struct(*keys)) if keys else F.lit("")).alias("key")
+    order = ["key", "__set", "__band", "__count", "__h"]
+    x = m.select("id", "at", *_NEEDS, key, F.array_join(F.array_sort("affected"), "\x00").alias("__set"), F.floor(F.col("near") / BAND).alias("__band"), F.floor("count").alias("__count"), F.xxhash64("id").alias("__h"))
+    x = x.repartitionByRange(max(1, -(-n // (8 * size))), *order).sortWithinPartitions(*order, "near").select("id", "at", *_NEEDS, "key")
+
+    def cut(batches):
+        at, held, last = (TaskContext.get().partitionId() << 32) - 1, size, None
+        for batch in batches:
+            boxes = []
+            for k in batch.column("key").to_pylist():
+                if held == size or k != last:
+                    at, held, last = at + 1, 0, k
+                held += 1
+                boxes.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(boxes, pa.int64())], [*batch.schema.names, "box"])
+
+    return written(x.mapInArrow(cut, "id string, at long, vector array<double>, affected array<string>, score double, near double, count double, key string, box long"))
+
+
+class _Boxes:
+    """Extents of all boxes, and what a row can at most be similar to anything in one."""
+
+    def __init__(self, rows: list):
+        number = lambda c: np.array([r[c] for r in rows], float)
+        self.box = np.array([r["box"] for r in rows], np.int64)
+        self.key = np.array([r["key"] for r in rows], object)
+        self.near, self.count = [number("near_low"), number("near_high")], [number("count_low"), number("count_high")]
+        self.score, self.first = number("score_high"), np.array([r["first"] for r in rows], np.int64)
+        self.sizes = [number("least"), number("most")]
+        often = Counter(name for r in rows for name in r["names"])
+        self.names = {c: i for i, (c, _) in enumerate(sorted(often.items(), key=lambda kv: (-kv[1], kv[0]))[:NAMES])}
+        self.held = np.zeros((len(self.names), len(rows)), np.float32)
+        for i, r in enumerate(rows):
+            self.held[[self.names[c] for c in r["names"] if c in self.names], i] = 1
+
+    def bounds(self, rows: dict[str, list]) -> np.ndarray:
+        """Upper bounds of the similarity of rows to what each box holds; -1 where the key differs."""
+        size = np.array([len(x) for x in rows["affected"]], float)[:, None]
+        mine = np.zeros((len(size), len(self.names)), np.float32)
+        for i, x in enumerate(rows["affected"]):
+            mine[i, [self.names[c] for c in x if c in self.names]] = 1
+        # names that boxes aren't told apart by may be in any of them
+        shared = (mine @ self.held).astype(float) + size - mine.sum(axis=1, keepdims=True)
+        other = np.clip(shared, *self.sizes)  # the size of a set that would be most alike
+        both = np.minimum(shared, other)
+        union = size + other - both
+        alike = np.where(union > 0, both / np.where(union > 0, union, 1), 1.0)
+        gap = lambda c, ends: np.maximum(0, np.maximum(ends[0] - c, c - ends[1]))
+        column = lambda c: np.array(rows[c], float)[:, None]
+        top = WEIGHTS[0] + WEIGHTS[1] * alike + WEIGHTS[2] * np.exp(-gap(column("near"), self.near)) + WEIGHTS[3] * np.exp(-gap(column("count"), self.count) / 5) + 1e-9
+        score = column("score")
+        top = np.where((score > 3.5) & ((self.score < 2.5) | (score > 2 * self.score)), 0.0, top)
+        return np.where(np.array(rows["key"], object)[:, None] == self.key[None], top, -1.0)
+
+
+def _extents(boxed: DataFrame) -> _Boxes:
+    ends = lambda c: [F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")]
+    n = F.size("affected")
+    names = F.array_distinct(F.flatten(F.collect_set("affected"))).alias("names")  # of a box, which is small
+    rows = boxed.groupBy("box").agg(F.first("key").alias("key"), *ends("near"), *ends("count"), F.max("score").alias("score_high"), F.min(n).alias("least"), F.max(n).alias("most"), F.min("at").alias("first"), names)
+    return _Boxes(rows.collect())
+
+
+def _visited(c: DataFrame, boxes: _Boxes, keys: list[str], first: int, last: int, earlier: bool) -> DataFrame:
+    """Rows of ``c``, with a ``bound``, once for each box they have to visit: those from place ``first`` to ``last`` in the order of falling bounds that reach it."""
+    shared = c.sparkSession.sparkContext.broadcast(boxes)  # a short row a box, of which there are about BOXES at most
+    key = (F.to_json(F.struct(*keys)) if keys else F.lit("")).alias("key")
+    names = ["id", "at", *_NEEDS, "key", "bound"]
+
+    def run(batches):
+        b = shared.value
+        step = max(1, (1 << 21) // max(1, len(b.box)))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                part = batch.slice(start, step)
+                top = b.bounds({k: part.column(k).to_pylist() for k in ("affected", "near", "count", "score", "key")})
+                top = np.where(top >= part.column("bound").to_numpy()[:, None], top, -1.0)
+                if earlier:
+                    top = np.where(b.first[None] <= part.column("at").to_numpy()[:, None], top, -1.0)
+                if first or last <= len(b.box):
+                    order = np.argsort(-top, axis=1, kind="stable")[:, first:last]
+                    good = np.take_along_axis(top, order, axis=1) >= 0
+                    i, j = np.nonzero(good)[0], order[good]
+                else:
+                    i, j = np.nonzero(top >= 0)
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(i)).columns, pa.array(b.box[j], pa.int64())], [*names, "box"])
+
+    x = c.select("id", "at", *_NEEDS, key, "bound")
+    return x.mapInArrow(run, "id string, at long, vector array<double>, affected array<string>, score double, near double, count double, key string, bound double, box long")
+
+
+def _met(visits: DataFrame, boxed: DataFrame) -> DataFrame:
+    """Visitors and rows of each box, in groups of at most ``BLOCK`` visitors."""
+    counts = visits.groupBy("box").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    counts = F.broadcast(counts)  # a row a box
+    names = ["box", "part", "asks", "id", "at", *_NEEDS]
+    v = visits.join(counts, "box").select("box", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "id", "at", *_NEEDS)
+    more = [c for c in boxed.columns if c == "settled"]
+    m = boxed.join(counts, "box").select("box", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "id", "at", *_NEEDS, *more)
+    return v.select(*names).unionByName(m, allowMissingColumns=True).groupBy("box", "part")
+
+
+def _sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that ask, remembered rows in order of time and id, times, and places of ids in their order."""
+    asks = block.column("asks").to_numpy(zero_copy_only=False)
+    at, ids = block.column("at").to_numpy(), np.array(block.column("id").to_pylist(), object)
+    place = np.unique(ids, return_inverse=True)[1]
+    b = np.flatnonzero(~asks)
+    return np.flatnonzero(asks), b[np.lexsort((place[b], at[b]))], at, place
+
+
+def _before(a: np.ndarray, b: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (at[b][None] < at[a][:, None]) | (at[b][None] == at[a][:, None]) & (place[b][None] < place[a][:, None])
 
 
 def _best(earlier: bool):
     def run(block: pa.Table) -> pa.Table:
-        """Of every row that asks the most similar remembered one of the block, the earliest of equals."""
-        asks = block.column("asks").to_numpy(zero_copy_only=False)
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        at, ids = block.column("at").to_numpy(), np.array(block.column("id").to_pylist(), object)
-        b = b[sorted(range(len(b)), key=lambda i: (at[b[i]], ids[b[i]]))]
-        kinds = {"id": pa.string(), "s": pa.float64(), "at": pa.int64(), "other": pa.string()}
-        if not len(a) or not len(b):
-            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        """Of every row that asks the most similar remembered one of the box, the earliest of equals."""
+        a, b, at, place = _sides(block)
         s = similarities(_lists(block, a), _lists(block, b))
         if earlier:  # only what came before can be remembered
-            before = (at[b][None] < at[a][:, None]) | (at[b][None] == at[a][:, None]) & np.array([[x < y for x in ids[b]] for y in ids[a]] if len(np.intersect1d(at[a], at[b])) else False)
-            s = np.where(before, s, -1.0)
+            s = np.where(_before(a, b, at, place), s, -1.0)
         best = s.argmax(axis=1)  # the first of equals
         top = s[np.arange(len(a)), best]
         hit = top >= 0
-        return pa.table({"id": pa.array(ids[a[hit]], kinds["id"]), "s": pa.array(top[hit]), "at": pa.array(at[b[best[hit]]]), "other": pa.array(ids[b[best[hit]]], kinds["other"])})
+        ids = block.column("id").combine_chunks()
+        return pa.table({"id": ids.take(pa.array(a[hit])), "s": pa.array(top[hit]), "at": pa.array(at[b[best[hit]]], pa.int64()), "other": ids.take(pa.array(b[best[hit]]))})
 
     return run
 
 
-def _nearest(c: DataFrame, m: DataFrame, keys: list[str] = (), earlier: bool = False) -> DataFrame:
-    """``id, s, other``: the best of ``m`` for each of ``c`` that has any, by ``id, at`` and the columns of ``_lean``."""
-    found = _dealt(c, m, list(keys)).applyInArrow(_best(earlier), "id string, s double, at long, other string")
-    first = found.groupBy("id").agg(F.min_by(F.struct("s", "other"), F.struct(-F.col("s"), F.col("at"), F.col("other"))).alias("b"))
-    return first.select("id", "b.s", "b.other")
+def _nearest(c: DataFrame, m: DataFrame, keys: list[str] = (), earlier: bool = False, compared: list | None = None) -> DataFrame:
+    """``id, s, other``: the best of ``m`` for each of ``c`` that has any, by ``id, at`` and the columns of ``_lean``.
+
+    A threshold search, exact: a row first visits the box whose bound on similarity is highest; what it finds
+    there rules out all boxes with lower bounds, then again after a few more. ``compared``, where given, gets a
+    frame a step with the number of pairs.
+    """
+    from perigee.sources.tables import written
+
+    keys = list(keys)
+    boxed = _boxed(m, keys)
+    boxes = _extents(boxed)
+    found = None
+    for first, last in zip(VISITS, VISITS[1:]):
+        if first >= len(boxes.box) and found is not None:
+            break
+        asks = c.withColumn("bound", F.lit(-1.0)) if found is None else c.join(found.select("id", F.col("b.s").alias("bound")), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
+        visits = _visited(asks, boxes, keys, first, last, earlier)
+        if compared is not None:
+            compared.append(visits.join(boxed.groupBy("box").agg(F.count("*").alias("n")), "box").agg(F.sum("n").alias("pairs")))
+        met = _met(visits, boxed).applyInArrow(_best(earlier), "id string, s double, at long, other string")
+        met = met.select("id", F.struct("s", "at", "other").alias("b"))
+        met = met if found is None else met.unionByName(found)
+        found = written(met.groupBy("id").agg(F.min_by("b", F.struct(-F.col("b.s"), F.col("b.at"), F.col("b.other"))).alias("b")))
+    return found.select("id", "b.s", "b.other")
 
 
 def nearest(candidates: DataFrame, memories: DataFrame, threshold: float = KNOWN) -> DataFrame:
     """Per candidate the most similar memory, the earliest of equals: ``event_id, nearest_id, similarity, status``.
 
-    The nearest is named even below the threshold; without memories it is null, at 0 and UNKNOWN. Both sides
-    are dealt to blocks of bounded size, and a block gives one row a candidate, so neither side is broadcast or
-    paired row by row.
+    The nearest is named even below the threshold; without memories it is null, at 0 and UNKNOWN. Memories lie
+    in boxes of rows alike, and a candidate visits only those whose bound reaches what it has found already.
     """
     c = _lean(candidates, F.col("event_id").cast("string").alias("id"), F.lit(0).cast("long").alias("at"))
     m = _lean(memories, F.col("memory_id").cast("string").alias("id"), F.col("ordinal").cast("long").alias("at"))
@@ -163,37 +298,49 @@ def nearest(candidates: DataFrame, memories: DataFrame, threshold: float = KNOWN
 
 
 def similar(candidates: DataFrame, memories: DataFrame, threshold: float = KNOWN) -> DataFrame:
-    """``event_id, memory_id, similarity`` of every pair at or above the threshold, found block by block."""
+    """``event_id, memory_id, similarity`` of every pair at or above the threshold, found box by box."""
     def run(block: pa.Table) -> pa.Table:
-        asks = block.column("asks").to_numpy(zero_copy_only=False)
-        a, b, ids = np.flatnonzero(asks), np.flatnonzero(~asks), np.array(block.column("id").to_pylist(), object)
+        a, b, *_ = _sides(block)
         s = similarities(_lists(block, a), _lists(block, b))
         i, j = np.nonzero(s >= threshold)
-        return pa.table({"event_id": pa.array(ids[a[i]], pa.string()), "memory_id": pa.array(ids[b[j]], pa.string()), "similarity": pa.array(s[i, j], pa.float64())})
+        ids = block.column("id").combine_chunks()
+        return pa.table({"event_id": ids.take(pa.array(a[i])), "memory_id": ids.take(pa.array(b[j])), "similarity": pa.array(s[i, j], pa.float64())})
 
     c = _lean(candidates, F.col("event_id").cast("string").alias("id"), F.lit(0).cast("long").alias("at"))
     m = _lean(memories, F.col("memory_id").cast("string").alias("id"), F.lit(0).cast("long").alias("at"))
-    return _dealt(c, m, []).applyInArrow(run, "event_id string, memory_id string, similarity double")
-
-
-#: Candidates for the memory that one round of the study decides on.
-ROUND = 4096
+    boxed = _boxed(m, [])
+    visits = _visited(c.withColumn("bound", F.lit(float(threshold))), _extents(boxed), [], 0, VISITS[-1], False)
+    return _met(visits, boxed).applyInArrow(run, "event_id string, memory_id string, similarity double")
 
 
-def _learned(threshold: float):
-    def run(rows: pa.Table) -> pa.Table:
-        """Of one round's candidates without a match before the round, in order of time, those that are learned."""
-        at, ids = rows.column("at").to_numpy(), rows.column("id").to_pylist()
-        order = np.array(sorted(range(len(ids)), key=lambda i: (at[i], ids[i])), dtype=np.int64)
-        some = _lists(rows, order)
-        like = similarities(some, some) >= threshold
-        kept: list[int] = []
-        for i in range(len(order)):
-            if not kept or not like[i, kept].any():
-                kept.append(i)
-        return rows.select(["id"]).take(pa.array(order[kept], pa.int64()))
+def _learned(could: DataFrame, keys: list[str], threshold: float, save) -> DataFrame | None:
+    """Of candidates for the memory those that are learned: no earlier one that is learned is as similar as ``threshold``.
 
-    return run
+    In rounds. A candidate is settled when one before it that is learned is similar, or when none before it that
+    isn't settled is; candidates that only wait for others ask again. The first unsettled one of every key is
+    settled in each round, and whole patterns at once: their first event is learned, and all others know it in
+    the next round. A round looks only into boxes that can hold anything similar.
+    """
+    def run(block: pa.Table) -> pa.Table:
+        a, b, at, place = _sides(block)
+        like = (similarities(_lists(block, a), _lists(block, b)) >= threshold) & _before(a, b, at, place)
+        settled = block.column("settled").to_numpy(zero_copy_only=False)[b].astype(bool)
+        return pa.table({"id": block.column("id").combine_chunks().take(pa.array(a)), "known": pa.array(like[:, settled].any(axis=1)), "waits": pa.array(like[:, ~settled].any(axis=1))})
+
+    names = ["id", "at", *keys, *_NEEDS]
+    open_, new, learned = could.select(*names), None, None
+    while open_.head(1):
+        pool = open_ if new is None else open_.unionByName(new.select(*names))
+        boxed = _boxed(pool, keys)
+        settled = boxed.withColumn("settled", F.lit(False)) if new is None else boxed.join(new.select("id", F.lit(True).alias("settled")), "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+        visits = _visited(open_.withColumn("bound", F.lit(float(threshold))), _extents(boxed), keys, 0, VISITS[-1], True)
+        met = _met(visits, settled).applyInArrow(run, "id string, known boolean, waits boolean")
+        met = met.groupBy("id").agg(F.bool_or("known").alias("known"), F.bool_or("waits").alias("waits"))
+        state = save(open_.join(met, "id", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "waits": F.coalesce("waits", F.lit(False))}))
+        new = state.where("not known and not waits").select(*names)
+        learned = new if learned is None else save(learned.unionByName(new))
+        open_ = state.where("not known and waits").select(*names)
+    return learned
 
 
 def study(signatures: DataFrame, cohort: DataFrame, threshold: float = KNOWN, mode: str = "gated", key: str | None = None, save=None) -> DataFrame:
@@ -201,10 +348,10 @@ def study(signatures: DataFrame, cohort: DataFrame, threshold: float = KNOWN, mo
 
     ``gated``: only alarms ask the memory; a known pattern suppresses its alarm, an unknown rare event is
     learned, an anomaly never is. ``open``: every event asks, whatever the detector said. Events are taken in
-    order of time and id. Only rare events can be remembered, so they alone are decided in order, a bounded
-    number a round: first against all that earlier rounds learned, in blocks, then among themselves in one
-    step. What is remembered being known, every event's best earlier memory is one more comparison in blocks.
-    ``save`` writes a frame and reads it back; by default into the folder of ``spark.checkpoint.dir``.
+    order of time and id. Only rare events can be remembered, so what is learned is settled among them alone, in
+    as many rounds as they depend on each other; what is remembered being known, every event's best earlier
+    memory is one search. ``save`` writes a frame and reads it back; by default into the folder of
+    ``spark.checkpoint.dir``.
     """
     from perigee.sources.tables import written
 
@@ -212,18 +359,7 @@ def study(signatures: DataFrame, cohort: DataFrame, threshold: float = KNOWN, mo
     s = _lean(signatures, "event_id").join(cohort.select("event_id", *keys, "category", "start_ns", "alarm"), "event_id")
     s = s.withColumn("queried", F.coalesce("alarm", F.lit(False)) if mode == "gated" else F.lit(True))
     s = save(s.withColumnsRenamed({"event_id": "id", "start_ns": "at"}))
-    could = s.where("queried and category = 'Rare Event'")
-    could = save(running_sum(could, keys, ["at", "id"], F.lit(1), "__n").withColumn("__round", F.floor((F.col("__n") - 1) / ROUND)))
-    rounds = could.agg(F.max("__round")).first()[0]
-    memory = None
-    for i in range(0 if rounds is None else rounds + 1):
-        now = could.where(F.col("__round") == i)
-        if memory is not None:
-            known = _nearest(now, memory, keys).where(F.col("s") >= threshold)
-            now = now.join(known.select("id"), "id", "left_anti")
-        new = now.groupBy("__round", *keys).applyInArrow(_learned(threshold), "id string")
-        new = save(now.join(new, "id", "left_semi"))
-        memory = new if memory is None else memory.unionByName(new)
+    memory = _learned(s.where("queried and category = 'Rare Event'"), keys, threshold, save)
     memory = s.limit(0) if memory is None else memory
     best = _nearest(s.where("queried"), memory, keys, earlier=True).where("s > 0")
     x = s.join(best, "id", "left").join(memory.select("id", F.lit(True).alias("stored")), "id", "left")

@@ -105,39 +105,66 @@ def trailing_counts(left: DataFrame, right: DataFrame, left_time: str, right_tim
     return wide.select("__row.*", *[F.col(f"__d{i}").alias(n) for i, n in enumerate(names)])
 
 
-#: Buckets of values that ranks are counted in, and how near approximate quantiles cut them; neither changes a result.
-CUTS, NEARNESS = 64, 2000
+#: Leading bits of a value's size that one scan counts by, and further ones that the next scan counts by.
+LEADING, FURTHER = 12, 20
+#: Smallest exponent of a double, and a number above all codes.
+_LEAST, _BEYOND = -1074, 1 << 40
+
+
+def _digits(v: Column) -> tuple[Column, Column]:
+    """Two whole numbers that order doubles as their bits do: exponent and leading bits, and the bits after those.
+
+    Only their order matters: they never fall where ``v`` rises. Zero is 0, infinities and not-a-numbers are beyond.
+    """
+    size = F.abs(v)
+    e = F.least(F.greatest(F.floor(F.log2(size)), F.lit(_LEAST)), F.lit(1023))
+    part = size / F.pow(F.lit(2.0), e)  # from about 1 to 2
+    whole = (v != 0) & (size < float("inf"))
+    sign = F.when(v < 0, -1).otherwise(1)
+    high = F.when(whole, (e - _LEAST + 1) * (2 << LEADING) + F.floor(part * (1 << LEADING))).when(v == 0, F.lit(0)).when(F.isnan(v), F.lit(2 * _BEYOND)).otherwise(F.lit(_BEYOND))
+    low = F.when(whole, F.floor(part * float(1 << LEADING + FURTHER))).otherwise(F.lit(0))
+    return (sign * high).cast("long"), (sign * low).cast("long")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    """``keys, point, quantile_value``: quantiles of non-null values with linear interpolation, exact.
+    """``keys, point, quantile_value, n``: quantiles of ``n`` non-null values with linear interpolation, exact.
 
-    Equal values are counted first. Approximate quantiles cut every key's values into buckets of about equal
-    weight; running counts inside buckets and one row a bucket give the ranks, so no key's values meet in one
-    task. Keys without a value have no rows.
+    Selection by digits, in two scans: the first counts values by exponent and leading bits, which tells in which of
+    these classes a quantile's ranks lie; the second counts the values of those classes alone, by their further
+    bits. Windows run over counts of classes, whose number the format of doubles bounds, whatever the number of
+    values: no key's values meet in one task. What the second scan counted is written. Keys without a value have
+    no rows.
     """
-    x = df.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(0).alias("__one")).where("__v is not null")
+    from perigee.sources.tables import written
+
     by = [*keys, "__one"]
-    cuts = x.groupBy(*by).agg(F.approx_percentile("__v", [i / CUTS for i in range(1, CUTS)], NEARNESS).alias("__cuts"))
-    n = x.groupBy(*by, "__v").agg(F.count("*").alias("__n"))
-    n = meet(n, cuts, by).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
-    sums = n.groupBy(*by, "__b").agg(F.sum("__n").alias("__s"))
-    up = Window.partitionBy(*by).orderBy("__b")
-    sums = sums.select(*by, "__b", F.coalesce(F.sum("__s").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"), F.sum("__s").over(Window.partitionBy(*by)).alias("__all"))
-    own = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    n = meet(n.withColumn("__to", F.sum("__n").over(own)), sums, [*by, "__b"])
-    n = n.withColumn("__to", F.col("__to") + F.col("__o")).withColumn("__from", F.col("__to") - F.col("__n"))
+    x = df.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(0).alias("__one")).where("__v is not null")
+    high, low = _digits(F.col("__v"))
+    x = x.withColumn("__h", high)
+    up = lambda *of: Window.partitionBy(*of[0]).orderBy(*of[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    classes = x.groupBy(*by, "__h").agg(F.count("*").alias("__n"))
+    classes = classes.withColumns({"__to": F.sum("__n").over(up(by, "__h")), "__all": F.sum("__n").over(Window.partitionBy(*by))})
     # the ranks from 0 that a point lies between
-    place = lambda p: (F.col("__all") - 1) * F.lit(float(p))
-    ask = F.array(*[F.struct(F.lit(float(p)).alias("point"), place(p).alias("at")) for p in points])
-    inside = lambda rank: (rank >= F.col("__from")) & (rank < F.col("__to"))
-    hit = F.filter(ask, lambda a: inside(F.floor(a["at"])) | inside(F.ceil(a["at"])))
-    hits = n.select(*by, "__v", "__from", "__to", F.explode(hit).alias("a")).select(*by, "__v", "__from", "__to", "a.*")
-    low = F.max(F.when(inside(F.floor("at")), F.col("__v")))
-    high = F.max(F.when(inside(F.ceil("at")), F.col("__v")))
-    out = hits.groupBy(*by, "point").agg(low.alias("low"), high.alias("high"), F.first("at").alias("at"))
-    return out.select(*keys, "point", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("quantile_value"))
+    ask = F.array(*[F.struct(F.lit(float(p)).alias("point"), ((F.col("__all") - 1) * F.lit(float(p))).alias("at")) for p in points])
+    inside = lambda rank, start, end: (rank >= F.col(start)) & (rank < F.col(end))
+    hit = lambda start, end: F.filter(ask, lambda a: inside(F.floor(a["at"]), start, end) | inside(F.ceil(a["at"]), start, end))
+    classes = classes.withColumn("__from", F.col("__to") - F.col("__n")).where(F.size(hit("__from", "__to")) > 0)
+    n = meet(x, classes.select(*by, "__h", "__from", "__all"), [*by, "__h"]).withColumn("__l", low)
+    n = n.groupBy(*by, "__h", "__l", "__v").agg(F.count("*").alias("__n"), F.first("__from").alias("__from"), F.first("__all").alias("__all"))
+    n = written(n)
+    by = [*by, "__h"]
+    sums = n.groupBy(*by, "__l").agg(F.sum("__n").alias("__s"))
+    sums = sums.select(*by, "__l", (F.sum("__s").over(up(by, "__l")) - F.col("__s")).alias("__o"))
+    n = meet(n.withColumn("__sum", F.sum("__n").over(up([*by, "__l"], "__v"))), sums, [*by, "__l"])
+    n = n.withColumn("__to", F.col("__from") + F.col("__o") + F.col("__sum")).withColumn("__start", F.col("__to") - F.col("__n"))
+    hits = n.select(*keys, "__one", "__v", "__start", "__to", "__all", F.explode(hit("__start", "__to")).alias("a")).select("*", "a.*")
+    lower = F.max(F.when(inside(F.floor("at"), "__start", "__to"), F.col("__v")))
+    upper = F.max(F.when(inside(F.ceil("at"), "__start", "__to"), F.col("__v")))
+    out = hits.groupBy(*keys, "__one", "point").agg(lower.alias("low"), upper.alias("high"), F.first("at").alias("at"), F.first("__all").alias("n"))
+    between = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    return out.select(*keys, "point", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("quantile_value"), "n")
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("quantile_value").alias(name))
+    """``keys``, the exact median under ``name``, and the number ``n`` of values it is of."""
+    return exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("quantile_value").alias(name), "n")

@@ -145,3 +145,14 @@ def islands(samples: DataFrame, keys: Sequence[str], max_gap_ns: int, width: int
     x = x.groupBy(*keys, "__g").agg(F.min("ts_ns").alias("start_ns"), last.alias("z"))
     end = F.least(F.coalesce(F.col("z.after") - 1, F.col("z.ts_ns")), F.col("z.ts_ns") + max_gap_ns)
     return x.select(*keys, "start_ns", F.greatest("start_ns", end).alias("end_ns"))
+
+
+def run_counts(samples: DataFrame, flags: dict[str, Column], max_gap_ns: int, width: int = DAY) -> DataFrame:
+    """One row with, for each flag, the number of its runs, as ``islands`` finds them, over samples of distinct ``ts_ns``.
+
+    A run begins where the sample before isn't flagged or lies further back than the gap, so one ordered pass
+    over the samples counts the runs of all flags.
+    """
+    x = neighbours(samples.select("ts_ns", *[F.coalesce(f, F.lit(False)).alias(n) for n, f in flags.items()]), (), ["ts_ns"], ["ts_ns", *flags], width)
+    near = F.col("ts_ns") - F.col("prev.ts_ns") <= max_gap_ns
+    return x.agg(*[F.count_if(F.col(n) & ~F.coalesce(F.col(f"prev.{n}") & near, F.lit(False))).alias(n) for n in flags])

@@ -27,7 +27,7 @@ def quality(df: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, points=QUANTILES) -> DataFrame:
     """Linear-interpolated quantiles of the finite values, one row per channel and point."""
     v = F.col("value").cast("double")
-    return exact_quantiles(df.where(is_finite(v)), ["channel"], "value", points)
+    return exact_quantiles(df.where(is_finite(v)), ["channel"], "value", points).drop("n")
 
 
 def intervals(df: DataFrame) -> DataFrame:

@@ -316,7 +316,7 @@ def plain_study(events, threshold, mode):
 
 @pytest.mark.parametrize("mode", ["gated", "open"])
 def test_study_equals_a_plain_loop(spark, monkeypatch, mode):
-    monkeypatch.setattr(memory, "ROUND", 9)
+    monkeypatch.setattr(memory, "BOX", 6)
     monkeypatch.setattr(memory, "BLOCK", 7)
     rng = random.Random(11)
     rows = [sig(f"e{i:03d}", rng.randrange(60), rng.choice([1.0, 3.0, 4.0, 9.0]), [rng.choice([1.0, 2.0, -3.0]) for _ in range(rng.choice([3, 3, 4]))], rng.sample("abcd", rng.randint(0, 3)), rng.choice([0.0, 20.0, 9000.0]), rng.choice([0.0, 2.0, 30.0])) for i in range(90)]
@@ -342,19 +342,31 @@ def test_block_similarity_equals_the_column(spark):
     assert some == {k for k, v in want.items() if v >= 0.6}
 
 
-def test_exact_quantiles_equal_numpy(spark, monkeypatch):
+def test_digits_order_doubles(spark):
+    from perigee.operators import ordered
+
+    rng = random.Random(2)
+    near = [math.ldexp(1 + d * 2.0**-52, e) for e in (-1022, -1, 0, 1, 52, 1023) for d in (-2, -1, 0, 1, 2) if not (e == 1023 and d < 0)]
+    values = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), *near, *[rng.gauss(0, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(400)], *[1000 + rng.random() * 1e-9 for _ in range(200)]]
+    values = sorted({v for x in values for v in (x, -x)})
+    high, low = ordered._digits(F.col("v"))
+    got = {r["v"]: (r["h"], r["l"]) for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", high.alias("h"), low.alias("l")).collect()}
+    places = [got[v] for v in values]
+    assert places == sorted(places) and len({h for h, _ in places}) > 300 and len(set(places)) > 0.6 * len(places)
+
+
+def test_exact_quantiles_equal_numpy(spark):
     from perigee.operators import ordered
 
-    monkeypatch.setattr(ordered, "CUTS", 5)
-    monkeypatch.setattr(ordered, "NEARNESS", 10)
     rng = random.Random(5)
     rows = [("a", rng.choice([0.0, 1.0, rng.random() * 1e6, -rng.random()])) for _ in range(301)] + [("b", 7.0)] + [(None, float(i)) for i in range(4)] + [("c", None)]
+    rows += [("d", 1000 + rng.random() * 1e-6) for _ in range(200)] + [("d", v) for v in (float("inf"), -1e308, 5e-324)] + [("e", 3.25)] * 50 + [("f", -rng.random() * 10.0 ** rng.randint(-5, 5)) for _ in range(99)]
     points = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
     got = {(r["k"], r["point"]): r["quantile_value"] for r in ordered.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points).collect()}
-    assert {k for k, _ in got} == {"a", "b", None}
-    for k in ("a", "b", None):
+    assert {k for k, _ in got} == {"a", "b", "d", "e", "f", None}
+    for k in ("a", "b", "d", "e", "f", None):
         values = [v for n, v in rows if n == k and v is not None]
-        assert all(abs(got[k, p] - np.quantile(values, p)) < 1e-6 for p in points)
+        assert all(got[k, p] == max(values) if p == 1 else abs(got[k, p] - np.quantile(sorted(values)[:-1] + [min(max(values), 1e300)], p)) <= 1e-9 * max(1, abs(got[k, p])) for p in points)
     x = spark.createDataFrame(rows, "k string, v double")
     assert abs(ordered.exact_medians(x, (), "v").first()[0] - np.median([v for _, v in rows if v is not None])) < 1e-9
 
