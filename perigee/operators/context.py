@@ -34,13 +34,14 @@ def command_counts(ev: DataFrame, commands: DataFrame, windows: dict[str, int] |
 
 
 def priority_counts(ev: DataFrame, commands: DataFrame, window: int = 24 * HOUR) -> DataFrame:
-    """``event_id, category, priority, commands`` in the trailing window, priorities with any command."""
-    known = [r[0] for r in commands.select("priority").distinct().orderBy("priority").collect()]  # a handful
-    if not known:
-        return ev.select("event_id", "category", F.lit(0).cast("long").alias("priority"), F.lit(0).cast("long").alias("commands")).where("1 = 0")
-    x = trailing_counts(ev.select("event_id", "category", "start_ns"), commands, "start_ns", "ts_ns", {f"p{i}": (window, F.col("priority").eqNullSafe(F.lit(p))) for i, p in enumerate(known)})
-    each = F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("priority"), F.col(f"p{i}").alias("commands")) for i, p in enumerate(known)])).alias("c")
-    return x.select("event_id", "category", each).select("event_id", "category", "c.priority", "c.commands").where("commands > 0")
+    """``event_id, category, priority, commands`` in the trailing window, priorities with any command.
+
+    A priority is a key of the counts, so the plan is the same whatever their number.
+    """
+    known = commands.select(F.col("priority").cast("long").alias("priority")).distinct()
+    left = ev.select("event_id", "category", "start_ns").join(known, F.lit(True))
+    x = trailing_counts(left, commands.withColumn("priority", F.col("priority").cast("long")), "start_ns", "ts_ns", {"commands": window}, ["priority"])
+    return x.select("event_id", "category", "priority", "commands").where("commands > 0")
 
 
 def delta_summary(near: DataFrame) -> DataFrame:

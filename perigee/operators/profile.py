@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ EXAMPLES, OBSERVED, TIMED = 5, 512, 50
 def columns(df: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """One row per column: rows, nulls, inferred type, smallest distinct examples and a role.
 
-    Types are grouped before values meet, and examples are the smallest few, so no column's values are
-    gathered.
+    Types are grouped before values meet. Examples are the smallest few distinct values; a task keeps that many of
+    each column, whatever it reads, and only these are shuffled.
     """
     if examples < 0:
         raise ValueError("examples can't be negative")
@@ -25,9 +27,20 @@ def columns(df: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     x = df.select(cells).select("c.column", F.nullif(F.trim("c.text"), F.lit("")).alias("text")).withColumn("kind", value_type("text"))
     kinds = x.groupBy("column", "kind").agg(F.count("*").alias("n"), F.count("text").alias("filled"))
     kinds = kinds.groupBy("column").agg(F.sum("n").alias("row_count"), F.sum(F.col("n") - F.col("filled")).alias("null_count"), F.collect_set("kind").alias("kinds"))
-    # smallest examples: partial distinct first, then a rank that Spark limits inside each task
+    names = df.columns
+    plain = df.select(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(f"c{i}") for i, c in enumerate(names)])
+
+    def smallest(batches):
+        held = [pa.array([], pa.string()) for _ in names]
+        for batch in batches:
+            for i, values in enumerate(batch.columns):
+                values = pa.concat_arrays([pc.unique(values.drop_null()), held[i]])
+                held[i] = pc.unique(values).take(pc.array_sort_indices(pc.unique(values))[:examples])
+        column = [c for c, v in zip(names, held) for _ in range(len(v))]
+        yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()), pa.concat_arrays(held) if held else pa.array([], pa.string())], ["column", "text"])
+
     w = Window.partitionBy("column").orderBy("text")
-    few = x.where("text is not null").select("column", "text").distinct().withColumn("i", F.row_number().over(w)).where(F.col("i") <= examples)
+    few = plain.mapInArrow(smallest, "column string, text string").distinct().withColumn("i", F.row_number().over(w)).where(F.col("i") <= examples)
     few = few.groupBy("column").agg(F.array_sort(F.collect_list("text")).alias("examples"))
     out = kinds.join(few, "column", "left")
     return out.select("column", "row_count", "null_count", merged_type(F.col("kinds")).alias("inferred_type"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), role("column").alias("role"))

@@ -12,6 +12,8 @@ from perigee.operators.ordered import SPAN, meet, neighbours, running_sum, runni
 
 #: Lengths of buckets of the interval join grow by this factor from level to level.
 STEP = 16
+#: Rows that one side of an interval join may have, after it is dealt to buckets, to be broadcast.
+SMALL = 200_000
 
 
 def union(df: DataFrame, keys: Sequence[str] = (), width: int = DAY) -> DataFrame:
@@ -57,20 +59,26 @@ def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), width: i
 
     Points are intervals of equal ends. Both sides are dealt to time buckets whose length grows with that of
     the interval, so neither short nor long ones touch more than a few; a pair is kept in one bucket only.
-    ``top`` is the last level, at the default ten days a bucket; every interval is also dealt to the levels
-    above its own, so fewer levels mean fewer copies of points.
+    ``top`` is the last level, at the default ten days a bucket. ``b`` is looked at first: how many rows it takes and
+    how long its longest interval is. Rows of ``a`` are dealt to no higher level than these need, and where ``b``
+    is ``SMALL`` it is broadcast, so ``a`` stays where it is, however many of its rows lie in one bucket; a larger
+    ``b`` meets ``a`` in a shuffle by bucket.
     """
     size = lambda lv: F.lit(float(width)) * F.pow(F.lit(float(STEP)), lv)
+    level = _level(width, top)
+    copies = F.floor(F.col("end_ns") / size(level)) - F.floor(F.col("start_ns") / size(level)) + 1 + 2 * (F.lit(top) - level)
+    rows, highest = b.where("end_ns >= start_ns").agg(F.coalesce(F.sum(copies), F.lit(0)), F.coalesce(F.max(level), F.lit(0))).first()
 
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        df = df.withColumn(f"{name}_level", _level(width, top))
-        df = df.withColumn("__lv", F.explode(F.sequence(F.col(f"{name}_level"), F.lit(top))))
+    def dealt(df: DataFrame, name: str, last: Column) -> DataFrame:
+        df = df.withColumn(f"{name}_level", level)
+        df = df.withColumn("__lv", F.explode(F.sequence(F.col(f"{name}_level"), last)))
         ends = [F.floor(F.col(c) / size(F.col("__lv"))).cast("long") for c in ("start_ns", "end_ns")]
         return df.withColumn("__bucket", F.explode(F.sequence(*ends)))
 
-    left = dealt(a, "__a")
-    right = dealt(b, "__b").select(*keys, "__lv", "__bucket", "__b_level", *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    x = left.join(right, [*keys, "__lv", "__bucket"])
+    # a pair meets at the level of the longer one
+    left = dealt(a, "__a", F.greatest("__a_level", F.lit(highest)))
+    right = dealt(b.where("end_ns >= start_ns"), "__b", F.lit(top)).select(*keys, "__lv", "__bucket", "__b_level", *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
+    x = left.join(F.broadcast(right) if rows <= SMALL else right, [*keys, "__lv", "__bucket"])
     x = x.where((F.col("start_ns") <= F.col("b_end_ns")) & (F.col("b_start_ns") <= F.col("end_ns")))
     x = x.where(F.col("__lv") == F.greatest("__a_level", "__b_level"))
     x = x.where(F.col("__bucket") == F.floor(F.greatest("start_ns", "b_start_ns") / size(F.col("__lv"))).cast("long"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perigee.functions.clock import is_finite
+from perigee.functions.clock import DAY, is_finite
 from perigee.operators import context, ranges
-from perigee.operators.ordered import asof, running_sum, trailing_counts
+from perigee.operators.ordered import asof, trailing_counts
 
 PER_CHANNEL = ("mean", "std", "min", "max", "mag", "diff", "score_max", "score_mean", "score_var")
 CONTEXT = ("nearest_tc_diff_sec", "tc_count_24h", "tc_count_2h", "tc_count_30m", "tc_count_5m", "tc_p0_count", "tc_p1_count", "tc_p2_count", "tc_p3_count")
@@ -19,14 +19,32 @@ def window_samples(scored: DataFrame, ev: DataFrame, channels: list[str], around
     """Samples of the named channels inside each event's window, ``event_id, channel, ts_ns, value, score``.
 
     A channel without a sample in the window gives the samples at the positions from ``around`` before to
-    ``around - 1`` after the first one at or past the start, as far as the series goes.
+    ``around - 1`` after the first one at or past the start, as far as the series goes. Only days that hold any of
+    these are put in order; which days they are follows from the number of samples of each day. The windows
+    without samples are written.
     """
+    from perigee.sources.tables import written
+
     w, scored = ev.select("event_id", "start_ns", "end_ns"), scored.where(F.col("channel").isin(channels))
     points = scored.select("channel", "value", "score", F.col("ts_ns").alias("start_ns"), F.col("ts_ns").alias("end_ns"))
     inside = ranges.interval_join(points, w).select(F.col("b_event_id").alias("event_id"), "channel", F.col("start_ns").alias("ts_ns"), "value", "score")
     every = w.select("*", F.explode(F.array(*map(F.lit, channels))).alias("channel"))
-    bare = every.join(inside.select("event_id", "channel").distinct(), ["event_id", "channel"], "left_anti")
-    placed = running_sum(scored.select("channel", "ts_ns", "value", "score"), ["channel"], ["ts_ns"], F.lit(1), "n")
+    bare = written(every.join(inside.select("event_id", "channel").distinct(), ["event_id", "channel"], "left_anti"))
+    if not bare.head(1):
+        return inside
+    day = F.floor(F.col("ts_ns") / DAY).cast("long")
+    days = scored.groupBy("channel", day.alias("day")).agg(F.count("*").alias("c"))
+    up = Window.partitionBy("channel").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    days = written(days.withColumn("end_ns", F.sum("c").over(up)).withColumn("start_ns", F.col("end_ns") - F.col("c") + 1))
+    # positions that a window without samples may need: around those of its day
+    asks = asof(bare.select("channel", F.floor(F.col("start_ns") / DAY).cast("long").alias("on")).distinct(), days.select("channel", "day", "start_ns", "end_ns"), "on", "day", ["channel"])
+    same = F.coalesce(F.col("match.day") == F.col("on"), F.lit(False))
+    last = F.coalesce("match.end_ns", F.lit(0))
+    asks = asks.select("channel", (F.when(same, F.col("match.start_ns") - 1).otherwise(last) - around + 1).alias("start_ns"), (last + around).alias("end_ns"))
+    held = ranges.interval_join(days, asks, ["channel"], width=1 << 12, top=4).select("channel", "day", (F.col("start_ns") - 1).alias("before")).distinct()
+    own = Window.partitionBy("channel", "day").orderBy("ts_ns")
+    placed = scored.select("channel", "ts_ns", "value", "score", day.alias("day")).join(held, ["channel", "day"])
+    placed = placed.withColumn("n", F.row_number().over(own) + F.col("before")).drop("day", "before")
     at = asof(bare.withColumn("before_ns", F.col("start_ns") - 1), placed.select("channel", "ts_ns", "n"), "before_ns", "ts_ns", ["channel"])
     at = at.select("event_id", "channel", F.coalesce("match.n", F.lit(0)).alias("i"))
     positions = at.select("event_id", "channel", F.explode(F.sequence(F.col("i") - around + 1, F.col("i") + around)).alias("n"))
