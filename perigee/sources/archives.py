@@ -5,73 +5,39 @@ from __future__ import annotations
 import csv
 import io
 import re
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigee.sources.zips import MEMBERS, MemberReader, _batch, read_members
+
 DELIMITERS = (",", "\t", ";", "|")
 #: Words of header names. Fixed values.
 HEADERS = frozenset("category channel class description end endtime id identifier name priority start starttime subclass telecommand time timestamp value".split())
 SAMPLE = 64 * 1024
-#: Depth of nested archives that are followed, and bytes of one that stay in memory.
-DEEPEST, SPOOLED = 6, 8 << 20
 
 
 def members(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """Members of all ZIP files below a path, nested ones too: ``path, member, depth, size, packed_size, crc32``.
 
-    An archive is opened where it lies and only its directory is read; one inside another is unpacked into
-    memory up to ``SPOOLED`` bytes and beyond that into the task's own temporary file. Stores that Arrow can't
-    open are read through Spark's reader, whole.
+    The data source ``perigee_zip`` cuts large archives into ranges of members, a task each. Stores that Arrow
+    can't open are read through Spark's reader, whole.
     """
-
-    def walk(file, prefix: str, depth: int) -> Iterator[tuple]:
-        with zipfile.ZipFile(file) as z:
-            for i in z.infolist():
-                if not i.is_dir():
-                    yield prefix + i.filename, depth, i.file_size, i.compress_size, i.CRC
-                    if i.filename.lower().endswith(".zip") and depth < DEEPEST:
-                        with tempfile.SpooledTemporaryFile(SPOOLED) as held:
-                            with z.open(i) as inner:
-                                shutil.copyfileobj(inner, held, 1 << 20)
-                            yield from walk(held, f"{prefix}{i.filename}!", depth + 1)
-
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    first = files.select("path").first()
     names = ["path", "member", "depth", "size", "packed_size", "crc32"]
-
-    def rows(path: str, file) -> pa.RecordBatch:
-        found = [(path, *m) for m in walk(file, "", 0)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 6, kinds)], names)
-
-    def by_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column(0).to_pylist():
-                store, name = fs.FileSystem.from_uri(quoted(p))
-                with store.open_input_file(name) as f:
-                    yield rows(p, f)
+    if first is None or first["path"].split(":", 1)[0] in ("file", "hdfs", "s3", "gs"):
+        return read_members(spark, path, pattern.lstrip("*").lower()).where("not directory").select(*names)
 
     def by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = MemberReader({"path": path})
         for batch in batches:
             for p, data in zip(*batch.columns):
-                yield rows(p.as_py(), io.BytesIO(data.as_py()))
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    schema = "path string, member string, depth int, size long, packed_size long, crc32 long"
-    first = files.select("path").first()
-    if first is None or first["path"].split(":", 1)[0] in ("file", "hdfs", "s3", "gs"):
-        return files.select("path").mapInArrow(by_path, schema)
-    return files.select("path", "content").mapInArrow(by_content, schema)
-
+                yield _batch(list(reader._walk(io.BytesIO(data.as_py()), p.as_py(), "", 0)))
 
-def quoted(path: str) -> str:
-    """The form of a local path that Arrow reads: ``file:/x`` is ``file:///x``."""
-    return "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+    return files.select("path", "content").mapInArrow(by_content, MEMBERS).where("not directory").select(*names)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +21,10 @@ ELEMENTS = ("OBJECT_NAME string, NORAD_CAT_ID string, OBJECT_ID string, EPOCH st
             "RA_OF_ASC_NODE string, ARG_OF_PERICENTER string, MEAN_ANOMALY string, BSTAR string")
 
 
+#: Begins the message of a job that meets a command without one definition.
+UNDEFINED = "no single definition of command "
+
+
 class SchemaError(ValueError):
     pass
 
@@ -62,24 +67,44 @@ def require(df: DataFrame, schema: str) -> DataFrame:
     return df
 
 
-def write_telemetry(df: DataFrame, path: str, rows_a_file: int = 10_000_000) -> None:
+def write_telemetry(df: DataFrame, path: str, rows_a_file: int = 10_000_000, rows_a_group: int = 1_000_000) -> dict[str, int]:
     """Telemetry by channel, sorted by time inside files so that row-group statistics prune; NaN becomes null.
 
-    Files are cut by rows, so a channel with most samples is written by many tasks.
+    Files are cut by rows, so a channel with most samples is written by many tasks; row groups too. Times and
+    values aren't dictionary-coded. Returns ``rows`` and ``nulls``, counted by the job that writes.
     """
     x = require(df, TELEMETRY).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    seen = Observation()
+    x = x.observe(seen, F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"))
     x = x.repartition("channel", F.floor(F.col("ts_ns") / F.lit(86_400_000_000_000))).sortWithinPartitions("channel", "ts_ns")
-    x.write.partitionBy("channel").option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).mode("errorifexists").parquet(path)
+    w = x.write.partitionBy("channel").option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).option("parquet.block.row.count.limit", rows_a_group)
+    for c in ("ts_ns", "value"):
+        w = w.option(f"parquet.enable.dictionary#{c}", "false")
+    w.mode("errorifexists").parquet(path)
+    return {k: seen.get[k] for k in ("rows", "nulls")}
 
 
 def write_commands(executions: DataFrame, definitions: DataFrame, path: str) -> int:
-    """Commands with the priority of their definition, sorted by time; returns the rows, refuses undefined ones."""
-    undefined = executions.join(definitions, "telecommand", "left_anti").limit(1).count()
-    if undefined:
-        raise SchemaError("executions without a definition")
-    x = executions.join(definitions.select("telecommand", "priority"), "telecommand").select("telecommand", F.col("ts_ns").cast("long"), F.col("execution_value").cast("short"), F.col("priority").cast("short"))
-    x.repartitionByRange("ts_ns").sortWithinPartitions("ts_ns").write.option("compression", "zstd").mode("errorifexists").parquet(path)
-    return x.sparkSession.read.parquet(path).count()
+    """Commands with the priority of their definition, sorted by time; returns the rows, refuses undefined ones.
+
+    One job: an execution without a definition ends it, and nothing is left at the path; rows are counted as
+    they are written. A definition that stands more than once multiplies no row: it ends the job too.
+    """
+    known = definitions.groupBy("telecommand").agg(F.first("priority").alias("priority"), F.count("*").alias("__n"))
+    wrong = F.concat(F.lit(UNDEFINED), F.coalesce(F.col("telecommand"), F.lit("null")))
+    x = executions.join(known, "telecommand", "left")
+    x = x.withColumn("priority", F.when(F.coalesce("__n", F.lit(0)) == 1, F.col("priority").cast("short")).otherwise(F.raise_error(wrong).cast("short")))
+    x = x.select("telecommand", F.col("ts_ns").cast("long").alias("ts_ns"), F.col("execution_value").cast("short").alias("execution_value"), "priority")
+    seen = Observation()
+    # counted after the exchange, which a range partitioning's sampling passes over as well
+    x = x.repartitionByRange("ts_ns").sortWithinPartitions("ts_ns").observe(seen, F.count("*").alias("rows"))
+    try:
+        x.write.option("compression", "zstd").mode("errorifexists").parquet(path)
+    except PySparkException as e:
+        if UNDEFINED in str(e):
+            raise SchemaError("executions without one definition") from e
+        raise
+    return seen.get["rows"]
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -90,23 +115,28 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def load_counts(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
-    """One row on a catalog file: records read, accepted and rejected ones, and objects after the last of each id."""
-    read = spark.read.schema(ELEMENTS).option("multiLine", True).json(path).limit(most).count()
-    good = _elements(spark, path, most).where("object_id > 0")
-    return good.agg(F.lit(read).cast("long").alias("records"), F.count("*").alias("accepted"), (F.lit(read) - F.count("*")).alias("rejected"), F.count_distinct("object_id").alias("objects"))
+    """One row on a catalog file: records read, accepted and rejected ones, and objects after the last of each id; one pass."""
+    good = F.col("accepted")
+    x = _elements(spark, path, most).withColumn("accepted", good & (F.col("object_id") > 0))
+    return x.agg(F.count("*").alias("records"), F.count_if(good).alias("accepted"), (F.count("*") - F.count_if(good)).alias("rejected"), F.count_distinct(F.when(good, F.col("object_id"))).alias("objects"))
 
 
-def read_elements(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
+def read_elements(spark: SparkSession, path: str, most: int = 500, seen: Observation | None = None) -> DataFrame:
     """A catalog of orbital elements from JSON: the first records, valid ids, the last of each id.
 
-    A record with a field that can't be read is left out on its own; the rest stays.
+    A record with a field that can't be read is left out on its own; the rest stays. ``seen``, where given, gets
+    ``records`` and ``accepted`` of whatever job reads the catalog.
     """
     from perigee.operators.orbit import deduplicated
 
-    return deduplicated(_elements(spark, path, most))
+    x = _elements(spark, path, most)
+    if seen is not None:
+        x = x.observe(seen, F.count("*").alias("records"), F.count_if("accepted").alias("accepted"))
+    return deduplicated(x.where("accepted").drop("accepted"))
 
 
 def _elements(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """The first records of a catalog, and whether each has all it needs."""
     raw = spark.read.schema(ELEMENTS).option("multiLine", True).json(path)
     x = raw.withColumn("ordinal", F.monotonically_increasing_id()).orderBy("ordinal").limit(most)
     d = lambda c, default: F.coalesce(F.col(c).try_cast("double"), F.when(F.col(c).isNull(), F.lit(default)))
@@ -115,7 +145,8 @@ def _elements(spark: SparkSession, path: str, most: int) -> DataFrame:
     x = x.select(F.col("NORAD_CAT_ID").try_cast("long").alias("object_id"), F.coalesce("OBJECT_NAME", F.lit("UNKNOWN")).alias("name"), F.col("OBJECT_ID").alias("alt_id"), parse_ns("EPOCH").alias("epoch_ns"),
                  d("MEAN_MOTION", 15.0).alias("mean_motion"), d("ECCENTRICITY", 0.0005).alias("eccentricity"), d("INCLINATION", 51.64).alias("inclination"), d("RA_OF_ASC_NODE", 0.0).alias("raan"),
                  d("ARG_OF_PERICENTER", 0.0).alias("arg_perigee"), d("MEAN_ANOMALY", 0.0).alias("mean_anomaly"), d("BSTAR", 0.00001).alias("bstar"), "ordinal")
-    return x.dropna(subset=["object_id", "mean_motion", "eccentricity", "inclination", "raan", "arg_perigee", "mean_anomaly", "bstar"])
+    needs = ("object_id", "mean_motion", "eccentricity", "inclination", "raan", "arg_perigee", "mean_anomaly", "bstar")
+    return x.withColumn("accepted", F.forall(F.array(*[F.col(c).isNotNull() for c in needs]), lambda v: v))
 
 
 def freshest(tiers: list[DataFrame], key: str) -> DataFrame:
