@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from perigee.functions.clock import SECOND, timestamp
 from perigee.operators import detect, memory, orbit
 from perigee.sources.tables import shared_folder, written
 
+LOG = logging.getLogger(__name__)
+
 DECISIONS = "mission string, event_id string, status string, similarity double, nearest_id string"
 
 
@@ -79,8 +85,8 @@ def start_refresh(spark: SparkSession, load: Callable[[], DataFrame], checkpoint
         if batch.limit(1).count():
             try:
                 fresh = written(load())
-            except Exception as e:  # noqa: BLE001  the old catalog serves on, as after any failed fetch
-                print(f"catalog not refreshed: {e}")
+            except (OSError, ValueError, PySparkException, Py4JError) as e:  # the old catalog serves on, as after any failed fetch
+                LOG.warning("catalog not refreshed: %s", e)
                 return
             fresh.createOrReplaceTempView(view)
 
@@ -135,16 +141,94 @@ def memory_stream(events: DataFrame, threshold: float = 0.8, late: str = "1 hour
     return x.withWatermark("at", late).groupBy("mission").applyInPandasWithState(run, DECISIONS, MEMORY, "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, path: str, transform, out: str, mode: str = "append", files: int | None = None) -> DataFrame:
+def replay(spark: SparkSession, path: str, transform, out: str, mode: str = "append", files: int | None = None, once: bool = False) -> DataFrame:
     """Run a stream over the Parquet files at ``path`` until all are read, into Parquet below ``out``.
 
     All files present are one micro-batch, so a watermark drops nothing for the way rows are dealt to files.
-    With ``files`` that many are read a micro-batch, and rows of later files may be late.
+    With ``files`` that many are read a micro-batch, and rows of later files may be late. ``once`` runs a single
+    micro-batch, which state with processing times needs, as such a query always has another one to run.
     """
     schema = spark.read.parquet(path).schema
     s = spark.readStream.schema(schema).option("recursiveFileLookup", True)
     s = (s if files is None else s.option("maxFilesPerTrigger", files)).parquet(path)
-    q = transform(s).writeStream.format("parquet").option("path", f"{out}/rows").outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    x = transform(s)
+    q = x.writeStream.format("parquet").option("path", f"{out}/rows").outputMode(mode).option("checkpointLocation", f"{out}/state")
+    q = (q.trigger(once=True) if once else q.trigger(availableNow=True)).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.schema(x.schema).parquet(f"{out}/rows")
+
+
+#: How long a record serves as cached, and what an answer says: whose record, from which tier, how old.
+RECORD_SECONDS = 3600
+ANSWERS = "object_id long, asked_ns long, tier string, payload string, age_s double"
+TIERS = ("live", "cached", "stale", "fallback")
+
 
+class RecordTiers(StatefulProcessor):
+    """The newest record of an object: one state that Spark forgets after ``ttl`` seconds, and one that stays.
+
+    Rows with a ``payload`` are records that were just fetched, those without ask. While the first state is
+    there, answers are ``cached``; once it has gone they are ``stale``; an object that nothing was ever fetched for
+    gets the ``fallback``. Each record is answered as ``live``. When a record's time is up, a timer says
+    so once, unless a newer one has come.
+    """
+
+    def __init__(self, ttl: int, fallback: str):
+        self.ttl, self.fallback = ttl, fallback
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fresh = handle.getValueState("fresh", "payload string, at_ms long", ttlDurationMs=self.ttl * 1000)
+        self.kept = handle.getValueState("kept", "payload string, at_ms long")
+
+    def _take(self, payload: str, at_ms: int) -> None:
+        self.fresh.update((payload, at_ms))
+        self.kept.update((payload, at_ms))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at_ms + self.ttl * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentProcessingTimeInMs(), []
+        both = pd.concat(list(rows)).sort_values("asked_ns", kind="stable")
+        for r in both.itertuples():
+            if r.payload is not None and r.payload == r.payload:
+                self._take(r.payload, now)
+                out.append((key[0], r.asked_ns, "live", r.payload, 0.0))
+            elif self.fresh.exists():
+                payload, at = self.fresh.get()
+                out.append((key[0], r.asked_ns, "cached", payload, (now - at) / 1000))
+            elif self.kept.exists():
+                payload, at = self.kept.get()
+                out.append((key[0], r.asked_ns, "stale", payload, (now - at) / 1000))
+            else:
+                out.append((key[0], r.asked_ns, "fallback", self.fallback, None))
+        yield pd.DataFrame(out, columns=["object_id", "asked_ns", "tier", "payload", "age_s"]).astype({"object_id": "int64", "asked_ns": "int64", "age_s": "float64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        payload, at = self.kept.get()
+        age = (timerValues.getCurrentProcessingTimeInMs() - at) / 1000
+        yield pd.DataFrame({"object_id": [key[0]], "asked_ns": [expiredTimerInfo.getExpiryTimeInMs() * 1_000_000], "tier": ["expired"], "payload": [payload], "age_s": [age]})
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Records of an earlier store, ``payload, at_ms``: what is still young enough serves as cached."""
+        for r in initialState.sort_values("at_ms").itertuples():
+            self.kept.update((r.payload, int(r.at_ms)))
+            if timerValues.getCurrentProcessingTimeInMs() - r.at_ms < self.ttl * 1000:
+                self.fresh.update((r.payload, int(r.at_ms)))
+
+    def close(self) -> None:
+        pass
+
+
+def record_tiers(stream: DataFrame, ttl: int = RECORD_SECONDS, fallback: str = "UNAVAILABLE", store: DataFrame | None = None) -> DataFrame:
+    """Answers from the freshest tier: ``object_id, asked_ns, tier, payload, age_s``, and an ``expired`` row a record.
+
+    ``stream`` has ``object_id, asked_ns, payload``: records (with a payload) and questions (without). State is
+    kept per object in Spark's RocksDB store, with its time to live, and survives restarts; ``store`` has
+    ``object_id, payload, at_ms`` of records to begin with. Times are those at which Spark works.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    x = stream.select("object_id", "asked_ns", "payload").groupBy("object_id")
+    first = None if store is None else store.select("object_id", "payload", "at_ms").groupBy("object_id")
+    return x.transformWithStateInPandas(RecordTiers(ttl, fallback), ANSWERS, "append", "ProcessingTime", initialState=first)
