@@ -889,9 +889,11 @@ def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int =
 
 # ---------------------------------------------------------------- what a stored image uses
 
-#: Pixels that the estimate looks at, bits that a transform must save beyond its own, pixels from which a cache pays
-#: by several percent.
-LOOKED, FIXED, CACHED = 512, 400, 2048
+#: Pixels of an image that the estimate looks at; what a transform or a cache must save over the whole image: bits
+#: that its own description takes, and a share of all bits.
+LOOKED, FIXED, WORTH = 512, 400, 1 / 20
+#: Bits that a pixel out of the cache takes, by the estimate, and bits for describing a place that is used.
+PLACE, DESCRIBED = 9.0, 4.0
 
 
 @lru_cache(maxsize=1)
@@ -900,51 +902,97 @@ def _count_bits() -> np.ndarray:
     return n * np.log2(np.maximum(n, 1))
 
 
-def _cost(argb: np.ndarray) -> float:
-    """Bits of an ideal code for the pixels: green by itself, the other three samples together."""
-    green = np.bincount(argb[:, 2], minlength=256)
-    rest = np.bincount(argb.ravel(), minlength=256) - green
-    bits = _count_bits()
-    return bits[len(argb)] - bits[green].sum() + bits[3 * len(argb)] - bits[rest].sum()
+def _costs(of: np.ndarray, argb: np.ndarray, images: int) -> np.ndarray:
+    """Bits of an ideal code for the pixels of each image ``of``: green by itself, the other three samples together."""
+    at, bits = of * 256, _count_bits()
+    green, *rest = (np.bincount(at + argb[:, k], minlength=images * 256) for k in (2, 0, 1, 3))
+    n = np.bincount(of, minlength=images)
+    held = lambda counts: bits[counts].reshape(images, 256).sum(axis=1)
+    return bits[n] - held(green) + bits[3 * n] - held(rest[0] + rest[1] + rest[2])
 
 
-def _slope(x: np.ndarray, y: np.ndarray) -> int:
-    """The cross-colour factor, in 32nds, that takes most of ``y`` away given ``x``; both signed bytes."""
-    x, y = x.view(np.int8).astype(np.float64), y.view(np.int8).astype(np.float64)
-    x, y = x - x.mean(), y - y.mean()
-    return int(np.clip(np.rint(32 * (x @ y) / max(float(x @ x), 1.0)), -128, 127))
+def _cache_gains(of: np.ndarray, argb: np.ndarray, cache: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Bits that caches save, given the bits of a pixel: for each whose place still holds it, less what the places take.
 
-
-def choose(rgba: np.ndarray) -> dict:
-    """Transforms and cache for an image, from its pixels alone: what an estimate over a stretch of it finds shortest.
-
-    Without a gain of ``FIXED`` bits over the whole image, as in the smallest, there is no transform. Large images
-    get a colour cache, of more places the more pixels they have; a predictor leaves too few equal pixels for one.
+    Pixels that the one before repeats count for nothing, as runs of them are references anyway.
     """
-    height, width, _ = rgba.shape
-    n = height * width
-    cache = min(11, n.bit_length() - 2) if n >= CACHED else 0
-    if n < CACHED:
-        return {"cache": cache}
-    at = max(0, (n - LOOKED) // 2) // width * width
-    x = np.ascontiguousarray(rgba.reshape(-1, 4)[at: at + LOOKED][:, [3, 0, 1, 2]])
+    v = _words(argb)
+    place = ((v.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> (32 - cache[of]).astype(np.uint64)).astype(np.int64)
+    key = of << 11 | place
+    order = np.argsort(key, kind="stable")
+    k, w = key[order], v[order]
+    again = (k[1:] == k[:-1]) & (w[1:] == w[:-1]) & (order[1:] - order[:-1] > 1)
+    hit = k[1:][again]
+    hits = np.bincount(hit >> 11, minlength=len(cache))
+    first = np.ones(len(hit), bool)
+    first[1:] = hit[1:] != hit[:-1]
+    return hits * (each - PLACE) - np.bincount(hit[first] >> 11, minlength=len(cache)) * DESCRIBED
+
+
+def choose_all(images: list[np.ndarray]) -> list[dict]:
+    """Transforms and cache for images, from their pixels alone: what an estimate over a stretch of each finds shortest.
+
+    One rule for images of every size, estimated for many at once: a transform or a cache is used if it saves more
+    than ``FIXED`` bits and a ``WORTH`` of all over the whole image, by the estimate. A cache has more places the
+    more pixels there are; a predictor leaves too few equal pixels for one. A choice doesn't depend on the other images.
+    """
+    if not images:
+        return []
+    m, sizes, looks = len(images), np.array([i.shape[0] * i.shape[1] for i in images]), []
+    for image, n in zip(images, sizes.tolist()):
+        at = max(0, (n - LOOKED) // 2) // image.shape[1] * image.shape[1]
+        looks.append(image.reshape(-1, 4)[at: at + LOOKED])
+    n = np.array([len(x) for x in looks])
+    of, x = np.repeat(np.arange(m), n), np.ascontiguousarray(np.concatenate(looks)[:, [3, 0, 1, 2]])
+    scale, width = sizes / n, np.array([i.shape[1] for i in images])
+    plain = _costs(of, x, m)
+    least = np.maximum(FIXED / scale, plain * WORTH)
+    cache = np.minimum(11, np.maximum(1, np.ceil(np.log2(sizes + 1)).astype(np.int64) - 2))
+    held = _cache_gains(of, x, cache, plain / n)
+    cache, held = np.where(held > least, cache, 0), np.where(held > least, held, 0.0)
     green = x.copy()
     green[:, 1] -= x[:, 2]
     green[:, 3] -= x[:, 2]
-    plain = _cost(x)
-    found = [(_cost(green), {"transforms": (GREEN,), "cache": cache})]
-    tiles = ((height + 63) >> 6, (width + 63) >> 6)
-    for mode, back in ((1, 1), (2, width)):
-        if len(x) > back:
-            left = _cost(x[back:] - x[:-back]) * len(x) / (len(x) - back)
-            found.append((left, {"transforms": (PREDICT,), "tile": 6, "modes": np.full(tiles, ALPHA | mode << 8, np.uint32)}))
-    to_red, to_blue = _slope(x[:, 2].copy(), x[:, 1].copy()), _slope(x[:, 2].copy(), x[:, 3].copy())
-    if to_red or to_blue:
-        tile = np.uint32(ALPHA | (to_blue & 255) << 8 | to_red & 255)
-        crossed = _bytes(uncross(_words(x)[None], len(x), 16, np.full((1, 1), tile), -1).ravel())
-        found.append((_cost(crossed), {"transforms": (CROSS,), "tile": 6, "cross": np.full(tiles, tile), "cache": cache}))
-    bits, best = min(found, key=lambda f: f[0])
-    return best if (plain - bits) * n / len(x) > FIXED else {"cache": cache}
+    costs = [_costs(of, green, m) - held]
+    for back in (np.ones(m, np.int64), width):
+        left = np.full(m, np.inf)
+        for b in np.unique(back):
+            if len(x) > b:
+                same = (of[b:] == of[:-b]) & (back[of[b:]] == b)
+                some = n[back == b] - b
+                got = _costs(of[b:][same], (x[b:] - x[:-b])[same], m)[back == b]
+                left[back == b] = np.where(some > 0, got * n[back == b] / np.maximum(some, 1), np.inf)
+        costs.append(left)
+    # factors in 32nds that take most of red and blue away given green; whole numbers, so exact in any order
+    r, g, b = (np.ascontiguousarray(x[:, k]).view(np.int8).astype(np.int64) for k in (1, 2, 3))
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    total = lambda v: np.add.reduceat(v, starts)
+    spread = np.maximum(n * total(g * g) - total(g) ** 2, 1)
+    to_red, to_blue = (np.clip(np.rint(32 * (n * total(g * v) - total(g) * total(v)) / spread), -128, 127).astype(np.int64) for v in (r, b))
+    crossed = x.copy()
+    crossed[:, 1] -= ((to_red[of] * g) >> 5).astype(np.uint8)
+    crossed[:, 3] -= ((to_blue[of] * g) >> 5).astype(np.uint8)
+    costs.append(np.where((to_red != 0) | (to_blue != 0), _costs(of, crossed, m) - held, np.inf))
+    costs = np.stack(costs)
+    best = costs.argmin(axis=0)
+    pays = plain - held - costs.min(axis=0) > least
+    out = []
+    for i, image in enumerate(images):
+        tiles = ((image.shape[0] + 63) >> 6, (image.shape[1] + 63) >> 6)
+        if not pays[i]:
+            out.append({"cache": int(cache[i])})
+        elif best[i] == 0:
+            out.append({"transforms": (GREEN,), "cache": int(cache[i])})
+        elif best[i] < 3:
+            out.append({"transforms": (PREDICT,), "tile": 6, "modes": np.full(tiles, ALPHA | int(best[i]) << 8, np.uint32)})
+        else:
+            tile = np.uint32(ALPHA | (int(to_blue[i]) & 255) << 8 | int(to_red[i]) & 255)
+            out.append({"transforms": (CROSS,), "tile": 6, "cross": np.full(tiles, tile), "cache": int(cache[i])})
+    return out
+
+
+def choose(rgba: np.ndarray) -> dict:
+    return choose_all([rgba])[0]
 
 
 # ---------------------------------------------------------------- operator
@@ -965,10 +1013,15 @@ def padded(raw: bytes) -> bytes:
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
+def stored_all(payloads: list[bytes]) -> list[bytes]:
+    """The files that payloads are kept as; what each uses is estimated for all of them at once."""
+    images = [to_image(data) for data in payloads]
+    return [encode(image, **how) for image, how in zip(images, choose_all(images))]
+
+
 def stored(data: bytes) -> bytes:
     """The file that a payload is kept as."""
-    image = to_image(data)
-    return encode(image, **choose(image))
+    return stored_all([data])[0]
 
 
 def feature(rgba: np.ndarray) -> str:
@@ -990,7 +1043,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, part = pa.array(map(len, raw), pa.int64()), [padded(x) for x in raw]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(at, 256), sizes,
-                 pa.array(map(len, part), pa.int64()), pa.array([stored(p) for p in part], pa.binary())],
+                 pa.array(map(len, part), pa.int64()), pa.array(stored_all(part), pa.binary())],
                 ["doc_id", "n_bytes", "payload_bytes", "media"])
 
 
