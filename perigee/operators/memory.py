@@ -384,6 +384,13 @@ def study_summary(decisions: DataFrame) -> DataFrame:
         F.round(F.try_divide(n(rare & F.col("alarm") & ~F.col("alarm_after")), n(rare & F.col("alarm"))), 6).alias("suppression_rate"))
 
 
+def recurrence_summary(decisions: DataFrame, category: str = "Rare Event") -> DataFrame:
+    """One row on the reviews of one category: windows, those that need one, recognized ones, and these in percent (null without any)."""
+    x = decisions.where(F.col("category") == category)
+    found = F.count_if("recognized")
+    return x.agg(F.count("*").alias("windows"), (F.count("*") - found).alias("review_required"), found.alias("recognized"), F.round(F.try_divide(found * 100.0, F.count("*")), 6).alias("recognition_rate_pct"))
+
+
 def alerts(answers: DataFrame) -> DataFrame:
     """Severity of each answered event: known patterns inform, anomalies are critical, the rest warns."""
     severity = F.when(F.col("status") == "KNOWN", "INFO").when(F.col("category") == "Anomaly", "CRITICAL").otherwise("WARNING")

@@ -508,11 +508,15 @@ def derived(objects: DataFrame) -> DataFrame:
     return objects.withColumns({"period_min": F.round(geo.period_minutes(mm), 2), "semi_major_km": F.round(geo.semi_major_km(mm), 2), "apogee_km": F.round(geo.apogee_km(mm, ecc), 2), "perigee_km": F.round(geo.perigee_km(mm, ecc), 2), "regime": geo.regime(mm)})
 
 
-def search(objects: DataFrame, text: str, most: int = 100, alt: str = "alt_id") -> DataFrame:
-    """Matches in tiers: id, other id, name, start of the name, part of the name; catalog order inside a tier."""
+def search(objects: DataFrame, text: str, most: int = 100, alt: str = "alt_id", starts: bool = True) -> DataFrame:
+    """Matches in tiers: id, other id, name, start of the name, part of the name; catalog order inside a tier.
+
+    Without ``starts`` there are four tiers: a name's start counts as any part of it.
+    """
     q = text.strip().lower()
     name = F.lower("name")
-    tier = (F.when(F.col("object_id").cast("string") == q, 0).when(F.lower(alt) == q, 1).when(name == q, 2).when(name.startswith(q), 3).when(name.contains(q), 4))
+    tier = F.when(F.col("object_id").cast("string") == q, 0).when(F.lower(alt) == q, 1).when(name == q, 2)
+    tier = (tier.when(name.startswith(q), 3) if starts else tier).when(name.contains(q), 4)
     return objects.withColumn("tier", tier).where("tier is not null").orderBy("tier", "ordinal").limit(most)
 
 

@@ -141,6 +141,49 @@ def _study(s, d, mode, with_commands=True):
     return memory.study(tables.written(_signatures(s, d, with_commands)), tables.written(_cohort(s, d)), mode=mode)
 
 
+#: What a replay takes for a known pattern; the vectors of the table are far apart.
+REPLAYED = 0.45
+
+
+def _replay(s, d, mode):
+    """The sequential study over the table of vectors, with categories, times and alarms by number."""
+    a = _answers(s, d)
+    cohort = a.select("event_id", F.when(F.col("vec_id") % 3 == 0, "Anomaly").otherwise("Rare Event").alias("category"), (F.col("vec_id") * 17 % 211).alias("start_ns"), (F.col("vec_id") % 5 != 0).alias("alarm"))
+    return memory.study(a.drop("label", "vec_id"), cohort, REPLAYED, mode)
+
+
+def _replay_sql(mode: str, body: str) -> str:
+    """The same, one candidate after the other, with what was learned so far as a list."""
+    asks = "alarm" if mode == "gated" else "true"
+    return f"""
+      WITH RECURSIVE emb AS ({_EMB}),
+      cohort AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN 'Anomaly' ELSE 'Rare Event' END AS category, vec_id * 17 % 211 AS start_ns, vec_id % 5 <> 0 AS alarm FROM emb),
+      asked AS (SELECT *, {asks} AS queried, row_number() OVER (ORDER BY start_ns, event_id) AS place FROM cohort),
+      could AS (SELECT *, row_number() OVER (ORDER BY place) AS n FROM asked WHERE queried AND category = 'Rare Event'),
+      cosines AS (
+        SELECT a_id, b_id, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS cos FROM (
+          SELECT a_id, b_id, x / (greatest(abs(x), abs(y)) + 1e-6::DOUBLE) AS x, y / (greatest(abs(x), abs(y)) + 1e-6::DOUBLE) AS y FROM (
+            SELECT a.vec_id AS a_id, b.vec_id AS b_id, unnest(a.vector) AS x, unnest(b.vector) AS y FROM asked a JOIN could b ON a.queried AND b.place < a.place)) GROUP BY a_id, b_id),
+      sims AS (
+        SELECT a.event_id, b.event_id AS memory_id, b.n AS b_n, b.place, CASE WHEN a.score > 3.5 AND (b.score < 2.5 OR a.score > 2 * b.score) THEN 0.0 ELSE least(greatest(
+                 0.4 * greatest(cos, 0) + 0.2 * len(list_intersect(a.affected, b.affected))::DOUBLE / len(list_distinct(list_concat(a.affected, b.affected)))
+                 + 0.2 * exp(-abs(ln(1 + a.near) - ln(1 + b.near))) + 0.2 * exp(-abs(a.cnt - b.cnt) / 5), 0), 1) END AS similarity
+        FROM cosines JOIN asked a ON a.vec_id = a_id JOIN could b ON b.vec_id = b_id),
+      alike AS (SELECT c.n AS a_n, s.b_n FROM sims s JOIN could c USING (event_id) WHERE similarity >= {REPLAYED}),
+      step(n, learned) AS (
+        SELECT 0::BIGINT, []::BIGINT[]
+        UNION ALL
+        SELECT s.n + 1, CASE WHEN bool_or(list_contains(s.learned, k.b_n)) THEN s.learned ELSE list_append(s.learned, s.n + 1) END
+        FROM step s LEFT JOIN alike k ON k.a_n = s.n + 1 WHERE s.n < (SELECT count(*) FROM could) GROUP BY s.n, s.learned),
+      learned AS (SELECT unnest(arg_max(learned, n)) AS n FROM step),
+      best AS (SELECT event_id, max(similarity) AS s, arg_max(memory_id, (similarity, -place)) AS other FROM sims WHERE b_n IN (SELECT n FROM learned) AND similarity > 0 GROUP BY event_id),
+      decided AS (
+        SELECT a.event_id, a.category, round(coalesce(best.s, 0.0), 6) AS best_similarity, other AS matched_id, coalesce(s >= {REPLAYED}, false) AS recognized,
+               coalesce(c.n IN (SELECT n FROM learned), false) AS stored, a.alarm AND NOT (coalesce(s >= {REPLAYED}, false) AND {str(mode == "gated").lower()}) AS alarm_after
+        FROM asked a LEFT JOIN best USING (event_id) LEFT JOIN could c USING (event_id))
+      {body}"""
+
+
 def _ablation(s, d):
     out = None
     for name, flag in (("without", False), ("with", True)):
@@ -214,6 +257,10 @@ QUERIES = {
     "g11_gated_learning": lambda s, d: _study(s, d, "gated"),
     "g12_recurrence_study": lambda s, d: _study(s, d, "open"),
     "g13_context_ablation": _ablation,
+    "g11_replayed_learning": lambda s, d: _replay(s, d, "gated").select("event_id", "category", F.round("best_similarity", 6).alias("best_similarity"), "matched_id", "recognized", "stored", "alarm_after"),
+    "g12_replayed_recurrence": lambda s, d: _replay(s, d, "open").select("event_id", "category", F.round("best_similarity", 6).alias("best_similarity"), "matched_id", "recognized", "stored", "alarm_after"),
+    "a24_recurrence_summary": lambda s, d: memory.recurrence_summary(_replay(s, d, "open")),
+    "o4_catalog_search": lambda s, d: orbit.search(objects(s, d), "Widget", 50, starts=False).select("object_id", "name", "tier"),
     "g14_alerts": lambda s, d: memory.alerts(memory.nearest(_candidates(s, d), _memories(s, d), 0.3).withColumn("category", F.when(F.length("event_id") % 2 == 0, "Anomaly").otherwise("Rare Event"))).select("event_id", "status", "severity"),
     "a23_study_summary": lambda s, d: memory.study_summary(_study(s, d, "gated")),
     "m4_isolation_forest": lambda s, d: (lambda t: forest.score(t, forest.fit(t, VALIDATION)).groupBy("channel").agg(F.count("*").alias("samples"), F.count_if("alarm").alias("alarms")))(v.telemetry(s, d)),
@@ -272,6 +319,10 @@ ORACLES = {
     "a21_regime_counts": sql("SELECT k.regime, count(der.object_id) AS n FROM (VALUES ('LEO'), ('MEO'), ('GEO'), ('HEO'), ('OTHER')) k(regime) LEFT JOIN der ON der.regime = k.regime GROUP BY k.regime", obj=_OBJ, der=_DER),
     "f7_catalog_filter": sql("SELECT object_id, name, regime FROM der WHERE regime = 'MEO'", obj=_OBJ, der=_DER),
     "o3_catalog_search": sql("SELECT object_id, name, CASE WHEN lower(name) = 'widget' THEN 2 WHEN starts_with(lower(name), 'widget') THEN 3 ELSE 4 END AS tier FROM obj WHERE contains(lower(name), 'widget') ORDER BY tier, ordinal LIMIT 100", obj=_OBJ),
+    "o4_catalog_search": sql("SELECT object_id, name, CASE WHEN lower(name) = 'widget' THEN 2 ELSE 4 END AS tier FROM obj WHERE contains(lower(name), 'widget') ORDER BY tier, ordinal LIMIT 50", obj=_OBJ),
+    "g11_replayed_learning": _replay_sql("gated", "SELECT event_id, category, best_similarity, matched_id, recognized, stored, alarm_after FROM decided"),
+    "g12_replayed_recurrence": _replay_sql("open", "SELECT event_id, category, best_similarity, matched_id, recognized, stored, alarm_after FROM decided"),
+    "a24_recurrence_summary": _replay_sql("open", "SELECT count(*) AS windows, count(*) FILTER (NOT recognized) AS review_required, count(*) FILTER (recognized) AS recognized, round(count(*) FILTER (recognized) * 100.0::DOUBLE / count(*), 6) AS recognition_rate_pct FROM decided WHERE category = 'Rare Event'"),
     "o3_catalog_search_id": sql("SELECT object_id, name, CASE WHEN lower(alt_id) = 'p-17' THEN 1 ELSE 4 END AS tier FROM obj WHERE lower(alt_id) = 'p-17' OR contains(lower(name), 'p-17')", obj=_OBJ),
     "s17_catalog_dedup": sql("SELECT ordinal % 97 AS object_id, name, ordinal FROM obj WHERE ordinal % 97 > 0 QUALIFY row_number() OVER (PARTITION BY ordinal % 97 ORDER BY ordinal DESC) = 1", obj=_OBJ),
     "a22_freshest_update": "SELECT user_id AS object_id, max(epoch_us(ts)) * 1000 AS freshest_ns FROM events GROUP BY user_id",
