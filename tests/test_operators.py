@@ -86,9 +86,25 @@ def test_forest_cut_is_of_all_training_scores(spark, monkeypatch):
     values = rng.normal(size=3000)
     x = frame(spark, values.tolist())
     monkeypatch.setattr(forest, "BOUND", 300)
-    trees, n, cut = forest.fit(x, 2999 * S)["c"]
-    scores = forest.anomaly(trees, values, n)
-    assert n < 600 and cut == pytest.approx(np.quantile(scores, 0.99), abs=1e-12)
+    r = forest.fit(x, 2999 * S).where("channel = 'c'").first()
+    cut = r["cut"]
+    scores = forest.anomaly(np.array(r["edges"]), np.array(r["depths"]), values, r["size"])
+    assert r["size"] < 600 and cut == pytest.approx(np.quantile(scores, 0.99), abs=1e-12)
+
+
+def test_many_forests_meet_their_samples_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = None
+    for name in ("a", "b", "c", None):
+        some = frame(spark, [*rng.normal(size=300).tolist(), 40.0, float("nan")]).withColumn("channel", F.lit(name).cast("string"))
+        x = some if x is None else x.unionByName(some)
+    f = forest.fit(x.where("channel <> 'c'"), 299 * S)
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(forest.score(x, f))
+    monkeypatch.setattr(forest, "BROADCAST", 1)
+    monkeypatch.setattr(forest, "ROWS", 100)
+    assert rows(forest.score(x, f)) == want and len(want) == x.count()
+    assert sum("alarm=True" in r for r in want) >= 2 and f.count() == 2
 
 
 def test_labels(spark):
