@@ -275,7 +275,7 @@ def _nearest(c: DataFrame, m: DataFrame, keys: list[str] = (), earlier: bool = F
         asks = c.withColumn("bound", F.lit(-1.0)) if found is None else c.join(found.select("id", F.col("b.s").alias("bound")), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
         visits = _visited(asks, boxes, keys, first, last, earlier)
         if compared is not None:
-            compared.append(visits.join(boxed.groupBy("box").agg(F.count("*").alias("n")), "box").agg(F.sum("n").alias("pairs")))
+            compared.append(visits.join(boxed.groupBy("box").agg(F.count("*").alias("n")), "box").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
         met = _met(visits, boxed).applyInArrow(_best(earlier), "id string, s double, at long, other string")
         met = met.select("id", F.struct("s", "at", "other").alias("b"))
         met = met if found is None else met.unionByName(found)

@@ -358,6 +358,27 @@ def test_block_similarity_equals_the_column(spark):
     assert some == {k for k, v in want.items() if v >= 0.6}
 
 
+def test_search_by_bounds_finds_the_best_and_compares_few(spark, monkeypatch):
+    monkeypatch.setattr(memory, "BOX", 16)
+    rng = random.Random(21)
+    kinds = [(rng.uniform(0, 6), [rng.uniform(-2, 2) for _ in range(4)], rng.sample("abcdefgh", rng.randint(0, 4)), math.exp(rng.uniform(0, 11)), float(rng.randint(0, 20))) for _ in range(40)]
+
+    def made(n, name):
+        out = []
+        for i in range(n):
+            score, vector, affected, near, count = rng.choice(kinds)
+            out.append(sig(f"{name}{i}", i, score, [v + rng.uniform(-0.1, 0.1) for v in vector], affected, near + rng.random(), count))
+        return spark.createDataFrame(out, KIND)
+
+    c, m, cost = made(400, "c"), made(500, "m"), []
+    flat = lambda df: memory._lean(df, F.col("event_id").alias("id"), F.col("start_ns").alias("at"))
+    got = {r["id"]: (r["s"], r["other"]) for r in memory._nearest(flat(c), flat(m), compared=cost).collect()}
+    left, right = flat(c).toPandas(), flat(m).toPandas().sort_values(["at", "id"])
+    s = memory.similarities(*({k: df[k].tolist() for k in memory._NEEDS} for df in (left, right)))
+    assert got == {i: (row.max(), right["id"].iloc[row.argmax()]) for i, row in zip(left["id"], s)}
+    assert sum(r.first()[0] for r in cost) < 0.5 * 400 * 500
+
+
 def test_digits_order_doubles(spark):
     from perigee.operators import ordered
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from perigee.operators import ranges
+from pyspark.sql import functions as F
 
 KIND = "k long, start_ns long, end_ns long"
 
@@ -78,3 +79,30 @@ def test_empty_inputs(spark):
     assert ranges.duration(none).first()[0] == 0
     assert ranges.subtract(some, spark.createDataFrame([(0, 0, 100)], KIND)).count() == 0
     assert sorted(map(tuple, ranges.subtract(some, spark.createDataFrame([(0, 6, 7)], KIND)).collect())) == [(5, 5), (8, 9)]
+
+
+def test_interval_join_of_a_small_and_a_large_side(spark, monkeypatch):
+    """Half of all points in one hour, intervals of a moment to a year: broadcast, shuffled and by plain comparison alike."""
+    hour, rng = 3_600_000_000_000, random.Random(4)
+    points = [("ab"[i % 2], rng.randrange(hour) if i % 2 else rng.randrange(400 * 24 * hour)) for i in range(400)]
+    spans = [(i, "ab"[i % 3 % 2], s, s + rng.choice([-1, 0, 5, hour, 40 * hour, 24 * 365 * hour])) for i in range(60) for s in [rng.randrange(2 * hour) if i % 2 else rng.randrange(300 * 24 * hour)]]
+    a = spark.createDataFrame([(k, t, t) for k, t in points] + [("a", 0, 200 * 24 * hour)], "k string, start_ns long, end_ns long")
+    b = spark.createDataFrame(spans, "id long, k string, start_ns long, end_ns long")
+    got = []
+    for small in (0, 200_000):
+        monkeypatch.setattr(ranges, "SMALL", small)
+        x = ranges.interval_join(a, b, ["k"])
+        assert ("BroadcastHashJoin" in x._jdf.queryExecution().executedPlan().toString()) or not small
+        got.append(sorted((r["k"], r["start_ns"], r["end_ns"], r["b_id"]) for r in x.collect()))
+    want = sorted((k, s, e, i) for k, s, e in [(k, t, t) for k, t in points] + [("a", 0, 200 * 24 * hour)] for i, bk, bs, be in spans if k == bk and bs <= be and s <= be and bs <= e)
+    assert got[0] == got[1] == want and len(want) > 500
+    assert ranges.interval_join(a, b.where("1 = 0"), ["k"]).count() == 0
+
+
+def test_runs_of_several_flags_in_one_pass(spark):
+    rng = random.Random(9)
+    rows = [(t * 10 + rng.randrange(5), rng.random() < 0.6, rng.choice([True, False, None])) for t in range(400) if rng.random() < 0.8]
+    x = spark.createDataFrame(rows, "ts_ns long, p boolean, q boolean")
+    got = ranges.run_counts(x, {"p": F.col("p"), "q": F.col("q")}, 14, 100).first()
+    for n in "pq":
+        assert got[n] == ranges.islands(x.select("ts_ns", F.col(n).alias("positive")), (), 14).count()
