@@ -173,7 +173,7 @@ def test_needed_terms_are_in_every_match():
 def test_license_identifiers(spark):
     said = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "BSD-3-Clause": "BSD-3-Clause", "WTFPL": None}
     rows = [(f"s{i}/x.c", f"{c} SPDX-License-Identifier: {k}\n\nint main();\n") for i, (k, c) in enumerate(zip(said, ["//", "#", " *", "--", "/*", ";;"]))]
-    rows += [("t/a", "This is under the GPLv3"), ("u/b", "See The Unlicense for more"), ("v/c", "plain words of no licence")]
+    rows += [("t/a", "This is under the GPLv3"), ("u/b", "The Unlicense.\n\nprose that says other things about it"), ("v/c", "plain words of no licence")]
     got = {p: r[0] for p, *r in scanned(spark, rows)}
     assert [got[f"s{i}/x.c"] for i in range(len(said))] == list(said.values())
     assert got["t/a"] == "GPL-3.0" and got["u/b"] == "Unlicense" and got["v/c"] is None
