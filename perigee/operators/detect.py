@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import SECOND, is_finite
+from perigee.operators.blocks import numbered
 from perigee.operators.ordered import exact_medians
 from perigee.operators.ranges import islands, run_counts
 
@@ -67,6 +68,13 @@ def event_alarms(scored_windows: DataFrame, threshold: float) -> DataFrame:
     return scored_windows.groupBy("event_id").agg(F.bool_or(F.col("score") > threshold).alias("alarm"), F.max("score").alias("score_max"))
 
 
+def window_alarms(scored: DataFrame, ev: DataFrame, threshold: float) -> DataFrame:
+    """``event_id, alarm`` of events with a sample: ``event_alarms`` of all samples inside, from running counts over all channels."""
+    x = scored.select("ts_ns", F.lit(0).alias("any"), (F.col("score") > threshold).alias("alarm"))
+    held = numbered(x.select("any", "ts_ns", "alarm"), ev, ["any"], {"alarms": F.col("alarm")})[1].where("high > low")
+    return ev.select("event_id", "start_ns", "end_ns").join(held, ["start_ns", "end_ns"]).select("event_id", (F.col("alarms") > 0).alias("alarm"))
+
+
 #: The longest gap in nanoseconds between alarms of one window.
 CONTINUITY = 90 * SECOND
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import SECOND
-from perigee.operators import context, detect, labels, ranges, scoring, series
+from perigee.operators import blocks, context, detect, labels, ranges, scoring, series
 from perigee.plans import views as v
 from perigee.plans.views import HIGH, LOW, SELECTED, TEST, VALIDATION, sql, subtract_sql, union_sql
 
@@ -43,10 +43,10 @@ def _definitions(s, d):
     return s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("telecommand_"), k.cast("string")).alias("name"), (k % 4).alias("priority"))
 
 
-def _windowed(s, d):
-    w = _ev(s, d).select("event_id", "start_ns", "end_ns")
-    x = _scored(s, d).select("channel", "value", "score", F.col("ts_ns").alias("start_ns"), F.col("ts_ns").alias("end_ns"))
-    return ranges.interval_join(x, w).select("channel", "value", "score", F.col("start_ns").alias("ts_ns"), F.col("b_event_id").alias("event_id"))
+def _window_samples(s, d):
+    """Samples of every channel inside every event: how many, the first and the last."""
+    ev = _ev(s, d).select("event_id", "start_ns", "end_ns")
+    return blocks.extents(_scored(s, d).select("channel", "ts_ns"), ev, ["channel"])
 
 
 def split_assign(s, d):
@@ -91,13 +91,13 @@ QUERIES = {
     "i3_clip": lambda s, d: ranges.clip(v.label_rows(s, d), VALIDATION, TEST, ["channel"]),
     "i4_duration": lambda s, d: ranges.duration(ranges.union(v.label_rows(s, d))),
     "j4_nearest_commands": lambda s, d: context.nearest_commands(_ev(s, d), v.commands(s, d)).select("event_id", "telecommand", "command_ns", "delta_ns"),
-    "j5_window_samples": lambda s, d: _windowed(s, d).groupBy("event_id", "channel").agg(F.count("*").alias("samples"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")),
+    "j5_window_samples": lambda s, d: _window_samples(s, d).select("event_id", "channel", "samples", "first_ns", "last_ns"),
     "j6_detected_events": lambda s, d: ranges.detected_ids(_predictions(s, d), v.label_rows(s, d).where("is_selected_channel")),
     "j7_overlap_flags": lambda s, d: ranges.overlap_flags(ranges.union(_predictions(s, d)), v.label_rows(s, d).where("is_selected_channel")),
     "j8_command_counts": lambda s, d: context.command_counts(_ev(s, d), v.commands(s, d)).select("event_id", "count_5m", "count_30m", "count_2h", "count_24h"),
     "m2_std_alarms": lambda s, d: _scored(s, d, 3.0).groupBy("channel").agg(F.count("*").alias("samples"), F.count_if("alarm").alias("alarms")),
     "m3_mad_alarms": lambda s, d: (lambda t: detect.score(t, detect.fit_mad(t, VALIDATION), 2.0).groupBy("channel").agg(F.count("*").alias("samples"), F.count_if("alarm").alias("alarms")))(v.telemetry(s, d)),
-    "m6_event_alarms": lambda s, d: detect.event_alarms(_windowed(s, d), 1.5).select("event_id", "alarm"),
+    "m6_event_alarms": lambda s, d: detect.window_alarms(_scored(s, d), _ev(s, d), 1.5),
     "m7_baseline_suite": lambda s, d: detect.suite(v.telemetry(s, d), VALIDATION, GAP),
     "e2_event_f_beta": lambda s, d: scoring.f_beta(_predictions(s, d), v.label_rows(s, d), LOW, HIGH, ("Anomaly", "Rare Event")).select("tp", "fp", "fn", "fp_time_ns", "nominal_ns", *[F.round(c, 6).alias(c) for c in ("tnr", "precision", "recall", "f_beta")]),
     "e3_two_mode_metrics": lambda s, d: scoring.modes(_predictions(s, d), v.label_rows(s, d), LOW, HIGH).select("mode", "tp", "fp", "fn", "fp_time_ns", "nominal_ns", "rare_alarms", "rare_events", "gap_predictions", "gap_events", *[F.round(c, 6).alias(c) for c in ("f_beta", "burden_precision", "rare_alarm_rate")]),
