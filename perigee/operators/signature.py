@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.clock import DAY, is_finite
-from perigee.operators import context, ranges
+from perigee.operators import blocks, context, ranges
 from perigee.operators.ordered import asof, trailing_counts
 
 PER_CHANNEL = ("mean", "std", "min", "max", "mag", "diff", "score_max", "score_mean", "score_var")
@@ -62,6 +62,21 @@ def channel_features(samples: DataFrame) -> DataFrame:
     return x.fillna(0.0, list(PER_CHANNEL))
 
 
+def window_features(scored: DataFrame, ev: DataFrame, channels: list[str], around: int = 5) -> DataFrame:
+    """``channel_features`` of ``window_samples``, without pairs of windows and samples: joined from blocks of samples."""
+    x = scored.where(F.col("channel").isin(channels)).select("channel", "ts_ns", F.when(is_finite("value"), F.col("value").cast("double")).alias("value"), "score")
+    samples, held = blocks.numbered(x, ev, ["channel"])
+    bare = F.col("high") <= F.col("low")
+    held = held.select("start_ns", "end_ns", "channel", F.when(bare, F.greatest(F.col("low") - around, F.lit(0))).otherwise(F.col("low")).alias("low"), F.when(bare, F.col("low") + around).otherwise(F.col("high")).alias("high"))
+    s = blocks.statistics(samples, held, ["channel"], ["value", "score"])
+    spread = lambda c: F.try_divide(F.col(f"{c}.m2"), F.col(f"{c}.n"))
+    average = lambda c: F.try_divide(F.col(f"{c}.total"), F.col(f"{c}.n"))
+    s = s.select("start_ns", F.col("end_ns").alias("__end"), "channel", average("value").alias("mean"), F.sqrt(spread("value")).alias("std"), F.col("value.min").alias("min"), F.col("value.max").alias("max"),
+                 (F.col("value.max") - F.col("value.min")).alias("mag"), (F.col("value.last.v") - F.col("value.first.v")).alias("diff"), F.col("score.max").alias("score_max"), average("score").alias("score_mean"), spread("score").alias("score_var"))
+    w = ev.select("event_id", "start_ns", F.coalesce("end_ns", F.col("start_ns") - 1).alias("__end"))
+    return w.join(s, ["start_ns", "__end"]).select("event_id", "channel", *PER_CHANNEL).fillna(0.0, list(PER_CHANNEL))
+
+
 def affected_channels(features: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Channels whose score passes the threshold or whose values moved, in order, and the largest score."""
     hit = (F.col("score_max") > threshold) | (F.col("mag") > MOVED)
@@ -76,13 +91,16 @@ def command_context(ev: DataFrame, commands: DataFrame) -> DataFrame:
     return x.join(near, "event_id").select("event_id", *[F.col(c).cast("double").alias(c) for c in CONTEXT])
 
 
-def signatures(scored: DataFrame, ev: DataFrame, commands: DataFrame, channels: list[str], threshold: float = 3.0) -> DataFrame:
+def signatures(scored: DataFrame, ev: DataFrame, commands: DataFrame, channels: list[str], threshold: float = 3.0, features: DataFrame | None = None) -> DataFrame:
     """One row per event: affected channels, features and context as maps, and the vector in order of its names.
 
     Telemetry features enter the vector as they are; context in seconds as a tenth of log(1 + x), other
-    context as a tenth.
+    context as a tenth. ``features`` are those of ``window_features``, where they are there already; otherwise they
+    are found here and written.
     """
-    f = channel_features(window_samples(scored, ev, channels))
+    from perigee.sources.tables import written
+
+    f = written(window_features(scored, ev, channels)) if features is None else features
     top = affected_channels(f, threshold)
     names = F.transform(F.array(*map(F.lit, PER_CHANNEL)), lambda n: F.concat(F.col("channel"), F.lit("_"), n))
     each = f.groupBy("event_id").agg(F.flatten(F.collect_list(F.arrays_zip(names.alias("k"), F.array(*PER_CHANNEL).alias("v")))).alias("pairs"))

@@ -121,24 +121,22 @@ def _test_events(s, d):
 
 
 def _features(s, d):
-    x = signature.channel_features(signature.window_samples(_scored(s, d), _test_events(s, d), SELECTED))
+    x = signature.window_features(_scored(s, d), _test_events(s, d), SELECTED)
     return x.select("event_id", "channel", *[F.round(c, 6).alias(c) for c in signature.PER_CHANNEL])
 
 
-def _signatures(s, d, with_commands=True):
+def _signatures(s, d, with_commands=True, features=None):
     c = v.commands(s, d)
-    return signature.signatures(_scored(s, d), _test_events(s, d), c if with_commands else c.where("1 = 0"), SELECTED)
+    return signature.signatures(_scored(s, d), _test_events(s, d), c if with_commands else c.where("1 = 0"), SELECTED, features=features)
 
 
-def _cohort(s, d):
+def _study(s, d, mode, with_commands=True, features=None):
+    x = tables.written(_signatures(s, d, with_commands, features))
+    # any sample of a window above the threshold: its largest score is
+    alarm = x.select("event_id", (F.col("telemetry_features.agg_score_max") > 1.65).alias("alarm"))
     ev = _test_events(s, d).where("category in ('Anomaly', 'Rare Event')")
-    w = signature.window_samples(_scored(s, d), ev, SELECTED)
-    alarm = detect.event_alarms(w, 1.65).select("event_id", "alarm")
-    return ev.join(alarm, "event_id", "left").select("event_id", "category", "start_ns", F.coalesce("alarm", F.lit(False)).alias("alarm"))
-
-
-def _study(s, d, mode, with_commands=True):
-    return memory.study(tables.written(_signatures(s, d, with_commands)), tables.written(_cohort(s, d)), mode=mode)
+    cohort = ev.join(alarm, "event_id", "left").select("event_id", "category", "start_ns", F.coalesce("alarm", F.lit(False)).alias("alarm"))
+    return memory.study(x, tables.written(cohort), mode=mode)
 
 
 #: What a replay takes for a known pattern; the vectors of the table are far apart.
@@ -185,9 +183,9 @@ def _replay_sql(mode: str, body: str) -> str:
 
 
 def _ablation(s, d):
-    out = None
+    out, features = None, tables.written(signature.window_features(_scored(s, d), _test_events(s, d), SELECTED))
     for name, flag in (("without", False), ("with", True)):
-        x = memory.study_summary(_study(s, d, "open", flag)).select(F.lit(name).alias("commands"), "events", "recognized", "stored")
+        x = memory.study_summary(_study(s, d, "open", flag, features)).select(F.lit(name).alias("commands"), "events", "recognized", "stored")
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -249,7 +247,7 @@ QUERIES = {
     "i7_class_sets": lambda s, d: labels.class_sets(labels.assigned(labels.events(v.label_rows(s, d)), VALIDATION, TEST)),
     "s11_telemetry_round_trip": _round_trip,
     "g1_channel_features": _features,
-    "g2_affected_channels": lambda s, d: signature.affected_channels(signature.channel_features(signature.window_samples(_scored(s, d), _test_events(s, d), SELECTED))).select("event_id", F.array_join("affected", ",").alias("affected")),
+    "g2_affected_channels": lambda s, d: signature.affected_channels(signature.window_features(_scored(s, d), _test_events(s, d), SELECTED)).select("event_id", F.array_join("affected", ",").alias("affected")),
     "g3_command_context": lambda s, d: signature.command_context(labels.events(v.label_rows(s, d)), v.commands(s, d)).withColumn("nearest_tc_diff_sec", F.round("nearest_tc_diff_sec", 6)),
     "g4_signatures": lambda s, d: _signatures(s, d).select("event_id", "num_affected", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 3).alias("vector_sum")),
     "g8_similarity_pairs": lambda s, d: memory.similar(_candidates(s, d), _memories(s, d), 0.4).withColumn("similarity", F.round("similarity", 6)),
