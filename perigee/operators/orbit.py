@@ -481,14 +481,14 @@ def next_passes(objects: DataFrame, station: tuple[float, float, float], now_ns:
 
 
 def grid_passes(grid: DataFrame, now_ns: int, least_elevation: float = 5.0, fallback: bool = True) -> DataFrame:
-    """As ``next_passes``, from a stored grid of ``object_id, at_ns, elevation_deg``; null elevations are below."""
-    x = grid.withColumn("up", F.coalesce(F.col("elevation_deg") >= least_elevation, F.lit(False)))
-    first = x.groupBy("object_id").agg(F.min(F.when(F.col("up"), F.col("at_ns"))).alias("aos_ns"))
-    x = x.join(first, "object_id")
-    end = F.min(F.when(~F.col("up") & (F.col("at_ns") > F.col("aos_ns")), F.col("at_ns")))
-    ends = x.groupBy("object_id").agg(F.max("aos_ns").alias("aos_ns"), end.alias("los_ns"))
-    top = x.drop("aos_ns").join(ends, "object_id").where((F.col("at_ns") >= F.col("aos_ns")) & (F.col("at_ns") < F.col("los_ns"))).groupBy("object_id").agg(F.max("elevation_deg").alias("top"))
-    return _described(ends.withColumn("aos_ns", F.when(F.col("los_ns").isNotNull(), F.col("aos_ns"))).join(top, "object_id", "left"), now_ns, fallback)
+    """As ``next_passes``, from a stored grid of ``object_id, at_ns, elevation_deg``; null elevations are below. One shuffle, by object."""
+    own = Window.partitionBy("object_id")  # an object's moments, which the horizon bounds
+    x = grid.select("object_id", "at_ns", "elevation_deg", F.coalesce(F.col("elevation_deg") >= least_elevation, F.lit(False)).alias("up"))
+    x = x.withColumn("aos_ns", F.min(F.when(F.col("up"), F.col("at_ns"))).over(own))
+    x = x.withColumn("los_ns", F.min(F.when(~F.col("up") & (F.col("at_ns") > F.col("aos_ns")), F.col("at_ns"))).over(own))
+    inside = (F.col("at_ns") >= F.col("aos_ns")) & (F.col("at_ns") < F.col("los_ns"))
+    out = x.groupBy("object_id").agg(F.max("aos_ns").alias("aos_ns"), F.max("los_ns").alias("los_ns"), F.max(F.when(inside, F.col("elevation_deg"))).alias("top"))
+    return _described(out.withColumn("aos_ns", F.when(F.col("los_ns").isNotNull(), F.col("aos_ns"))), now_ns, fallback)
 
 
 def _described(passes: DataFrame, now_ns: int, fallback: bool) -> DataFrame:
