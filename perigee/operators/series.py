@@ -45,10 +45,12 @@ def violations(df: DataFrame) -> DataFrame:
     return x.groupBy("channel").agg(F.count_if(F.col("ts_ns") <= F.col("prev.ts_ns")).alias("not_increasing"))
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """Samples ``channel, ts_ns, value`` as they are, with an error at a null time or channel and at a repeated time."""
-    x = neighbours(df, ["channel"], ["ts_ns"], ["ts_ns"])
-    bad = F.col("ts_ns").isNull() | F.col("channel").isNull() | F.coalesce(F.col("ts_ns") <= F.col("prev.ts_ns"), F.lit(False))
+def checked(df: DataFrame, repeated: bool = False) -> DataFrame:
+    """Samples ``channel, ts_ns, value`` as they are, with an error at a null time or channel and, unless ``repeated`` ones are allowed, at a repeated time."""
+    x = df if repeated else neighbours(df, ["channel"], ["ts_ns"], ["ts_ns"])
+    bad = F.col("ts_ns").isNull() | F.col("channel").isNull()
+    if not repeated:
+        bad = bad | F.coalesce(F.col("ts_ns") <= F.col("prev.ts_ns"), F.lit(False))
     wrong = F.concat(F.lit("times don't increase in channel "), F.coalesce("channel", F.lit("null")))
     return x.withColumn("ts_ns", F.when(bad, F.raise_error(wrong).cast("long")).otherwise(F.col("ts_ns"))).select(*df.columns)
 

@@ -81,7 +81,7 @@ QUERIES = {
     "a17_priority_totals": lambda s, d: context.priority_counts(_ev(s, d), v.commands(s, d)).groupBy("category", "priority").agg(F.sum("commands").alias("commands"), F.count("*").alias("event_count")),
     "a20_unusualness": lambda s, d: detect.across_channels(_scored(s, d)).withColumn("unusualness", F.round("unusualness", 6)),
     "w1_steps": lambda s, d: series.violations(v.telemetry(s, d)),
-    "w2_checked_series": lambda s, d: series.checked(labels.only_channels(v.telemetry(s, d), SELECTED)).groupBy("channel").agg(F.count("*").alias("samples"), F.max("ts_ns").alias("last_ns")),
+    "w2_checked_series": lambda s, d: series.checked(labels.only_channels(v.telemetry(s, d), SELECTED), repeated=True).groupBy("channel").agg(F.count("*").alias("samples"), F.max("ts_ns").alias("last_ns")),
     "w3_islands": _islands,
     "w4_interval_union": lambda s, d: ranges.union(v.label_rows(s, d), ["channel"]),
     "w4_global_union": lambda s, d: ranges.union(v.label_rows(s, d)),

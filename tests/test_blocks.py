@@ -60,3 +60,28 @@ def test_registered_window_queries_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(ranges, "interval_join", refused)
     for name in ("j5_window_samples", "m6_event_alarms", "g1_channel_features", "g2_affected_channels"):
         assert queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_grid_passes_in_one_shuffle(spark):
+    """The grid is read and shuffled once, not joined to itself twice."""
+    from perigee.operators import orbit
+
+    minute = 60 * 10**9
+    heights = {1: [0, 6, 9, 2, 7], 2: [1, None, 2, 3, 4], 3: [6, 7, None, 8, 1], 4: [0, 0, 0, 0, 6]}
+    grid = spark.createDataFrame([(k, m * minute, None if h is None else float(h)) for k, row in heights.items() for m, h in enumerate(row)], "object_id long, at_ns long, elevation_deg double")
+    x = orbit.grid_passes(grid, 0)
+    assert {(r["object_id"], r["aos_ns"] // minute, r["los_ns"] // minute, r["max_elevation_deg"], r["status"][:4]) for r in x.collect()} == {(1, 1, 3, 9.0, "PASS"), (3, 0, 2, 7.0, "PASS"), (2, 135, 146, 48.5, "ESTI"), (4, 135, 146, 48.5, "ESTI")}
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_checked_series_of_a_table_with_repeated_times(spark):
+    from perigee.operators import series
+
+    t = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 1.0)], "channel string, ts_ns long, value double")
+    assert series.checked(t, repeated=True).count() == 3
+    for bad in ("null as channel, 5L as ts_ns", "'a' as channel, cast(null as bigint) as ts_ns"):
+        with pytest.raises(Exception, match="times don't increase"):
+            series.checked(t.unionByName(spark.sql(f"select {bad}, 1.0D as value")), repeated=True).collect()
+    with pytest.raises(Exception, match="times don't increase"):
+        series.checked(t).collect()
