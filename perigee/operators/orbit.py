@@ -356,6 +356,11 @@ def _propagated(e: dict[str, np.ndarray], t: np.ndarray, deep: bool) -> tuple[np
 AT_ONCE = 64
 
 
+def spread(objects: DataFrame) -> DataFrame:
+    """Objects over all cores, a few tasks each: their rows are short, so a file holds very many in one split."""
+    return objects.repartition(4 * objects.sparkSession.sparkContext.defaultParallelism)
+
+
 def propagate(objects: DataFrame, at_ns: Column | str = "at_ns") -> DataFrame:
     """Adds ``error, x, y, z, vx, vy, vz`` at ``at_ns``; positions are null where ``error`` isn't 0.
 
@@ -393,7 +398,7 @@ def propagate_grid(objects: DataFrame, now_ns: int, minutes: Sequence[int]) -> D
     """
     steps = np.asarray(minutes, np.int32)
     moments = now_ns + steps.astype(np.int64) * 60 * SECOND
-    x = objects.withColumns({k: F.col(k).cast("double" if k != "epoch_ns" else "long") for k in ELEMENTS})
+    x = spread(objects).withColumns({k: F.col(k).cast("double" if k != "epoch_ns" else "long") for k in ELEMENTS})
     added = StructType.fromDDL("minute int, at_ns long, error int, x double, y double, z double, vx double, vy double, vz double")
     schema, more = StructType([*x.schema.fields, *added.fields]), added.names
 
@@ -455,7 +460,7 @@ def next_passes(objects: DataFrame, station: tuple[float, float, float], now_ns:
     """The first whole pass of each object over a station on a one-minute grid.
 
     Without one, ``status`` is ESTIMATED_ORBITAL_PASS and the times are a fixed guess, or null with
-    ``fallback=False``. An object's whole grid is one step of a vectorised batch, so nothing is shuffled.
+    ``fallback=False``. An object's whole grid is one step of a vectorised batch; only objects are shuffled, to spread them.
     """
     moments = now_ns + np.arange(hours * 60, dtype=np.int64) * 60 * SECOND
 
@@ -475,7 +480,7 @@ def next_passes(objects: DataFrame, station: tuple[float, float, float], now_ns:
                 yield pd.DataFrame({"object_id": b["object_id"].to_numpy(), "aos_ns": begin, "los_ns": end, "top": np.where(found, top, np.nan)})
 
     kind = objects.schema["object_id"].dataType.simpleString()
-    x = objects.select("object_id", *[F.col(k).cast("double" if k != "epoch_ns" else "long").alias(k) for k in ELEMENTS])
+    x = spread(objects).select("object_id", *[F.col(k).cast("double" if k != "epoch_ns" else "long").alias(k) for k in ELEMENTS])
     out = x.mapInPandas(run, f"object_id {kind}, aos_ns long, los_ns long, top double")
     return _described(out, now_ns, fallback)
 

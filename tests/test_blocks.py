@@ -85,3 +85,13 @@ def test_checked_series_of_a_table_with_repeated_times(spark):
             series.checked(t.unionByName(spark.sql(f"select {bad}, 1.0D as value")), repeated=True).collect()
     with pytest.raises(Exception, match="times don't increase"):
         series.checked(t).collect()
+
+
+def test_orbits_of_one_file_are_computed_by_all_cores(spark):
+    from perigee.operators import orbit
+
+    one = orbit.synthetic(spark, 300, 0).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    for x in (orbit.next_passes(one, (17.0, 78.0, 0.5), 0, hours=1), orbit.ground_track(one, 0, 3, 3)):
+        parts = x.groupBy(F.spark_partition_id()).count().count()
+        assert parts >= cores and x.select("object_id").distinct().count() == 300
