@@ -48,37 +48,53 @@ def _turned() -> np.ndarray:
     return x
 
 
-def canonical(lengths: np.ndarray) -> np.ndarray:
-    """Codes by symbol, with their first bit lowest, as they stand in the stream."""
-    used = np.flatnonzero(lengths)
-    n = lengths[used]
-    order = np.argsort(n, kind="stable")
-    n = n[order].astype(np.int64)
-    # in order of length, a code is the share of the code space that those before it take
-    share = np.int64(1) << (15 - n)
-    code = (np.cumsum(share) - share) >> (15 - n)
-    out = np.zeros(len(lengths), np.int64)
-    out[used[order]] = _turned()[code] >> (16 - n)
-    return out
-
-
 @lru_cache(maxsize=64)
 def lookup(packed: bytes) -> tuple[np.ndarray, int]:
     """(symbol << 4 | length) by the next ``bits`` bits; for one symbol 0 bits. ``packed``: lengths by symbol."""
     lengths = np.frombuffer(packed, np.uint8)
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     if len(used) == 0:
         return np.zeros(1, np.uint16), 0
     if len(used) == 1:
         return np.array([int(used[0]) << 4], np.uint16), 0
-    bits = int(lengths.max())
-    if int((1 << (bits - lengths[used].astype(np.int64))).sum()) != 1 << bits:
+    n = lengths[used]
+    order = n.argsort(kind="stable")
+    n = n[order].astype(np.int64)
+    bits = int(n[-1])
+    share = 1 << bits - n
+    if int(share.sum()) != 1 << bits:
         raise ValueError("a prefix code is not complete")
     # in canonical order the symbols fill the table in stretches, once its index is read from its first bit on
-    n = lengths[used].astype(np.int64)
-    order = np.argsort(n, kind="stable")
-    filled = np.repeat((used[order] << 4 | n[order]).astype(np.uint16), 1 << bits - n[order])
-    return filled.take(_order(bits)), bits
+    return (used[order] << 4 | n).astype(np.uint16).repeat(share).take(_order(bits)), bits
+
+
+def _small_codes(lengths: bytes | list[int]) -> list[int]:
+    """As ``all_canonical``, step by step, for the few symbols of the length code."""
+    out, code, before = [0] * len(lengths), -1, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code = (code + 1) << n - before if before else 0
+        before = n
+        out[s] = _TURNED_SMALL[code] >> 7 - n
+    return out
+
+
+_TURNED_SMALL = [int(f"{x:07b}"[::-1], 2) for x in range(128)]
+
+
+@lru_cache(maxsize=1024)
+def _small_lookup(packed: bytes) -> tuple[list[int], int]:
+    """As ``lookup``, step by step, for the few symbols of the length code."""
+    used = [s for s, n in enumerate(packed) if n]
+    if len(used) < 2:
+        return [s << 4 for s in used] or [0], 0
+    bits = max(packed)
+    if sum(1 << bits - packed[s] for s in used) != 1 << bits:
+        raise ValueError("a prefix code is not complete")
+    out, codes = [0] * (1 << bits), _small_codes(packed)
+    for s in used:
+        n = packed[s]
+        out[codes[s]:: 1 << n] = [s << 4 | n] * (1 << bits - n)
+    return out, bits
 
 
 @lru_cache(maxsize=16)
@@ -93,37 +109,85 @@ _NEVER = 1 << 62
 def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
     """Huffman lengths by symbol, none above ``limit``; counts are flattened until they fit."""
     out = np.zeros(len(counts), np.uint8)
-    used = np.flatnonzero(counts)
-    if len(used) == 1:
-        out[used] = 1
-    if len(used) < 2:
-        return out
+    used = counts.nonzero()[0]
     weight = counts[used].astype(np.int64)
-    while True:
-        order = np.argsort(weight, kind="stable")
-        n = len(used)
-        # what has run out or isn't made yet is larger than anything
-        leaf, made = [*weight[order].tolist(), _NEVER], [_NEVER] * n
-        parent, i, j = [0] * (2 * n - 1), 0, 0
-        for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if leaf[i] <= made[j]:
-                    parent[i] = k
-                    total += leaf[i]
-                    i += 1
-                else:
-                    parent[n + j] = k
-                    total += made[j]
-                    j += 1
-            made[k - n] = total
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth[:n]) <= limit:
-            out[used[order]] = depth[:n]
-            return out
+    while len(used):
+        order = weight.argsort(kind="stable")
+        depth = _depths(weight[order].tolist())
+        if depth[0] <= limit:
+            out[used[order]] = depth
+            break
         weight = (weight >> 1) | 1
+    return out
+
+
+def _depths(weights: list[int]) -> list[int]:
+    """Depths of leaves in a Huffman tree, by rising weight, so that the first is deepest; of a single leaf 1."""
+    n = len(weights)
+    if n < 2:
+        return [1] * n
+    # what has run out or isn't made yet is larger than anything
+    leaf, made = [*weights, _NEVER], [_NEVER] * n
+    by_leaf, by_made, i, j, a = [0] * n, [0] * n, 0, 0, weights[0]
+    for k in range(n - 1):
+        b = made[j]
+        if a <= b:
+            by_leaf[i] = k
+            i += 1
+            total, a = a, leaf[i]
+        else:
+            by_made[j] = k
+            j += 1
+            total, b = b, made[j]
+        if a <= b:
+            by_leaf[i] = k
+            i += 1
+            made[k], a = total + a, leaf[i]
+        else:
+            by_made[j] = k
+            j += 1
+            made[k] = total + b
+    depth = [1] * n
+    for k in range(n - 3, -1, -1):
+        depth[k] = depth[by_made[k]] + 1
+    return [depth[k] for k in by_leaf]
+
+
+# Many codes stand one after the other in flat arrays by symbol; code k begins at base[k], and base ends with their length.
+
+
+def all_lengths(counts: np.ndarray, base: np.ndarray, limit: int) -> np.ndarray:
+    """``code_lengths`` of many codes."""
+    out = np.zeros(len(counts), np.uint8)
+    used = counts.nonzero()[0]
+    owner = base.searchsorted(used, "right") - 1
+    edges = owner.searchsorted(np.arange(len(base))).tolist()
+    used = used[(owner << 34 | counts[used]).argsort(kind="stable")]
+    weights, depths = counts[used].tolist(), []
+    for k, (a, z) in enumerate(zip(edges, edges[1:])):
+        got = _depths(weights[a:z])
+        if got and got[0] > limit:
+            got = code_lengths(counts[base[k]: base[k + 1]], limit)[used[a:z] - base[k]].tolist()
+        depths += got
+    out[used] = depths
+    return out
+
+
+def all_canonical(lengths: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes by symbol, with their first bit lowest, as they stand in the stream, and the bits they take: none for a single symbol."""
+    codes, bits = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    used = lengths.nonzero()[0]
+    owner = base.searchsorted(used, "right") - 1
+    several = (np.bincount(owner, minlength=len(base)) > 1)[owner]
+    used, owner = used[several], owner[several]
+    n = lengths[used].astype(np.int64)
+    order = (owner << 4 | n).argsort(kind="stable")
+    used, n = used[order], n[order]
+    # a code that is complete takes all of its code space, so shares before it add up to none of the next one's
+    share = 1 << (15 - n)
+    codes[used] = _turned()[((share.cumsum() - share) & 0x7FFF) >> (15 - n)] >> (16 - n)
+    bits[used] = n
+    return codes, bits
 
 
 # ---------------------------------------------------------------- decoding
@@ -166,14 +230,16 @@ def read_code(b: Bits, size: int) -> bytes:
                 raise ValueError("a symbol is out of range")
             lengths[s] = 1
         return bytes(lengths)
-    own = bytearray(19)
-    for k in LENGTH_ORDER[: 4 + b.read(4)]:
-        own[k] = b.read(3)
+    own, shown = bytearray(19), LENGTH_ORDER[: 4 + b.read(4)]
+    three = b.read(3 * len(shown))
+    for k in shown:
+        own[k] = three & 7
+        three >>= 3
     most = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
     if most > size:
         raise ValueError("a prefix code has too many lengths")
-    table, bits = lookup(bytes(own))
-    table, mask, data = table.tolist(), (1 << bits) - 1, b.data
+    table, bits = _small_lookup(bytes(own))
+    mask, data = (1 << bits) - 1, b.data
     at, i, before, at0 = b.at, 0, 8, 0
     word = 0
     at0 = -64
@@ -223,8 +289,12 @@ def _slice(data: bytes, at: int, n: int) -> int:
 
 
 def _distance(code: np.ndarray, width: int) -> np.ndarray:
-    near = np.array([0] + [max(1, x + y * width) for x, y in NEAR], np.int64)
-    return np.where(code > 120, code - 120, near[np.minimum(code, 120)])
+    return np.where(code > 120, code - 120, _near(width)[np.minimum(code, 120)])
+
+
+@lru_cache(maxsize=16)
+def _near(width: int) -> np.ndarray:
+    return np.array([0] + [max(1, x + y * width) for x, y in NEAR], np.int64)
 
 
 def _plain(n: int, extra: int) -> int:
@@ -287,6 +357,51 @@ def _copy(out: np.ndarray, i: int, n: int, d: int, total: int) -> None:
         out[i: i + n] = np.resize(out[i - d: i], n)
 
 
+@lru_cache(maxsize=1)
+def _places() -> np.ndarray:
+    """The bits of 8,192 bytes by their place in a byte."""
+    return np.tile(np.arange(8), 1 << 13)
+
+
+def _follow(ends: np.ndarray, green: np.ndarray, b: Bits, lead: int, stop: int, need: int, distances: tuple) -> tuple[list, int, tuple]:
+    """The chain of starts from where ``b`` stands, before bit ``stop`` and for ``need`` pixels, and where it goes on.
+
+    ``ends`` by start, from byte ``lead`` on; ``_NEVER`` for references: these are returned by their number in the
+    chain, with length and distance code.
+    """
+    follow, symbols, far_table, mask = memoryview(ends), memoryview(green), memoryview(distances[0]), distances[1]
+    p, chain, where, sizes, far = b.at - 8 * lead, [], [], [], []
+    add = chain.append
+    while need > 0 and p < stop:
+        had = len(chain)
+        for _ in range(need):
+            add(p)
+            p = follow[p]
+            if p >= stop:
+                break
+        need -= len(chain) - had
+        if p == _NEVER:
+            entry = symbols[chain[-1]]
+            p = chain[-1] + (entry & 15)
+            i = lead + (p >> 3)
+            word = int.from_bytes(b.data[i: i + 8], "little") >> (p & 7)  # 43 bits are the most that a reference takes
+            s = (entry >> 4) - 256
+            extra = (s - 2) >> 1 if s > 3 else 0
+            n = _plain(s, word & (1 << extra) - 1)
+            word >>= extra
+            entry = far_table[word & mask]
+            word >>= entry & 15
+            p += extra + (entry & 15)
+            s = entry >> 4
+            extra = (s - 2) >> 1 if s > 3 else 0
+            p += extra
+            where.append(len(chain) - 1)
+            sizes.append(n)
+            far.append(_plain(s, word & (1 << extra) - 1))
+            need -= n - 1
+    return chain, p, (where, sizes, far)
+
+
 def _read_one_group(b: Bits, width: int, total: int, cache: int, code: list) -> np.ndarray:
     """All pixels where one code group holds: windows of bits, a chain of pixel starts, then one gather."""
     out = np.zeros(total, np.uint32)
@@ -297,76 +412,65 @@ def _read_one_group(b: Bits, width: int, total: int, cache: int, code: list) ->
     if code[0][1] == 0 and int(code[0][0][0]) >> 4 >= 280:
         return out  # every pixel is one place of the cache, which begins as zeros
     raw = np.frombuffer(b.data + bytes(24), np.uint8)
-    tables = [(t, np.uint32((1 << bits) - 1)) for t, bits in code]
-    refs = [np.zeros(0, np.int64)] * 3
+    tables = [(t, (1 << bits) - 1) for t, bits in code]
+    most = int(code[0][0].max())
     done, spans = 0, []
     while done < total:
         if b.at >= b.end and any(bits for _, bits in code[:4]):
             raise ValueError("the stream ends early")
         lead = b.at >> 3
         size = min(WINDOW >> 3, len(b.data) - lead)
-        part = raw[lead: lead + size + 24].astype(np.uint32)
-        three = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
-        word = (three[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # the next 16 bits and more, by bit
+        part = raw[lead: lead + size + 24].astype(np.int64)
+        three = part[:-2] | part[1:-1] << 8 | part[2:] << 16
+        word = three.repeat(8)
         n = len(word)
-        kinds: dict[int, np.ndarray] = {}
+        word >>= np.resize(_places(), n) if n > len(_places()) else _places()[:n]  # the next 16 bits and more, by bit
+        kinds: dict[int, tuple] = {}
         for t, mask in tables[:4]:  # the last is looked up where a reference stands
             if id(t) not in kinds:
-                kinds[id(t)] = t.take(word & mask) if len(t) > 1 else None
-        green = kinds[id(tables[0][0])]
+                k = t.take(word & mask) if len(t) > 1 else None
+                kinds[id(t)] = k, None if k is None else (k & 15).astype(np.int64)
+        green, wide = kinds[id(tables[0][0])]
         if green is None:
             green = np.full(n, tables[0][0][0], np.uint16)
         ends = np.arange(n)
-        ends += green & 15
+        if wide is not None:
+            ends += wide
         for t, _ in tables[1:4]:
-            if (k := kinds[id(t)]) is not None:
-                if -id(t) not in kinds:
-                    kinds[-id(t)] = k & 15
-                ends += kinds[-id(t)].take(ends, mode="clip")
-        special = (green[: 8 * size] >= 256 << 4).nonzero()[0]
-        length = np.ones(n, np.int64) if len(special) else None
-        if len(special):
-            s = (green[special] >> 4).astype(np.int64)
-            at = special + (green[special] & 15)
-            back = s < 280
-            ends[special[~back]] = at[~back]
-            where, at = special[back], at[back]
-            length[where], at = self_extra(s[back] - 256, at, three, n)
-            t, mask = tables[4]
-            d = t[_word(three, at, n) & mask]
-            far, at = self_extra((d >> 4).astype(np.int64), at + (d & 15), three, n)
-            ends[where] = at
-            reach = np.zeros(n, np.int64)
-            reach[where] = far
-        follow, p, stop, chain = memoryview(np.ascontiguousarray(ends)), b.at - 8 * lead, 8 * size, []
-        add, need = chain.append, total - done
-        for _ in range(need):
-            if p >= stop:
-                break
-            add(p)
-            p = follow[p]
+            if (wide := kinds[id(t)][1]) is not None:
+                ends += wide.take(ends, mode="clip")
+        if most >= 256 << 4:
+            special = (green >= 256 << 4).nonzero()[0]
+            entry = green[special]
+            # a cache code ends by itself; what a reference takes is read when the chain comes to one
+            ends[special] = np.where(entry < 280 << 4, _NEVER, special + (entry & 15))
+        chain, p, held = _follow(ends, green, b, lead, 8 * size, total - done, tables[4])
         at = np.array(chain, np.int64)
-        if len(special):  # references hold several pixels, so the chain may be longer than the image
-            held = int(np.searchsorted(np.cumsum(length[at]), need)) + 1
-            if held < len(at):
-                p, at = int(at[held]), at[:held]
         b.at = 8 * lead + p
-        got = green[at] >> 4
+        entry = green[at]
+        got = entry >> 4
         pixel = got.astype(np.uint32) << np.uint32(8)
-        nxt = at + (green[at] & 15)
+        nxt = at + (entry & 15)
         for (t, mask), shift in zip(tables[1:4], (16, 0, 24)):
-            k = kinds[id(t)]
-            v = np.full(len(nxt), t[0], np.uint16) if k is None else k[np.minimum(nxt, n - 1)]
+            k = kinds[id(t)][0]
+            if k is None:
+                pixel |= np.uint32((int(t[0]) >> 4) << shift)
+                continue
+            v = k.take(nxt, mode="clip")
             pixel |= (v >> 4).astype(np.uint32) << np.uint32(shift)
-            nxt = nxt + (v & 15)
-        if len(special):
-            size_of = length[at]
-            begin = done + np.cumsum(size_of) - size_of
+            nxt += v & 15
+        rest = (got >= 256).nonzero()[0]
+        if len(rest):
+            where, size_of, far = held
+            length = np.ones(len(at), np.int64)
+            length[where] = size_of
+            begin = done + length.cumsum() - length
             plain = got < 256
-            out[begin[plain & (begin < total)]] = pixel[plain & (begin < total)]
-            rest = np.flatnonzero(~plain)
-            spans.append((begin[rest], size_of[rest], np.where(got[rest] < 280, _distance(reach[at[rest]], width), 279 - got[rest].astype(np.int64))))
-            done += int(size_of.sum())
+            out[begin[plain]] = pixel[plain]
+            reach = 279 - got.astype(np.int64)
+            reach[where] = _distance(np.array(far, np.int64), width)
+            spans.append((begin[rest], length[rest], reach[rest]))
+            done += int(length.sum())
         else:
             out[done: done + len(at)] = pixel
             done += len(at)
@@ -384,16 +488,18 @@ def _read_one_group(b: Bits, width: int, total: int, cache: int, code: list) ->
     return out
 
 
-def _slots(pixels: np.ndarray, cache: int) -> np.ndarray:
+def _slots(pixels: np.ndarray, cache: int | np.ndarray) -> np.ndarray:
     """The place of each pixel in a colour cache of ``2 ** cache`` places."""
-    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache)).astype(np.int16)
+    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.asarray(32 - cache).astype(np.uint64)).astype(np.int16)
 
 
-def _before(slots: np.ndarray) -> np.ndarray:
-    """The last pixel before each one in the same place of the cache, -1 if there is none."""
-    order = np.argsort(slots, kind="stable")
+def _before(slots: np.ndarray, of: np.ndarray, images: int) -> np.ndarray:
+    """The last pixel before each one in the same place of its image's cache, -1 if there is none."""
+    order = _by_image(slots, of, images)
     out = np.full(len(slots), -1, np.int64)
     same = slots[order[1:]] == slots[order[:-1]]
+    if images > 1:
+        same &= of[order[1:]] == of[order[:-1]]
     out[order[1:][same]] = order[:-1][same]
     return out
 
@@ -422,7 +528,7 @@ def _resolve(out: np.ndarray, begin: np.ndarray, size: np.ndarray, far: np.ndarr
     hit = hit[first[place] < hit]
     # one more place in front of all holds a zero
     points = np.concatenate([[0], root + 1])
-    points[hit + 1] = _before(slots[root])[hit] + 1
+    points[hit + 1] = _before(slots[root], root, 1)[hit] + 1
     return np.concatenate([np.zeros(1, np.uint32), out])[_ends(points)[1:]]
 
 
@@ -434,21 +540,6 @@ def _ends(points: np.ndarray) -> np.ndarray:
         points = further
 
 
-def _word(three: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    at = np.minimum(at, n - 1)
-    return three[at >> 3] >> (at & 7).astype(np.uint32)
-
-
-def self_extra(symbol: np.ndarray, at: np.ndarray, three: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of prefix symbols whose extra bits begin at ``at``, and where they end."""
-    extra = np.maximum(0, (symbol - 2) >> 1)
-    low = np.minimum(extra, 12)
-    bits = _word(three, at, n).astype(np.int64) & (1 << low) - 1
-    bits |= (_word(three, at + low, n).astype(np.int64) & (1 << extra - low) - 1) << low
-    value = np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + bits + 1)
-    return value, at + extra
-
-
 def decode(data: bytes) -> np.ndarray:
     """Pixels of a lossless WebP file as rows x columns x (R, G, B, A)."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
@@ -490,7 +581,7 @@ def decode_stream(data: bytes) -> np.ndarray:
     image = read_pixels(b, wide, height, True).reshape(height, wide)
     for kind, wide, n, extra in reversed(todo):
         image = (unpredict, uncross, ungreen, unpalette)[kind](image, wide, n, extra)
-    return _bytes(image.ravel())[:, [1, 2, 3, 0]].reshape(height, width, 4)
+    return _bytes(image.ravel() << np.uint32(8) | image.ravel() >> np.uint32(24)).reshape(height, width, 4)
 
 
 def _bytes(words: np.ndarray) -> np.ndarray:
@@ -609,226 +700,228 @@ def unpredict(image: np.ndarray, width: int, tile: int, tiles: np.ndarray) -> np
 # ---------------------------------------------------------------- encoding
 
 
-def _pack(values: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Values of at most 32 bits each, one after the other from the lowest bit up."""
-    at = np.cumsum(sizes) - sizes
-    total = int(at[-1] + sizes[-1]) if len(at) else 0
-    moved = values.astype(np.uint64) << (at & 31).astype(np.uint64)
-    n = (total >> 5) + 2
-    words = np.bincount(at >> 5, (moved & 0xFFFFFFFF).astype(np.float64), n)
-    words[1:] += np.bincount(at >> 5, (moved >> np.uint64(32)).astype(np.float64), n)[:-1]
-    return words.astype(np.uint32).astype("<u4").tobytes()[: (total + 7) >> 3]
+def _pack(streams: list[np.ndarray]) -> list[bytes]:
+    """Streams of values and sizes (two rows, at most 32 bits each) as bytes, one value after the other from the lowest bit up."""
+    value, size = np.concatenate(streams, axis=1)
+    n = np.array([x.shape[1] for x in streams])
+    end = size.cumsum()
+    upto = np.concatenate([[0], end])[np.concatenate([[0], n.cumsum()])]
+    bits = upto[1:] - upto[:-1]
+    words = (bits >> 5) + 2  # each stream begins with a word of its own
+    first = words.cumsum() - words
+    at = end - size + (32 * first - upto[:-1]).repeat(n)
+    moved = value.astype(np.uint64) << (at & 31).astype(np.uint64)
+    at >>= 5
+    out = np.bincount(at, (moved & 0xFFFFFFFF).astype(np.float64), int(words.sum()))
+    out[1:] += np.bincount(at, (moved >> np.uint64(32)).astype(np.float64), len(out))[:-1]
+    data = out.astype(np.uint32).astype("<u4").tobytes()
+    return [data[4 * a: 4 * a + (k + 7 >> 3)] for a, k in zip(first.tolist(), bits.tolist())]
 
 
-class _Writer:
-    """Collects (value, size) pairs and arrays of both."""
+def _pairs(*pairs: tuple[int, int]) -> np.ndarray:
+    return np.array(pairs, np.int64).T
 
-    def __init__(self):
-        self.values, self.sizes, self.parts = [], [], []
 
-    def __iadd__(self, pairs: list[tuple[int, int]]) -> _Writer:
-        if pairs:
-            values, sizes = zip(*pairs)
-            self.values.extend(values)
-            self.sizes.extend(sizes)
-        return self
+def _tokens(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``n`` equal lengths ``v`` as symbols of the length code: by symbol its run, itself and how many lengths it stands for.
 
-    def append(self, pair: tuple) -> None:
-        if isinstance(pair[0], np.ndarray):
-            self.parts += [(np.array(self.values, np.int64), np.array(self.sizes, np.int64)), pair]
-            self.values, self.sizes = [], []
-        else:
-            self += [pair]
-
-    def done(self) -> bytes:
-        self.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        return _pack(*map(np.concatenate, zip(*self.parts)))
-
-
-def _tokens(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths by symbol as the symbols of the length code, with values and sizes of their extra bits."""
-    cut = (np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()
-    out, at, extra, room = [], [], [], []
-    for v, a, z in zip(lengths[[0, *cut]].tolist(), [0, *cut], [*cut, len(lengths)]):
-        n = z - a
-        if v:  # a run begins with its length itself
-            out.append(v)
-            n -= 1
-        while n:
-            if n < 3:
-                out += [v] * n
-                break
-            k = min(n, 6 if v else 138)
-            at.append(len(out))
-            if v:
-                out.append(16)
-                extra.append(k - 3)
-                room.append(2)
-            elif k > 10:
-                out.append(18)
-                extra.append(k - 11)
-                room.append(7)
-            else:
-                out.append(17)
-                extra.append(k - 3)
-                room.append(3)
-            n -= k
-    values, sizes = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64)
-    values[at], sizes[at] = extra, room
-    return np.array(out), values, sizes
-
-
-def _small_codes(lengths: list[int]) -> list[int]:
-    """As ``canonical``, step by step, for the few symbols of the length code."""
-    out, code = [0] * len(lengths), 0
-    for n in range(1, 8):
-        code <<= 1
-        for s, k in enumerate(lengths):
-            if k == n:
-                out[s] = int(f"{code:0{n}b}"[::-1], 2)
-                code += 1
+    A run begins with its length itself, unless that is zero; what is left at the end, if less than 3, stands as it is.
+    """
+    lead = (v > 0).astype(np.int64)
+    most = np.where(v > 0, 6, 138)
+    full, tail = (n - lead) // most, (n - lead) % most
+    count = lead + full + np.where(tail < 3, tail, 1)
+    run = np.arange(len(v)).repeat(count)
+    step = np.arange(len(run)) - (count.cumsum() - count)[run] - lead[run]
+    repeats = np.where((step >= 0) & (step < full[run]), most[run], np.where((step == full[run]) & (tail[run] > 2), tail[run], 0))
+    return run, np.where(repeats == 0, v[run], np.where(v[run] > 0, 16, np.where(repeats > 10, 18, 17))), repeats
+
+
+#: Bits that follow each symbol of the length code.
+_ROOM = np.array([0] * 16 + [2, 3, 7])
+
+
+def _described(lengths: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
+    """How each of many prefix codes is written: values and sizes."""
+    used = lengths.nonzero()[0]
+    owner = base.searchsorted(used, "right") - 1
+    number, last = np.bincount(owner, minlength=len(base) - 1), np.zeros(len(base) - 1, np.int64)
+    edges = (number.cumsum() - number).tolist()
+    last[owner] = used - base[owner]
+    short = (number <= 2) & (last < 256)
+    out: list = [None] * len(number)
+    for k in short.nonzero()[0].tolist():
+        s = (used[edges[k]: edges[k] + int(number[k])] - base[k]).tolist() or [0]
+        out[k] = _few(*s)
+    which = (~short).nonzero()[0]
+    m = len(which)
+    if not m:
+        return out
+    size = last[which] + 1
+    code = np.arange(m).repeat(size)
+    v = lengths[np.arange(len(code)) + (base[which] - size.cumsum() + size)[code]].astype(np.int64)
+    cut = np.concatenate([[0], ((v[1:] != v[:-1]) | (code[1:] != code[:-1])).nonzero()[0] + 1])
+    run, symbol, repeats = _tokens(v[cut], np.diff(cut, append=len(v)))
+    code = code[cut][run]
+    n, own_base = np.bincount(code, minlength=m), 19 * np.arange(m + 1)
+    own = all_lengths(np.bincount(19 * code + symbol, minlength=19 * m), own_base, 7)
+    codes, bits = all_canonical(own, own_base)
+    own = own.reshape(m, 19)[:, LENGTH_ORDER].astype(np.int64)
+    shown = np.maximum(4, 19 - (own[:, ::-1] > 0).argmax(axis=1))
+    wide = np.searchsorted(4 ** np.arange(1, 9), n - 2, "right")
+    some = n > 1
+    head = np.zeros((m, 2, 24), np.int64)
+    head[:, 1, 0], head[:, 0, 1], head[:, 1, 1] = 1, shown - 4, 4
+    head[:, 0, 2:21], head[:, 1, 2:21] = own, 3 * (np.arange(19) < shown[:, None])
+    head[:, 0, 21], head[:, 1, 21], head[:, 0, 22], head[:, 1, 22] = some, 1, wide * some, 3 * some
+    head[:, 0, 23], head[:, 1, 23] = (n - 2) * some, (2 + 2 * wide) * some
+    items = np.zeros((2, len(code), 2), np.int64)
+    items[0, :, 0], items[1, :, 0] = codes[19 * code + symbol], bits[19 * code + symbol]
+    items[0, :, 1], items[1, :, 1] = np.where(repeats > 0, repeats - np.where(repeats > 10, 11, 3), 0), _ROOM[symbol]
+    items = items.reshape(2, -1)
+    ends = (2 * n.cumsum()).tolist()
+    for k, h, a, z in zip(which.tolist(), head, [0, *ends], ends):
+        out[k] = np.concatenate([h, items[:, a:z]], axis=1)
     return out
 
 
-def _code_bits(lengths: np.ndarray) -> tuple[list[tuple[int, int]], tuple[np.ndarray, np.ndarray] | None]:
-    """How a prefix code is written: pairs of value and size, and arrays of both that follow them."""
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (len(used) == 0 or used[-1] < 256):
-        s = used.tolist() or [0]
-        return [(1, 1), (len(s) - 1, 1), (1, 1), *[(x, 8) for x in s]], None
-    tokens, extra, room = _tokens(lengths[: int(used[-1]) + 1])
-    own = code_lengths(np.bincount(tokens, minlength=19), 7).tolist()
-    many = 19 - own.count(0) > 1
-    shown = max(4, max(i for i, k in enumerate(LENGTH_ORDER) if own[k]) + 1)
-    head = [(0, 1), (shown - 4, 4), *[(own[k], 3) for k in LENGTH_ORDER[:shown]]]
-    if len(tokens) >= 2:
-        wide = next(n for n in range(8) if len(tokens) - 2 < 1 << 2 + 2 * n)
-        head += [(1, 1), (wide, 3), (len(tokens) - 2, 2 + 2 * wide)]
-    else:
-        head += [(0, 1)]
-    values, sizes = np.empty(2 * len(tokens), np.int64), np.empty(2 * len(tokens), np.int64)
-    values[0::2], sizes[0::2] = (np.array(_small_codes(own))[tokens], np.array(own)[tokens]) if many else (0, 0)
-    values[1::2], sizes[1::2] = extra, room
-    return head, (values, sizes)
+@lru_cache(maxsize=4096)
+def _few(*symbols: int) -> np.ndarray:
+    """How a prefix code of one or two symbols below 256 is written."""
+    return _pairs((1, 1), (len(symbols) - 1, 1), (1, 1), *[(x, 8) for x in symbols])
 
 
+#: Pixels of images that are written together; a larger image is written alone.
+TOGETHER = 1 << 17
 #: Bits of the longest code that is written; short tables are quick to read, and longer codes save next to nothing.
 LONGEST = 12
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbol, extra bits and their number of lengths or distance codes from 1 up."""
+    if not len(value):
+        return (np.zeros(0, np.int64),) * 3
     v = value - 1
-    high = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
     second = v >> np.maximum(high - 1, 0) & 1
     small = v < 4
     extra = np.where(small, 0, high - 1)
     return np.where(small, v, 2 * high + second), np.where(small, 0, v & (1 << extra) - 1), extra
 
 
-def matches(pixels: np.ndarray, shortest: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Back-references (start, length, distance): stretches that repeat the last place with the same three pixels."""
+def matches(pixels: np.ndarray, of: np.ndarray, looked: np.ndarray, shortest: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references (start, length, distance): stretches that repeat the last place with the same three pixels.
+
+    ``pixels`` are those of many images, one after the other, ``of`` their images; ``looked`` says which images may
+    have references.
+    """
     none = (np.zeros(0, np.int64),) * 3
-    if len(pixels) < 2 * shortest:
+    at = ((of[2:] == of[:-2]) & looked[of[2:]]).nonzero()[0]
+    if not len(at):
         return none
     p = pixels.astype(np.uint64)
-    key = (p[:-2] * np.uint64(0x9E3779B97F4A7C15) + p[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + p[2:]
+    key = ((p[:-2] * np.uint64(0x9E3779B97F4A7C15) + p[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + p[2:])[at]
     # by sixteen bits of it, which sort quickly; the few keys that share them hide a match from one another
-    order = np.argsort((key >> np.uint64(48)).astype(np.uint16), kind="stable")
-    ordered = key[order]
-    same = ordered[1:] == ordered[:-1]
-    back = np.zeros(len(key), np.int64)
-    back[order[1:][same]] = (order[1:] - order[:-1])[same]
-    cut = np.flatnonzero(np.diff(back)) + 1
-    start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+    order = _by_image((key >> np.uint64(48)).astype(np.uint16), of[at], len(looked))
+    key, at = key[order], at[order]
+    same = ((key[1:] == key[:-1]) & (of[at[1:]] == of[at[:-1]])).nonzero()[0]
+    back = np.zeros(len(pixels), np.int64)
+    back[at[same + 1]] = at[same + 1] - at[same]
+    # equal keys of different pixels
+    k = back.nonzero()[0]
+    odd = any(not np.array_equal(pixels[k + step], pixels[k - back[k] + step]) for step in (0, 1, 2))
+    cut = (back[1:] != back[:-1]).nonzero()[0] + 1
+    start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(back)]])
     hit = (back[start] > 0) & (end - start + 2 >= shortest)
+    start, end = start[hit], end[hit]
     out, last = [], 0
-    for i, z, d in zip(start[hit].tolist(), (end[hit] + 2).tolist(), back[start[hit]].tolist()):
+    for i, z, d in zip(start.tolist(), (end + 2).tolist(), back[start].tolist()):
         i = max(i, last)
         while z - i >= shortest and d < 1 << 20:
             n = min(z - i, 4096)
-            if not np.array_equal(pixels[i: i + n], pixels[i - d: i - d + n]) and d >= n:
-                break  # equal keys of different pixels
-            if d < n and not np.array_equal(pixels[i: i + n], np.resize(pixels[i - d: i], n)):
+            if odd and not np.array_equal(pixels[i: i + n], pixels[i - d: i - d + n]):
                 break
             out.append((i, n, d))
             i = last = i + n
-    return tuple(np.array(out, np.int64).reshape(-1, 3).T) if out else none
+    return tuple(np.array(out, np.int64).T) if out else none
 
 
-def _write_pixels(pixels: np.ndarray, bits: _Writer, cache: int = 0, repeats: bool = True, main: bool = False, width: int = 0, groups: tuple | None = None):
-    """Append one entropy-coded image to ``bits``: pairs of (value, size), numbers or arrays.
+def _by_image(key: np.ndarray, of: np.ndarray, images: int) -> np.ndarray:
+    """Stable order by image, then by a short key."""
+    order = key.argsort(kind="stable")
+    return order if images == 1 else order[of[order].astype(np.min_scalar_type(images)).argsort(kind="stable")]
 
-    ``groups``: (tile bits, tiles of group numbers) for several code groups of the main image.
+
+def _coded(images: list[tuple]) -> list[np.ndarray]:
+    """The prefix codes and pixels of entropy-coded images, as values and sizes.
+
+    ``images``: (pixels, bits of the cache, whether repeats are sought, code groups of the pixels or None).
     """
-    bits += [(1, 1), (cache, 4)] if cache else [(0, 1)]
-    start, size, far = matches(pixels) if repeats else (np.zeros(0, np.int64),) * 3
-    n = len(pixels)
+    m, n = len(images), np.array([len(x[0]) for x in images])
+    cache, looked = np.array([x[1] for x in images]), np.array([x[2] for x in images]) & (n >= 8)
+    pixels, of, first = np.concatenate([x[0] for x in images]), np.arange(m).repeat(n), n.cumsum() - n
+    number = np.array([1 if x[3] is None else int(x[3].max()) + 1 for x in images])
+    group = (number.cumsum() - number)[of]
+    for (_, _, _, own), a in zip(images, first.tolist()):
+        if own is not None:
+            group[a: a + len(own)] += own
+    start, size, far = matches(pixels, of, looked)
     if len(start):
-        open_at = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)
-        plain = np.flatnonzero(np.cumsum(open_at[:-1]) == 0)
+        open_at = np.bincount(start, minlength=len(pixels) + 1) - np.bincount(start + size, minlength=len(pixels) + 1)
+        plain = (open_at[:-1].cumsum() == 0).nonzero()[0]
     else:
-        plain = np.arange(n)
+        plain = np.arange(len(pixels))
     argb = _bytes(pixels[plain])
-    green, hit = argb[:, 2].astype(np.int64), np.zeros(len(plain), bool)
-    if cache:
-        slots = _slots(pixels, cache)
-        before = _before(slots)[plain]
-        hit = np.where(before < 0, 0, pixels[np.maximum(before, 0)]) == pixels[plain]
+    green, group_p, group_r = argb[:, 2].astype(np.int64), group[plain], group[start]
+    hit = np.zeros(len(plain), bool)
+    if cache.any():
+        k = cache[of].nonzero()[0]
+        v, slots, known = pixels[k], np.zeros(len(pixels), np.int16), np.zeros(len(pixels), bool)
+        slots[k] = _slots(v, cache[of[k]])
+        before = _before(slots[k], of[k], m)
+        known[k] = np.where(before < 0, 0, v[before]) == v
+        hit = known[plain]
         green[hit] = 280 + slots[plain[hit]]
     ls, lv, ln = _prefix(size)
     ds, dv, dn = _prefix(far + 120)
-    if main:
-        bits += [(1, 1), (groups[0] - 2, 3)] if groups else [(0, 1)]
-    if groups:
-        tile, tiles = groups
-        _write_pixels(tiles.ravel().astype(np.uint32) << 8 | ALPHA, bits)
-        of = lambda i: tiles[i // width >> tile, i % width >> tile].astype(np.int64)
-        number = int(tiles.max()) + 1
-    else:
-        of, number = (lambda i: np.zeros(len(i), np.int64)), 1
-    group_p, group_r = of(plain), of(start)
-    codes, sizes = [], []
-    for g in range(number):
-        here, mine, ref = ((group_p == g) & ~hit, group_p == g, group_r == g) if number > 1 else (~hit if cache else slice(None), slice(None), slice(None))
-        first = np.bincount(np.concatenate([green[mine], 256 + ls[ref]]), minlength=280 + (1 << cache if cache else 0))
-        some = argb[here]
-        rest = np.bincount(some.ravel(), minlength=256) - np.bincount(some[:, 2], minlength=256)
-        if len(plain) and n <= 64:  # in small images each channel its own code: constant ones vanish
-            three = [code_lengths(np.bincount(argb[here][:, k], minlength=256)) for k in (1, 3, 0)]
-        else:
-            three = [code_lengths(rest, LONGEST)] * 3
-        lengths = [code_lengths(first, LONGEST), *three, code_lengths(np.bincount(ds[ref], minlength=40), LONGEST)]
-        shown = {}
-        for x in lengths:
-            if id(x) not in shown:
-                many = np.count_nonzero(x) > 1
-                shown[id(x)] = _code_bits(x), canonical(x) if many else np.zeros(len(x), np.int64), x.astype(np.int64) * many
-            head, rest_of = shown[id(x)][0]
-            bits += head
-            if rest_of is not None:
-                bits.append(rest_of)
-        codes.append([shown[id(x)][1] for x in lengths])
-        sizes.append([shown[id(x)][2] for x in lengths])
-    value, count = np.zeros((n, 3), np.int64), np.zeros((n, 3), np.int64)
-    for g in range(number):
-        (cg, cr, cb, ca, cd), (sg, sr, sb, sa, sd) = codes[g], sizes[g]
-        k = np.flatnonzero(group_p == g) if number > 1 else slice(None)
-        at, gr, x, h = plain[k], green[k], argb[k], hit[k]
-        r, bl, a = x[:, 1], x[:, 3], x[:, 0]
-        v1, n1 = cg[gr] | cr[r] << sg[gr], sg[gr] + sr[r]
-        v2, n2 = cb[bl] | ca[a] << sb[bl], sb[bl] + sa[a]
-        if cache:
-            v1, n1 = np.where(h, cg[gr], v1), np.where(h, sg[gr], n1)
-            v2, n2 = np.where(h, 0, v2), np.where(h, 0, n2)
-        value[at, 0], count[at, 0], value[at, 1], count[at, 1] = v1, n1, v2, n2
-        k = group_r == g
-        at, s, d = start[k], 256 + ls[k], ds[k]
-        value[at, 0], count[at, 0] = cg[s] | lv[k] << sg[s], sg[s] + ln[k]
-        value[at, 1], count[at, 1] = cd[d], sd[d]
-        value[at, 2], count[at, 2] = dv[k], dn[k]
-    used = count[:, 2].any()
-    bits.append((value.ravel(), count.ravel()) if used else (value[:, :2].ravel(), count[:, :2].ravel()))
+    # five codes a group: green, red, blue, alpha, distances; red, blue and alpha share one but in small images, where
+    # each channel has its own: constant ones vanish
+    image = np.arange(m).repeat(number)
+    room = np.full((len(image), 5), 256)
+    room[:, 0], room[:, 4] = 280 + np.where(cache > 0, 1 << cache, 0)[image], 40
+    base = np.concatenate([[0], room.ravel().cumsum()])
+    use = np.arange(len(base) - 1).reshape(-1, 5)
+    use[n[image] > 64, 2:4] = use[n[image] > 64, 1:2]
+    at_g, at_r, at_b, at_a, at_d = base[use].T
+    g, r, b, a = at_g[group_p] + green, at_r[group_p] + argb[:, 1], at_b[group_p] + argb[:, 3], at_a[group_p] + argb[:, 0]
+    s, d = at_g[group_r] + 256 + ls, at_d[group_r] + ds
+    counts = np.bincount(np.concatenate([g, s, d, *((r, b, a) if not hit.any() else (x[~hit] for x in (r, b, a)))]), minlength=int(base[-1]))
+    lengths = all_lengths(counts, base, LONGEST)
+    codes, bits = all_canonical(lengths, base)
+    heads = _described(lengths, base)
+    # two values a pixel or reference: green and red, or a length, then blue and alpha, or a distance
+    n1, n2 = bits[g], bits[b]
+    v1, v2 = codes[g] | codes[r] << n1, codes[b] | codes[a] << n2
+    n1, n2 = n1 + bits[r], n2 + bits[a]
+    if hit.any():
+        v1[hit], n1[hit], v2[hit], n2[hit] = codes[g[hit]], bits[g[hit]], 0, 0
+    items = np.array([[v1, v2], [n1, n2]])
+    if len(start):
+        refs = np.array([[codes[s] | lv << bits[s], codes[d] | dv << bits[d]], [bits[s] + ln, bits[d] + dn]])
+        where = np.concatenate([plain, start])
+        order = where.argsort(kind="stable")
+        plain, items = where[order], np.concatenate([items, refs], axis=2)[:, :, order]
+    items = items.transpose(0, 2, 1).reshape(2, -1)
+    edges = (2 * plain.searchsorted(np.concatenate([first, [len(pixels)]]))).tolist()
+    sets = (number.cumsum() - number).tolist()
+    use = use.tolist()
+    return [np.concatenate([heads[k] for five in use[i: i + j] for k in five] + [items[:, a:z]], axis=1) for i, j, a, z in zip(sets, number.tolist(), edges, edges[1:])]
+
+
+def _colours(pixels: np.ndarray) -> int:
+    """How many different pixels there are."""
+    x = np.sort(pixels)
+    return 1 + int(np.count_nonzero(x[1:] != x[:-1]))
 
 
 def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int = 0, repeats: bool = True, modes=None, cross=None, groups=None, palette: bool = True) -> bytes:
@@ -836,29 +929,52 @@ def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int =
 
     A palette is used, alone, where it makes the stream shorter for certain: at most 256 colours and no more
     than a quarter of the pixels. The other transforms are the caller's choice, applied in the order given;
-    ``modes`` and ``cross`` give their tiles, ``groups`` those of the code groups.
+    ``modes`` and ``cross`` give their tiles, ``groups`` (tile bits, tiles of group numbers) those of the code groups.
     """
+    return encode_all([rgba], [dict(transforms=transforms, tile=tile, cache=cache, repeats=repeats, modes=modes, cross=cross, groups=groups, palette=palette)])[0]
+
+
+def encode_all(images: list[np.ndarray], hows: list[dict]) -> list[bytes]:
+    """The files that ``encode`` makes of many images, each with its own arguments; none depends on the others."""
+    files = [_parts(image, **how) for image, how in zip(images, hows)]
+    coded = iter(_coded([x for parts in files for x in parts if isinstance(x, tuple)]))
+    return [_file(x) for x in _pack([np.concatenate([next(coded) if isinstance(x, tuple) else x for x in parts], axis=1) for parts in files])]
+
+
+def _file(stream: bytes) -> bytes:
+    body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def _parts(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int = 0, repeats: bool = True, modes=None, cross=None, groups=None, palette: bool = True) -> list:
+    """What a file's stream consists of: values with their sizes, and in between entropy-coded images as ``_coded`` takes them."""
     height, width, _ = rgba.shape
     if not (0 < width <= SIDE and 0 < height <= SIDE):
         raise ValueError("an image has 1 to 16384 rows and columns")
-    image = _words(rgba.reshape(-1, 4)[:, [3, 0, 1, 2]]).reshape(height, width)
-    bits = _Writer()
-    bits += [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
+    image = np.ascontiguousarray(rgba, np.uint8).reshape(-1, 4).view(">u4").ravel().astype(np.uint32)
+    image = (image >> np.uint32(8) | image << np.uint32(24)).reshape(height, width)
     side = lambda n: (n + (1 << tile) - 1) >> tile
-    if palette and len(set(image.ravel()[:2048].tolist())) <= 256:
-        if 4 * len(set(image.ravel()[: 1024 + image.size // 4].tolist())) <= image.size:
+    if palette and _colours(image.ravel()[:2048]) <= 256:
+        if 4 * _colours(image.ravel()[: 1024 + image.size // 4]) <= image.size:
             colours = np.unique(image)
             if len(colours) <= 256 and 4 * len(colours) <= image.size:
                 transforms, cache = (PALETTE,), 0
-    wide = width
+    wide, head, out = width, [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)], []
+
+    def small(pixels: np.ndarray) -> None:
+        """A transform's own image: it has no cache and no references."""
+        nonlocal head
+        out.extend([_pairs(*head, (0, 1)), (pixels, 0, False, None)])
+        head = []
+
     for kind in transforms:
-        bits += [(1, 1), (kind, 2)]
+        head += [(1, 1), (kind, 2)]
         if kind == PALETTE:
             colours, index = np.unique(image, return_inverse=True)
             n = len(colours)
             steps = np.diff(_bytes(colours).astype(np.int64), axis=0, prepend=0).astype(np.uint8)
-            bits.append((n - 1, 8))
-            _write_pixels(_words(steps), bits, repeats=False)
+            head.append((n - 1, 8))
+            small(_words(steps))
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             to = (wide + (1 << pack) - 1) >> pack
             padded = np.zeros((height, to << pack), np.int64)
@@ -870,21 +986,27 @@ def encode(rgba: np.ndarray, transforms: tuple = (), tile: int = 4, cache: int =
             g = image >> 8 & 0xFF
             image = (image & 0xFF00FF00) | (image - g & 0xFF) | (((image >> 16) - g & 0xFF) << 16)
         else:
-            bits.append((tile - 2, 3))
+            head.append((tile - 2, 3))
             shape = side(height), side(wide)
             given = modes if kind == PREDICT else cross
             tiles = np.full(shape, ALPHA | (11 << 8 if kind == PREDICT else 0), np.uint32) if given is None else given.astype(np.uint32).reshape(shape)
-            _write_pixels(tiles.ravel(), bits, repeats=False)
+            small(tiles.ravel())
             if kind == PREDICT:
                 x = _bytes(image.ravel()).reshape(height, wide, 4)
                 image = _words((x - predictions(x, tile, tiles)).astype(np.uint8)).reshape(height, wide)
             else:
                 image = uncross(image, wide, tile, tiles, -1)
-    bits.append((0, 1))
-    _write_pixels(image.ravel(), bits, cache, repeats, True, wide, groups)
-    stream = bits.done()
-    body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    head += [(0, 1), *([(1, 1), (cache, 4)] if cache else [(0, 1)]), (1 if groups else 0, 1)]
+    own = None
+    if groups:
+        side_of, numbers = groups
+        i = np.arange(image.size)
+        own = numbers[i // wide >> side_of, i % wide >> side_of].astype(np.int64)
+        out.extend([_pairs(*head, (side_of - 2, 3), (0, 1)), (numbers.ravel().astype(np.uint32) << 8 | ALPHA, 0, True, None)])
+        head = []
+    if head:
+        out.append(_pairs(*head))
+    return [*out, (image.ravel(), cache, repeats, own)]
 
 
 # ---------------------------------------------------------------- what a stored image uses
@@ -1016,7 +1138,12 @@ def padded(raw: bytes) -> bytes:
 def stored_all(payloads: list[bytes]) -> list[bytes]:
     """The files that payloads are kept as; what each uses is estimated for all of them at once."""
     images = [to_image(data) for data in payloads]
-    return [encode(image, **how) for image, how in zip(images, choose_all(images))]
+    hows, upto, out = choose_all(images), np.cumsum([i.size // 4 for i in images]), []
+    while len(out) < len(images):
+        a = len(out)
+        z = max(a + 1, int(upto.searchsorted((upto[a - 1] if a else 0) + TOGETHER, "right")))
+        out += encode_all(images[a:z], hows[a:z])
+    return out
 
 
 def stored(data: bytes) -> bytes:

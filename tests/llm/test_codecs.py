@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -446,6 +447,41 @@ def test_stored_files_use_what_pays():
     assert webp.choose(webp.to_image(prose))["cache"] == 11
 
 
+def prose_payloads(count, rng):
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    return [webp.padded(" ".join(rng.choice(words) for _ in range(rng.randint(250, 450))).encode()) for _ in range(count)]
+
+
+def test_files_made_together_are_those_made_alone():
+    rng = random.Random(17)
+    payloads = [*prose_payloads(12, rng), bytes(64), b"ab" * 3000, rng.randbytes(5000), bytes(range(64)), *prose_payloads(1, rng) * 2]
+    payloads += [bytes((3 * i + rng.randrange(2)) & 255 for i in range(9000)), bytes(x for _ in range(3000) for g in [rng.randrange(256)] for x in (g, g, g, 255))]
+    media, old = webp.stored_all(payloads), webp.TOGETHER
+    assert [webp.decode(m).tobytes()[: len(p)] for m, p in zip(media, payloads)] == payloads
+    for webp.TOGETHER in (1, 1500, 1 << 30):
+        assert webp.stored_all(payloads) == media
+    webp.TOGETHER = old
+    assert webp.stored_all(payloads[::-1]) == media[::-1] and webp.stored_all([]) == []
+    assert [webp.encode(image, **how) for image, how in zip(map(webp.to_image, payloads), webp.choose_all([webp.to_image(p) for p in payloads]))] == media
+
+
+def test_steps_of_many_files_are_shared():
+    # time is the machine's, calls are not: what a file of some 500 pixels costs in calls of Python and NumPy
+    payloads, calls = prose_payloads(128, random.Random(3)), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    webp.stored_all(payloads)
+    sys.setprofile(count)
+    try:
+        webp.stored_all(payloads)
+    finally:
+        sys.setprofile(None)
+    assert calls < 300 * len(payloads)
+
+
 def test_known_webp_file():
     assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[[0, 0, 0, 0]]]
 
