@@ -111,6 +111,11 @@ def _candidates(s, d):
     return _answers(s, d).where("label is null or label <> 0")
 
 
+def _micros(c):
+    """Rounded to six digits as SQL does, which rounds the double product: Spark rounds decimal digits, so halves may go another way."""
+    return F.round(F.col(c) * 1e6) / 1e6
+
+
 def _scored(s, d):
     t = v.telemetry(s, d)
     return detect.score(t, detect.fit_std(t, VALIDATION), 3.0)
@@ -250,13 +255,13 @@ QUERIES = {
     "g2_affected_channels": lambda s, d: signature.affected_channels(signature.window_features(_scored(s, d), _test_events(s, d), SELECTED)).select("event_id", F.array_join("affected", ",").alias("affected")),
     "g3_command_context": lambda s, d: signature.command_context(labels.events(v.label_rows(s, d)), v.commands(s, d)).withColumn("nearest_tc_diff_sec", F.round("nearest_tc_diff_sec", 6)),
     "g4_signatures": lambda s, d: _signatures(s, d).select("event_id", "num_affected", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 3).alias("vector_sum")),
-    "g8_similarity_pairs": lambda s, d: memory.similar(_candidates(s, d), _memories(s, d), 0.4).withColumn("similarity", F.round("similarity", 6)),
-    "g9_nearest_memory": lambda s, d: memory.nearest(_candidates(s, d), _memories(s, d), 0.3).select("event_id", "nearest_id", F.round("similarity", 6).alias("similarity"), "status"),
+    "g8_similarity_pairs": lambda s, d: memory.similar(_candidates(s, d), _memories(s, d), 0.4).withColumn("similarity", _micros("similarity")),
+    "g9_nearest_memory": lambda s, d: memory.nearest(_candidates(s, d), _memories(s, d), 0.3).select("event_id", "nearest_id", _micros("similarity").alias("similarity"), "status"),
     "g11_gated_learning": lambda s, d: _study(s, d, "gated"),
     "g12_recurrence_study": lambda s, d: _study(s, d, "open"),
     "g13_context_ablation": _ablation,
-    "g11_replayed_learning": lambda s, d: _replay(s, d, "gated").select("event_id", "category", F.round("best_similarity", 6).alias("best_similarity"), "matched_id", "recognized", "stored", "alarm_after"),
-    "g12_replayed_recurrence": lambda s, d: _replay(s, d, "open").select("event_id", "category", F.round("best_similarity", 6).alias("best_similarity"), "matched_id", "recognized", "stored", "alarm_after"),
+    "g11_replayed_learning": lambda s, d: _replay(s, d, "gated").select("event_id", "category", _micros("best_similarity").alias("best_similarity"), "matched_id", "recognized", "stored", "alarm_after"),
+    "g12_replayed_recurrence": lambda s, d: _replay(s, d, "open").select("event_id", "category", _micros("best_similarity").alias("best_similarity"), "matched_id", "recognized", "stored", "alarm_after"),
     "a24_recurrence_summary": lambda s, d: memory.recurrence_summary(_replay(s, d, "open")),
     "o4_catalog_search": lambda s, d: orbit.search(objects(s, d), "Widget", 50, starts=False).select("object_id", "name", "tier"),
     "g14_alerts": lambda s, d: memory.alerts(memory.nearest(_candidates(s, d), _memories(s, d), 0.3).withColumn("category", F.when(F.length("event_id") % 2 == 0, "Anomaly").otherwise("Rare Event"))).select("event_id", "status", "severity"),
