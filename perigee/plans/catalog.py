@@ -112,8 +112,9 @@ def _candidates(s, d):
 
 
 def _micros(c):
-    """Rounded to six digits as SQL does, which rounds the double product: Spark rounds decimal digits, so halves may go another way."""
-    return F.round(F.col(c) * 1e6) / 1e6
+    """What isn't negative rounded to six digits as SQL does, which rounds the double product: Spark rounds decimal digits, so halves may go another way."""
+    x = F.col(c) * 1e6
+    return (F.floor(x) + (x - F.floor(x) >= 0.5).cast("int")) / 1e6
 
 
 def _scored(s, d):
